@@ -25,12 +25,14 @@ def feistel(x: Column, a: Column, b: Column, seed: int, rounds: int = ROUNDS) ->
         digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(i)), half.cast("string")))
         return F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") % modulus
 
+    def step(i: int):
+        if i % 2 == 0:
+            return lambda s: F.struct(((s["l"] + mixed(s["r"], i, a)) % a).alias("l"), s["r"].alias("r"))
+        return lambda s: F.struct(s["l"].alias("l"), ((s["r"] + mixed(s["l"], i, b)) % b).alias("r"))
+
     state = F.array(F.struct(F.floor(x / b).cast("long").alias("l"), (x % b).alias("r")))
     for i in range(rounds):
-        if i % 2 == 0:
-            state = F.transform(state, lambda s, i=i: F.struct(((s["l"] + mixed(s["r"], i, a)) % a).alias("l"), s["r"].alias("r")))
-        else:
-            state = F.transform(state, lambda s, i=i: F.struct(s["l"].alias("l"), ((s["r"] + mixed(s["l"], i, b)) % b).alias("r")))
+        state = F.transform(state, step(i))
     done = F.element_at(state, 1)
     return done["l"] * b + done["r"]
 
