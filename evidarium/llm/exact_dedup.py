@@ -15,8 +15,12 @@ from pyspark.sql import functions as F
 
 from .common import materialize, one_blank, packed, scratch
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: Disk-backed state; a batch writes only its changes, and no store reserves files ahead, as there may be many small ones.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def sha256_hex(content: Column) -> Column:
@@ -30,8 +34,9 @@ def registry_of(intake: DataFrame, path: str, files_per_batch: int) -> DataFrame
     def save(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")  # a replayed batch replaces itself
 
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
     try:
         stream = spark.readStream.schema(intake.schema).option("maxFilesPerTrigger", files_per_batch).option("maxFileAge", "36500d").parquet(path)
         first = F.struct(F.col("id").isNull().alias("no_id"), "id", "row_id")
@@ -39,7 +44,8 @@ def registry_of(intake: DataFrame, path: str, files_per_batch: int) -> DataFrame
         query = entries.writeStream.outputMode("update").option("checkpointLocation", scratch(spark, "dedup-state")).foreachBatch(save).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     found = spark.read.schema(entries.schema.add("batch", "long")).parquet(out)
     return found.groupBy("digest").agg(F.max_by(F.struct("first", "n"), "batch").alias("entry")).select("digest", "entry.first", "entry.n")
 
