@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, shard
+from . import bpe, exact_dedup, idfile, separators, shard
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_token_counts": separators.op2_token_counts,
     "op3_feistel_shards": shard.op3_feistel_shards,
+    "op6_ranked_id_files": idfile.op6_ranked_id_files,
+    "op7_bpe_roundtrip": bpe.op7_bpe_roundtrip,
 }
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
