@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, idfile, separators, shard
+from . import bpe, decontaminate, exact_dedup, idfile, separators, shard
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_token_counts": separators.op2_token_counts,
     "op3_feistel_shards": shard.op3_feistel_shards,
+    "op4_decontamination": decontaminate.op4_decontamination,
     "op6_ranked_id_files": idfile.op6_ranked_id_files,
     "op7_bpe_roundtrip": bpe.op7_bpe_roundtrip,
 }
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
+    "op4_decontamination": decontaminate.ORACLE,
 }
