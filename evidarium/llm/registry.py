@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, idfile, separators, shard
+from . import bpe, decontaminate, exact_dedup, idfile, jaccard, separators, shard
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_decontamination": decontaminate.op4_decontamination,
     "op6_ranked_id_files": idfile.op6_ranked_id_files,
     "op7_bpe_roundtrip": bpe.op7_bpe_roundtrip,
+    "op8_jaccard_join": jaccard.op8_jaccard_join,
 }
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
