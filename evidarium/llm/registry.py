@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, idfile, jaccard, secret_scan, separators, shard
+from . import bpe, decontaminate, exact_dedup, idfile, jaccard, pii, secret_scan, separators, shard
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_ranked_id_files": idfile.op6_ranked_id_files,
     "op7_bpe_roundtrip": bpe.op7_bpe_roundtrip,
     "op8_jaccard_join": jaccard.op8_jaccard_join,
+    "op9_personal_data": pii.op9_personal_data,
     "op10_secret_scan": secret_scan.op10_secret_scan,
 }
 ORACLES = {
