@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, idfile, jaccard, pii, secret_scan, separators, shard
+from . import bpe, decontaminate, exact_dedup, idfile, jaccard, pii, quality, secret_scan, separators, shard
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_token_counts": separators.op2_token_counts,
     "op3_feistel_shards": shard.op3_feistel_shards,
     "op4_decontamination": decontaminate.op4_decontamination,
+    "op5_line_quality": quality.op5_line_quality,
     "op6_ranked_id_files": idfile.op6_ranked_id_files,
     "op7_bpe_roundtrip": bpe.op7_bpe_roundtrip,
     "op8_jaccard_join": jaccard.op8_jaccard_join,
