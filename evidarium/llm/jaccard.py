@@ -64,7 +64,7 @@ def shingle_set(text: bytes) -> np.ndarray:
         return np.zeros(0, np.uint64)
     w = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
     if len(w) < SHINGLE:
-        return np.array([(w * FACTORS[: len(w)]).sum() + FACTORS[-1] * np.uint64(len(w))], np.uint64)
+        return np.append(w * FACTORS[: len(w)], FACTORS[-1:] * np.uint64(len(w))).sum(keepdims=True)
     n = len(w) - SHINGLE + 1
     h = w[:n] * FACTORS[0]
     for i in range(1, SHINGLE):
@@ -258,7 +258,8 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     record = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if carry is None else carry)]).alias("record")
     rows = docs.select(record, F.col(f"`{text_col}`").alias("text"))
-    members = materialize(rows.mapInArrow(describe, rows.select("record").schema.add("key", "long").add("n", "long").add("last", "long")), "jaccard-members")
+    members = rows.mapInArrow(describe, rows.select("record").schema.add("key", "long").add("n", "long").add("last", "long"))
+    members = materialize(members.withColumn("row", F.monotonically_increasing_id()), "jaccard-members")
     total = members.agg(F.sum("n")).first()[0] or 0
     buckets = min(max(parts, -(-total // BUCKET_SHINGLES)), 1 << 16)
     homes = max(parts, buckets // 4)
@@ -297,8 +298,8 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """For each row of docs: record (its columns, or those of carry), id, n_shingles and component_id, the smallest id
-    that can be reached by links.
+    """For each row of docs: record (its columns, or those of carry), id, n_shingles, component_id, the smallest id that
+    can be reached by links, and kept: whether it is the component's one row that stays (of those with that id the first).
 
     Words are parted by ASCII white space after A-Z are lower-cased. Texts without words have no shingles and no links:
     their component is their own id. Rows with equal sets are linked. Rows without an id count in their component, which
@@ -307,13 +308,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = docs.columns if carry is None else carry
     members, links = similar_classes(docs, id_col, text_col, list(dict.fromkeys([*wanted, id_col])))
     comps = components(links) if links.take(1) else links.select(F.col("a").alias("key"), F.col("b").alias("comp"))
-    rows = members.select("record", F.col(f"record.`{id_col}`").alias("id"), "key", "n")
-    classes = rows.where("key is not null").groupBy("key").agg(F.min("id").alias("low")).join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-    lows = classes.groupBy("comp").agg(F.min("low").alias("component_id"))
-    named = classes.join(lows, "comp").select("key", "component_id")
+    rows = members.select("record", F.col(f"record.`{id_col}`").alias("id"), "row", "key", "n")
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row"))
+    classes = rows.where("key is not null").groupBy("key").agg(first.alias("first")).join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+    firsts = classes.groupBy("comp").agg(F.min("first").alias("head"))
+    named = classes.join(firsts, "comp").select("key", F.col("head.id").alias("component_id"), F.col("head.row").alias("head"))
     out = rows.join(named, "key", "left").withColumn("component_id", F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component_id")))
     record = F.struct(*[F.col(f"record.`{c}`").alias(c) for c in wanted])
-    return out.select(record.alias("record"), "id", F.col("n").alias("n_shingles"), "component_id")
+    return out.select(record.alias("record"), "id", F.col("n").alias("n_shingles"), "component_id", (F.col("key").isNull() | (F.col("row") == F.col("head"))).alias("kept"))
 
 
 def op8_jaccard_join(spark, sf_dir):

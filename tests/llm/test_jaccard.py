@@ -35,7 +35,12 @@ def brute(rows):
 
 
 def ours(spark, rows):
-    return sorted((tuple(r) for r in near_duplicates(spark.createDataFrame(rows, SCHEMA)).select("id", "n_shingles", "component_id").collect()), key=repr)
+    out = near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    kept = [r for r in out if r["kept"]]
+    assert all(r["id"] == r["component_id"] for r in kept)
+    if len({r["id"] for r in out}) == len(out):
+        assert len(kept) == len({r["component_id"] for r in out})
+    return sorted(((r["id"], r["n_shingles"], r["component_id"]) for r in out), key=repr)
 
 
 def corpus(seed, n, words):
