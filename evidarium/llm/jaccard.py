@@ -192,7 +192,7 @@ def shared_shingles(key_buckets: int):
 
 def with_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Classes that may have a partner: size, shingles of their own, shared shingles, and prefixes under three orders
-    (of the prefixes only the shared shingles)."""
+    (of the prefixes only the shared shingles; the second and third as bits of the sorted set)."""
     for _, rows in by_bucket(batches, "home"):
         facts = {r["key"]: (r["n"], r["last"]) for r in rows if r["blob"] is None}
         blobs = [r["blob"] for r in rows if r["blob"] is not None]
@@ -216,29 +216,46 @@ def with_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             if room <= 0 or not len(third):
                 continue
             falling = np.lexsort((~(t & LOW), df[a:b]))
-            for column, value in zip(out, (k, n, own, np.sort(t).tobytes(), t[:room].view(np.int64), t[falling[:room]].view(np.int64), third.view(np.int64))):
+            place = np.argsort(np.argsort(t))  # of each in the sorted set
+            second, last_ = np.zeros((2, len(t)), bool)
+            second[place[falling[:room]]] = True
+            last_[place[(t & LOW) <= np.uint64(last)]] = True
+            for column, value in zip(out, (k, n, own, np.sort(t).tobytes(), t[:room].view(np.int64), np.packbits(second).tobytes(), np.packbits(last_).tobytes())):
                 column.append(value)
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), *[pa.list_(pa.int64())] * 3]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["key", "n", "own", "tokens", "p1", "p2", "p3"])
 
 
+def marked(tokens: np.ndarray, bits: bytes) -> np.ndarray:
+    return tokens[np.unpackbits(np.frombuffer(bits, np.uint8), count=len(tokens)).astype(bool)]
+
+
+def common_to(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    return int((both[1:] == both[:-1]).sum())
+
+
 def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs that share a prefix shingle under each order and reach the similarity."""
+    """Pairs, which share a prefix shingle under the first order, that share one under the others too and reach the
+    similarity."""
     for batch in batches:
         a, b = [], []
-        for r in batch.to_pylist():
-            if not (set(r["p1"]) & set(r["q1"]) and set(r["p2"]) & set(r["q2"]) and set(r["p3"]) & set(r["q3"])):
+        for p, q, n, m, left, right, p2, q2, p3, q3 in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "n", "m", "tokens", "others", "p2", "q2", "p3", "q3"))):
+            x, y = np.frombuffer(left, "<u8"), np.frombuffer(right, "<u8")
+            if not (common_to(marked(x, p3), marked(y, q3)) and common_to(marked(x, p2), marked(y, q2))):
                 continue
-            both = len(np.intersect1d(np.frombuffer(r["tokens"], "<u8"), np.frombuffer(r["others"], "<u8"), assume_unique=True))
-            if 100 * both >= 75 * (r["n"] + r["m"] - both):
-                a.append(r["a"])
-                b.append(r["b"])
+            both = common_to(x, y)
+            if 100 * both >= 75 * (n + m - both):
+                a.append(p)
+                b.append(q)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def links_among(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    left = classes.select(F.col("key").alias("a"), "n", "tokens", "p1", "p2", "p3")
-    right = classes.select(F.col("key").alias("b"), F.col("n").alias("m"), F.col("tokens").alias("others"), F.col("p1").alias("q1"), F.col("p2").alias("q2"), F.col("p3").alias("q3"))
+    left = classes.select(F.col("key").alias("a"), "n", "tokens", "p2", "p3")
+    right = classes.select(F.col("key").alias("b"), F.col("n").alias("m"), F.col("tokens").alias("others"), F.col("p2").alias("q2"), F.col("p3").alias("q3"))
     return materialize(pairs.join(left, "a").join(right, "b").mapInArrow(verified, "a long, b long"), "jaccard-links")
 
 
@@ -246,7 +263,8 @@ def ordered(a, b):
     return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
 
-LENGTHS = "4 * least(n, m) >= 3 * greatest(n, m)"
+#: What a pair can share at most, without the shingles that only one of them has, must reach the similarity.
+LENGTHS = "100 * least(n - own, m - his) >= 75 * (n + m - least(n - own, m - his))"
 
 
 def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -269,17 +287,17 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     facts = members.where("key is not null").groupBy("key").agg(F.first("n").alias("n"), F.first("last").alias("last"))
     facts = facts.select(F.pmod("key", F.lit(homes)).cast("int").alias("home"), "key", "n", "last", F.lit(None).cast("binary").alias("blob"))
     classes = shared.unionByName(facts).repartition(parts, "home").sortWithinPartitions("home")
-    classes = materialize(classes.mapInArrow(with_prefixes, "key long, n long, own long, tokens binary, p1 array<long>, p2 array<long>, p3 array<long>"), "jaccard-classes", "none")
+    classes = materialize(classes.mapInArrow(with_prefixes, "key long, n long, own long, tokens binary, p1 array<long>, p2 binary, p3 binary"), "jaccard-classes", "none")
 
     entries = classes.select("key", "n", "own", F.explode("p1").alias("token"))
     groups = entries.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("own", "key", "n")).alias("hub")).where("size > 1")
     entries = materialize(entries.join(groups, "token"), "jaccard-groups")
-    small = entries.where(F.col("size") <= SMALL).select("token", "key", "n")
-    pairs = small.join(small.select("token", F.col("key").alias("other"), F.col("n").alias("m")), "token").where("key < other").where(LENGTHS).select(*ordered(F.col("key"), F.col("other")))
-    large = entries.where((F.col("size") > SMALL) & (F.col("key") != F.col("hub.key"))).withColumn("m", F.col("hub.n")).where(LENGTHS).select(*ordered(F.col("key"), F.col("hub.key")))
+    small = entries.where(F.col("size") <= SMALL).select("token", "key", "n", "own")
+    pairs = small.join(small.select("token", F.col("key").alias("other"), F.col("n").alias("m"), F.col("own").alias("his")), "token").where("key < other").where(LENGTHS).select(*ordered(F.col("key"), F.col("other")))
+    large = entries.where((F.col("size") > SMALL) & (F.col("key") != F.col("hub.key"))).withColumns({"m": F.col("hub.n"), "his": F.col("hub.own")}).where(LENGTHS).select(*ordered(F.col("key"), F.col("hub.key")))
     links = links_among(pairs.union(large).distinct(), classes)
 
-    big = entries.where(F.col("size") > SMALL).select("token", "key", "n", "size")
+    big = entries.where(F.col("size") > SMALL).select("token", "key", "n", "own", "size")
     for slices in ROUNDS if big.take(1) else ():
         comps = components(links)
         labelled = big.join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
@@ -288,10 +306,10 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         open_ = materialize(labelled.join(mains, "token").withColumn("salts", F.ceil(F.col("size") / SLICE).cast("int")), "jaccard-open")
         if not open_.take(1):
             break
-        salted = open_.select("token", F.pmod(F.xxhash64("key"), "salts").cast("int").alias("salt"), F.col("key").alias("other"), F.col("n").alias("m"), F.col("comp").alias("that"))
+        salted = open_.select("token", F.pmod(F.xxhash64("key"), "salts").cast("int").alias("salt"), F.col("key").alias("other"), F.col("n").alias("m"), F.col("own").alias("his"), F.col("comp").alias("that"))
         first = F.pmod(F.xxhash64("token", "key"), "salts").cast("int")
         picks = F.sequence(F.lit(0), F.col("salts") - 1) if slices is None else F.sequence(F.lit(0), F.least(F.lit(slices), "salts") - 1)
-        outside = open_.where("comp <> main").select("token", F.explode(F.transform(picks, lambda i: F.pmod(first + i, "salts").cast("int"))).alias("salt"), "key", "n", "comp")
+        outside = open_.where("comp <> main").select("token", F.explode(F.transform(picks, lambda i: F.pmod(first + i, "salts").cast("int"))).alias("salt"), "key", "n", "own", "comp")
         more = outside.join(salted, ["token", "salt"]).where("comp <> that").where(LENGTHS).select(*ordered(F.col("key"), F.col("other"))).distinct()
         links = links.union(links_among(more, classes))
     return members, links

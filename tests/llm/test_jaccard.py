@@ -4,6 +4,7 @@ import re
 import pytest
 
 import evidarium.llm.jaccard as jaccard
+from evidarium.llm.graph import components
 from evidarium.llm.jaccard import near_duplicates
 
 SCHEMA = "doc_id long, text string, n string, key int"
@@ -85,6 +86,19 @@ def test_one_large_group_of_near_copies(spark, monkeypatch):
     assert ours(spark, rows) == brute(rows)
 
 
+def test_components_of_blocks_and_long_chains(spark):
+    rng = random.Random(6)
+    links = [(i, i + 1) for i in range(90)] + [(200 + i, 200) for i in range(1, 50)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)]
+    rng.shuffle(links)
+    root = {x: x for e in links for x in e}
+    for _ in root:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    frame = spark.createDataFrame(links, "a long, b long").repartition(7)
+    for block in (500, 40):
+        assert {tuple(r) for r in components(frame, block).collect()} == set(root.items())
+
+
 @pytest.mark.parametrize("edge", [(20, 3), (20, 4), (60, 12)])
 def test_similarity_at_the_threshold(spark, edge):
     n, changed = edge
