@@ -11,9 +11,8 @@ shingle under each of them.
    no partner and is dropped; for the rest, the shared shingles hold all that an intersection can have.
 3. Classes with a common prefix shingle under the first order are paired: within small groups all pairs, within large
    ones first every class with the one that has the fewest shingles of its own. Components of the links found make most
-   pairs of a large group needless; the classes outside its main component are then paired with a slice of it, then
-   with more, at last with all. Groups are split by salts, so none meets in one task, and no pair is left out that could
-   join two components.
+   pairs of a large group needless; the classes outside its main component are then paired with a slice of one group,
+   then with more slices, at last with all of all groups. No pair is left out that could join two components.
 """
 
 from __future__ import annotations
@@ -265,6 +264,8 @@ def ordered(a, b):
 
 #: What a pair can share at most, without the shingles that only one of them has, must reach the similarity.
 LENGTHS = "100 * least(n - own, m - his) >= 75 * (n + m - least(n - own, m - his))"
+#: The same for one class and the smallest of its group: else it can be similar to none of them.
+ALONE = "100 * (n - own) >= 75 * (own + lo)"
 
 
 def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -290,8 +291,8 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = materialize(classes.mapInArrow(with_prefixes, "key long, n long, own long, tokens binary, p1 array<long>, p2 binary, p3 binary"), "jaccard-classes", "none")
 
     entries = classes.select("key", "n", "own", F.explode("p1").alias("token"))
-    groups = entries.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("own", "key", "n")).alias("hub")).where("size > 1")
-    entries = materialize(entries.join(groups, "token"), "jaccard-groups")
+    groups = entries.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("own", "key", "n")).alias("hub"), F.min("n").alias("lo")).where("size > 1")
+    entries = materialize(entries.join(groups, "token").where(ALONE), "jaccard-groups")
     small = entries.where(F.col("size") <= SMALL).select("token", "key", "n", "own")
     pairs = small.join(small.select("token", F.col("key").alias("other"), F.col("n").alias("m"), F.col("own").alias("his")), "token").where("key < other").where(LENGTHS).select(*ordered(F.col("key"), F.col("other")))
     large = entries.where((F.col("size") > SMALL) & (F.col("key") != F.col("hub.key"))).withColumns({"m": F.col("hub.n"), "his": F.col("hub.own")}).where(LENGTHS).select(*ordered(F.col("key"), F.col("hub.key")))
@@ -306,11 +307,19 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         open_ = materialize(labelled.join(mains, "token").withColumn("salts", F.ceil(F.col("size") / SLICE).cast("int")), "jaccard-open")
         if not open_.take(1):
             break
-        salted = open_.select("token", F.pmod(F.xxhash64("key"), "salts").cast("int").alias("salt"), F.col("key").alias("other"), F.col("n").alias("m"), F.col("own").alias("his"), F.col("comp").alias("that"))
-        first = F.pmod(F.xxhash64("token", "key"), "salts").cast("int")
-        picks = F.sequence(F.lit(0), F.col("salts") - 1) if slices is None else F.sequence(F.lit(0), F.least(F.lit(slices), "salts") - 1)
-        outside = open_.where("comp <> main").select("token", F.explode(F.transform(picks, lambda i: F.pmod(first + i, "salts").cast("int"))).alias("salt"), "key", "n", "own", "comp")
-        more = outside.join(salted, ["token", "salt"]).where("comp <> that").where(LENGTHS).select(*ordered(F.col("key"), F.col("other"))).distinct()
+        outside = open_.where("comp <> main").select("token", "key", "n", "own", "comp", "salts", "size")
+        inside = open_.select("token", F.col("key").alias("other"), F.col("n").alias("m"), F.col("own").alias("his"), F.col("comp").alias("that"), "salts")
+        if slices is None:  # all of every group, each pair by the first shingle that it shares
+            shared_by = open_.groupBy("key").agg(F.array_sort(F.collect_set("token")).alias("tokens"))
+            inside = inside.drop("salts").join(shared_by.select(F.col("key").alias("other"), F.col("tokens").alias("others")), "other")
+            more = outside.join(shared_by, "key").join(inside, "token").where((F.col("comp") != F.col("that")) & (F.array_min(F.array_intersect("tokens", "others")) == F.col("token")))
+        else:  # slices of the largest group that each is in
+            one = outside.groupBy("key", "n", "own", "comp").agg(F.max_by(F.struct("token", "salts"), F.struct("size", "token")).alias("g")).select("g.token", "g.salts", "key", "n", "own", "comp")
+            first = F.pmod(F.xxhash64("token", "key"), "salts").cast("int")
+            picks = F.transform(F.sequence(F.lit(0), F.least(F.lit(slices), "salts") - 1), lambda i: F.pmod(first + i, "salts").cast("int"))
+            inside = inside.withColumn("salt", F.pmod(F.xxhash64("other"), "salts").cast("int")).drop("salts")
+            more = one.withColumn("salt", F.explode(picks)).join(inside, ["token", "salt"]).where("comp <> that")
+        more = more.where(LENGTHS).select(*ordered(F.col("key"), F.col("other"))).distinct()
         links = links.union(links_among(more, classes))
     return members, links
 
