@@ -74,26 +74,33 @@ def write_ids(docs: DataFrame, vocabulary: str, end_id: int = 1, id_col: str = "
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, squeeze = library_words(vocabulary, width), zstandard.ZstdCompressor(1)
-        end = np.array([end_id], width).tobytes()
+        end, total = np.array([end_id], width).tobytes(), np.zeros(size, np.int64)
         for batch in batches:
+            kind = batch.column("id").type
             blobs = [b + end for b in words.blobs(texts_of(batch.column("text")))]
+            total += np.bincount(np.frombuffer(b"".join(blobs), width), minlength=size)
             small = [squeeze.compress(b) for b in blobs]
             n = [len(b) // np.dtype(width).itemsize for b in blobs]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(small, pa.binary())], names=["id", "n_ids", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(small, pa.binary()), pa.nulls(len(n), pa.binary())], names=names)
+        if total.any():  # a row for the task: how often it saw each id
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())], names=names)
 
+    names = ["id", "n_ids", "ids", "seen"]
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    stage = materialize(rows.mapInArrow(encode, rows.select("id").schema.add("n_ids", "long").add("ids", "binary")), "ids-encoded", "none")
+    schema = rows.select("id").schema.add("n_ids", "long").add("ids", "binary").add("seen", "binary")
+    whole = materialize(rows.mapInArrow(encode, schema), "ids-encoded", "none")
+    stage = whole.where("seen is null").drop("seen")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for blob in batch.column("ids").to_pylist():
-                total += np.bincount(np.frombuffer(zstandard.decompress(blob), width), minlength=size)
+            for seen in batch.column("seen").to_pylist():
+                total += np.frombuffer(seen, np.int64)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["token", "n"])
 
     # one row per id of the vocabulary at most
-    seen = stage.select("ids").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").collect()
+    seen = whole.where("seen is not null").select("seen").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").collect()
     order = np.array([r["token"] for r in seen] or [0], np.int64)
     rank = np.zeros(size, np.uint32)
     rank[order] = np.arange(len(order), dtype=np.uint32)

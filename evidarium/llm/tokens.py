@@ -12,8 +12,8 @@ from itertools import chain
 
 import numpy as np
 
-#: Words kept by a Python worker; about 200 bytes each.
-CACHE_WORDS = 1_000_000
+#: Words kept by a Python worker, about 200 bytes each, in two halves: when the newer is full, the older goes.
+CACHE_WORDS = 1_200_000
 #: Bytes of text that are split at a time.
 GROUP_BYTES = 4 << 20
 
@@ -30,7 +30,7 @@ class Words:
     """ids of texts, as little-endian bytes of the given width."""
 
     def __init__(self, encode: Callable[[list[bytes]], list[bytes]]):
-        self.encode, self.cache = encode, {}
+        self.encode, self.cache, self.older = encode, {}, {}
 
     def blobs(self, texts: list[bytes]) -> Iterator[bytes]:
         """The ids of each text. Texts go in groups, so that many unseen words are encoded together."""
@@ -46,11 +46,13 @@ class Words:
     def _group(self, texts: list[bytes]) -> Iterator[bytes]:
         words = [t.split() for t in texts]
         distinct = set(chain.from_iterable(words))
-        unseen = list(distinct.difference(self.cache))
-        if len(self.cache) + len(unseen) > CACHE_WORDS:
-            self.cache.clear()
-            unseen = list(distinct)
-        self.cache.update(zip(unseen, self.encode(unseen)))
+        unseen = distinct.difference(self.cache)
+        if 2 * (len(self.cache) + len(unseen)) > CACHE_WORDS:
+            self.cache, self.older, unseen = {}, self.cache, distinct
+        known = unseen.intersection(self.older)
+        self.cache.update(zip(known, map(self.older.__getitem__, known)))
+        new = list(unseen.difference(known))
+        self.cache.update(zip(new, self.encode(new)))
         get = self.cache.__getitem__
         for w in words:
             yield b"".join(map(get, w))
