@@ -84,7 +84,7 @@ def with_sizes(files: DataFrame, head_bytes: int = 1 << 20) -> DataFrame:
             got = [marker_size((c or b"")[:head_bytes]) for c in b.column("content").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("rest"), b.column("content"), pa.array([g and g[0] for g in got], pa.int32()), pa.array([g and g[1] for g in got], pa.int32())], names=["rest", "content", "width", "height"])
 
-    read = hard.mapInArrow(look, hard.select("*").schema.add("width", "int").add("height", "int"))
+    read = hard.mapInArrow(look, hard.select("*").schema.add("width", "integer").add("height", "integer"))
     return easy.unionByName(read.select("rest.*", "content", "width", "height").select(*files.columns, "width", "height"))
 
 
