@@ -11,6 +11,7 @@ from ..functions import geometry as g
 from ..functions import text as t
 from ..operators import counters, matching, merge, rules, windows
 from . import catalog as q
+from . import jobs
 from .analog import Catalog, oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -479,3 +480,51 @@ def _(c):
 def _(c):
     side = lambda n: c.part.where(F.col("p_size") == n).selectExpr("p_partkey AS id", "p_name AS name")
     return matching.token_similarity(side(1), side(2))
+
+
+# jobs
+
+
+@query("x1_kit_evidence", *via("SELECT DISTINCT * FROM (SELECT entity_id AS kit_id, image_id, 'kit' AS via FROM image_links WHERE entity_type = 'kit' UNION ALL SELECT t.kit_id, image_id, 'part' FROM image_links l JOIN parts t ON t.id = l.entity_id WHERE entity_type = 'part' UNION ALL SELECT via_kit, image_id, 'placement' FROM image_links l JOIN placement_kit p ON p.id = l.entity_id WHERE entity_type = 'placement' AND via_kit IS NOT NULL)", ("image_links",)))
+def _(c):
+    return jobs.kit_evidence(c)
+
+
+@query("x1_source_claims", "SELECT source_id, count(DISTINCT claim_id) AS claims, count(DISTINCT x.id) AS extracts FROM claim_evidence e JOIN source_extracts x ON x.id = e.evidence_id WHERE evidence_type = 'source_extract' GROUP BY source_id", "claim_evidence", "source_extracts")
+def _(c):
+    return jobs.source_claims(c)
+
+
+DATED = "CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%Y') WHEN 1 THEN strftime(o_orderdate, '%Y-%m') WHEN 2 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE 'about ' || strftime(o_orderdate, '%Y') END"
+
+
+@query("x4_partial_dates", f"SELECT o_orderkey, d, CASE length(d) WHEN 4 THEN CAST(d || '-01-01' AS DATE) WHEN 7 THEN CAST(d || '-01' AS DATE) WHEN 10 THEN CASE WHEN d LIKE 'about%' THEN NULL ELSE try_cast(d AS DATE) END END AS date_start, CASE length(d) WHEN 4 THEN CAST(d || '-12-31' AS DATE) WHEN 7 THEN last_day(CAST(d || '-01' AS DATE)) WHEN 10 THEN CASE WHEN d LIKE 'about%' THEN NULL ELSE try_cast(d AS DATE) END END AS date_end FROM (SELECT o_orderkey, {DATED} AS d FROM orders)")
+def _(c):
+    when = lambda f: F.date_format("o_orderdate", f)
+    k = F.col("o_orderkey") % 4
+    raw = F.when(k == 0, when("yyyy")).when(k == 1, when("yyyy-MM")).when(k == 2, when("yyyy-MM-dd")).otherwise(F.concat(F.lit("about "), when("yyyy")))
+    return jobs.chronology(c.orders.select("o_orderkey", raw.alias("d")), "d")
+
+
+@query("r8_retitle", "SELECT i.id, i.title AS old_title, coalesce(x.labels, 'Unreviewed image') AS new_title FROM images i LEFT JOIN (SELECT image_id, string_agg(label, ' / ' ORDER BY k) AS labels FROM (SELECT image_id, label, row_number() OVER (PARTITION BY image_id ORDER BY min(id)) AS k FROM image_regions WHERE trim(label) <> '' GROUP BY image_id, label) WHERE k <= 3 GROUP BY image_id) x ON x.image_id = i.id WHERE coalesce(trim(i.title), '') = ''", "images", "image_regions")
+def _(c):
+    return jobs.retitle(c.images.withColumn("notes", F.lit(None).cast("string")), c.image_regions)
+
+
+@query("m19_link_regions", "SELECT r.id, CASE WHEN n = 1 THEN 'linked' WHEN n > 1 THEN 'ambiguous_exact_match' ELSE 'no_exact_match' END AS match_status, CASE WHEN n = 1 THEN m END AS match_id FROM image_regions r LEFT JOIN (SELECT regexp_replace(lower(name), '[^a-z0-9]+', '', 'g') AS k, count(*) AS n, min(id) AS m FROM (SELECT id, 'Label ' || CAST(id % 12 AS STRING) AS name FROM kits) GROUP BY 1) x ON x.k = regexp_replace(lower(r.label), '[^a-z0-9]+', '', 'g') WHERE trim(r.label) <> ''", "image_regions", "kits")
+def _(c):
+    kits = c.kits.select("id", F.concat(F.lit("Label "), (F.col("id") % 12).cast("string")).alias("name"))
+    regions = c.image_regions.withColumns({"entity_type": F.lit(None).cast("string"), "entity_id": F.lit(None).cast("long")})
+    return jobs.link_regions(regions, kits)[2].select("id", "match_status", "match_id")
+
+
+@query("x6_tag_posts", "SELECT id, keyword FROM source_extracts JOIN (SELECT unnest(['the', 'und', 'que']) AS keyword) ON regexp_matches(trim(regexp_replace(regexp_replace(lower(content), '[_-]+', ' ', 'g'), '\\s+', ' ', 'g')), '(^|[^a-z0-9])' || keyword || '([^a-z0-9]|$)')", "source_extracts")
+def _(c):
+    return jobs.tag_posts(c.source_extracts, "content", ["the", "und", "que"]).select("id", "keyword")
+
+
+@query("m16_corpus_tags", "SELECT DISTINCT sha256, tag FROM (SELECT sha256, 'src-' || CAST(source_id AS STRING) AS tag FROM images UNION ALL SELECT sha256, image_type FROM images UNION ALL SELECT sha256, 'forum' FROM images)", "images")
+def _(c):
+    manifest = c.images.select("sha256", "filename", F.lit("forum").alias("source_platform"), F.lit("c").alias("source_collection"), F.concat(F.lit("src "), F.col("source_id").cast("string")).alias("subject"), F.col("image_type").alias("content_kind"))
+    held = c.images.limit(0).selectExpr("sha256", "title", "'' AS image_code", "'' AS notes")
+    return jobs.corpus_images(manifest, c.sources, held)[2]
