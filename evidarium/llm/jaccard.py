@@ -30,10 +30,10 @@ from .graph import components
 from .tokens import texts_of
 
 SHINGLE = 5
-GROUP_BYTES = 8 << 20
-CACHE_WORDS = 1_000_000
+GROUP_BYTES = 4 << 20
+CACHE_WORDS = 300_000
 #: Shingles that a task sorts at a time, on average.
-BUCKET_SHINGLES = 2_000_000
+BUCKET_SHINGLES = 1_200_000
 #: Groups of up to so many classes are paired in full at once; larger ones by rounds of slices of SLICE classes.
 SMALL, SLICE = 8, 32
 #: Slices that a class outside the main component is paired with, round by round; at last all.
@@ -136,7 +136,7 @@ def by_bucket(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[tuple[in
     """Rows of sorted batches, bucket by bucket."""
     current, rows = None, []
     for batch in batches:
-        for row in batch.to_pylist():
+        for row in (r for i in range(0, len(batch), 50) for r in batch.slice(i, 50).to_pylist()):
             if row[name] != current:
                 if rows:
                     yield current, rows
@@ -239,7 +239,7 @@ def common_to(a: np.ndarray, b: np.ndarray) -> int:
 def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs, which share a prefix shingle under the first order, that share one under the others too and reach the
     similarity."""
-    for batch in batches:
+    for batch in (b.slice(i, 1000) for b in batches for i in range(0, len(b), 1000)):
         a, b = [], []
         for p, q, n, m, left, right, p2, q2, p3, q3 in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "n", "m", "tokens", "others", "p2", "q2", "p3", "q3"))):
             x, y = np.frombuffer(left, "<u8"), np.frombuffer(right, "<u8")
