@@ -7,7 +7,8 @@ shingle under each of them.
 
 1. Each text becomes a set of 64-bit shingle hashes; equal sets form a class, named by the hash of the set.
 2. Shingles are dealt by hash, packed as arrays, and those of a single class are dropped. The others go back to their
-   classes with the number of classes that have them. A class of which the prefix under rarity has no shared shingle has
+   classes with the number of classes that have them. Shingles of a large share of all rows are found beforehand and go
+   straight back. A class of which the prefix under rarity has no shared shingle has
    no partner and is dropped; for the rest, the shared shingles hold all that an intersection can have.
 3. Classes with a common prefix shingle under the first order are paired: within small groups all pairs, within large
    ones first every class with the one that has the fewest shingles of its own. Components of the links found make most
@@ -34,6 +35,9 @@ GROUP_BYTES = 4 << 20
 CACHE_WORDS = 300_000
 #: Shingles that a task sorts at a time, on average.
 BUCKET_SHINGLES = 1_200_000
+#: A shingle is frequent if it may be in more than one of so many rows. Those are known beforehand (OFTEN times the mean
+#: size of a set, at most), count as equally common, and never meet in a task.
+OFTEN = 64
 #: Groups of up to so many classes are paired in full at once; larger ones by rounds of slices of SLICE classes.
 SMALL, SLICE = 8, 32
 #: Slices that a class outside the main component is paired with, round by round; at last all.
@@ -79,26 +83,80 @@ def prefix_length(n):
     return n // 4 + 1
 
 
+def local_counts(sets: list[np.ndarray]) -> bytes:
+    """Shingles of a run of classes that may be frequent in all, with their counts there: those in twice the share that
+    makes a frequent one cannot all be missed, as some run must have at least the mean."""
+    token, count = np.unique(np.concatenate(sets), return_counts=True)
+    some = count * OFTEN > len(sets)
+    some &= count > 1
+    return token[some].astype("<u8").tobytes() + count[some].astype("<u8").tobytes()
+
+
 def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per text: class key (null without words), set size, and the hash (of 48 bits) that ends its prefix under hash order."""
+    """Per text: class key (null without words), set size, and the hash (of 48 bits) that ends its prefix under hash order.
+    The last text of each run of texts also has the run's frequent shingles."""
     for batch in batches:
-        keys, sizes, ends = [], [], []
-        for text in texts_of(batch.column("text")):
+        keys, sizes, ends, often = [], [], [], []
+        run: dict[int, np.ndarray] = {}
+        held = 0
+        texts = texts_of(batch.column("text"))
+        for i, text in enumerate(texts):
             s = shingle_set(text)
             n = len(s)
             keys.append(class_key(s) if n else None)
             sizes.append(n)
             ends.append(int(np.partition(s & LOW, n // 4)[n // 4]) if n else 0)
-        yield pa.RecordBatch.from_arrays([batch.column("record"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ends, pa.int64())], names=["record", "key", "n", "last"])
+            if n:
+                run[keys[-1]] = s
+                held += len(text)
+            full = run and (held >= GROUP_BYTES or i == len(texts) - 1)
+            often.append(local_counts(list(run.values())) if full else None)
+            if full:
+                run, held = {}, 0
+        yield pa.RecordBatch.from_arrays([batch.column("record"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ends, pa.int64()), pa.array(often, pa.binary())], names=["record", "key", "n", "last", "often"])
+
+
+def unpack_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for blob in batch.column("often").to_pylist():
+            both = np.frombuffer(blob, "<i8").reshape(2, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["token", "n"])
+
 
+def frequent_shingles(members: DataFrame) -> np.ndarray:
+    """Sorted shingles with a count of more than one in OFTEN of all rows, summed over the runs in which they stand out.
+    What is missed only counts as any other shingle; there are OFTEN times the mean size of a set at most."""
+    rows = members.where("key is not null").count()
+    found = members.where("often is not null").select("often").mapInArrow(unpack_counts, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    kept = found.where(F.col("n") > max(rows // OFTEN, 8)).select("token").collect()
+    return np.sort(np.array([r["token"] for r in kept], np.int64).view(np.uint64))
 
-def packed_shingles(buckets: int):
-    """Texts to arrays of shingles by bucket: class keys, how many of its shingles each has here, and 48 bits of each."""
 
-    def pack(sets: dict[int, np.ndarray]) -> pa.RecordBatch:
+def packed_shingles(buckets: int, frequent):
+    """Texts to arrays of shingles by bucket: class keys, how many of its shingles each has here, and 48 bits of each.
+    Frequent shingles go to buckets below 0, dealt by their class, with all their bits."""
+
+    def pack(sets: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
         keys = np.array(list(sets), np.int64)
         size = np.array([len(s) for s in sets.values()], np.int64)
         h = np.concatenate(list(sets.values()))
+        known = frequent.value
+        if len(known):
+            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+            often = known[at] == h
+            owner = np.repeat(np.arange(len(keys)), size)
+            token = ((h[often] >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)) << np.uint64(48) | h[often] & LOW
+            lane = -1 - keys[owner[often]] % buckets
+            order = np.argsort(lane, kind="stable")
+            lane, k, token = lane[order], keys[owner[often]][order], token[order]
+            start = np.flatnonzero(np.append(True, lane[1:] != lane[:-1])) if len(lane) else np.zeros(0, np.int64)
+            blobs = [k[a:b].astype("<i8").tobytes() + token[a:b].astype("<u8").tobytes() for a, b in zip(start, np.append(start[1:], len(lane)))]
+            if blobs:
+                yield pa.RecordBatch.from_arrays([pa.array(lane[start].astype(np.int32)), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+            size = np.bincount(owner[~often], minlength=len(keys))
+            h = h[~often]
+            if not len(h):
+                return
         bucket = ((h >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)).astype(np.uint16)
         order = np.argsort(bucket, kind="stable")
         owner = np.repeat(np.arange(len(keys)), size)[order]
@@ -112,7 +170,7 @@ def packed_shingles(buckets: int):
             kind = "<u2" if count.max() <= 0xFFFF else "<u4"
             head = len(first).to_bytes(4, "little") + int(kind[-1]).to_bytes(1, "little")
             blobs.append(head + keys[owner[a:b][first]].astype("<i8").tobytes() + count.astype(kind).tobytes() + raw[a:b].tobytes())
-        return pa.RecordBatch.from_arrays([pa.array(bucket[start].astype(np.int32)), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[start].astype(np.int32)), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[int, np.ndarray] = {}
@@ -124,10 +182,10 @@ def packed_shingles(buckets: int):
                     sets[class_key(s)] = s
                     held += len(text)
                 if held >= GROUP_BYTES:
-                    yield pack(sets)
+                    yield from pack(sets)
                     sets, held = {}, 0
         if sets:
-            yield pack(sets)
+            yield from pack(sets)
 
     return run
 
@@ -149,8 +207,22 @@ def by_bucket(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[tuple[in
 def shared_shingles(key_buckets: int):
     """Shingles of two or more classes, as arrays for the buckets of their classes: key, shingle, number of classes."""
 
+    def homeward(key: np.ndarray, token: np.ndarray, df: np.ndarray) -> pa.RecordBatch:
+        home = key % key_buckets
+        order = np.argsort(home, kind="stable")
+        key, token, df, home = key[order], token[order], df[order], home[order]
+        start = np.flatnonzero(np.append(True, home[1:] != home[:-1]))
+        ends = np.append(start[1:], len(home))
+        blobs = [int(b - a).to_bytes(8, "little") + key[a:b].astype("<i8").tobytes() + token[a:b].astype("<u8").tobytes() + df[a:b].astype("<u2").tobytes() for a, b in zip(start.tolist(), ends.tolist())]
+        none = pa.nulls(len(blobs), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(home[start].astype(np.int32)), none, none, none, pa.array(blobs, pa.binary())], names=["home", "key", "n", "last", "blob"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in by_bucket(batches, "bucket"):
+            if bucket < 0:  # frequent shingles: the same class may come from many places
+                pairs = np.unique(np.concatenate([np.frombuffer(r["blob"], "<i8").reshape(2, -1) for r in rows], axis=1), axis=1)
+                yield homeward(pairs[0], pairs[1].view(np.uint64), np.full(pairs.shape[1], 0xFFFF))
+                continue
             keys, tokens = [], []
             for r in rows:
                 blob = r["blob"]
@@ -174,17 +246,10 @@ def shared_shingles(key_buckets: int):
             df = np.diff(np.append(start, len(token)))
             df = np.repeat(df, df)
             keep = df > 1
-            key, token, df = key[keep], token[keep] | np.uint64(bucket << 48), np.minimum(df[keep], 0xFFFF)
+            key, token, df = key[keep], token[keep] | np.uint64(bucket << 48), np.minimum(df[keep], 0xFFFE)
             if not len(key):
                 continue
-            home = key % key_buckets
-            order = np.argsort(home, kind="stable")
-            key, token, df, home = key[order], token[order], df[order], home[order]
-            start = np.flatnonzero(np.append(True, home[1:] != home[:-1]))
-            ends = np.append(start[1:], len(home))
-            blobs = [(b - a).to_bytes(8, "little") + key[a:b].astype("<i8").tobytes() + token[a:b].astype("<u8").tobytes() + df[a:b].astype("<u2").tobytes() for a, b in zip(start.tolist(), ends.tolist())]
-            none = pa.nulls(len(blobs), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(home[start].astype(np.int32)), none, none, none, pa.array(blobs, pa.binary())], names=["home", "key", "n", "last", "blob"])
+            yield homeward(key, token, df)
 
     return run
 
@@ -277,13 +342,14 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     record = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if carry is None else carry)]).alias("record")
     rows = docs.select(record, F.col(f"`{text_col}`").alias("text"))
-    members = rows.mapInArrow(describe, rows.select("record").schema.add("key", "long").add("n", "long").add("last", "long"))
+    members = rows.mapInArrow(describe, rows.select("record").schema.add("key", "long").add("n", "long").add("last", "long").add("often", "binary"))
     members = materialize(members.withColumn("row", F.monotonically_increasing_id()), "jaccard-members")
     total = members.agg(F.sum("n")).first()[0] or 0
     buckets = min(max(parts, -(-total // BUCKET_SHINGLES)), 1 << 16)
     homes = max(parts, buckets // 4)
+    frequent = spark.sparkContext.broadcast(frequent_shingles(members))
 
-    dealt = docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(packed_shingles(buckets), "bucket int, blob binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
+    dealt = docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(packed_shingles(buckets, frequent), "bucket int, blob binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
     shared = dealt.mapInArrow(shared_shingles(homes), "home int, key long, n long, last long, blob binary")
     facts = members.where("key is not null").groupBy("key").agg(F.first("n").alias("n"), F.first("last").alias("last"))
     facts = facts.select(F.pmod("key", F.lit(homes)).cast("int").alias("home"), "key", "n", "last", F.lit(None).cast("binary").alias("blob"))
@@ -348,3 +414,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def op8_jaccard_join(spark, sf_dir):
     found = near_duplicates(table(spark, sf_dir, "documents"), carry=["doc_id"])
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT r, doc_id, CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                         ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) END AS g
+  FROM d),
+e AS (SELECT r, unnest(g) AS t, len(g) AS n FROM s),
+links AS (
+  SELECT a.r AS x, b.r AS y FROM e a JOIN e b ON a.t = b.t AND a.r < b.r
+  GROUP BY a.r, b.r, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT r, r AS z FROM s UNION SELECT reach.r, b.y FROM reach JOIN both_ways b ON reach.z = b.x)
+SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, low AS component_id
+FROM s JOIN (SELECT reach.r, min(t.doc_id) AS low FROM reach JOIN s t ON t.r = reach.z GROUP BY reach.r) USING (r)
+"""

@@ -19,4 +19,5 @@ QUERIES = {
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
     "op4_decontamination": decontaminate.ORACLE,
+    "op8_jaccard_join": jaccard.ORACLE,
 }

@@ -66,12 +66,21 @@ def corpus(seed, n, words):
 
 def test_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "GROUP_BYTES", 3000)
-    for seed, words in ((1, 4000), (2, 6)):
+    for seed, words, often in ((1, 4000, 64), (2, 6, 64), (3, 4000, 100_000)):
+        monkeypatch.setattr(jaccard, "OFTEN", often)
         rows = corpus(seed, 60, words)
         rows += [(1000, None, "x", 1), (1001, "", "x", 1), (1002, " \n", "x", 1), (1003, "one two", "x", 1), (1004, "ONE  two", "x", 1), (1005, "one two three", "x", 1), (None, rows[0][1], "x", 1), (None, None, "x", 1), (3, rows[5][1], "x", 1), (2000, "a b c d e " * 9000, "x", 1)]
         assert ours(spark, rows) == brute(rows)
 
 
+def test_frequent_shingles_are_found(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "GROUP_BYTES", 2000)
+    docs = spark.createDataFrame([(i, f"own{i} a b c d e own{i}", "x", 1) for i in range(200)], SCHEMA)
+    members, _ = jaccard.similar_classes(docs)
+    want = set(jaccard.shingle_set(b"a b c d e").tolist())
+    assert set(jaccard.frequent_shingles(members).tolist()) == want
+
+
 def test_one_large_group_of_near_copies(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "SMALL", 2)
     monkeypatch.setattr(jaccard, "SLICE", 4)
