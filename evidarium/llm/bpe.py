@@ -24,6 +24,8 @@ from .tokens import Words, _kept, default_vocabulary, texts_of
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+")
 NONE = np.iinfo(np.int64).max
+#: Words that a Python worker keeps here; it may hold other operators' caches too.
+CACHE_WORDS = 400_000
 
 
 def byte_letters() -> list[str]:
@@ -154,7 +156,7 @@ def merge_words(path: str) -> tuple[MergeTable, Words]:
     key = ("merge", path)
     if key not in _kept:
         own = MergeTable(path)
-        _kept[key] = own, Words(own.encode)
+        _kept[key] = own, Words(own.encode, CACHE_WORDS)
     return _kept[key]
 
 

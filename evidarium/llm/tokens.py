@@ -29,8 +29,8 @@ def default_vocabulary() -> str:
 class Words:
     """ids of texts, as little-endian bytes of the given width."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list[bytes]]):
-        self.encode, self.cache, self.older = encode, {}, {}
+    def __init__(self, encode: Callable[[list[bytes]], list[bytes]], most: int | None = None):
+        self.encode, self.cache, self.older, self.most = encode, {}, {}, most
 
     def blobs(self, texts: list[bytes]) -> Iterator[bytes]:
         """The ids of each text. Texts go in groups, so that many unseen words are encoded together."""
@@ -47,7 +47,7 @@ class Words:
         words = [t.split() for t in texts]
         distinct = set(chain.from_iterable(words))
         unseen = distinct.difference(self.cache)
-        if 2 * (len(self.cache) + len(unseen)) > CACHE_WORDS:
+        if 2 * (len(self.cache) + len(unseen)) > (self.most or CACHE_WORDS):
             self.cache, self.older, unseen = {}, self.cache, distinct
         known = unseen.intersection(self.older)
         self.cache.update(zip(known, map(self.older.__getitem__, known)))
