@@ -37,7 +37,6 @@ def with_ids(table: DataFrame, fresh: DataFrame, order: list[str]) -> DataFrame:
 def upsert(table: DataFrame, incoming: DataFrame, keys: list[str], mode: str = "replace") -> DataFrame:
     """The table with incoming merged on keys. replace: incoming values win where they are not null; fill: they only fill
     what is null or blank, and notes are united line by line."""
-    values = [c for c in table.columns if c not in keys]
     both = table.alias("t").join(incoming.alias("n"), same("t", "n", keys), "full")
     held = reduce(lambda a, b: a | b, [F.col(f"t.{c}").isNotNull() for c in table.columns])
 
@@ -51,7 +50,6 @@ def upsert(table: DataFrame, incoming: DataFrame, keys: list[str], mode: str = "
 
     picked = [F.coalesce(F.col(f"t.{c}"), F.col(f"n.{c}")).alias(c) if c in keys else merged(c).alias(c) for c in table.columns]
     status = F.when(~held, "inserted").when(F.coalesce(*[F.col(f"n.{k}").isNotNull() for k in keys[:1]]), "updated").otherwise("kept")
-    del values
     return both.select(*picked, status.alias("merge_status"))
 
 
