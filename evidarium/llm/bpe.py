@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,10 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
-from .tokens import Words, _kept, default_vocabulary, texts_of
+from .tokens import Words, _kept, default_vocabulary, pieces_of, texts_of
 
-SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+")
 NONE = np.iinfo(np.int64).max
 #: Words that a Python worker keeps here; it may hold other operators' caches too.
 CACHE_WORDS = 400_000
@@ -106,14 +103,7 @@ class MergeTable:
         return out + self._plain(word[at:])
 
     def _plain(self, text: str) -> list[bytes]:
-        if text.isascii():
-            text = text.lower()
-        else:
-            text = unicodedata.normalize("NFC", text)
-            text = "".join(c.lower() for c in text) if "Σ" in text else text.lower()  # without the rule for a last sigma
-        if text.isascii() and text.isalpha():
-            return [text.encode()]
-        return [p.encode() for p in PIECES.findall(text)]
+        return [p.encode() for p in pieces_of(text)]
 
     def encode(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word as little-endian unsigned 32-bit integers."""

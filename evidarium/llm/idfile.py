@@ -8,7 +8,6 @@ one another in ascending order of the documents' ids; the table of ranks lies be
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 

@@ -6,11 +6,20 @@ it, so a text's ids are those of its words in turn. A word is encoded once and t
 
 from __future__ import annotations
 
+import json
 import os
+import unicodedata
 from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
+import regex
+
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+")
+#: What pieces_of does, as a vocabulary file says it.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTER = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
 
 #: Words kept by a Python worker, about 200 bytes each, in two halves: when the newer is full, the older goes.
 CACHE_WORDS = 1_200_000
@@ -26,6 +35,16 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def pieces_of(text: str) -> list[str]:
+    """Normalised pre-tokens of a text without special tokens."""
+    if text.isascii():
+        text = text.lower()
+    else:
+        text = unicodedata.normalize("NFC", text)
+        text = "".join(c.lower() for c in text) if "Σ" in text else text.lower()  # without the rule for a last sigma
+    return [text] if text.isascii() and text.isalpha() else PIECES.findall(text)
+
+
 class Words:
     """ids of texts, as little-endian bytes of the given width."""
 
@@ -60,7 +79,9 @@ class Words:
 
 class LibraryEncoder:
     """Encodes words with the tokenizers library. Many words go as one text with the end-of-text token between them,
-    which the library cuts out before anything else; words that hold a special token's string go alone."""
+    which the library cuts out before anything else; words that hold a special token's string go alone. Where the
+    vocabulary's normaliser and splitter are those of pieces_of, the pieces are made here and only merged by the library,
+    which takes half the time."""
 
     SLICE = 256
 
@@ -75,6 +96,15 @@ class LibraryEncoder:
         self.apart = [s.encode() for s, _ in specials]
         self.between, self.cut = specials[-1]
         self.literal = literal_specials
+        spec = json.load(open(path, encoding="utf-8"))
+        self.known = spec["normalizer"] == NORMALIZER and spec["pre_tokenizer"]["pretokenizers"][0] == SPLITTER
+        self.merger = self.tokenizer
+        if self.known:
+            from tokenizers import pre_tokenizers
+
+            self.merger = Tokenizer.from_file(path)
+            self.merger.normalizer = None
+            self.merger.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
 
     def alone(self, word: bytes) -> bytes:
         self.tokenizer.encode_special_tokens = self.literal
@@ -84,11 +114,11 @@ class LibraryEncoder:
 
     def __call__(self, words: list[bytes]) -> list[bytes]:
         plain = [w for w in words if not any(s in w for s in self.apart)]
-        glue = self.between.encode()
         slices = [plain[i : i + self.SLICE] for i in range(0, len(plain), self.SLICE)]
-        texts = [glue.join(x).decode() for x in slices]
+        written = (lambda w: " ".join(pieces_of(w.decode()))) if self.known else bytes.decode
+        texts = [self.between.join(map(written, x)) for x in slices]
         found = {}
-        for x, e in zip(slices, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+        for x, e in zip(slices, self.merger.encode_batch_fast(texts, add_special_tokens=False)):
             ids = np.array(e.ids, self.width)
             ends = np.flatnonzero(ids == self.cut).tolist() + [len(ids)]
             raw, size, at = ids.tobytes(), ids.itemsize, 0

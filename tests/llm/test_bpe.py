@@ -53,9 +53,13 @@ def test_library_encoder_and_cache(monkeypatch):
 
     monkeypatch.setattr(tokens, "CACHE_WORDS", 50)
     monkeypatch.setattr(tokens, "GROUP_BYTES", 200)
-    texts = TEXTS + fuzz(500)
-    got = list(Words(LibraryEncoder(PATH, "<u4")).blobs([(x or "").encode() for x in texts]))
-    assert got == [library(x)[0] for x in texts]
+    texts = TEXTS + fuzz(1500)
+    encoder = LibraryEncoder(PATH, "<u4")
+    assert encoder.known
+    want = [library(x)[0] for x in texts]
+    assert list(Words(encoder).blobs([(x or "").encode() for x in texts])) == want
+    encoder.known, encoder.merger = False, encoder.tokenizer
+    assert list(Words(encoder).blobs([(x or "").encode() for x in texts])) == want
 
 
 def test_encoded_over_a_table(spark):
