@@ -170,22 +170,39 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("double").alias("y")).where("id is not null and y is not null")
     known = known.where(~held_out(F.col("id"))).groupBy("id").agg((F.avg("y") >= 0.5).cast("int").alias("y"))
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(sample)
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(chosen), "id").select("id", "y", "text")
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(F.broadcast(chosen), "id")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    lines = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+    rows = rows.select(F.col("id").cast("string").alias("id"), "y", "text", lines.cast("long").alias("n"), F.md5(text.cast("binary")).alias("digest"))
+    got = fitting(rows.select("id", "y", "n", "digest").orderBy(F.xxhash64("id"), "id", "n", "digest").limit(sample).collect())
+    width = 3 * OWN + 3
+    if not got:
+        return Field(np.zeros(width, np.float32), np.ones(width, np.float32), np.zeros(width), np.zeros((2, 2)), 1.0, 0.0)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, y, text in zip(batch.column("id").to_pylist(), batch.column("y").to_pylist(), texts_of(batch.column("text"))):
+            for i, digest, text in zip(batch.column("id").to_pylist(), batch.column("digest").to_pylist(), texts_of(batch.column("text"))):
                 x, size, _ = line_features([text])
-                yield pa.RecordBatch.from_arrays([pa.array([str(i)]), pa.array([y], pa.int32()), pa.array([len(size)], pa.int64()), pa.array([x.tobytes()]), pa.array([size.tobytes()])], names=["id", "y", "n", "x", "size"])
-
-    got = rows.mapInArrow(measure, "id string, y int, n long, x binary, size binary").orderBy(F.xxhash64("id"), "id", "n").limit(sample).collect()
-    total = np.cumsum([r["n"] for r in got])
-    got = [r for r, t in zip(got, total) if t <= SAMPLE_LINES or r is got[0]]
-    width = 3 * OWN + 3
-    if not got:
-        return Field(np.zeros(width, np.float32), np.ones(width, np.float32), np.zeros(width), np.zeros((2, 2)), 1.0, 0.0)
-    x = np.concatenate([np.frombuffer(r["x"], np.float32).reshape(-1, width) for r in got])
-    return fit(x, np.concatenate([np.frombuffer(r["size"]) for r in got]), np.array([r["n"] for r in got], np.int64), np.array([r["y"] for r in got]))
+                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([digest]), pa.array([x.tobytes()]), pa.array([size.tobytes()])], names=["id", "digest", "x", "size"])
+
+    wanted = docs.sparkSession.createDataFrame(sorted({(r["id"], r["digest"]) for r in got}), "id string, digest string")
+    texts = rows.join(F.broadcast(wanted), ["id", "digest"], "left_semi").groupBy("id", "digest").agg(F.first("text").alias("text"))
+    features = {(r["id"], r["digest"]): (np.frombuffer(r["x"], np.float32).reshape(-1, width), np.frombuffer(r["size"])) for r in texts.mapInArrow(measure, "id string, digest string, x binary, size binary").collect()}
+    x, size = (np.concatenate(part) for part in zip(*(features[r["id"], r["digest"]] for r in got)))
+    return fit(x, size, np.array([r["n"] for r in got], np.int64), np.array([r["y"] for r in got]))
+
+
+def fitting(rows: list) -> list:
+    """Of rows (y, n) in order, those that SAMPLE_LINES has room for; one too long is passed over, not those behind it. A
+    label of which no row has room keeps its shortest, so that no field is fitted without a label that is there."""
+    taken, held = set(), 0
+    for i, r in enumerate(rows):
+        if held + r["n"] <= SAMPLE_LINES:
+            taken.add(i)
+            held += r["n"]
+    for y in {r["y"] for r in rows} - {rows[i]["y"] for i in taken}:
+        taken.add(min((i for i, r in enumerate(rows) if r["y"] == y), key=lambda i: rows[i]["n"]))
+    return [rows[i] for i in sorted(taken)]
 
 
 def quality(docs: DataFrame, field: Field, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:

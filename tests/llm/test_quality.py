@@ -3,8 +3,9 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from evidarium.llm.quality import fit, forward_backward, line_features, quality, train
+from evidarium.llm.quality import SAMPLE_LINES, fit, forward_backward, line_features, quality, train
 
 SCHEMA = "doc_id long, text string, score string, label int"
 
@@ -82,3 +83,35 @@ def test_labels_of_one_kind(label):
     x, size, count = line_features([b"a b", b"c\nd"])
     p = fit(x, size, count, np.array([label, label])).documents(x, size, count)
     assert ((p >= 0.5) == bool(label)).all()
+
+
+def in_hash_order(spark, ids):
+    return [r[0] for r in spark.createDataFrame([(i,) for i in ids], "id long").selectExpr("cast(id AS string) AS id").orderBy(F.xxhash64("id"), "id").selectExpr("cast(id AS long)").collect()]
+
+
+def test_long_texts_do_not_push_out_those_behind_them(spark):
+    rows, labels = tables(spark)
+    learned = [i for i, _ in labels if zlib.crc32(str(i).encode()) % 3 != 1]
+    first = in_hash_order(spark, learned)[0]
+    longer = [(i, "l\n" * SAMPLE_LINES if i == first else text, a, b) for i, text, a, b in rows]
+    a = train(spark.createDataFrame(longer, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int"))
+    b = train(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([x for x in labels if x[0] != first], "doc_id long, quality int"))
+    assert np.array_equal(a.weights, b.weights) and (a.slope, a.offset) == (b.slope, b.offset)
+
+
+def test_a_label_of_long_texts_only_is_learned(spark):
+    rows, labels = tables(spark)
+    learned = [(i, y) for i, y in labels if zlib.crc32(str(i).encode()) % 3 != 1]
+    bad = [i for i, y in learned if not y]
+    long_ = [(i, text + "\nx x x" * (SAMPLE_LINES + k)) for k, (i, text) in enumerate((i, dict((r[0], r[1]) for r in rows)[i]) for i in bad[:2])]
+    docs = spark.createDataFrame([(i, text, "x", 1) for i, text in long_] + [r for r in rows if r[0] % 3], SCHEMA)
+    field = train(docs, spark.createDataFrame([x for x in learned if x[1]] + [(i, 0) for i in bad[:2]], "doc_id long, quality int"))
+    score = {r[0]: r[1] for r in quality(docs, field).select("record.doc_id", "score").collect()}
+    assert score[bad[0]] < 0.5 and np.mean([score[i] >= 0.5 for i, y in learned if y]) > 0.97
+
+
+def test_equal_rows_count_each(spark):
+    rows, labels = tables(spark, 60)
+    known = spark.createDataFrame(labels, "doc_id long, quality int")
+    once, twice = (train(spark.createDataFrame(r, SCHEMA), known) for r in (rows, rows + rows))
+    assert np.allclose(once.weights, twice.weights, atol=1e-3)
