@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidarium.llm import bpe, common, decontaminate, exact_dedup, jaccard, quality
-from evidarium.llm.common import discard, materialize, table, unpacked
+from evidarium.llm.common import discard, materialize, packed, table, unpacked
 from evidarium.llm.tokens import default_vocabulary
 
 _own: list[str] = []
@@ -49,12 +49,12 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 @stage
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar texts the one with the smallest id. Only ids and digests go through the join; the rows
-    that it drops are then taken from docs, by id and text, as ids may repeat."""
-    content = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    found = jaccard.near_duplicates(docs.select("doc_id", "text", content.alias("content")), carry=["doc_id", "content"])
-    dropped = found.where("not kept").select(F.col("record.doc_id").alias("gone"), F.col("record.content").alias("content")).distinct()
-    return docs.join(dropped, (content == F.col("content")) & docs["doc_id"].eqNullSafe(F.col("gone")), "left_anti")
+    """Of each group of similar texts the one row with the smallest id. Rows get a written number, as ids and whole rows
+    may repeat; only numbers, ids and texts go through the join, and the rows that it drops are taken out by number."""
+    rows = materialize(packed(docs, row=F.monotonically_increasing_id()), "pipeline-rows")
+    found = jaccard.near_duplicates(rows.select("row", "record.doc_id", "record.text"), carry=["row"])
+    dropped = found.where("not kept").select("record.row")
+    return unpacked(rows.join(dropped, "row", "left_anti"), docs)
 
 
 @stage

@@ -38,6 +38,19 @@ def test_filters_take_effect_and_keep_the_columns(spark, sf):
     assert near.columns == once.columns == clean.columns == docs.columns
 
 
+def test_each_filter_keeps_one_of_repeated_rows(spark, sf):
+    rng = random.Random(4)
+    text = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    a, b, c = text(80), text(60), text(50)
+    rows = [(4, a, "x", 1, 7)] * 3 + [(2, b, "y", 2, 8)] * 2 + [(6, b + " tail", "y", 2, 8), (None, c, "z", None, None), (None, c, "z", None, None), (5, c, "z", 3, 9), (7, None, None, 1, 1), (7, None, None, 1, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, content string, gone int, row int")
+    near = pipeline.without_near_copies(spark, docs, sf)
+    assert near.columns == docs.columns
+    assert rows_of(near) == sorted([rows[0], rows[3], rows[8], rows[9], rows[10]], key=repr)  # texts without words are no copies here
+    once = pipeline.without_copies(spark, docs, sf)
+    assert rows_of(once) == sorted([rows[0], rows[3], rows[5], rows[8], rows[9]], key=repr)
+
+
 def test_run_keeps_clean_documents_and_encodes_them(spark, sf):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
