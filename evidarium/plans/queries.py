@@ -49,6 +49,11 @@ def _(c):
     return q.connections(c, placements=q.placement_kit(c).where("copy_count >= 50"))
 
 
+@query("q9_connections_all", *via("SELECT kit_id, brand, name, model_count, model_names FROM (SELECT via_kit AS kit_id, count(DISTINCT model_id) AS model_count, string_agg(DISTINCT m.name, ',' ORDER BY m.name) AS model_names FROM placement_kit JOIN models m ON m.id = model_id WHERE via_kit IS NOT NULL GROUP BY via_kit HAVING count(DISTINCT model_id) >= 2) JOIN kits ON kits.id = kit_id"))
+def _(c):
+    return q.connections(c)
+
+
 @query("q9_connections_with_assemblies", *via("SELECT kit_id, brand, name, model_count FROM (SELECT kit_id, count(DISTINCT model_id) AS model_count FROM (SELECT via_kit AS kit_id, model_id FROM placement_kit WHERE via_kit IS NOT NULL UNION ALL SELECT t.kit_id, p.model_id FROM placements p JOIN cast_assembly_parts a USING (cast_assembly_id) JOIN parts t ON t.id = a.part_id) GROUP BY kit_id HAVING count(DISTINCT model_id) >= 2) JOIN kits ON kits.id = kit_id", ("cast_assembly_parts",)))
 def _(c):
     return q.connections(c, include_assemblies=True).select("kit_id", "brand", "name", "model_count")

@@ -39,3 +39,10 @@ def test_same_rows(spark, sf, duck, name):
 
 def test_tables_exist(sf):
     assert all(os.path.exists(f"{sf}/{t}.parquet") for t in TABLES)
+
+
+def test_connections_over_all_placements(spark, sf):
+    import __spark_entry__
+
+    some, all_, entry = (df.count() for df in (QUERIES["q9_connections"](spark, sf), QUERIES["q9_connections_all"](spark, sf), __spark_entry__.entry(spark)))
+    assert some < all_ == entry
