@@ -51,11 +51,35 @@ def keyword_variants(models: DataFrame, name: str = "name") -> DataFrame:
     return models.select(F.explode(forms).alias("keyword")).where("keyword <> ''").distinct()
 
 
+def word_sets(df: DataFrame) -> DataFrame:
+    """(id, words, n): the sorted distinct words of each name, one blank apart, and their number; names without words go."""
+    words = F.array_sort(F.array_distinct(F.filter(F.split(F.lower("name"), "[^a-z0-9]+"), lambda w: w != "")))
+    return df.select("id", words.alias("_w")).where("size(_w) > 0").select("id", F.array_join("_w", " ").alias("words"), F.size("_w").cast("long").alias("n"))
+
+
+def similar_sets(left: DataFrame, right: DataFrame, at_least: float = 0.5) -> DataFrame:
+    """(left_words, right_words, similarity) of the distinct sets of two tables of word_sets, by the Jaccard index. Two sets
+    that reach it share one of the rarest words of each, so only those meet, and only sets of fitting sizes."""
+    a, b = left.select("words", "n").distinct(), right.select("words", "n").distinct()
+    entries = lambda df: df.select("words", "n", F.explode(F.split("words", " ")).alias("w"))
+    counts = entries(a).unionByName(entries(b)).groupBy("w").agg(F.count(F.lit(1)).alias("c"))
+
+    def prefixes(df: DataFrame, side: str) -> DataFrame:
+        rarest = entries(df).join(counts, "w").groupBy("words", "n").agg(F.array_sort(F.collect_list(F.struct("c", "w"))).alias("all"))
+        length = F.col("n") - F.ceil(F.col("n") * at_least - 1e-9) + 1
+        rarest = rarest.select(F.col("words").alias(f"{side}_words"), F.col("n").alias(f"{side}_n"), F.transform(F.slice("all", 1, length.cast("int")), lambda x: x["w"]).alias(f"{side}_prefix"))
+        return rarest.withColumn("w", F.explode(f"{side}_prefix"))
+
+    pairs = prefixes(a, "left").join(prefixes(b, "right"), "w").where((F.col("left_n") >= F.col("right_n") * at_least - 1e-9) & (F.col("right_n") >= F.col("left_n") * at_least - 1e-9))
+    pairs = pairs.where(F.array_intersect("left_prefix", "right_prefix")[0] == F.col("w"))  # each pair once
+    k = F.size(F.array_intersect(F.split("left_words", " "), F.split("right_words", " ")))
+    return pairs.select("left_words", "right_words", (k / (F.col("left_n") + F.col("right_n") - k)).alias("similarity")).where(F.col("similarity") >= at_least)
+
+
 def token_similarity(left: DataFrame, right: DataFrame, at_least: float = 0.5) -> DataFrame:
     """Suggestions beyond exact matches: (left_id, right_id, similarity) of names that share a word, by the Jaccard index
-    of their words."""
-    words = lambda df, i: df.select(F.col("id").alias(i), F.array_distinct(F.filter(F.split(F.lower("name"), "[^a-z0-9]+"), lambda w: w != "")).alias(f"{i}_words"))
-    a, b = words(left, "left_id"), words(right, "right_id")
-    pairs = a.select("left_id", F.explode("left_id_words").alias("w"), F.size("left_id_words").alias("m")).join(b.select("right_id", F.explode("right_id_words").alias("w"), F.size("right_id_words").alias("n")), "w")
-    both = pairs.groupBy("left_id", "right_id").agg(F.count(F.lit(1)).alias("k"), F.first("m").alias("m"), F.first("n").alias("n"))
-    return both.select("left_id", "right_id", (F.col("k") / (F.col("m") + F.col("n") - F.col("k"))).alias("similarity")).where(F.col("similarity") >= at_least)
+    of their words. Names of equal words are compared once; where they are many, similar_sets and word_sets say the same
+    without a row for each pair of ids."""
+    a, b = word_sets(left), word_sets(right)
+    ids = lambda df, side: df.select(F.col("id").alias(f"{side}_id"), F.col("words").alias(f"{side}_words"))
+    return similar_sets(a, b, at_least).join(ids(a, "left"), "left_words").join(ids(b, "right"), "right_words").select("left_id", "right_id", "similarity")

@@ -487,6 +487,25 @@ def _(c):
     return matching.token_similarity(side(1), side(2))
 
 
+NAME_WORDS = "list_sort(list_distinct(string_split(lower(p_name), ' ')))"
+
+
+@query("x8_word_sets", f"SELECT p_partkey AS id, array_to_string({NAME_WORDS}, ' ') AS words, len({NAME_WORDS}) AS n FROM part")
+def _(c):
+    return matching.word_sets(c.part.selectExpr("p_partkey AS id", "p_name AS name"))
+
+
+@query("x8_similar_sets", f"SELECT * FROM (WITH s AS (SELECT DISTINCT array_to_string({NAME_WORDS}, ' ') AS words, len({NAME_WORDS}) AS m FROM part), e AS (SELECT words, m, unnest(string_split(words, ' ')) AS w FROM s) SELECT a.words AS left_words, b.words AS right_words, CAST(count(*) AS DOUBLE) / (max(a.m) + max(b.m) - count(*)) AS similarity FROM e a JOIN e b USING (w) GROUP BY a.words, b.words HAVING CAST(count(*) AS DOUBLE) / (max(a.m) + max(b.m) - count(*)) >= 0.5)")
+def _(c):
+    sets = matching.word_sets(c.part.selectExpr("p_partkey AS id", "p_name AS name"))
+    return matching.similar_sets(sets, sets)
+
+
+@query("j10_unique_match_all", "SELECT p.id, CASE WHEN n = 1 THEN 'linked' WHEN n > 1 THEN 'ambiguous_exact_match' ELSE 'no_exact_match' END AS match_status, CASE WHEN n = 1 THEN m END AS match_id FROM parts p LEFT JOIN (SELECT regexp_replace(lower(part_label), '[^a-z0-9]+', '', 'g') AS k, count(*) AS n, min(id) AS m FROM parts GROUP BY 1) x ON x.k = regexp_replace(lower(p.part_label), '[^a-z0-9]+', '', 'g')", "parts")
+def _(c):
+    return matching.unique_match(c.parts, "part_label", c.parts, "part_label").select("id", "match_status", "match_id")
+
+
 # jobs
 
 

@@ -46,3 +46,33 @@ def test_connections_over_all_placements(spark, sf):
 
     some, all_, entry = (df.count() for df in (QUERIES["q9_connections"](spark, sf), QUERIES["q9_connections_all"](spark, sf), __spark_entry__.entry(spark)))
     assert some < all_ == entry
+
+
+def test_similar_sets_and_their_members_are_all_pairs_of_parts(spark, sf):
+    from evidarium.operators.matching import token_similarity
+
+    names = {r[0]: set(r[1].lower().split()) for r in spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", "p_name").collect()}
+    want = {(i, j): len(a & b) / len(a | b) for i, a in names.items() for j, b in names.items() if 2 * len(a & b) >= len(a | b)}
+    members = {}
+    for r in QUERIES["x8_word_sets"](spark, sf).collect():
+        members.setdefault(r["words"], []).append(r["id"])
+    pairs = QUERIES["x8_similar_sets"](spark, sf).collect()
+    assert len(pairs) == len({(r[0], r[1]) for r in pairs})
+    assert {(i, j): r["similarity"] for r in pairs for i in members[r["left_words"]] for j in members[r["right_words"]]} == want
+    parts = spark.read.parquet(f"{sf}/part.parquet").selectExpr("p_partkey AS id", "p_name AS name")
+    assert len(token_similarity(parts, parts).collect()) == len(want)
+
+
+@pytest.mark.parametrize("at_least", [0.01, 0.34, 0.5, 0.75, 1.0])
+def test_similar_sets_of_random_names(spark, at_least):
+    import random
+
+    from evidarium.operators.matching import token_similarity
+
+    rng = random.Random(5)
+    names = [(i, " ".join(rng.choices("abcdefghij", weights=range(1, 11), k=rng.randrange(0, 7)))) for i in range(60)] + [(60, None)]
+    sets = {i: set(n.split()) for i, n in names if n}
+    left, right = (spark.createDataFrame(x, "id long, name string") for x in (names[:35], names[25:]))
+    got = sorted(map(tuple, token_similarity(left, right, at_least).collect()))
+    want = sorted((i, j, len(a & b) / len(a | b)) for i, a in sets.items() if i < 35 for j, b in sets.items() if j >= 25 and a & b and len(a & b) >= at_least * len(a | b))
+    assert got == want
