@@ -72,8 +72,8 @@ def marker_size(data: bytes) -> tuple[int, int] | None:
     return None
 
 
-def with_sizes(files: DataFrame, head_bytes: int = 1 << 20) -> DataFrame:
-    """files with width and height; only JPEG and TIFF heads go through Python."""
+def with_sizes(files: DataFrame) -> DataFrame:
+    """files with width and height; only JPEG and TIFF contents go through Python, whole, as their places vary."""
     sized = files.withColumn("_size", fixed_size(F.col("content")))
     plain = [c for c in files.columns if c != "content"]
     easy = sized.where("_size is not null or not ext in ('.jpg', '.jpeg', '.tif', '.tiff')").select(*files.columns, "_size.width", "_size.height")
@@ -81,7 +81,7 @@ def with_sizes(files: DataFrame, head_bytes: int = 1 << 20) -> DataFrame:
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [marker_size((c or b"")[:head_bytes]) for c in b.column("content").to_pylist()]
+            got = [marker_size(c or b"") for c in b.column("content").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("rest"), b.column("content"), pa.array([g and g[0] for g in got], pa.int32()), pa.array([g and g[1] for g in got], pa.int32())], names=["rest", "content", "width", "height"])
 
     read = hard.mapInArrow(look, hard.select("*").schema.add("width", "integer").add("height", "integer"))

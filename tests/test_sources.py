@@ -54,6 +54,16 @@ def test_image_files(spark, tmp_path):
     assert files.load_ready(listed, F.lit("Subject")).count() == 12
 
 
+def test_sizes_that_stand_far_behind(spark, tmp_path):
+    far = (1 << 20) + 4096
+    tif = b"II*\0" + struct.pack("<I", 8 + far) + b"\1" * far + struct.pack("<H", 2) + struct.pack("<HHIHH", 256, 3, 1, 120, 0) + struct.pack("<HHII", 257, 4, 1, 80)
+    jpg = b"\xff\xd8" + (b"\xff\xe2\xff\xff" + b"\1" * 65533) * 20 + b"\xff\xc0\0\x11\x08" + struct.pack(">HH", 30, 50) + b"\0" * 8
+    (tmp_path / "a.tif").write_bytes(tif)
+    (tmp_path / "b.jpg").write_bytes(jpg)
+    got = files.with_sizes(files.scan_files(spark, f"file://{tmp_path}")).select("filename", "width", "height").collect()
+    assert sorted(map(tuple, got)) == [("a.tif", 120, 80), ("b.jpg", 50, 30)]
+
+
 def test_threads(spark, tmp_path):
     (tmp_path / "m.json").write_text(json.dumps({"thread_urls": ["https://x/forums/threads/a.1/", ["https://x/forums/threads/b.22/", "B title"]]}))
     got = sorted(tuple(r) for r in threads.read_manifest(spark, str(tmp_path / "m.json")).select("thread_id", "title", "position").collect())
