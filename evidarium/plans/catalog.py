@@ -139,14 +139,14 @@ def sources(c, text: str | None = None) -> DataFrame:
     return df if text is None else df.where(like_any(text, F.col("title"), F.col("source_code")))
 
 
-def source_paths(c, most: int = 20) -> DataFrame:
-    """Depth and path from the root of every source."""
+def source_paths(c) -> DataFrame:
+    """Depth and path from the root of every source. Deeper than spark.sql.cteRecursionLevelLimit it fails."""
     return c.spark.sql(
-        f"""WITH RECURSIVE tree AS (
-              SELECT id, 0 AS depth, source_code AS path FROM {{sources}} WHERE parent_source_id IS NULL
-              UNION ALL
-              SELECT s.id, depth + 1, path || '/' || s.source_code FROM {{sources}} s JOIN tree t ON s.parent_source_id = t.id WHERE depth < {most})
-            SELECT * FROM tree""",
+        """WITH RECURSIVE tree AS (
+             SELECT id, 0 AS depth, source_code AS path FROM {sources} WHERE parent_source_id IS NULL
+             UNION ALL
+             SELECT s.id, depth + 1, path || '/' || s.source_code FROM {sources} s JOIN tree t ON s.parent_source_id = t.id)
+           SELECT * FROM tree""",
         sources=c.sources,
     )
 

@@ -76,3 +76,13 @@ def test_similar_sets_of_random_names(spark, at_least):
     got = sorted(map(tuple, token_similarity(left, right, at_least).collect()))
     want = sorted((i, j, len(a & b) / len(a | b)) for i, a in sets.items() if i < 35 for j, b in sets.items() if j >= 25 and a & b and len(a & b) >= at_least * len(a | b))
     assert got == want
+
+
+def test_paths_of_a_deep_hierarchy(spark):
+    from types import SimpleNamespace
+
+    from evidarium.plans.catalog import source_paths
+
+    deep = spark.createDataFrame([(i, i - 1 if i else None, f"s{i}") for i in range(40)], "id long, parent_source_id long, source_code string")
+    got = source_paths(SimpleNamespace(spark=spark, sources=deep)).collect()
+    assert {r["id"]: (r["depth"], r["path"]) for r in got} == {i: (i, "/".join(f"s{k}" for k in range(i + 1))) for i in range(40)}
