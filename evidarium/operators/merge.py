@@ -34,39 +34,60 @@ def with_ids(table: DataFrame, fresh: DataFrame, order: list[str]) -> DataFrame:
     return marked.withColumn("_local", local).join(F.broadcast(starts), "_bucket").crossJoin(F.broadcast(top)).withColumn("id", (F.col("top") + F.col("_start") + F.col("_local")).cast("long")).drop("_bucket", "_start", "_local", "top")
 
 
-def upsert(table: DataFrame, incoming: DataFrame, keys: list[str], mode: str = "replace") -> DataFrame:
-    """The table with incoming merged on keys. replace: incoming values win where they are not null; fill: they only fill
-    what is null or blank, and notes are united line by line."""
-    both = table.alias("t").join(incoming.alias("n"), same("t", "n", keys), "full")
-    held = reduce(lambda a, b: a | b, [F.col(f"t.{c}").isNotNull() for c in table.columns])
+def last_per(rows: DataFrame, keys: list[str], sequence: str | None = None) -> DataFrame:
+    """Of rows with one key (nulls equal) the last by sequence; ties, and rows without a sequence, go by all their values,
+    so that the same rows always give the same one."""
+    order = [F.desc_nulls_last(sequence)] if sequence else []
+    return first_per(rows, keys, [*order, F.desc(F.to_json(F.struct(*rows.columns)))])
+
+
+def upsert(table: DataFrame, incoming: DataFrame, keys: list[str], mode: str = "replace", sequence: str | None = None) -> DataFrame:
+    """The table with incoming merged on keys, null keys being equal. replace: incoming values win where they are not null;
+    fill: they only fill what is null or blank, and notes and tags are united. Of several incoming rows for one key the
+    last by `sequence`, a column of incoming, counts. merge_status: inserted, updated or kept; see merge_counts."""
+    left = table.withColumn("_held", F.lit(True)).alias("t")
+    right = last_per(incoming, keys, sequence).withColumn("_came", F.lit(True)).alias("n")
+    both = left.join(right, same("t", "n", keys), "full")
+    kinds = dict(table.dtypes)
 
     def merged(c: str) -> Column:
         old, new = F.col(f"t.{c}"), F.col(f"n.{c}") if c in incoming.columns else F.lit(None)
         if mode == "replace":
             return F.coalesce(new, old)
+        if kinds[c] == "array<string>":
+            return F.when(old.isNotNull() | new.isNotNull(), F.array_distinct(F.concat(F.coalesce(old, F.array().cast(kinds[c])), F.coalesce(new, F.array().cast(kinds[c])))))
         if c == "notes":
             return note_union(old, new)
-        return fill(old, new) if dict(table.dtypes)[c] == "string" else F.coalesce(old, new)
+        return fill(old, new) if kinds[c] == "string" else F.coalesce(old, new)
 
     picked = [F.coalesce(F.col(f"t.{c}"), F.col(f"n.{c}")).alias(c) if c in keys else merged(c).alias(c) for c in table.columns]
-    status = F.when(~held, "inserted").when(F.coalesce(*[F.col(f"n.{k}").isNotNull() for k in keys[:1]]), "updated").otherwise("kept")
+    status = F.when(F.col("t._held").isNull(), "inserted").when(F.col("n._came").isNotNull(), "updated").otherwise("kept")
     return both.select(*picked, status.alias("merge_status"))
 
 
+def merge_counts(merged: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
+    """One row: inserted, updated and kept rows of an upsert, and skipped: incoming rows that lost to another with their key."""
+    came = incoming.select(F.count(F.lit(1)).alias("came"), F.count_distinct(F.struct(*keys)).alias("once"))
+    done = merged.agg(*[F.count_if(F.col("merge_status") == s).alias(s) for s in ("inserted", "updated", "kept")])
+    return done.join(came).select("inserted", "updated", "kept", (F.col("came") - F.col("once")).alias("skipped"))
+
+
 def partial_update(table: DataFrame, changes: DataFrame, columns: list[str]) -> DataFrame:
     """changes: id, change_seq, fields (map of set fields as text; a key with null sets null). Of several changes to one
-    field the last counts; a field that no change names keeps its value."""
+    field the last counts, of those with one change_seq the greatest value, null being the least; a field that no change
+    names keeps its value."""
     each = changes.select("id", "change_seq", F.explode("fields").alias("field", "value"))
-    last = first_per(each, ["id", "field"], [F.desc("change_seq")])
+    last = first_per(each, ["id", "field"], [F.desc_nulls_last("change_seq"), F.desc_nulls_last("value")])
     maps = last.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("fields"))
     kinds = dict(table.dtypes)
     new = lambda c: F.when(F.map_contains_key("fields", F.lit(c)), F.col("fields")[c].try_cast(kinds[c])).otherwise(F.col(c))
     return table.join(maps, "id", "left").select(*[(new(c) if c in columns else F.col(c)).alias(c) for c in table.columns])
 
 
-def replace_rows(table: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Rows with the ids of incoming are replaced whole."""
-    known = incoming.join(table.select("id"), "id", "left_semi")
+def replace_rows(table: DataFrame, incoming: DataFrame, sequence: str | None = None) -> DataFrame:
+    """Rows with the ids of incoming are replaced whole; of several for one id the last counts (see last_per). Ids that the
+    table lacks, and null ones, replace nothing."""
+    known = last_per(incoming, ["id"], sequence).join(table.select("id"), "id", "left_semi")
     return table.join(incoming.select("id"), "id", "left_anti").unionByName(known.select(*table.columns))
 
 
@@ -95,12 +116,72 @@ def supersede(positions: DataFrame) -> DataFrame:
     return positions.join(old, "id", "left").withColumns({"status": F.when(over, "superseded").otherwise(F.col("status")), "is_current": F.when(over, 0).otherwise(F.col("is_current"))}).select(*positions.columns)
 
 
+def supersede_depths(positions: DataFrame) -> DataFrame:
+    """(id, depth, first_id): how many positions each one supersedes in a row, and the first of its chain. A chain that
+    goes round has no first and gives no row. Deeper than spark.sql.cteRecursionLevelLimit it fails."""
+    return positions.sparkSession.sql(
+        """WITH RECURSIVE chain AS (
+             SELECT p.id, CAST(0 AS BIGINT) AS depth, p.id AS first_id FROM {positions} p LEFT ANTI JOIN {positions} o ON p.supersedes_id = o.id
+             UNION ALL
+             SELECT p.id, depth + 1, first_id FROM {positions} p JOIN chain c ON p.supersedes_id = c.id)
+           SELECT * FROM chain""",
+        positions=positions.select("id", "supersedes_id"),
+    )
+
+
 def set_primary(members: DataFrame, chosen: DataFrame) -> DataFrame:
-    """chosen: family_id, image_id. The chosen member is primary; a former primary becomes a variant."""
-    picks = chosen.select("family_id", F.col("image_id").alias("pick"))
+    """chosen: family_id, image_id, and change_seq if there is one. The chosen member is primary; a former primary becomes a
+    variant, a variant that is chosen becomes primary. Choices of images that are no members change nothing (see
+    primary_rejects); of several for one family the last counts, without change_seq the highest image."""
+    order = [F.desc_nulls_last("change_seq")] if "change_seq" in chosen.columns else []
+    valid = chosen.join(members.select("family_id", "image_id"), ["family_id", "image_id"], "left_semi")
+    picks = first_per(valid, ["family_id"], [*order, F.desc("image_id")]).select("family_id", F.col("image_id").alias("_pick"))
     out = members.join(picks, "family_id", "left")
-    mine = F.col("image_id") == F.col("pick")
-    return out.withColumns({"is_primary": F.when(F.col("pick").isNull(), F.col("is_primary")).otherwise(mine.cast("int")), "relation_type": F.when(mine, "primary").when(F.col("pick").isNotNull() & (F.col("relation_type") == "primary"), "variant").otherwise(F.col("relation_type"))}).select(*members.columns)
+    mine = F.col("image_id") == F.col("_pick")
+    return out.withColumns({"is_primary": F.when(F.col("_pick").isNull(), F.col("is_primary")).otherwise(mine.cast("int")), "relation_type": F.when(mine, "primary").when(F.col("_pick").isNotNull() & (F.col("relation_type") == "primary"), "variant").otherwise(F.col("relation_type"))}).select(*members.columns)
+
+
+def primary_rejects(members: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(family_id, image_id, held_by) of choices that name no member of the family; held_by is the family that has it."""
+    wrong = chosen.select("family_id", "image_id").distinct().join(members.select("family_id", "image_id"), ["family_id", "image_id"], "left_anti")
+    return wrong.join(members.groupBy("image_id").agg(F.min("family_id").alias("held_by")), "image_id", "left").select("family_id", "image_id", "held_by")
+
+
+def attach_members(members: DataFrame, attached: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """attached: family_id, image_id and any other member columns. New members with ids behind the largest; what asks to be
+    primary (is_primary 1 or relation_type primary) is made so. An image stays in one family: a member of another is a
+    conflict, and so is an image that would join several; one already there changes nothing. Returns members, conflicts."""
+    conflicts = family_conflicts(members, attached).select("family_id", "image_id")
+    torn = attached.groupBy("image_id").agg(F.count_distinct("family_id").alias("_n")).where("_n > 1").select("image_id")
+    conflicts = conflicts.union(attached.join(torn, "image_id", "left_semi").select("family_id", "image_id")).distinct()
+    free = attached.join(members.select("image_id"), "image_id", "left_anti").join(torn, "image_id", "left_anti")
+    free = last_per(free, ["family_id", "image_id"])
+    asked = F.coalesce(F.col("is_primary"), F.lit(0)) if "is_primary" in attached.columns else F.lit(0)
+    kind = F.col("relation_type") if "relation_type" in attached.columns else F.lit(None).cast("string")
+    free = free.withColumn("relation_type", F.coalesce(kind, F.when(asked == 1, "primary").otherwise("variant"))).withColumn("is_primary", ((asked == 1) | (F.col("relation_type") == "primary")).cast("int"))
+    fresh = with_ids(members, free, ["family_id", "image_id"])
+    known = dict(members.dtypes)
+    blank = {c: F.lit(0) if c in ("sort_order", "is_hidden") else F.lit(None).cast(known[c]) for c in members.columns if c not in fresh.columns}
+    fresh = fresh.withColumns(blank).select(*[F.col(c).cast(known[c]).alias(c) for c in members.columns])
+    return set_primary(members.unionByName(fresh), fresh.where("is_primary = 1").select("family_id", "image_id")), conflicts
+
+
+def detach_members(members: DataFrame, detached: DataFrame) -> DataFrame:
+    """members without the images of detached (image_id). A family that loses its primary gets the first of those left, by
+    sort_order and id."""
+    gone = detached.select("image_id").distinct()
+    bereft = members.join(gone, "image_id", "left_semi").where("is_primary = 1").select("family_id").distinct()
+    left = members.join(gone, "image_id", "left_anti").select(*members.columns)
+    heirs = first_per(left.join(bereft, "family_id", "left_semi"), ["family_id"], [F.desc_nulls_last("is_primary"), F.asc_nulls_first("sort_order"), F.asc("id")])
+    return set_primary(left, heirs.select("family_id", "image_id"))
+
+
+def move_members(members: DataFrame, moves: DataFrame) -> DataFrame:
+    """moves: image_id, family_id (the new one). Detached, then attached as variants; the last move of an image counts by
+    the highest family. Images that are no members are attached too."""
+    last = moves.groupBy("image_id").agg(F.max("family_id").alias("family_id"))
+    stay = last.join(members.select("image_id", "family_id"), ["image_id", "family_id"], "left_anti").select("family_id", "image_id")
+    return attach_members(detach_members(members, stay), stay)[0]
 
 
 def family_conflicts(members: DataFrame, attached: DataFrame) -> DataFrame:
@@ -148,10 +229,15 @@ def refresh(table: DataFrame, incoming: DataFrame, imported: Column, signature:
     return left.unionByName(insert_absent(left, incoming, signature), allowMissingColumns=True)
 
 
-def absorb(images: DataFrame, duplicates: DataFrame, used: DataFrame) -> tuple[DataFrame, DataFrame]:
+def absorb(images: DataFrame, duplicates: DataFrame, used: DataFrame, tags: DataFrame | None = None) -> tuple:
     """duplicates: id, survivor. Notes go to the survivor; duplicates without use (ids in used) are dropped. Returns the
-    images and the ids dropped."""
-    notes = images.join(duplicates, "id").groupBy("survivor").agg(F.array_join(F.array_sort(F.collect_list("notes")), "\n").alias("_more"))
+    images and the ids dropped, and with tags (image_id, tag) the tags, of which the survivor has all and the dropped none."""
+    pairs = duplicates.where("id <> survivor").distinct()
+    notes = images.join(pairs, "id").groupBy("survivor").agg(F.array_join(F.array_sort(F.collect_list("notes")), "\n").alias("_more"))
     out = images.join(notes.withColumnRenamed("survivor", "id"), "id", "left").withColumn("notes", note_union(F.col("notes"), F.col("_more"))).select(*images.columns)
-    gone = duplicates.where("id <> survivor").select("id").join(used.select("id"), "id", "left_anti")
-    return out.join(gone, "id", "left_anti"), gone
+    gone = pairs.select("id").join(used.select("id"), "id", "left_anti").distinct()
+    kept = out.join(gone, "id", "left_anti")
+    if tags is None:
+        return kept, gone
+    handed = tags.join(pairs.withColumnRenamed("id", "image_id"), "image_id").select(F.col("survivor").alias("image_id"), "tag")
+    return kept, gone, tags.select("image_id", "tag").union(handed).distinct().join(gone.withColumnRenamed("id", "image_id"), "image_id", "left_anti")

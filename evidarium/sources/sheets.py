@@ -17,10 +17,23 @@ def raw(spark: SparkSession, path: str, width: int) -> DataFrame:
     return df.withColumn("line", F.monotonically_increasing_id())
 
 
-def with_header(spark: SparkSession, path: str, required: list[str], width: int = 16) -> DataFrame:
+def width_of(spark: SparkSession, path: str) -> int:
+    """Cells of the widest row. What stands in quotes is left out before separators are counted, as it may hold separators
+    and line ends. A sheet is read as one text, as its rows cannot be told apart otherwise."""
+    bare = F.regexp_replace("value", '"[^"]*"', "")
+    cells = F.transform(F.split(bare, "\n"), lambda row: F.length(row) - F.length(F.replace(row, F.lit(","), F.lit(""))) + 1)
+    return spark.read.text(path, wholetext=True).agg(F.max(F.array_max(cells))).first()[0] or 1
+
+
+def with_header(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
     """Rows below the first line whose lower-cased cells hold all required names; columns by that line, unnamed ones as
-    col0, col1... Only the header line goes to the driver."""
+    col0, col1... as far as any line has cells; columns in which no line has any are left out. Only the header line and
+    a flag per column go to the driver."""
+    width = width_of(spark, path)
     cells = raw(spark, path, width)
+    filled = cells.agg(*[F.count(f"c{i}").alias(f"c{i}") for i in range(width)]).first()
+    width = max([i + 1 for i in range(width) if filled[i]], default=1)
+    cells = cells.select("line", *[f"c{i}" for i in range(width)])
     names = [f"c{i}" for i in range(width)]
     low = F.array(*[F.lower(F.trim(F.coalesce(c, F.lit("")))) for c in names])
     fits = reduce(lambda a, b: a & b, [F.array_contains(low, r.lower()) for r in required])

@@ -36,8 +36,9 @@ def parse_posts(texts: DataFrame, column: str = "value") -> DataFrame:
     text = F.col(column)
     head = texts.select(
         F.regexp_extract(text, r"(?m)^THREAD\s*:\s*(.*?)\s*$", 1).alias("thread"), F.regexp_extract(text, r"(?m)^URL\s*:\s*(\S+)", 1).alias("url"),
-        F.nullif(F.regexp_extract(text, r"Total posts:\s*([0-9]+)", 1), F.lit("")).try_cast("int").alias("total"), F.slice(F.split(text, r"(?m)^(?=Post #)"), 2, 1_000_000).alias("posts"),
+        F.nullif(F.regexp_extract(text, r"Total posts:\s*([0-9]+)", 1), F.lit("")).try_cast("int").alias("total"), F.split(text, r"(?m)^(?=Post #)").alias("parts"),
     )
+    head = head.select("thread", "url", "total", F.filter("parts", lambda x, i: x.startswith("Post #")).alias("posts"))
     p = F.col("post")
     out = head.select("thread", "url", (F.col("total") == F.size("posts")).alias("total_agrees"), F.posexplode("posts").alias("place", "post"))
     body = F.trim(F.regexp_replace(F.regexp_replace(p, r"(?sm)\A.*?^Date[^\n]*\n", ""), r"(?m)^([=\-]{5,}|Total posts:.*)$", ""))

@@ -21,7 +21,7 @@ def merge_stream(stream: DataFrame, root: str, checkpoint: str, schema: T.Struct
 
     def save(batch: DataFrame, number: int) -> None:
         old = spark.read.schema(schema).parquet(f"{root}/snapshot={number - 1}") if number else spark.createDataFrame([], schema)
-        merged = upsert(old, batch.select(*schema.names), ["sha256"], mode="fill").drop("merge_status")
+        merged = upsert(old, batch.select(*schema.names), ["sha256"], mode="fill", sequence="seen_at" if "seen_at" in schema.names else None).drop("merge_status")
         merged.write.mode("overwrite").parquet(f"{root}/snapshot={number}")
 
     stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(save).trigger(availableNow=True).start().awaitTermination()

@@ -86,3 +86,59 @@ def test_refresh_and_replace(spark):
     new = spark.createDataFrame([(5, "deck", 0.25), (6, "deck", 0.75)], "id long, tag string, x double")
     assert rows(merge.refresh(old, new, F.col("tag") == "deck", ["x"]), "id") == [(2,), (6,)]
     assert rows(merge.replace_rows(old, spark.createDataFrame([(2, "new", 1.0), (9, "no", 1.0)], "id long, tag string, x double")), "id", "tag") == [(1, "deck"), (2, "new")]
+
+
+def test_upsert_of_repeated_and_null_keys(spark):
+    table = spark.createDataFrame([(1, "a", ["p"]), (2, "b", None), (None, "c", ["q"])], "id long, name string, tags array<string>")
+    new = spark.createDataFrame([(1, "x", ["r"], 1), (1, "y", ["p"], 2), (3, "z", None, 1), (3, "w", None, 1), (None, "n", ["q", "s"], 1)], "id long, name string, tags array<string>, seq int")
+    out = merge.upsert(table, new, ["id"], sequence="seq")
+    assert rows(out, "id", "name", "merge_status") == sorted([(1, "y", "updated"), (2, "b", "kept"), (3, "z", "inserted"), (None, "n", "updated")], key=repr)
+    assert tuple(merge.merge_counts(out, new, ["id"]).first()) == (1, 2, 1, 2)
+    filled = merge.upsert(table, new, ["id"], mode="fill", sequence="seq")
+    assert rows(filled, "id", "name", "tags") == sorted([(1, "a", ["p"]), (2, "b", None), (3, "z", None), (None, "c", ["q", "s"])], key=repr)
+
+
+def test_replaced_rows_and_ties_of_changes(spark):
+    table = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
+    new = spark.createDataFrame([(1, "x"), (1, "y"), (None, "z")], "id long, v string")
+    assert rows(merge.replace_rows(table, new), "id", "v") == [(1, "y"), (2, "b")]
+    changes = spark.createDataFrame([(1, 5, {"v": "p"}), (1, 5, {"v": "q"}), (1, 5, {"v": None}), (2, None, {"v": "r"})], "id long, change_seq int, fields map<string,string>")
+    assert rows(merge.partial_update(table, changes, ["v"]), "id", "v") == [(1, "q"), (2, "r")]
+
+
+FAMILY = "id long, family_id long, image_id long, is_primary int, is_hidden int, sort_order long, relation_type string"
+
+
+def test_primaries_of_members_only(spark):
+    members = spark.createDataFrame([(1, 1, 10, 1, 0, 0, "primary"), (2, 1, 11, 0, 0, 0, "variant"), (3, 2, 20, 1, 0, 0, "primary"), (4, 2, 21, 0, 0, 0, "crop")], FAMILY)
+    chosen = spark.createDataFrame([(1, 99, 9), (1, 11, 1), (1, 10, 2), (2, 21, 1), (2, 21, 3), (7, 10, 1)], "family_id long, image_id long, change_seq int")
+    out = merge.set_primary(members, chosen)
+    assert rows(out, "id", "is_primary", "relation_type") == [(1, 1, "primary"), (2, 0, "variant"), (3, 0, "variant"), (4, 1, "primary")]
+    assert rows(merge.primary_rejects(members, chosen), "family_id", "image_id", "held_by") == [(1, 99, None), (7, 10, 1)]
+
+
+def test_members_come_go_and_move(spark):
+    members = spark.createDataFrame([(1, 1, 10, 1, 0, 0, "primary"), (2, 1, 11, 0, 0, 2, "variant"), (3, 1, 12, 0, 0, 1, "variant"), (4, 2, 20, 1, 0, 0, "primary")], FAMILY)
+    new = spark.createDataFrame([(2, 30, 1), (2, 31, 0), (2, 31, 0), (2, 10, 0), (1, 11, 0), (1, 40, 0), (2, 40, 0)], "family_id long, image_id long, is_primary int")
+    out, conflicts = merge.attach_members(members, new)
+    assert rows(conflicts, "family_id", "image_id") == [(1, 40), (2, 10), (2, 40)]
+    assert rows(out.where("family_id = 2"), "image_id", "is_primary", "relation_type") == [(20, 0, "variant"), (30, 1, "primary"), (31, 0, "variant")]
+    assert {r["id"] for r in out.collect()} == {1, 2, 3, 4, 5, 6}
+    left = merge.detach_members(members, spark.createDataFrame([(10,), (20,)], "image_id long"))
+    assert rows(left, "image_id", "is_primary", "relation_type") == [(11, 0, "variant"), (12, 1, "primary")]
+    moved = merge.move_members(members, spark.createDataFrame([(10, 2), (20, 2)], "image_id long, family_id long"))
+    assert rows(moved, "family_id", "image_id", "is_primary") == [(1, 11, 0), (1, 12, 1), (2, 10, 0), (2, 20, 1)]
+
+
+def test_chains_of_superseded_positions(spark):
+    table = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 77), (5, 6), (6, 5)], "id long, supersedes_id long")
+    assert rows(merge.supersede_depths(table), "id", "depth", "first_id") == [(1, 0, 1), (2, 1, 1), (3, 2, 1), (4, 0, 4)]
+
+
+def test_absorbed_tags(spark):
+    images = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id long, notes string")
+    pairs = spark.createDataFrame([(2, 1), (3, 1), (1, 1)], "id long, survivor long")
+    tags = spark.createDataFrame([(1, "x"), (2, "y"), (3, "x"), (3, "z")], "image_id long, tag string")
+    kept, gone, left = merge.absorb(images, pairs, spark.createDataFrame([(3,)], "id long"), tags)
+    assert rows(kept, "id", "notes") == [(1, "a\nb\nc"), (3, "c")] and rows(gone, "id") == [(2,)]
+    assert rows(left, "image_id", "tag") == [(1, "x"), (1, "y"), (1, "z"), (3, "x"), (3, "z")]

@@ -11,16 +11,25 @@ from evidarium.sources import files, sheets, slides, tables, threads
 
 def test_sheets(spark, tmp_path):
     (tmp_path / "kits.csv").write_text('junk,,\n"x, y",,\n #,Brand,,Brand\n1,Acme,note,again\n2,—,,\n')
-    df = sheets.with_header(spark, str(tmp_path / "kits.csv"), ["#", "brand"], 4)
+    df = sheets.with_header(spark, str(tmp_path / "kits.csv"), ["#", "brand"])
     assert df.columns == ["line", "#", "brand", "col2", "col3"]
     assert [tuple(r)[1:] for r in df.orderBy("line").collect()] == [("1", "Acme", "note", "again"), ("2", None, None, None)]
     with pytest.raises(ValueError):
-        sheets.with_header(spark, str(tmp_path / "kits.csv"), ["nothing"], 4)
+        sheets.with_header(spark, str(tmp_path / "kits.csv"), ["nothing"])
     (tmp_path / "m.csv").write_text("b,n,M1,M2\nAcme,k,x,\nAcme,l,,maybe\n")
     got = sheets.donor_matrix(spark, str(tmp_path / "m.csv"), ["brand", "name"], ["M1", "M2"])
     assert sorted(tuple(r)[1:] for r in got.collect()) == [("Acme", "k", "M1", "x"), ("Acme", "l", "M2", "maybe")]
 
 
+def test_wide_sheets_keep_every_cell(spark, tmp_path):
+    names = ["#", "brand", *(f"n{i}" for i in range(30))]
+    values = ["1", 'a, "b"\nc', *(str(i) for i in range(30)), "beyond the header"]
+    quoted = ",".join('"' + v.replace('"', '""') + '"' for v in values)
+    (tmp_path / "wide.csv").write_text("note\n" + ",".join(names) + "\n" + quoted + "\n")
+    row = sheets.with_header(spark, str(tmp_path / "wide.csv"), ["#", "brand"]).collect()[0].asDict()
+    assert list(row)[1:] == [*names, "col32"] and list(row.values())[1:] == values
+
+
 def images():
     png = b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + struct.pack(">II", 640, 480)
     gif = b"GIF89a" + struct.pack("<HH", 33, 44)
