@@ -5,15 +5,19 @@ shingles that holds for every document, the first n/4 + 1 of each share one. Thr
 ties by hash, rarest first with ties by falling hash, and hash alone. A pair is compared only if it shares a prefix
 shingle under each of them.
 
-1. Each text becomes a set of 64-bit shingle hashes; equal sets form a class, named by the hash of the set.
+1. Each text becomes a set of 64-bit shingle hashes; equal sets form a class, named by the hash of the set. In what
+   follows a shingle is known by 48 bits and the number of its bucket, so by 64 bits once there are 65,536 buckets.
 2. Shingles are dealt by hash, packed as arrays, and those of a single class are dropped. The others go back to their
    classes with the number of classes that have them. Shingles of a large share of all rows are found beforehand and go
    straight back. A class of which the prefix under rarity has no shared shingle has
    no partner and is dropped; for the rest, the shared shingles hold all that an intersection can have.
-3. Classes with a common prefix shingle under the first order are paired: within small groups all pairs, within large
-   ones first every class with the one that has the fewest shingles of its own. Components of the links found make most
-   pairs of a large group needless; the classes outside its main component are then paired with a slice of one group,
-   then with more slices, at last with all of all groups. No pair is left out that could join two components.
+3. Classes with a common prefix shingle under the first order are candidates if what comes before it leaves room for the
+   similarity. In small groups all such pairs go on to the filters of the other orders, then to the comparison of sets.
+4. A large group would have too many. Each of its classes is compared with the group's hub, the one with the fewest
+   shingles of its own, and is from then on known by its differences from it. Two classes are similar just when the
+   differences that they have in common outweigh the rest (see `unlike`), so classes near the hub are one component, and
+   a pair with any other must share one of a few rare differences: a second prefix filter, within the group.
+   No pair is left out that could join two components.
 """
 
 from __future__ import annotations
@@ -38,10 +42,12 @@ BUCKET_SHINGLES = 1_200_000
 #: A shingle is frequent if it may be in more than one of so many rows. Those are known beforehand (OFTEN times the mean
 #: size of a set, at most), count as equally common, and never meet in a task.
 OFTEN = 64
-#: Groups of up to so many classes are paired in full at once; larger ones by rounds of slices of SLICE classes.
-SMALL, SLICE = 8, 32
-#: Slices that a class outside the main component is paired with, round by round; at last all.
-ROUNDS = (1, 8, None)
+#: Groups of up to so many classes are paired in full; those of larger ones are compared with a hub.
+SMALL = 8
+#: Classes that are compared with one hub in a task.
+HUB_ROWS = 5_000
+#: Further hubs of each group, taken from the classes outside the component of its first.
+MORE_HUBS = 2
 
 LOW = np.uint64((1 << 48) - 1)
 FACTORS = np.array([xxhash.xxh64_intdigest(b"factor %d" % i) | 1 for i in range(SHINGLE + 1)], np.uint64)
@@ -132,6 +138,16 @@ def frequent_shingles(members: DataFrame) -> np.ndarray:
     return np.sort(np.array([r["token"] for r in kept], np.int64).view(np.uint64))
 
 
+def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
+    """Equal shares of all hashes, by their upper half; the narrowest kind of number sorts fastest."""
+    return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
+
+
+def named(h: np.ndarray, bucket) -> np.ndarray:
+    """What a shingle goes by from here on: 48 bits of its hash and its bucket's number."""
+    return np.asarray(bucket).astype(np.uint64) << np.uint64(48) | h & LOW
+
+
 def packed_shingles(buckets: int, frequent):
     """Texts to arrays of shingles by bucket: class keys, how many of its shingles each has here, and 48 bits of each.
     Frequent shingles go to buckets below 0, dealt by their class, with all their bits."""
@@ -145,7 +161,7 @@ def packed_shingles(buckets: int, frequent):
             at = np.minimum(np.searchsorted(known, h), len(known) - 1)
             often = known[at] == h
             owner = np.repeat(np.arange(len(keys)), size)
-            token = ((h[often] >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)) << np.uint64(48) | h[often] & LOW
+            token = named(h[often], bucket_of(h[often], buckets))
             lane = -1 - keys[owner[often]] % buckets
             order = np.argsort(lane, kind="stable")
             lane, k, token = lane[order], keys[owner[often]][order], token[order]
@@ -157,7 +173,7 @@ def packed_shingles(buckets: int, frequent):
             h = h[~often]
             if not len(h):
                 return
-        bucket = ((h >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)).astype(np.uint16)
+        bucket = bucket_of(h, buckets)
         order = np.argsort(bucket, kind="stable")
         owner = np.repeat(np.arange(len(keys)), size)[order]
         bucket = bucket[order]
@@ -246,7 +262,7 @@ def shared_shingles(key_buckets: int):
             df = np.diff(np.append(start, len(token)))
             df = np.repeat(df, df)
             keep = df > 1
-            key, token, df = key[keep], token[keep] | np.uint64(bucket << 48), np.minimum(df[keep], 0xFFFE)
+            key, token, df = key[keep], named(token[keep], np.uint64(bucket)), np.minimum(df[keep], 0xFFFE)
             if not len(key):
                 continue
             yield homeward(key, token, df)
@@ -254,9 +270,18 @@ def shared_shingles(key_buckets: int):
     return run
 
 
+def ragged(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    """A list column of numpy arrays."""
+    ends = np.cumsum([0, *map(len, arrays)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays) if arrays else [], kind))
+
+
+CLASS = "key long, n long, own long, tokens array<long>, often array<int>, p1 array<long>, p2 array<long>, p3 array<long>"
+
+
 def with_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Classes that may have a partner: size, shingles of their own, shared shingles, and prefixes under three orders
-    (of the prefixes only the shared shingles; the second and third as bits of the sorted set)."""
+    """Classes that may have a partner: size, shingles of their own, shared shingles (sorted) with the number of classes
+    that have each, and the shared shingles of their prefixes under three orders."""
     for _, rows in by_bucket(batches, "home"):
         facts = {r["key"]: (r["n"], r["last"]) for r in rows if r["blob"] is None}
         blobs = [r["blob"] for r in rows if r["blob"] is not None]
@@ -269,68 +294,103 @@ def with_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         order = np.lexsort((token & LOW, df, key))
         key, token, df = key[order], token[order], df[order]
         start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        out: list[list] = [[] for _ in range(7)]
+        out: list[list] = [[] for _ in range(8)]
         for a, b in zip(start.tolist(), [*start[1:].tolist(), len(key)]):
             k = int(key[a])
             n, last = facts[k]
             own = n - (b - a)
             room = prefix_length(n) - own
-            t = token[a:b]
+            t, often = token[a:b], df[a:b]
             third = t[(t & LOW) <= np.uint64(last)]
             if room <= 0 or not len(third):
                 continue
-            falling = np.lexsort((~(t & LOW), df[a:b]))
-            place = np.argsort(np.argsort(t))  # of each in the sorted set
-            second, last_ = np.zeros((2, len(t)), bool)
-            second[place[falling[:room]]] = True
-            last_[place[(t & LOW) <= np.uint64(last)]] = True
-            for column, value in zip(out, (k, n, own, np.sort(t).tobytes(), t[:room].view(np.int64), np.packbits(second).tobytes(), np.packbits(last_).tobytes())):
+            falling = np.lexsort((~(t & LOW), often))
+            by_token = np.argsort(t.view(np.int64))
+            for column, value in zip(out, (k, n, own, t[by_token].view(np.int64), often[by_token].astype(np.int32), t[:room].view(np.int64), t[falling[:room]].view(np.int64), third.view(np.int64))):
                 column.append(value)
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=["key", "n", "own", "tokens", "p1", "p2", "p3"])
-
+        lists = [ragged(c, pa.int32() if i == 4 else pa.int64()) for i, c in enumerate(out) if i > 2]
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:3]), *lists], names=["key", "n", "own", "tokens", "often", "p1", "p2", "p3"])
 
-def marked(tokens: np.ndarray, bits: bytes) -> np.ndarray:
-    return tokens[np.unpackbits(np.frombuffer(bits, np.uint8), count=len(tokens)).astype(bool)]
 
+def unlike(x: np.ndarray, often: np.ndarray, own: int, hub: np.ndarray, hub_often: np.ndarray, hub_own: int, size: int) -> tuple[int, int, int, np.ndarray]:
+    """How a class differs from a hub, of which only the shared shingles count: the weight of the differences, how many of
+    them another class can have too, how many of those it must look up (below), and those it must send, rarest first.
 
-def common_to(a: np.ndarray, b: np.ndarray) -> int:
-    """Size of the intersection of two sorted sets."""
-    both = np.concatenate([a, b])
-    both.sort(kind="stable")
-    return int((both[1:] == both[:-1]).sum())
-
-
-def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs, which share a prefix shingle under the first order, that share one under the others too and reach the
-    similarity."""
+    Let c be the differences that x and y have in common, and w four times the shingles that a class lacks of the hub plus
+    three times those that it has besides. Then x and y are similar just when w(x) + w(y) - 7 c <= len(hub). So all
+    classes with w + w(hub) <= len(hub) are similar to the hub, and a pair with another one, x, has c >= 1, in fact
+    c >= (w(x) - len(hub)) / 4 as w(y) >= 3 c. Under any order of the differences that holds for all, such a pair shares
+    one of the first share - c + 1 of either.
+    """
+    i = np.minimum(np.searchsorted(hub, x), len(hub) - 1)
+    there = hub[i] == x
+    missing = np.ones(len(hub), bool)
+    missing[i[there]] = False
+    new, lacks = x[~there], hub[missing]
+    own_weight = 3 * hub_own
+    weight = 4 * len(lacks) + 3 * (len(new) + own)
+    share = len(new) + len(lacks)
+    far = max(1, -((len(hub) - weight) // 4))
+    looked_up = max(0, share - max(far, -((own_weight - weight - 1) // 7)) + 1)
+    sent = max(0, share - far + 1) if weight + own_weight > len(hub) else looked_up
+    if not sent:
+        return weight, share, 0, lacks[:0]
+    # What is lacking is marked by its complement; it is rarer the more of the hub's group have it.
+    token = np.concatenate([new, ~lacks])
+    rarity = np.concatenate([often[~there], np.maximum(size - hub_often[missing], 1)])
+    return weight, share, looked_up, token[np.lexsort((token, rarity))[:sent]]
+
+
+def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in (b.slice(i, 1000) for b in batches for i in range(0, len(b), 1000)):
-        a, b = [], []
-        for p, q, n, m, left, right, p2, q2, p3, q3 in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "n", "m", "tokens", "others", "p2", "q2", "p3", "q3"))):
-            x, y = np.frombuffer(left, "<u8"), np.frombuffer(right, "<u8")
-            if not (common_to(marked(x, p3), marked(y, q3)) and common_to(marked(x, p2), marked(y, q2))):
-                continue
-            both = common_to(x, y)
-            if 100 * both >= 75 * (n + m - both):
-                a.append(p)
-                b.append(q)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        got = {c: batch.column(c) for c in batch.schema.names}
+        numbers = [got[c].to_pylist() for c in ("own", "hub_own", "size")]
+        out: list[list] = [[] for _ in range(4)]
+        flat = {c: (got[c].offsets.to_numpy(), got[c].values.to_numpy()) for c in ("tokens", "often", "hub_tokens", "hub_often")}
+        cut = lambda c, i: flat[c][1][flat[c][0][i] : flat[c][0][i + 1]]
+        for i, (own, hub_own, size) in enumerate(zip(*numbers)):
+            for column, value in zip(out, unlike(cut("tokens", i), cut("often", i), own, cut("hub_tokens", i), cut("hub_often", i), hub_own, size)):
+                column.append(value)
+        whole = [pa.array(c, pa.int64()) for c in out[:3]]
+        yield pa.RecordBatch.from_arrays([got["key"], got["hub"], got["hub_n"], got["hub_own"], *whole, ragged(out[3], pa.int64())], names=["key", "hub", "hub_n", "hub_own", "w", "share", "looked_up", "sent"])
 
 
-def links_among(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    left = classes.select(F.col("key").alias("a"), "n", "tokens", "p2", "p3")
-    right = classes.select(F.col("key").alias("b"), F.col("n").alias("m"), F.col("tokens").alias("others"), F.col("p2").alias("q2"), F.col("p3").alias("q3"))
-    return materialize(pairs.join(left, "a").join(right, "b").mapInArrow(verified, "a long, b long"), "jaccard-links")
+def compared_with(hubs: DataFrame, classes: DataFrame, name: str) -> DataFrame:
+    """Rows (key, hub) with the differences of the class from its hub. A hub of many classes is dealt to as many tasks."""
+    sizes = hubs.groupBy("hub").agg(F.count(F.lit(1)).alias("size"))
+    salts = F.ceil(F.col("size") / HUB_ROWS).cast("int")
+    of_hub = classes.select(F.col("key").alias("hub"), F.size("tokens").cast("long").alias("hub_n"), F.col("own").alias("hub_own"), F.col("tokens").alias("hub_tokens"), F.col("often").alias("hub_often"))
+    of_hub = of_hub.join(sizes, "hub").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).withColumn("salts", salts)
+    many = sizes.where(F.col("size") > HUB_ROWS).select("hub", salts.alias("salts"))
+    rows = hubs.join(many, "hub", "left").select("key", "hub", F.coalesce(F.pmod("key", "salts"), F.lit(0)).cast("int").alias("salt"))
+    rows = rows.join(classes.select("key", "own", "tokens", "often"), "key").join(of_hub.drop("salts"), ["hub", "salt"])
+    return materialize(rows.mapInArrow(differences, "key long, hub long, hub_n long, hub_own long, w long, share long, looked_up long, sent array<long>"), name)
 
 
 def ordered(a, b):
     return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
 
-#: What a pair can share at most, without the shingles that only one of them has, must reach the similarity.
-LENGTHS = "100 * least(n - own, m - his) >= 75 * (n + m - least(n - own, m - his))"
-#: The same for one class and the smallest of its group: else it can be similar to none of them.
-ALONE = "100 * (n - own) >= 75 * (own + lo)"
+#: What a pair can share at most: of either what does not come before their first common shingle. It must reach the
+#: similarity. `at` and `his` are that shingle's places in the two sets.
+FIRST = "100 * least(n - at, m - his) >= 75 * (n + m - least(n - at, m - his))"
+#: The same for one class and the smallest of its group: else it can be similar to none of them by this shingle.
+ALONE = "100 * (n - at) >= 75 * (at + lo)"
+
+
+def links_among(pairs: DataFrame, classes: DataFrame, name: str = "jaccard-links") -> DataFrame:
+    """Of pairs (a, b), which share a prefix shingle under the first order, those that share one under the second and
+    third too and then reach the similarity. Only what passes the filters meets the whole sets."""
+
+    def both(rows: DataFrame, *columns: str) -> DataFrame:
+        left = classes.select(F.col("key").alias("a"), *[F.col(c).alias(f"a_{c}") for c in columns])
+        return rows.join(left, "a")
+
+    right = classes.select(F.col("key").alias("b"), F.col("p2").alias("b_p2"), F.col("p3").alias("b_p3"))
+    kept = both(pairs, "p2", "p3").join(right, "b").where("arrays_overlap(a_p2, b_p2) AND arrays_overlap(a_p3, b_p3)").select("a", "b")
+    right = classes.select(F.col("key").alias("b"), F.col("n").alias("b_n"), F.col("tokens").alias("b_tokens"))
+    common = "size(array_intersect(a_tokens, b_tokens))"
+    return materialize(both(kept, "n", "tokens").join(right, "b").where(f"100L * {common} >= 75 * (a_n + b_n - {common})").select("a", "b"), name)
 
 
 def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -345,7 +405,7 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = rows.mapInArrow(describe, rows.select("record").schema.add("key", "long").add("n", "long").add("last", "long").add("often", "binary"))
     members = materialize(members.withColumn("row", F.monotonically_increasing_id()), "jaccard-members")
     total = members.agg(F.sum("n")).first()[0] or 0
-    buckets = min(max(parts, -(-total // BUCKET_SHINGLES)), 1 << 16)
+    buckets = min(max(parts, -(-total // BUCKET_SHINGLES)), 1 << 30)
     homes = max(parts, buckets // 4)
     frequent = spark.sparkContext.broadcast(frequent_shingles(members))
 
@@ -354,40 +414,49 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     facts = members.where("key is not null").groupBy("key").agg(F.first("n").alias("n"), F.first("last").alias("last"))
     facts = facts.select(F.pmod("key", F.lit(homes)).cast("int").alias("home"), "key", "n", "last", F.lit(None).cast("binary").alias("blob"))
     classes = shared.unionByName(facts).repartition(parts, "home").sortWithinPartitions("home")
-    classes = materialize(classes.mapInArrow(with_prefixes, "key long, n long, own long, tokens binary, p1 array<long>, p2 binary, p3 binary"), "jaccard-classes", "none")
-
-    entries = classes.select("key", "n", "own", F.explode("p1").alias("token"))
-    groups = entries.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("own", "key", "n")).alias("hub"), F.min("n").alias("lo")).where("size > 1")
-    entries = materialize(entries.join(groups, "token").where(ALONE), "jaccard-groups")
-    small = entries.where(F.col("size") <= SMALL).select("token", "key", "n", "own")
-    pairs = small.join(small.select("token", F.col("key").alias("other"), F.col("n").alias("m"), F.col("own").alias("his")), "token").where("key < other").where(LENGTHS).select(*ordered(F.col("key"), F.col("other")))
-    large = entries.where((F.col("size") > SMALL) & (F.col("key") != F.col("hub.key"))).withColumns({"m": F.col("hub.n"), "his": F.col("hub.own")}).where(LENGTHS).select(*ordered(F.col("key"), F.col("hub.key")))
-    links = links_among(pairs.union(large).distinct(), classes)
-
-    big = entries.where(F.col("size") > SMALL).select("token", "key", "n", "own", "size")
-    for slices in ROUNDS if big.take(1) else ():
+    classes = materialize(classes.mapInArrow(with_prefixes, CLASS), "jaccard-classes", "none")
+    return members, links_of(classes)
+
+
+def links_of(classes: DataFrame) -> DataFrame:
+    entries = classes.select("key", "n", "own", F.posexplode("p1").alias("place", "token")).withColumn("at", F.col("own") + F.col("place")).drop("place")
+    groups = entries.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("own", "key")).alias("hub"), F.min("n").alias("lo")).where("size > 1")
+    entries = materialize(entries.join(groups, "token").where(ALONE).select("token", "key", "n", "at", "own", "size", F.col("hub.key").alias("hub")), "jaccard-groups")
+
+    small = entries.where(F.col("size") <= SMALL).select("token", "key", "n", "at")
+    pairs = small.join(small.select("token", F.col("key").alias("other"), F.col("n").alias("m"), F.col("at").alias("his")), "token").where("key < other").where(FIRST)
+    links = links_among(pairs.select(F.col("key").alias("a"), F.col("other").alias("b")).distinct(), classes)
+
+    big = entries.where(F.col("size") > SMALL).select("token", "key", "own", "hub")
+    if not big.take(1):
+        return links
+    # Each class of a large group is compared with the group's hub; classes near the hub are one component by that.
+    hubs = big.select("key", "hub").union(big.select("hub", "hub")).distinct()
+    unlikes = compared_with(hubs, classes, "jaccard-unlike")
+    lowest = unlikes.groupBy("hub").agg(F.min(F.struct("w", "key")).alias("low"))
+    unlikes = unlikes.join(lowest, "hub").withColumn("near", F.col("w") + F.col("low.w") <= F.col("hub_n"))
+    links = links.union(unlikes.where("near AND key <> low.key").select(*ordered(F.col("key"), F.col("low.key"))))
+    # Those outside try other hubs, taken from among themselves.
+    for _ in range(MORE_HUBS):
         comps = components(links)
         labelled = big.join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-        counts = labelled.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"))
-        mains = counts.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-        open_ = materialize(labelled.join(mains, "token").withColumn("salts", F.ceil(F.col("size") / SLICE).cast("int")), "jaccard-open")
-        if not open_.take(1):
+        mains = comps.select(F.col("key").alias("hub"), F.col("comp").alias("main"))
+        outside = labelled.join(mains, "hub", "left").where("comp <> coalesce(main, hub)").select("token", "key", "own", "hub")
+        second = outside.groupBy("token").agg(F.count(F.lit(1)).alias("many"), F.min(F.struct("own", "key")).alias("next")).where(F.col("many") > SMALL)
+        outside = materialize(outside.join(second, "token").select("token", "key", "own", F.col("next.key").alias("hub")), "jaccard-outside")
+        tried = compared_with(outside.where("key <> hub").select("key", "hub").distinct(), classes, "jaccard-tried")
+        found = tried.where("w + 3 * hub_own <= hub_n").select(*ordered(F.col("key"), F.col("hub")))
+        if not found.take(1):
             break
-        outside = open_.where("comp <> main").select("token", "key", "n", "own", "comp", "salts", "size")
-        inside = open_.select("token", F.col("key").alias("other"), F.col("n").alias("m"), F.col("own").alias("his"), F.col("comp").alias("that"), "salts")
-        if slices is None:  # all of every group, each pair by the first shingle that it shares
-            shared_by = open_.groupBy("key").agg(F.array_sort(F.collect_set("token")).alias("tokens"))
-            inside = inside.drop("salts").join(shared_by.select(F.col("key").alias("other"), F.col("tokens").alias("others")), "other")
-            more = outside.join(shared_by, "key").join(inside, "token").where((F.col("comp") != F.col("that")) & (F.array_min(F.array_intersect("tokens", "others")) == F.col("token")))
-        else:  # slices of the largest group that each is in
-            one = outside.groupBy("key", "n", "own", "comp").agg(F.max_by(F.struct("token", "salts"), F.struct("size", "token")).alias("g")).select("g.token", "g.salts", "key", "n", "own", "comp")
-            first = F.pmod(F.xxhash64("token", "key"), "salts").cast("int")
-            picks = F.transform(F.sequence(F.lit(0), F.least(F.lit(slices), "salts") - 1), lambda i: F.pmod(first + i, "salts").cast("int"))
-            inside = inside.withColumn("salt", F.pmod(F.xxhash64("other"), "salts").cast("int")).drop("salts")
-            more = one.withColumn("salt", F.explode(picks)).join(inside, ["token", "salt"]).where("comp <> that")
-        more = more.where(LENGTHS).select(*ordered(F.col("key"), F.col("other"))).distinct()
-        links = links.union(links_among(more, classes))
-    return members, links
+        links, big = links.union(found), outside
+    # What remains may be similar by differences from the hub that both have.
+    comps = components(links)
+    unlikes = unlikes.join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+    sends = unlikes.where("not near").select("hub", "hub_n", "key", "comp", "w", "share", F.posexplode("sent").alias("i", "token"))
+    looks = unlikes.select("hub", F.col("key").alias("other"), F.col("comp").alias("that"), F.col("w").alias("v"), F.col("share").alias("his"), "near", F.posexplode(F.slice("sent", F.lit(1), F.col("looked_up").cast("int"))).alias("j", "token"))
+    close = "comp <> that AND (near OR key < other) AND 7 * least(share - i, his - j) >= w + v - hub_n"
+    more = sends.join(looks, ["hub", "token"]).where(close).select(*ordered(F.col("key"), F.col("other"))).distinct()
+    return links.union(links_among(more, classes, "jaccard-more"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:

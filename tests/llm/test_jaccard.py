@@ -81,9 +81,11 @@ def test_frequent_shingles_are_found(spark, monkeypatch):
     assert set(jaccard.frequent_shingles(members).tolist()) == want
 
 
-def test_one_large_group_of_near_copies(spark, monkeypatch):
+@pytest.mark.parametrize("hubs", [0, 2])
+def test_one_large_group_of_near_copies(spark, monkeypatch, hubs):
     monkeypatch.setattr(jaccard, "SMALL", 2)
-    monkeypatch.setattr(jaccard, "SLICE", 4)
+    monkeypatch.setattr(jaccard, "HUB_ROWS", 7)
+    monkeypatch.setattr(jaccard, "MORE_HUBS", hubs)
     rng = random.Random(4)
     base, rows = [f"b{i}" for i in range(60)], []
     for i in range(150):
@@ -95,6 +97,27 @@ def test_one_large_group_of_near_copies(spark, monkeypatch):
     assert ours(spark, rows) == brute(rows)
 
 
+@pytest.mark.parametrize("seed, hubs", [(1, 0), (2, 2), (3, 0)])
+def test_large_groups_with_differences_in_common(spark, monkeypatch, seed, hubs):
+    """Copies by a few shared edits: cuts, doubled words, swaps with one of two words, and other openings or ends."""
+    monkeypatch.setattr(jaccard, "SMALL", 2)
+    monkeypatch.setattr(jaccard, "MORE_HUBS", hubs)
+    rng = random.Random(seed)
+    base, rows = [f"b{i}" for i in range(80)], []
+    ends = [[f"{c}{i}" for i in range(30)] for c in "pqr"]
+    for i in range(260):
+        copy = base[: rng.choice([40, 55, 60, 70, 80, 80, 80])] + rng.choice([[], [], [], ends[0], ends[1], ends[2][: rng.randrange(30)]])
+        copy = copy[rng.choice([0, 0, 0, 5, 12]) :]
+        for _ in range(rng.choice([0, 0, 1, 1, 2, 3])):
+            at = 4 * rng.randrange(len(copy) // 4)
+            kind = rng.randrange(3)
+            copy[at : at + 1] = [] if kind == 0 else [copy[at]] * 2 if kind == 1 else [rng.choice("uv")]
+        rows.append((i + 3, " ".join(copy), "x", 1))
+    want = brute(rows)
+    assert len({c for *_, c in want}) > 3
+    assert ours(spark, rows) == want
+
+
 def test_components_of_blocks_and_long_chains(spark):
     rng = random.Random(6)
     links = [(i, i + 1) for i in range(90)] + [(200 + i, 200) for i in range(1, 50)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)]
