@@ -6,29 +6,33 @@ window's length, has all of them: containment of 1, for which one prefix shingle
 rarest shingle alone, rarity being the count over all documents. The shingle's place in the window gives the only
 possible stretch; it must lie inside the document, and then its words are compared with the window's.
 
-Windows go in blocks of bounded size, each a pass over the documents, whatever the size of the benchmark. No document
-moves: neither long texts nor passages that many documents share meet in a task.
+The documents are read twice, whatever the size of the benchmark: once to count shingles, once for the places where a
+prefix shingle may begin. Sieves of bounded size, built by Spark, tell which shingles matter at all. Windows, counts,
+prefixes and places are tables, joined by Spark; none of them goes to the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, table, texts_in, with_text
+from .jaccard import FACTORS, _hashes
 from .tokens import texts_of
 
 WINDOW, SHINGLE = 10, 3
-#: Windows in a block: this bounds what is broadcast (about 100 bytes each) and gathered on the driver.
-BLOCK_WINDOWS = 100_000
-#: Candidates compared at a time.
-SLICE = 1 << 20
+#: Bits of a sieve for each shingle in it, and bits of one at most. More shingles than that leave it less sharp, no more.
+SIEVE_BITS, MOST_BITS = 64, 1 << 28
+BITMAP = 1 << 15  # bits of a bitmap of Spark's functions
 GROUP_BYTES = 4 << 20
+#: Rows of a task's partial counts that are summed up at a time.
+COUNTED = 1 << 21
 
 #: Lower-cases A-Z and turns every other byte that is no word character into a space.
 WORD_BYTES = bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
@@ -38,202 +42,206 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(WORD_BYTES).split()
 
 
-class Block:
-    """Distinct windows (tuples of words) with their items, ready for joining."""
-
-    def __init__(self, windows: dict[tuple[bytes, ...], list]):
-        self.windows = list(windows)
-        self.items = list(dict.fromkeys(i for x in windows.values() for i in x))
-        number = {i: k for k, i in enumerate(self.items)}
-        of = [[number[i] for i in windows[w]] for w in self.windows]
-        self.item_count = np.array([len(x) for x in of], np.int64)
-        self.item_start = np.cumsum(self.item_count) - self.item_count
-        self.item_list = np.array([i for x in of for i in x], np.int64)
-        self.ids = {w: i + 1 for i, w in enumerate(dict.fromkeys(w for x in self.windows for w in x))}
-        self.base = len(self.ids) + 1
-        assert self.base < 1 << 21
-        self.length = np.array([len(w) for w in self.windows], np.int64)
-        self.words = np.zeros((len(self.windows), WINDOW), np.int64)
-        for k, w in enumerate(self.windows):
-            self.words[k, : len(w)] = [self.ids[x] for x in w]
-        keys = [(self.key([self.ids[x] for x in w[i : i + SHINGLE]]), k, i) for k, w in enumerate(self.windows) for i in range(max(1, len(w) - SHINGLE + 1))]
-        self.of_window = np.array(keys, np.int64).reshape(-1, 3)
-        self.shingles = np.unique(self.of_window[:, 0])
-        self.widths = sorted({min(SHINGLE, len(w)) for w in self.windows})
-
-    def key(self, ids) -> int:
-        """Shingles of one to three words as one number; word numbers begin at 1, so widths keep apart."""
-        k = 0
-        for i in ids:
-            k = k * self.base + i
-        return k
-
-    def keys_at(self, ids: np.ndarray, width: int) -> np.ndarray:
-        """The key of the shingle that begins at each place; 0 where a word is in no window."""
-        n = len(ids) - width + 1
-        if n <= 0:
-            return np.zeros(0, np.int64)
-        key, known = ids[:n].copy(), ids[:n] > 0
-        for i in range(1, width):
-            key = key * self.base + ids[i : n + i]
-            known &= ids[i : n + i] > 0
-        return np.where(known, key, 0)
-
-    def found_at(self, ids: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places where a shingle of `among` (sorted) begins, and which."""
-        places, which = [], []
+def hashed(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+
+
+def shingles_at(w: np.ndarray, width: int) -> np.ndarray:
+    """The hash of the shingle that begins at each word; widths keep apart."""
+    n = max(len(w) - width + 1, 0)
+    h = np.repeat(FACTORS[-1:] * np.uint64(width), n)
+    for i in range(width):
+        h += w[i : n + i] * FACTORS[i]
+    return h.view(np.int64)
+
+
+class Sieve(NamedTuple):
+    """Two bitmaps by different bits of a hash: a shingle whose bit is missing in either is not among these."""
+
+    widths: list[int]
+    bits: int
+    low: np.ndarray
+    high: np.ndarray
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        at, other = h & (self.bits - 1), h >> 32 & (self.bits - 1)
+        return (self.low[at >> 3] >> (at & 7).astype(np.uint8) & self.high[other >> 3] >> (other & 7).astype(np.uint8) & 1).astype(bool)
+
+    def found(self, docs: list[list[bytes]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """document, place and hash of the shingles of documents that may be among these, by width."""
+        size = np.array([len(d) for d in docs], np.int64)
+        ends = np.cumsum(size)
+        w = hashed(list(chain.from_iterable(docs)))
         for width in self.widths:
-            key = self.keys_at(ids, width)
-            some = np.flatnonzero(key)
-            at = np.minimum(np.searchsorted(among, key[some]), len(among) - 1)
-            hit = among[at] == key[some]
-            places.append(some[hit])
-            which.append(at[hit])
-        return np.concatenate(places), np.concatenate(which)
-
-    def order_by(self, count: np.ndarray) -> None:
-        """Take each window's rarest shingle as its prefix; count: of each shingle over all documents."""
-        rarity = count[np.searchsorted(self.shingles, self.of_window[:, 0])]
-        order = np.lexsort((self.of_window[:, 2], self.of_window[:, 0], rarity, self.of_window[:, 1]))
-        first = order[np.append(True, np.diff(self.of_window[order, 1]) > 0)]
-        prefix = self.of_window[first]
-        prefix = prefix[np.argsort(prefix[:, 0], kind="stable")]
-        self.prefixes, self.start, self.count = np.unique(prefix[:, 0], return_index=True, return_counts=True)
-        self.window, self.offset = prefix[:, 1], prefix[:, 2]
-
-    def hits(self, ids: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """document, start and window of every occurrence; ids: the words of documents that lie one after another."""
-        place, which = self.found_at(ids, self.prefixes)
-        doc = np.searchsorted(ends, place, "right")
-        room = np.arange(WINDOW)
-        many = np.cumsum(self.count[which])
-        for cut in np.split(np.arange(len(place)), np.searchsorted(many, np.arange(SLICE, many[-1], SLICE))) if len(place) else ():
-            n = self.count[which[cut]]
-            entry = np.repeat(self.start[which[cut]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            window, d = self.window[entry], np.repeat(doc[cut], n)
-            start = np.repeat(place[cut], n) - self.offset[entry]
-            fits = (start >= begins[d]) & (start + self.length[window] <= ends[d])
-            window, d, start = window[fits], d[fits], start[fits]
-            at = np.minimum(start[:, None] + room, len(ids) - 1)
-            same = (ids[at] == self.words[window]) | (room >= self.length[window][:, None])
-            full = same.all(axis=1)
-            yield d[full], start[full], window[full]
-
-
-def groups(batch: pa.RecordBatch) -> Iterator[tuple[int, list[list[bytes]]]]:
-    """The words of a batch's texts, some MB at a time, with the first row's number."""
-    at, held, size = 0, [], 0
-    for text in texts_of(batch.column("text")):
+            h = shingles_at(w, width)
+            at = np.flatnonzero(self.has(h))
+            doc = np.searchsorted(ends, at, "right")
+            inside = at + width <= ends[doc]
+            doc, at = doc[inside], at[inside]
+            yield doc, at - (ends - size)[doc], h[at]
+
+
+def sieve_of(shingles: DataFrame) -> Sieve:
+    """shingles: h and width. What goes to the driver is its bitmaps."""
+    total = shingles.count()
+    bits = min(max(BITMAP, 1 << (SIEVE_BITS * total - 1).bit_length() if total else 0), MOST_BITS)
+    widths = sorted(r["width"] for r in shingles.select("width").distinct().collect())
+    sides = []
+    for slot in (F.col("h"), F.shiftright("h", 32)):
+        number = slot.bitwiseAND(F.lit(bits - 1)) + 1
+        rows = shingles.select(F.bitmap_bucket_number(number).alias("bucket"), F.bitmap_bit_position(number).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
+        side = np.zeros(bits // 8, np.uint8)
+        for r in rows:
+            side[(r["bucket"] - 1) * BITMAP // 8 :][: BITMAP // 8] = np.frombuffer(bytes(r["bits"]), np.uint8)
+        sides.append(side)
+    return Sieve(widths, bits, *sides)
+
+
+def groups(texts: list[bytes]) -> Iterator[list[list[bytes]]]:
+    """The words of texts, some MB at a time."""
+    held, size = [], 0
+    for text in texts:
         held.append(words_of(text))
         size += len(text)
         if size >= GROUP_BYTES:
-            yield at, held
-            at, held, size = at + len(held), [], 0
+            yield held
+            held, size = [], 0
     if held:
-        yield at, held
-
-
-def flat(docs: list[list[bytes]], ids: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word numbers of all documents, and where each begins and ends."""
-    size = np.array([len(w) for w in docs], np.int64)
-    get, ends = ids.get, np.cumsum(size)
-    return np.fromiter(map(get, chain.from_iterable(docs), repeat(0)), np.int64, int(ends[-1])), ends - size, ends
+        yield held
 
 
-def blocks(benchmark: DataFrame, item_col: str, text_col: str, most: int) -> Iterator[Block]:
-    """The distinct windows of the benchmark, `most` at a time on average."""
+def windows_of(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    """(item, window) of the benchmark, each once; a window is its words with a space between."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for item, text in zip(batch.column("item"), texts_of(batch.column("text"))):
+            record = batch.column("record").field(0)
+            for i, text in enumerate(texts_in(batch, text_col)):
                 w = words_of(text)
-                each = {b" ".join(w[i : i + WINDOW]) for i in range(max(1, len(w) - WINDOW + 1))} if w else ()
-                yield pa.RecordBatch.from_arrays([pa.array([item.as_py()] * len(each), batch.column("item").type), pa.array(list(each), pa.binary())], names=["item", "window"])
+                each = list({b" ".join(w[k : k + WINDOW]) for k in range(max(1, len(w) - WINDOW + 1))}) if w else []
+                for k in range(0, len(each), 10_000):
+                    part = each[k : k + 10_000]
+                    yield pa.RecordBatch.from_arrays([record.take(pa.array([i] * len(part))), pa.array(part, pa.binary()).cast(pa.string())], names=["item", "window"])
 
-    rows = benchmark.select(F.col(f"`{item_col}`").alias("item"), F.col(f"`{text_col}`").alias("text"))
-    windows = rows.mapInArrow(cut, rows.select("item").schema.add("window", "binary")).distinct()
-    total = windows.select("window").distinct().count()
-    n = -(-total // most)
-    for b in range(n):
-        mine: dict[tuple[bytes, ...], list] = {}
-        for r in windows.where(F.pmod(F.xxhash64("window"), F.lit(n)) == b).toLocalIterator():
-            mine.setdefault(tuple(bytes(r["window"]).split(b" ")), []).append(r["item"])
-        if mine:
-            yield Block(mine)
+    rows = with_text(benchmark.select(F.col(f"`{item_col}`").alias("item"), F.col(f"`{text_col}`").alias("text")), "text", ["item"])
+    return materialize(rows.mapInArrow(cut, rows.select("record.item").schema.add("window", "string")).distinct(), "leak-windows")
 
 
-def shingle_counts(docs: DataFrame, block: Block) -> np.ndarray:
-    """How often each shingle of the block occurs in all documents; each task sends a row per shingle at most."""
-    shared = docs.sparkSession.sparkContext.broadcast(block)
+def shingles_of(windows: DataFrame) -> DataFrame:
+    """(window, size, place, h, width): the shingles of each window with their places."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b = shared.value
-        total = np.zeros(len(b.shingles), np.int64)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, words in groups(batch):
-                total += np.bincount(b.found_at(flat(words, b.ids)[0], b.shingles)[1], minlength=len(total))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["shingle", "n"])
+            out: list[list] = [[] for _ in range(5)]
+            for window in batch.column("window").to_pylist():
+                w = hashed(window.encode().split())
+                width = min(SHINGLE, len(w))
+                for place, h in enumerate(shingles_at(w, width).tolist()):
+                    for column, value in zip(out, (window, len(w), place, h, width)):
+                        column.append(value)
+            kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["window", "size", "place", "h", "width"])
+
+    return materialize(windows.select("window").distinct().mapInArrow(cut, "window string, size int, place int, h long, width int"), "leak-shingles")
+
 
-    out = np.zeros(len(block.shingles), np.int64)
-    for r in docs.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).collect():
-        out[r["shingle"]] = r["n"]
-    return out
+def counted(docs: DataFrame, text_col: str, sieve: Sieve) -> DataFrame:
+    """(slot, n): how often the shingles of a slot occur in all documents. A shingle's count is that of its slot, which is
+    never too low and nearly always its own; every order of shingles serves as long as all windows use the same."""
+    shared = docs.sparkSession.sparkContext.broadcast(sieve)
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sieve, slots, n, held = shared.value, [], [], 0
+
+        def summed() -> tuple[np.ndarray, np.ndarray]:
+            slot, place = np.unique(np.concatenate(slots), return_inverse=True)
+            return slot, np.bincount(place.reshape(-1), np.concatenate(n)).astype(np.int64)
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", carry: list[str] | None = None, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+        for batch in batches:
+            for words in groups(texts_of(batch.column("text"))):
+                for _, _, h in sieve.found(words):
+                    slot, times = np.unique(h & (sieve.bits - 1), return_counts=True)
+                    slots.append(slot)
+                    n.append(times)
+                    held += len(slot)
+                if held > COUNTED:
+                    (slot, times), held = summed(), 0
+                    slots, n = [slot], [times]
+        if slots:
+            slot, times = summed()
+            for i in range(0, len(slot), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(slot[i : i + 100_000]), pa.array(times[i : i + 100_000])], names=["slot", "n"])
+
+    rows = with_text(docs.select(F.col(f"`{text_col}`").alias("text")), "text", []).select("text")
+    return rows.mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+
+
+PLACES = "array<struct<place:int,h:long,begin:int,around:string>>"
+
+
+def places_in(docs: DataFrame, text_col: str, carry: list[str], sieve: Sieve) -> DataFrame:
+    """record, n_words and, for each place where a prefix shingle may begin, its hash and the words around it that a window
+    could reach; begin is the number of the first of these."""
+    shared = docs.sparkSession.sparkContext.broadcast(sieve)
+    rows = with_text(docs, text_col, carry)
+    kind = pa.list_(pa.struct([("place", pa.int32()), ("h", pa.int64()), ("begin", pa.int32()), ("around", pa.string())]))
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts: list[int] = []
+            found: list[list[dict]] = []
+            for docs_ in groups(texts_in(batch, text_col)):
+                first = len(found)
+                counts += map(len, docs_)
+                found += [[] for _ in docs_]
+                for doc, place, h in shared.value.found(docs_):
+                    for d, p, x in zip(doc.tolist(), place.tolist(), h.tolist()):
+                        begin = max(0, p - WINDOW + 1)
+                        found[first + d].append({"place": p, "h": x, "begin": begin, "around": b" ".join(docs_[d][begin : p + WINDOW]).decode()})
+            yield pa.RecordBatch.from_arrays([batch.column("record"), pa.array(counts, pa.int64()), pa.array(found, kind)], names=["record", "n_words", "places"])
+
+    schema = rows.select("record", F.lit(0).cast("long").alias("n_words"), F.lit(None).cast(PLACES).alias("places")).schema
+    return rows.mapInArrow(look, schema)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """Which words of each document lie inside an occurrence of a benchmark window.
 
     Words are runs of 0-9, a-z and characters beyond ASCII once A-Z are lower-cased. Returns for each row of docs: record
     (its columns, or those of carry), n_words, runs (array of [first, last + 1] word numbers, merged, ascending) and items
     (distinct ids of the items with a window that occurs; an item without an id is null there). Null and empty texts have
-    no words; items without words have no window; items that share an id count as one.
+    no words; items without words have no window; items that share an id count as one; repeated rows each count. An empty
+    table of documents gives no rows, one of items no runs. Only documents with a place to look at are shuffled.
     """
-    spark = docs.sparkSession
-    item_type = benchmark.schema[item_col].dataType
-    record = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if carry is None else carry)]).alias("record")
-    rows = docs.select(record, F.col(f"`{text_col}`").alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<array<long>>").alias("runs"), F.array().cast(f"array<{item_type.simpleString()}>").alias("items"))
-    some = False
-    for block in blocks(benchmark, item_col, item_text_col, block_windows):
-        some = True
-        block.order_by(shingle_counts(rows, block))
-        shared = spark.sparkContext.broadcast(block)
-
-        def join(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            b = shared.value
-            for batch in batches:
-                count, runs, items = [], batch.column("runs").to_pylist(), batch.column("items").to_pylist()
-                for at, words in groups(batch):
-                    count += map(len, words)
-                    ids, begins, ends = flat(words, b.ids)
-                    mark, pairs = np.zeros(len(ids) + 1, np.int64), []
-                    for d, start, window in b.hits(ids, begins, ends):
-                        np.add.at(mark, start, 1)
-                        np.add.at(mark, start + b.length[window], -1)
-                        n = b.item_count[window]
-                        entry = np.repeat(b.item_start[window] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                        pairs.append(np.unique(np.repeat(d, n) * len(b.items) + b.item_list[entry]))
-                    if not pairs:
-                        continue
-                    for p in np.unique(np.concatenate(pairs)).tolist():
-                        d, i = divmod(p, len(b.items))
-                        if b.items[i] not in items[at + d]:
-                            items[at + d].append(b.items[i])
-                    hit = np.cumsum(mark[:-1]) > 0
-                    new = np.unique(np.searchsorted(ends, np.flatnonzero(hit), "right"))
-                    for d in new.tolist():
-                        own = hit[begins[d] : ends[d]].copy()
-                        for first, last in runs[at + d]:
-                            own[first:last] = True
-                        edge = np.flatnonzero(np.diff(np.concatenate([[False], own, [False]]).astype(np.int8)))
-                        runs[at + d] = edge.reshape(-1, 2).tolist()
-                yield pa.RecordBatch.from_arrays([batch.column("record"), batch.column("text"), pa.array(count, pa.int64()), pa.array(runs, pa.list_(pa.list_(pa.int64()))), pa.array(items, batch.column("items").type)], names=["record", "text", "n_words", "runs", "items"])
-
-        rows = rows.mapInArrow(join, rows.schema)
-    if not some:  # words still count
-        pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-        rows = rows.withColumn("n_words", F.size(F.regexp_extract_all(F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(pattern), F.lit(0))).cast("long"))
-    return rows.select("record", "n_words", "runs", "items")
+    windows = windows_of(benchmark, item_col, item_text_col)
+    shingles = shingles_of(windows)
+    sieve = sieve_of(shingles.select("h", "width").distinct())
+    counts = counted(docs, text_col, sieve)
+    rated = shingles.withColumn("slot", F.col("h").bitwiseAND(F.lit(sieve.bits - 1))).join(counts, "slot", "left")
+    rarest = F.min_by(F.struct("h", "place", "width"), F.struct(F.coalesce("n", F.lit(0).cast("long")), "h", "place"))
+    prefixes = rated.groupBy("window", "size").agg(rarest.alias("p")).select("window", "size", "p.h", F.col("p.place").alias("offset"), "p.width")
+    prefixes = materialize(prefixes, "leak-prefixes")
+
+    columns = docs.columns if carry is None else carry
+    seen = places_in(docs, text_col, columns, sieve_of(prefixes.select("h", "width").distinct()))
+    seen = materialize(seen.withColumn("row", F.monotonically_increasing_id()), "leak-places")
+    spots = seen.where(F.size("places") > 0).select("row", F.explode("places").alias("s")).select("row", "s.*")
+    start = F.col("place") - F.col("offset")
+    stretch = F.array_join(F.slice(F.split("around", " "), start - F.col("begin") + 1, F.col("size")), " ")
+    hits = spots.join(prefixes, "h").where(F.when(start >= 0, stretch == F.col("window")).otherwise(F.lit(False)))
+    hits = materialize(hits.select("row", start.alias("first"), (start + F.col("size")).alias("last"), "window").distinct(), "leak-hits")
+
+    items = hits.select("row", "window").distinct().join(windows, "window").select("row", F.struct("item").alias("i")).groupBy("row").agg(F.collect_set("i").alias("i"))
+    before = Window.partitionBy("row").orderBy("first", "last")
+    apart = hits.select("row", "first", "last").distinct().withColumn("reach", F.max("last").over(before.rowsBetween(Window.unboundedPreceding, -1)))
+    runs = apart.withColumn("run", F.count_if(F.col("reach").isNull() | (F.col("first") > F.col("reach"))).over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = runs.groupBy("row", "run").agg(F.array(F.min("first").cast("long"), F.max("last").cast("long")).alias("r")).groupBy("row").agg(F.array_sort(F.collect_list("r")).alias("r"))
+    kind = benchmark.schema[item_col].dataType.simpleString()
+    none = (F.array().cast("array<array<long>>"), F.array().cast(f"array<{kind}>"))
+    clean = seen.where(F.size("places") == 0).select("record", "n_words", none[0].alias("runs"), none[1].alias("items"))
+    other = seen.where(F.size("places") > 0).select("record", "n_words", "row").join(runs.join(items, "row"), "row", "left")
+    other = other.select("record", "n_words", F.coalesce("r", none[0]).alias("runs"), F.coalesce(F.transform("i", lambda x: x["item"]), none[1]).alias("items"))
+    return clean.union(other)
 
 
 def n_hit():
