@@ -1,14 +1,14 @@
 """Secret scans: all rules in one automaton and one pass over the bytes.
 
-The automaton (see automaton.py) marks where a match of a rule ends. Only the stretch between the reset bytes around
-such a place is looked at again, by the rule's own regex, which gives the exact span: leftmost, non-overlapping for each
-kind, and dropped where it fails the kind's length.
+The automaton (see automaton.py) gives the spans of every rule's matches: leftmost, as long as can be and non-overlapping
+for each kind. Those too short for their kind are dropped, without another try inside them.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .automaton import Automaton
-from .common import table
-from .tokens import texts_of
+from .common import table, texts_in, with_text
 
 GROUP_BYTES = 8 << 20
 
@@ -26,48 +25,46 @@ def either_case(words: bytes) -> bytes:
     return re.sub(rb"[a-z]", lambda m: b"[%c%c]" % (m[0][0] - 32, m[0][0]), words)
 
 
+class Secret(NamedTuple):
+    pattern: bytes
+    #: Least length of a match.
+    least: int
+    #: Whether only the value counts for that: what follows from the first byte with which the match could end.
+    value_only: bool = False
+
+
 KEYS = either_case(b"(password|passwd|secret|token|api_?key)")
-VALUE = rb"[A-Za-z0-9+/_.=-]"
-#: kind: regex for the automaton, regex of the span, least length, group whose length counts. Rules with a rare beginning
-#: end there in the automaton: counting their lengths side by side would multiply its states.
-RULES: dict[str, tuple[bytes, bytes, int, int]] = {
-    "assign": (KEYS + rb"""["']?\x20*[:=]\x20*["']?""" + VALUE, KEYS + rb"""["']?\x20*[:=]\x20*["']?(""" + VALUE + b"+)", 6, 2),
-    "access": (rb"AKIA[A-Z0-9]", rb"AKIA[A-Z0-9]+", 20, 0),
-    "hex": (rb"[0-9a-f]{24,}", rb"[0-9a-f]+", 24, 0),
-    "forge": (rb"gh[pousr]_[A-Za-z0-9]", rb"gh[pousr]_[A-Za-z0-9]+", 24, 0),
-    "chat": (rb"xox[abprs]-[A-Za-z0-9]", rb"xox[abprs]-[A-Za-z0-9-]+", 15, 0),
-    "webtoken": (rb"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]", rb"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+(\.[A-Za-z0-9_-]+)?", 24, 0),
-    "pem": (rb"-----BEGIN [A-Z ]*PRIVATE KEY-----", rb"-----BEGIN [A-Z ]*PRIVATE KEY-----", 1, 0),
+RULES: dict[str, Secret] = {
+    "assign": Secret(KEYS + rb"""["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+""", 6, value_only=True),
+    "access": Secret(rb"AKIA[A-Z0-9]+", 20),
+    "hex": Secret(rb"[0-9a-f]+", 24),
+    "forge": Secret(rb"gh[pousr]_[A-Za-z0-9]+", 24),
+    "chat": Secret(rb"xox[abprs]-[A-Za-z0-9-]+", 15),
+    "webtoken": Secret(rb"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+(\.[A-Za-z0-9_-]+)?", 24),
+    "pem": Secret(rb"-----BEGIN [A-Z ]*PRIVATE KEY-----", 1),
 }
 BASE = ("assign", "access", "hex")
 
 
 class Scanner:
-    def __init__(self, rules: dict[str, tuple[bytes, bytes, int, int]]):
-        self.kinds = list(rules)
-        self.automaton = Automaton([r[0] for r in rules.values()])
-        self.exact = [(re.compile(r[1]), r[2], r[3]) for r in rules.values()]
+    def __init__(self, rules: dict[str, Secret]):
+        self.kinds, self.rules = list(rules), list(rules.values())
+        self.automaton = Automaton([r.pattern for r in self.rules])
 
     def scan(self, texts: list[bytes]) -> dict[int, list[tuple[int, int, int]]]:
         """Spans (start, kind, end; in characters) of the texts that have any, by the text's number."""
-        whole = b"\n".join(texts) + b"\n"
-        flat = np.frombuffer(whole, np.uint8)
-        hits = list(self.automaton.ends(flat))
-        if not hits:
-            return {}
-        place, rules = (np.concatenate(x) for x in zip(*hits))
-        stops = np.flatnonzero(self.automaton.resets[flat])
-        after = np.searchsorted(stops, place)  # the stretch of each hit ends at this reset byte
+        whole = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
         size = np.array([len(t) + 1 for t in texts], np.int64)
         ends = np.cumsum(size)
         found: dict[int, list[tuple[int, int, int]]] = {}
-        for kind, (exact, least, group) in enumerate(self.exact):
-            for s in np.unique(after[(rules >> kind) & 1 == 1]).tolist():
-                a, b = (int(stops[s - 1]) + 1 if s else 0), int(stops[s])
-                doc = int(np.searchsorted(ends, a, "right"))
-                for m in exact.finditer(whole, a, b):
-                    if len(m[group]) >= least:
-                        found.setdefault(doc, []).append((m.start() - int(ends[doc] - size[doc]), kind, m.end() - int(ends[doc] - size[doc])))
+        for kind, begin, early, end in self.automaton.matches(whole):
+            rule = self.rules[kind]
+            long = end - (early - 1 if rule.value_only else begin) >= rule.least
+            begin, end = begin[long], end[long]
+            doc = np.searchsorted(ends, begin, "right")
+            first = (ends - size)[doc]
+            for d, a, b in zip(doc.tolist(), (begin - first).tolist(), (end - first).tolist()):
+                found.setdefault(d, []).append((a, kind, b))
         return {d: in_characters(texts[d], sorted(spans)) for d, spans in found.items()}
 
 
@@ -80,14 +77,14 @@ def in_characters(text: bytes, spans: list[tuple[int, int, int]]) -> list[tuple[
     return [(at(a), k, at(b)) for a, k, b in spans]
 
 
-def secrets(docs: DataFrame, rules: dict[str, tuple[bytes, bytes, int, int]] | None = None, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+def secrets(docs: DataFrame, rules: dict[str, Secret] | None = None, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """For each row of docs: record (its columns, or those of carry) and spans, an array of (start, end, kind) by start,
     then kind in the order of the rules. start and end count code points, end exclusive. Null counts as empty; texts
-    without a secret have an empty array. Rows stay where they are: no text is too long, and no source too common."""
+    without a secret have an empty array; repeated rows each have theirs; an empty table gives no rows. Rows stay where
+    they are: no text is too long, and no source too common."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(Scanner(rules or RULES))
-    record = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if carry is None else carry)]).alias("record")
-    rows = docs.select(record, F.col(f"`{text_col}`").alias("text"))
+    rows = with_text(docs, text_col, carry)
     schema = rows.select("record", F.array(F.struct(F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"), F.lit("").alias("kind"))).alias("spans")).schema
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
 
@@ -96,7 +93,7 @@ def secrets(docs: DataFrame, rules: dict[str, tuple[bytes, bytes, int, int]] | N
         for batch in batches:
             out: list[list] = []
             texts, held = [], 0
-            for text in [*texts_of(batch.column("text")), None]:
+            for text in [*texts_in(batch, text_col), None]:
                 if text is not None:
                     texts.append(text)
                     held += len(text)
