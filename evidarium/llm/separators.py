@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch, table
+from .common import materialize, scratch, table, with_text
 from .files import read_at, write_whole
 from .tokens import default_vocabulary, library_words, texts_of
 
@@ -27,7 +27,9 @@ FILE_IDS = 16_000_000
 
 def write_flat(docs: DataFrame, vocabulary: str, end_id: int, width: str = "<u2", id_col: str = "doc_id", text_col: str = "text") -> tuple[str, DataFrame]:
     """Encode every text and write flat files. Returns their folder and, for each row, id, file and place (its number in
-    the file). Strings of special tokens inside a text are ordinary text, so end_id only stands at the end of one."""
+    the file). Strings of special tokens inside a text are ordinary text, so end_id only stands at the end of one. Null
+    counts as empty, and both give the end id alone; repeated rows and rows that share an id or have none are written one
+    by one; a text longer than a file is not cut; an empty table gives a folder without ids."""
     spark, folder = docs.sparkSession, scratch(docs.sparkSession, "flat-tokens")
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,14 +53,15 @@ def write_flat(docs: DataFrame, vocabulary: str, end_id: int, width: str = "<u2"
         if ids:
             yield close()
 
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    write_whole(f"{folder}/none.bin", [])  # so that the folder is there even if no row is
+    rows = with_text(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), "text", ["id"]).select("record.id", "text")
     return folder, materialize(rows.mapInArrow(save, rows.select("id").schema.add("file", "string").add("place", "long")), "flat-order")
 
 
 def count_flat(spark: SparkSession, folder: str, end_id: int, width: str = "<u2", block_ids: int = BLOCK_IDS) -> DataFrame:
     """Every document of the folder's *.bin files, taken in order of their names as one stream.
 
-    Returns file and place (of the file in which the document ends, and its number among those that end there), number
+    An empty folder gives no rows. Returns file and place (of the file in which the document ends, and its number among those that end there), number
     (among all), start (ids before it, end ids included), n_tokens (without the end id) and ended. What follows the last
     end id, if anything, is a row with ended false and place null. A file may begin or end in the middle of a document.
     """
@@ -89,10 +92,11 @@ def count_flat(spark: SparkSession, folder: str, end_id: int, width: str = "<u2"
     files = files.withColumn("file_last", F.max(F.col("file_at") + F.col("tail")).over(before))
     s = b.join(files.select("path", "file_at", "file_k", "file_last"), "path")
     s = s.withColumn("open", F.coalesce(F.col("file_at") + F.col("last"), "file_last", F.lit(-1).cast("long")) + 1)  # where the block's first document began
-    e = s.select("path", "k", "file_k", "open", (F.col("file_at") + F.col("at")).alias("base"), "ends", F.posexplode("ends").alias("i", "end"))
-    e = e.withColumn("start", F.when(F.col("i") > 0, F.col("base") + F.get("ends", F.col("i") - 1) + 1).otherwise(F.col("open")))
+    first = lambda end, i: F.when(i > 0, F.col("base") + F.get("ends", i - 1) + 1).otherwise(F.col("open"))
+    spans = F.transform("ends", lambda end, i: F.struct(first(end, i).alias("start"), (F.col("base") + end).alias("end")))
+    e = s.withColumn("base", F.col("file_at") + F.col("at")).select("path", "k", "file_k", F.posexplode(spans).alias("i", "span"))
     name = F.element_at(F.split("path", "/"), -1)
-    whole = e.select(name.alias("file"), (F.col("k") + F.col("i")).alias("place"), (F.col("file_k") + F.col("k") + F.col("i")).alias("number"), "start", (F.col("base") + F.col("end") - F.col("start")).alias("n_tokens"), F.lit(True).alias("ended"))
+    whole = e.select(name.alias("file"), (F.col("k") + F.col("i")).alias("place"), (F.col("file_k") + F.col("k") + F.col("i")).alias("number"), "span.start", (F.col("span.end") - F.col("span.start")).alias("n_tokens"), F.lit(True).alias("ended"))
     total = files.agg(F.max("path").alias("path"), F.sum("ids").alias("ids"), F.sum("m").alias("m"), (F.max(F.col("file_at") + F.col("tail")) + 1).alias("from"))
     start = F.coalesce("from", F.lit(0).cast("long"))
     rest = total.select(name.alias("file"), F.lit(None).cast("long").alias("place"), F.col("m").alias("number"), start.alias("start"), (F.col("ids") - start).alias("n_tokens"), F.lit(False).alias("ended")).where("n_tokens > 0")
