@@ -17,8 +17,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
-from .tokens import Words, _kept, default_vocabulary, pieces_of, texts_of
+from .common import table, texts_in, with_text
+from .tokens import Words, _kept, default_vocabulary, is_known, pieces_of
 
 NONE = np.iinfo(np.int64).max
 #: Words that a Python worker keeps here; it may hold other operators' caches too.
@@ -56,6 +56,9 @@ class MergeTable:
         self.together = bool((last_made < first_use).all())
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
+        self.heads = {t[0] for t in self.specials}
+        if spec.get("decoder") is not None or not is_known(spec):
+            raise ValueError("a vocabulary with a decoder or rules for words of its own is not supported")
         strings = {i: s for s, i in vocab.items()} | {i: s for s, i in self.specials.items()}
         self.strings = [strings.get(i, "").encode() for i in range(max(strings) + 1)]
 
@@ -96,7 +99,7 @@ class MergeTable:
         """Pre-tokens of a word, with the ids of special tokens between them."""
         out: list[bytes | int] = []
         at = 0
-        for m in self.cut.finditer(word) if self.cut and "<" in word else ():
+        for m in self.cut.finditer(word) if self.cut and any(c in word for c in self.heads) else ():
             out += self._plain(word[at : m.start()])
             out.append(self.specials[m[0]])
             at = m.end()
@@ -154,10 +157,10 @@ def encoded(docs: DataFrame, path: str, digests: bool = False, text_col: str = "
     """For each row of docs its columns (or those of carry) as `record`, and of its text n_tokens with either ids
     (binary: little-endian unsigned 32-bit) and decoded (string), or with digests ids_sha256 and decoded_sha256.
 
-    Null and empty texts have no ids and decode to "". No row moves: the work follows the partitions of docs.
+    Null and empty texts have no ids and decode to ""; repeated rows each count; an empty table gives no rows. No row moves:
+    the work follows the partitions of docs.
     """
-    record = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if carry is None else carry)])
-    rows = docs.select(record.alias("record"), F.col(f"`{text_col}`").alias("text"))
+    rows = with_text(docs, text_col, carry)
     tail = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "n_tokens long, ids binary, decoded string"
     schema = rows.select("record").schema
     for part in tail.split(", "):
@@ -167,7 +170,7 @@ def encoded(docs: DataFrame, path: str, digests: bool = False, text_col: str = "
         table_, words = merge_words(path)
         for batch in batches:
             counts, left, right = [], [], []
-            for blob in words.blobs(texts_of(batch.column("text"))):
+            for blob in words.blobs(texts_in(batch, text_col)):
                 text = table_.decode(np.frombuffer(blob, "<u4"))
                 counts.append(len(blob) // 4)
                 left.append(hashlib.sha256(blob).hexdigest() if digests else blob)

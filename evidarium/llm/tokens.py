@@ -6,10 +6,12 @@ it, so a text's ids are those of its words in turn. A word is encoded once and t
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import unicodedata
 from collections.abc import Callable, Iterator
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -21,8 +23,14 @@ PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 SPLITTER = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
 
+#: The first character behind the Latin, Greek and Cyrillic ones.
+OTHERS = "\u0530"
+#: Marks that make a piece of their own behind letters.
+MARKS = frozenset(",.;:!?)")
 #: Words kept by a Python worker, about 200 bytes each, in two halves: when the newer is full, the older goes.
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 1_000_000
+#: Pieces of words that it keeps, likewise.
+CACHE_PIECES = 800_000
 #: Bytes of text that are split at a time.
 GROUP_BYTES = 4 << 20
 
@@ -36,20 +44,73 @@ def default_vocabulary() -> str:
 
 
 def pieces_of(text: str) -> list[str]:
-    """Normalised pre-tokens of a text without special tokens."""
+    """Normalised pre-tokens of a text without special tokens. Characters from OTHERS on are left to the library, as its
+    tables of letters may be older or newer than Python's."""
     if text.isascii():
         text = text.lower()
-    else:
+    elif max(text) < OTHERS:
         text = unicodedata.normalize("NFC", text)
         text = "".join(c.lower() for c in text) if "Σ" in text else text.lower()  # without the rule for a last sigma
+    else:
+        normalizer, splitter = library_parts()
+        return [piece for piece, _ in splitter.pre_tokenize_str(normalizer.normalize_str(text))]
     return [text] if text.isascii() and text.isalpha() else PIECES.findall(text)
 
 
+@cache
+def library_parts():
+    """NORMALIZER and SPLITTER as objects of the library."""
+    from tokenizers import Regex, normalizers, pre_tokenizers
+
+    normalizer = normalizers.Sequence([normalizers.NFC(), normalizers.Replace(Regex(r"\s+"), " "), normalizers.Lowercase()])
+    return normalizer, pre_tokenizers.Split(Regex(SPLITTER["pattern"]["Regex"]), behavior="removed", invert=True)
+
+
+def is_known(spec: dict) -> bool:
+    """Whether pieces_of does what this vocabulary file asks for."""
+    return spec["normalizer"] == NORMALIZER and spec["pre_tokenizer"]["pretokenizers"][0] == SPLITTER
+
+
+def pieces_of_words(words: list[bytes]) -> list[str | tuple[str, ...]]:
+    """For each of many words without white space its piece, or a tuple of its pieces. Words of ASCII letters, with or
+    without one mark behind them, need no regex."""
+    plain = iter(b"\n".join([w for w in words if w.isascii()]).decode().lower().split("\n"))
+    out: list[str | tuple[str, ...]] = []
+    for word in words:
+        if not word.isascii():
+            out.append(tuple(pieces_of(word.decode())))
+        elif (w := next(plain)).isalpha():
+            out.append(w)
+        elif w[-1:] in MARKS and w[:-1].isalpha():
+            out.append((w[:-1], w[-1]))
+        else:
+            out.append(tuple(PIECES.findall(w)))
+    return out
+
+
+class Kept:
+    """Results of work on keys, in two halves: when the newer is full, the older goes."""
+
+    def __init__(self, work: Callable[[list], list], most: int):
+        self.work, self.most, self.newer, self.older = work, most, {}, {}
+
+    def having(self, keys: set) -> dict:
+        """A dict that has the results of all these keys."""
+        unseen = keys.difference(self.newer)
+        if 2 * (len(self.newer) + len(unseen)) > self.most:
+            self.newer, self.older, unseen = {}, self.newer, keys
+        known = unseen.intersection(self.older)
+        self.newer.update(zip(known, map(self.older.__getitem__, known)))
+        new = list(unseen.difference(known))
+        self.newer.update(zip(new, self.work(new)))
+        return self.newer
+
+
 class Words:
     """ids of texts, as little-endian bytes of the given width."""
 
     def __init__(self, encode: Callable[[list[bytes]], list[bytes]], most: int | None = None):
-        self.encode, self.cache, self.older, self.most = encode, {}, {}, most
+        self.kept = Kept(encode, most or CACHE_WORDS)
 
     def blobs(self, texts: list[bytes]) -> Iterator[bytes]:
         """The ids of each text. Texts go in groups, so that many unseen words are encoded together."""
@@ -62,26 +123,26 @@ class Words:
                 group, held = [], 0
         yield from self._group(group)
 
-    def _group(self, texts: list[bytes]) -> Iterator[bytes]:
-        words = [t.split() for t in texts]
-        distinct = set(chain.from_iterable(words))
-        unseen = distinct.difference(self.cache)
-        if 2 * (len(self.cache) + len(unseen)) > (self.most or CACHE_WORDS):
-            self.cache, self.older, unseen = {}, self.cache, distinct
-        known = unseen.intersection(self.older)
-        self.cache.update(zip(known, map(self.older.__getitem__, known)))
-        new = list(unseen.difference(known))
-        self.cache.update(zip(new, self.encode(new)))
-        get = self.cache.__getitem__
-        for w in words:
-            yield b"".join(map(get, w))
+    def _group(self, texts: list[bytes]) -> list[bytes]:
+        collects = gc.isenabled()
+        gc.disable()  # there are many lists and no cycles here
+        try:
+            words = [t.split() for t in texts]
+            get = self.kept.having(set(chain.from_iterable(words))).__getitem__
+            return [b"".join(map(get, w)) for w in words]
+        finally:
+            if collects:
+                gc.enable()
 
 
 class LibraryEncoder:
     """Encodes words with the tokenizers library. Many words go as one text with the end-of-text token between them,
-    which the library cuts out before anything else; words that hold a special token's string go alone. Where the
-    vocabulary's normaliser and splitter are those of pieces_of, the pieces are made here and only merged by the library,
-    which takes half the time."""
+    which the library cuts out before anything else; words that hold a special token's string go alone.
+
+    Where the vocabulary's normaliser and splitter are those of pieces_of, words are cut into pieces here and the library
+    merges each piece once, as few pieces make up many words. The last symbol of a piece has the vocabulary's suffix, so
+    the ids of many pieces in one text fall apart by that.
+    """
 
     SLICE = 256
 
@@ -97,14 +158,18 @@ class LibraryEncoder:
         self.between, self.cut = specials[-1]
         self.literal = literal_specials
         spec = json.load(open(path, encoding="utf-8"))
-        self.known = spec["normalizer"] == NORMALIZER and spec["pre_tokenizer"]["pretokenizers"][0] == SPLITTER
-        self.merger = self.tokenizer
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.known = is_known(spec) and bool(suffix)
         if self.known:
             from tokenizers import pre_tokenizers
 
+            self.pieces = Kept(self.merged, CACHE_PIECES)
             self.merger = Tokenizer.from_file(path)
             self.merger.normalizer = None
             self.merger.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            vocab = spec["model"]["vocab"]
+            self.last = np.zeros(max(vocab.values()) + 1, bool)
+            self.last[[i for s, i in vocab.items() if s.endswith(suffix)]] = True
 
     def alone(self, word: bytes) -> bytes:
         self.tokenizer.encode_special_tokens = self.literal
@@ -113,19 +178,45 @@ class LibraryEncoder:
         return np.array(ids, self.width).tobytes()
 
     def __call__(self, words: list[bytes]) -> list[bytes]:
-        plain = [w for w in words if not any(s in w for s in self.apart)]
-        slices = [plain[i : i + self.SLICE] for i in range(0, len(plain), self.SLICE)]
-        written = (lambda w: " ".join(pieces_of(w.decode()))) if self.known else bytes.decode
-        texts = [self.between.join(map(written, x)) for x in slices]
-        found = {}
-        for x, e in zip(slices, self.merger.encode_batch_fast(texts, add_special_tokens=False)):
+        whole = b" ".join(words)
+        if not any(s in whole for s in self.apart):
+            return self.plain(words)
+        odd = {w for w in words if any(s in w for s in self.apart)}
+        found = iter(self.plain([w for w in words if w not in odd]))
+        return [self.alone(w) if w in odd else next(found) for w in words]
+
+    def plain(self, words: list[bytes]) -> list[bytes]:
+        if self.known:
+            return self.by_pieces(pieces_of_words(words))
+        out: list[bytes] = []
+        slices = [words[i : i + self.SLICE] for i in range(0, len(words), self.SLICE)]
+        for x, e in zip(slices, self.tokenizer.encode_batch_fast([self.between.join(map(bytes.decode, x)) for x in slices], add_special_tokens=False)):
+            ids = np.array(e.ids, self.width)
+            ends = np.append(np.flatnonzero(ids == self.cut), len(ids))
+            assert len(ends) == len(x)
+            out += cut_at(ids, np.append(0, ends[:-1] + 1), ends)
+        return out
+
+    def by_pieces(self, parts: list[str | tuple[str, ...]]) -> list[bytes]:
+        distinct = {p for p in parts if p.__class__ is str}
+        distinct.update(chain.from_iterable(p for p in parts if p.__class__ is tuple))
+        get = self.pieces.having(distinct).__getitem__
+        return [get(p) if p.__class__ is str else b"".join(map(get, p)) for p in parts]
+
+    def merged(self, pieces: list[str]) -> list[bytes]:
+        slices = [pieces[i : i + self.SLICE] for i in range(0, len(pieces), self.SLICE)]
+        out: list[bytes] = []
+        for x, e in zip(slices, self.merger.encode_batch_fast([" ".join(x) for x in slices], add_special_tokens=False)):
             ids = np.array(e.ids, self.width)
-            ends = np.flatnonzero(ids == self.cut).tolist() + [len(ids)]
-            raw, size, at = ids.tobytes(), ids.itemsize, 0
-            for w, end in zip(x, ends, strict=True):
-                found[w] = raw[at * size : end * size]
-                at = end + 1
-        return [found[w] if w in found else self.alone(w) for w in words]
+            ends = np.flatnonzero(self.last[ids]) + 1
+            assert len(ends) == len(x)
+            out += cut_at(ids, np.append(0, ends[:-1]), ends)
+        return out
+
+
+def cut_at(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    raw, size = ids.tobytes(), ids.itemsize
+    return [raw[a:b] for a, b in zip((starts * size).tolist(), (ends * size).tolist())]
 
 
 def library_words(path: str, width: str, literal_specials: bool = False) -> Words:

@@ -4,9 +4,10 @@ import numpy as np
 from tokenizers import Tokenizer
 
 import evidarium.llm.idfile as idfile
+from evidarium.llm.bpe import MergeTable
 from evidarium.llm.idfile import pack, read_ids, starts_of, unpack, write_ids
 from evidarium.llm.separators import count_flat, write_flat
-from evidarium.llm.tokens import default_vocabulary
+from evidarium.llm.tokens import LibraryEncoder, Words, default_vocabulary
 
 PATH = default_vocabulary()
 TOKENIZER = Tokenizer.from_file(PATH)
@@ -54,6 +55,34 @@ def test_counts_of_flat_files(spark):
         assert sorted(((r[0], r[1]) for r in order.join(counts, ["file", "place"]).select("id", "n_tokens").collect()), key=repr) == want
 
 
+def test_flat_files_of_an_empty_table(spark):
+    folder, order = write_flat(spark.createDataFrame([], SCHEMA), PATH, 49407)
+    assert order.join(count_flat(spark, folder, 49407), ["file", "place"]).count() == 0
+
+
+def test_words_of_every_kind_of_character_are_those_of_the_library():
+    import random
+    import unicodedata
+
+    kinds = {}
+    for c in map(chr, [*range(0x3000), *range(0xA000, 0xAC00, 7), *range(0xFB00, 0x10000), *range(0x10000, 0x1F000, 61)]):
+        if not 0xD800 <= ord(c) < 0xE000:
+            kinds.setdefault(unicodedata.category(c), []).append(c)
+    assert len(kinds) > 25
+    rng = random.Random(8)
+    texts = []
+    for _ in range(3000):
+        some = "".join(rng.choice(kinds[rng.choice(list(kinds))]) for _ in range(rng.randrange(6)))
+        texts.append(some.join(rng.choice(["the", "It's", "WE'LL", "x9", "end.", "Σας", "İ", "<|endoftext|>", " ", "a,b", "É!"]) for _ in range(rng.randrange(1, 5))))
+    texts += [f"a{chr(c)}b {chr(c)} 1{chr(c)}, {chr(c)}{chr(c)}" for c in range(1, 0x560)]
+    encode = LibraryEncoder(PATH, "<u4")
+    own = list(Words(MergeTable(PATH).encode).blobs([t.encode() for t in texts]))
+    assert own == list(Words(encode).blobs([t.encode() for t in texts]))
+    got = Words(encode).blobs([t.encode() for t in texts])
+    for t, blob in zip(texts, got):
+        assert np.frombuffer(blob, "<u4").tolist() == TOKENIZER.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def test_documents_across_blocks_and_files(spark, tmp_path):
     rng = np.random.default_rng(2)
     stream = rng.integers(0, 9, 400).astype("<u2")
