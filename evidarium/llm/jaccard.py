@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, table, texts_in, with_text
 from .graph import components
 from .tokens import texts_of
 
@@ -98,28 +98,32 @@ def local_counts(sets: list[np.ndarray]) -> bytes:
     return token[some].astype("<u8").tobytes() + count[some].astype("<u8").tobytes()
 
 
-def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def describe(text_col: str):
     """Per text: class key (null without words), set size, and the hash (of 48 bits) that ends its prefix under hash order.
     The last text of each run of texts also has the run's frequent shingles."""
-    for batch in batches:
-        keys, sizes, ends, often = [], [], [], []
-        run: dict[int, np.ndarray] = {}
-        held = 0
-        texts = texts_of(batch.column("text"))
-        for i, text in enumerate(texts):
-            s = shingle_set(text)
-            n = len(s)
-            keys.append(class_key(s) if n else None)
-            sizes.append(n)
-            ends.append(int(np.partition(s & LOW, n // 4)[n // 4]) if n else 0)
-            if n:
-                run[keys[-1]] = s
-                held += len(text)
-            full = run and (held >= GROUP_BYTES or i == len(texts) - 1)
-            often.append(local_counts(list(run.values())) if full else None)
-            if full:
-                run, held = {}, 0
-        yield pa.RecordBatch.from_arrays([batch.column("record"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ends, pa.int64()), pa.array(often, pa.binary())], names=["record", "key", "n", "last", "often"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, sizes, ends, often = [], [], [], []
+            alike: dict[int, np.ndarray] = {}
+            held = 0
+            texts = texts_in(batch, text_col)
+            for i, text in enumerate(texts):
+                s = shingle_set(text)
+                n = len(s)
+                keys.append(class_key(s) if n else None)
+                sizes.append(n)
+                ends.append(int(np.partition(s & LOW, n // 4)[n // 4]) if n else 0)
+                if n:
+                    alike[keys[-1]] = s
+                    held += len(text)
+                full = alike and (held >= GROUP_BYTES or i == len(texts) - 1)
+                often.append(local_counts(list(alike.values())) if full else None)
+                if full:
+                    alike, held = {}, 0
+            yield pa.RecordBatch.from_arrays([batch.column("record"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ends, pa.int64()), pa.array(often, pa.binary())], names=["record", "key", "n", "last", "often"])
+
+    return run
 
 
 def unpack_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -400,16 +404,16 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    record = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if carry is None else carry)]).alias("record")
-    rows = docs.select(record, F.col(f"`{text_col}`").alias("text"))
-    members = rows.mapInArrow(describe, rows.select("record").schema.add("key", "long").add("n", "long").add("last", "long").add("often", "binary"))
+    rows = with_text(docs, text_col, carry)
+    members = rows.mapInArrow(describe(text_col), rows.select("record").schema.add("key", "long").add("n", "long").add("last", "long").add("often", "binary"))
     members = materialize(members.withColumn("row", F.monotonically_increasing_id()), "jaccard-members")
     total = members.agg(F.sum("n")).first()[0] or 0
     buckets = min(max(parts, -(-total // BUCKET_SHINGLES)), 1 << 30)
     homes = max(parts, buckets // 4)
     frequent = spark.sparkContext.broadcast(frequent_shingles(members))
 
-    dealt = docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(packed_shingles(buckets, frequent), "bucket int, blob binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
+    texts = with_text(docs.select(F.col(f"`{text_col}`").alias("text")), "text", []).select("text")
+    dealt = texts.mapInArrow(packed_shingles(buckets, frequent), "bucket int, blob binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
     shared = dealt.mapInArrow(shared_shingles(homes), "home int, key long, n long, last long, blob binary")
     facts = members.where("key is not null").groupBy("key").agg(F.first("n").alias("n"), F.first("last").alias("last"))
     facts = facts.select(F.pmod("key", F.lit(homes)).cast("int").alias("home"), "key", "n", "last", F.lit(None).cast("binary").alias("blob"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, texts_in, with_text
 from .tokens import texts_of
 
 #: Labelled documents that the field is fitted on, at most, and their lines; both taken in order of a hash of the id.
@@ -26,7 +26,7 @@ SAMPLE_DOCUMENTS, SAMPLE_LINES = 2_500, 40_000
 #: Chains are cut at this length for fitting.
 CHAIN = 32
 STEPS, RATE, DECAY = 120, 0.05, 1e-4
-GROUP_BYTES = 2 << 20
+GROUP_BYTES = 1 << 20
 
 BYTE_KINDS = np.zeros(256, np.uint8)
 for _kind, _bytes in enumerate((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", bytes(range(0x80, 0x100)), b".,;:!?'\"", b" \t\r\x0b\x0c", b"|", b"#$%&*@^~_=+<>\\/{}[]()-`")):
@@ -206,16 +206,15 @@ def fitting(rows: list) -> list:
 
 
 def quality(docs: DataFrame, field: Field, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """record (columns of docs, or those of carry) and score for each row. Null counts as empty; an empty text is one
-    empty line and gets a score too. Rows stay where they are."""
+    """record (columns of docs, or those of carry) and score for each row, repeated ones too. Null counts as empty; an empty
+    text is one empty line and gets a score too; an empty table gives no rows. Rows stay where they are."""
     shared = docs.sparkSession.sparkContext.broadcast(field)
-    record = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if carry is None else carry)]).alias("record")
-    rows = docs.select(record, F.col(f"`{text_col}`").alias("text"))
+    rows = with_text(docs, text_col, carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores, texts, held = [], [], 0
-            for text in [*texts_of(batch.column("text")), None]:
+            for text in [*texts_in(batch, text_col), None]:
                 if text is not None:
                     texts.append(text)
                     held += len(text)
