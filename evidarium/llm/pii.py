@@ -97,8 +97,32 @@ def parts_of(text: Column, pattern: str, gate: Column) -> Column:
     return F.when(gate, F.split(F.regexp_replace(text, pattern, f"{MARK}$0{MARK}"), MARK, -1)).otherwise(F.array(F.lit("")))
 
 
+#: Parts whose lengths are summed up one by one; of more, sums are made by chunks.
+CHUNK = 64
+
+
+def bound(value: Column, use) -> Column:
+    """use(value), with value worked out once however often use names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def running(lengths: Column, start: Column) -> Column:
+    """start, then start and the sums of ever more lengths. Each step copies the array so far."""
+    return F.aggregate(lengths, F.array(start), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + x))
+
+
 def ends_of(parts: Column) -> Column:
-    return F.aggregate(parts, F.array(F.lit(0)), lambda acc, p: F.array_append(acc, F.element_at(acc, -1) + F.length(p)))
+    """0 and the end of each part. What is copied for n parts is n * CHUNK and (n / CHUNK) ** 2 numbers."""
+    zero = F.lit(0)
+
+    def by_chunks(lengths: Column) -> Column:
+        chunks = F.transform(F.sequence(zero, F.floor((F.size(lengths) - 1) / CHUNK).cast("int")), lambda k: F.slice(lengths, k * CHUNK + 1, F.lit(CHUNK)))
+        total = lambda c: F.aggregate(c, zero, lambda acc, x: acc + x)
+        ends = lambda c, starts: F.flatten(F.transform(c, lambda own, k: F.slice(running(own, F.get(starts, k)), F.lit(2), F.lit(CHUNK))))
+        return bound(chunks, lambda c: bound(running(F.transform(c, total), zero), lambda starts: F.concat(F.array(zero), ends(c, starts))))
+
+    lengths = F.transform(parts, lambda p: F.length(p))
+    return F.when(F.size(parts) <= CHUNK, running(lengths, zero)).otherwise(bound(lengths, by_chunks))
 
 
 def spans_of(parts: Column, ends: Column) -> Column:
@@ -173,9 +197,8 @@ def train(found: DataFrame):
     beliefs = F.broadcast(spark.createDataFrame([(k, *v, b) for (k, v), b in sorted(belief.items())], "kind int, shape int, gazetteer int, context int, check int, belief double"))
     rows = groups.join(beliefs, ["kind", *LABELERS])
     sides = F.array(F.struct(F.lit(1.0).alias("label"), (F.col("belief") * F.col("n")).alias("weight")), F.struct(F.lit(0.0).alias("label"), ((1 - F.col("belief")) * F.col("n")).alias("weight")))
-    rows = rows.select(array_to_vector(F.array(*features({k: F.col(k) for k in keys}))).alias("features"), F.explode(sides).alias("side")).select("features", "side.label", "side.weight").coalesce(1).cache()
-    model = LogisticRegression(weightCol="weight", regParam=1e-3, maxIter=50).fit(rows)
-    rows.unpersist()
+    rows = rows.select(array_to_vector(F.array(*features({k: F.col(k) for k in keys}))).alias("features"), F.explode(sides).alias("side")).select("features", "side.label", "side.weight")
+    model = LogisticRegression(weightCol="weight", regParam=1e-3, maxIter=50).fit(materialize(rows.coalesce(1), "pii-examples"))
     weights, bias = [float(x) for x in model.coefficients], float(model.intercept)
     return lambda s: 1 / (1 + F.exp(-(F.lit(bias) + sum((F.lit(w) * f for w, f in zip(weights, features(s))), F.lit(0.0)))))
 

@@ -1,6 +1,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from evidarium.llm.pii import BASE, personal_data, reliabilities
 
 SCHEMA = "doc_id long, text string, spans string, kind int"
@@ -67,3 +69,15 @@ def test_tables_without_candidates(spark):
     assert personal_data(spark.createDataFrame([], SCHEMA)).count() == 0
     assert personal_data(spark.createDataFrame([(1, "plain words", "x", 1)], SCHEMA)).collect()[0]["spans"] == []
     assert len(BASE) == 4
+
+
+def test_ends_of_many_parts(spark):
+    from evidarium.llm.pii import ends_of
+
+    rng = random.Random(7)
+    rows = [(["x" * rng.randrange(4) for _ in range(n)],) for n in (1, 2, 63, 64, 65, 128, 129, 5000)]
+    for r in spark.createDataFrame(rows, "p array<string>").select("p", ends_of(F.col("p")).alias("e")).collect():
+        want = [0]
+        for part in r["p"]:
+            want.append(want[-1] + len(part))
+        assert r["e"] == want
