@@ -18,10 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table, texts_in, with_text
-from .tokens import Words, _kept, default_vocabulary, is_known, pieces_of
+from .tokens import Words, cache_of, default_vocabulary, is_known, pieces_of
 
 NONE = np.iinfo(np.int64).max
-#: Words that a Python worker keeps here; it may hold other operators' caches too.
+#: Words that a Python worker keeps here.
 CACHE_WORDS = 400_000
 
 
@@ -146,11 +146,11 @@ class MergeTable:
 
 
 def merge_words(path: str) -> tuple[MergeTable, Words]:
-    key = ("merge", path)
-    if key not in _kept:
+    kept = cache_of("merge")
+    if path not in kept:
         own = MergeTable(path)
-        _kept[key] = own, Words(own.encode, CACHE_WORDS)
-    return _kept[key]
+        kept[path] = own, Words(own.encode, CACHE_WORDS)
+    return kept[path]
 
 
 def encoded(docs: DataFrame, path: str, digests: bool = False, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:

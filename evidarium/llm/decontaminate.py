@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, table, texts_in, with_text
-from .jaccard import FACTORS, _hashes
+from .jaccard import FACTORS, word_hashes
 from .tokens import texts_of
 
 WINDOW, SHINGLE = 10, 3
@@ -42,10 +42,6 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(WORD_BYTES).split()
 
 
-def hashed(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-
-
 def shingles_at(w: np.ndarray, width: int) -> np.ndarray:
     """The hash of the shingle that begins at each word; widths keep apart."""
     n = max(len(w) - width + 1, 0)
@@ -71,7 +67,7 @@ class Sieve(NamedTuple):
         """document, place and hash of the shingles of documents that may be among these, by width."""
         size = np.array([len(d) for d in docs], np.int64)
         ends = np.cumsum(size)
-        w = hashed(list(chain.from_iterable(docs)))
+        w = word_hashes(list(chain.from_iterable(docs)))
         for width in self.widths:
             h = shingles_at(w, width)
             at = np.flatnonzero(self.has(h))
@@ -134,7 +130,7 @@ def shingles_of(windows: DataFrame) -> DataFrame:
         for batch in batches:
             out: list[list] = [[] for _ in range(5)]
             for window in batch.column("window").to_pylist():
-                w = hashed(window.encode().split())
+                w = word_hashes(window.encode().split())
                 width = min(SHINGLE, len(w))
                 for place, h in enumerate(shingles_at(w, width).tolist()):
                     for column, value in zip(out, (window, len(w), place, h, width)):

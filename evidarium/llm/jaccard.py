@@ -32,13 +32,13 @@ from pyspark.sql import functions as F
 
 from .common import materialize, table, texts_in, with_text
 from .graph import components
-from .tokens import texts_of
+from .tokens import cache_of, texts_of
 
 SHINGLE = 5
 GROUP_BYTES = 4 << 20
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 #: Shingles that a task sorts at a time, on average.
-BUCKET_SHINGLES = 1_200_000
+BUCKET_SHINGLES = 700_000
 #: A shingle is frequent if it may be in more than one of so many rows. Those are known beforehand (OFTEN times the mean
 #: size of a set, at most), count as equally common, and never meet in a task.
 OFTEN = 64
@@ -63,7 +63,11 @@ class Hashes(dict):
         return value
 
 
-_hashes = Hashes()
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    known = cache_of("hashes")
+    if "words" not in known:
+        known["words"] = Hashes()
+    return np.fromiter(map(known["words"].__getitem__, words), np.uint64, len(words))
 
 
 def shingle_set(text: bytes) -> np.ndarray:
@@ -71,7 +75,7 @@ def shingle_set(text: bytes) -> np.ndarray:
     words = text.lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    w = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    w = word_hashes(words)
     if len(w) < SHINGLE:
         return np.append(w * FACTORS[: len(w)], FACTORS[-1:] * np.uint64(len(w))).sum(keepdims=True)
     n = len(w) - SHINGLE + 1

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table, texts_in, with_text
-from .tokens import texts_of
+from .tokens import cache_of, texts_of
 
 #: Labelled documents that the field is fitted on, at most, and their lines; both taken in order of a hash of the id.
 SAMPLE_DOCUMENTS, SAMPLE_LINES = 2_500, 40_000
@@ -212,6 +212,7 @@ def quality(docs: DataFrame, field: Field, text_col: str = "text", carry: list[s
     rows = with_text(docs, text_col, carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache_of("quality")  # needs nothing kept
         for batch in batches:
             scores, texts, held = [], [], 0
             for text in [*texts_in(batch, text_col), None]:

@@ -34,7 +34,18 @@ CACHE_PIECES = 800_000
 #: Bytes of text that are split at a time.
 GROUP_BYTES = 4 << 20
 
-_kept: dict = {}
+_caches: dict[str, dict] = {}
+
+
+def cache_of(owner: str) -> dict:
+    """What this worker keeps from task to task for one operator. A worker outlives its tasks and may run several operators
+    in turn, so what it kept for others goes."""
+    if owner not in _caches:
+        import pyarrow as pa
+
+        _caches.clear()
+        pa.default_memory_pool().release_unused()
+    return _caches.setdefault(owner, {})
 
 
 def default_vocabulary() -> str:
@@ -221,10 +232,10 @@ def cut_at(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]
 
 def library_words(path: str, width: str, literal_specials: bool = False) -> Words:
     """The worker's own encoder with its cache; lasts from task to task."""
-    key = ("library", path, width, literal_specials)
-    if key not in _kept:
-        _kept[key] = Words(LibraryEncoder(path, width, literal_specials))
-    return _kept[key]
+    kept, key = cache_of("library"), (path, width, literal_specials)
+    if key not in kept:
+        kept[key] = Words(LibraryEncoder(path, width, literal_specials))
+    return kept[key]
 
 
 def vocabulary_size(path: str) -> int:
