@@ -30,6 +30,22 @@ def uncropped(r: Column, low: Column, high: Column) -> Column:
     return low + r * (1 - low - high)
 
 
+def region(kind: Column, x: Column, y: Column, w: Column, h: Column, points: Column, width: Column, height: Column) -> Column:
+    """A region as one struct: kind, its place and size as fractions and in pixels of a picture of width x height, and the
+    points of a polygon (array of x, y fractions) in both. A point has no size, and only a polygon has points."""
+    sized, many = kind.isin("box"), kind == "polygon"
+    pixel = lambda v, side: F.round(v * side).cast("long")
+    return F.struct(
+        kind.alias("kind"), x.alias("x_norm"), y.alias("y_norm"), F.when(sized, w).alias("w_norm"), F.when(sized, h).alias("h_norm"), pixel(x, width).alias("x_px"), pixel(y, height).alias("y_px"), F.when(sized, pixel(w, width)).alias("w_px"), F.when(sized, pixel(h, height)).alias("h_px"),
+        F.when(many, points).alias("points"), F.when(many, F.transform(points, lambda p: F.struct(pixel(p["x"], width).alias("x"), pixel(p["y"], height).alias("y")))).alias("points_px"),
+    )
+
+
+def other_axes(points, order: tuple[str, str, str] = ("x", "-z", "y"), columns=("x", "y", "z")):
+    """Points in axes of another convention: each new one is an old one or its opposite, as in -z."""
+    return points.select(*[c for c in points.columns if c not in columns], *[(-F.col(o[1:]) if o[0] == "-" else F.col(o)).alias(c) for c, o in zip(columns, order)])
+
+
 def crop_fraction(x: Column) -> Column:
     return F.coalesce(x.try_cast("double"), F.lit(0.0)) / 100000
 

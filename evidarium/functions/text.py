@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Words, endings and titles that catalogs of this kind use.
 TRUE_WORDS, FALSE_WORDS = ("1", "true", "yes", "y", "on"), ("0", "false", "no", "n", "off")
 PLACEHOLDERS = ("none", "nan", "—", "-")
 IMAGE_EXTENSIONS = (".jpg", ".jpeg", ".png", ".tif", ".tiff", ".gif", ".webp", ".bmp")
+EMPTY_TITLES = ("n/a", "open")
+EMPTY_ANSWERS = ("none", "n/a", "open", "unknown")
+NUMBERED_FILES = ("jpg", "jpeg", "png", "gif", "webp")
 
 
 def blank_to_null(x: Column) -> Column:
@@ -58,7 +63,8 @@ def tag_slug(x: Column) -> Column:
 
 
 def squeezed(x: Column) -> Column:
-    """Lower case, underscores and hyphens as spaces, white space squeezed. (Compatibility forms: see nfkc.)"""
+    """Lower case, underscores and hyphens as spaces, white space squeezed. What is compared should be in compatibility
+    form first: see nfkc."""
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(x), "[_-]+", " "), r"\s+", " "))
 
 
@@ -91,14 +97,19 @@ def stem(name: Column) -> Column:
     return F.regexp_replace(name, r"\.[^.]*$", "")
 
 
-def hash_like(name: Column) -> Column:
-    return stem(name).rlike("(?i)^[0-9a-f]{20,}(-[0-9a-z]+)?$")
+def hash_like(name: Column, least: int = 20) -> Column:
+    """Whether a file name, as far as its first hyphen, is nothing but so many hexadecimal digits; what follows the hyphen
+    must be letters and digits."""
+    whole = F.lower(stem(name))
+    head = F.substring_index(whole, "-", 1)
+    tail = F.substr(whole, F.length(head) + 2)
+    return (F.length(head) >= least) & (F.translate(head, "0123456789abcdef", "") == "") & ((whole == head) | tail.rlike("^[0-9a-z]+$"))
 
 
-def file_score(name: Column) -> Column:
-    """0 to 6: how much a file name says."""
+def file_score(name: Column, terms: Sequence[str] = (), long: int = 12) -> Column:
+    """How much a file name says: 2 if it is no hash, 1 for each of the terms in it, 1 if it is longer than so many letters."""
     low = F.lower(name)
-    points = [(~hash_like(name)).cast("int") * 2, *[low.contains(w).cast("int") for w in ("youtube", "propstore", "rpf")], (F.length(stem(name)) > 12).cast("int")]
+    points = [F.when(hash_like(name), 0).otherwise(2), *[low.contains(t.lower()).cast("int") for t in terms], (F.length(stem(name)) > long).cast("int")]
     return reduce(lambda a, b: a + b, points)
 
 
@@ -152,11 +163,21 @@ def note_map(notes: Column) -> Column:
 
 
 def generic_title(title: Column) -> Column:
-    return F.coalesce(F.lower(F.trim(title)), F.lit("")).rlike(r"^$|^(slide|image|picture|photo)[ _-]*[0-9]*(\.[a-z]+)?$")
+    """Whether a title says nothing: missing, blank, a word for missing, or an image file by number alone."""
+    low = F.lower(F.trim(F.coalesce(title, F.lit(""))))
+    numbered = low.startswith("image") & F.substring_index(low, ".", -1).isin(*NUMBERED_FILES) & F.substring_index(F.substr(low, F.lit(6)), ".", 1).rlike("^[0-9]+$") & (F.length(low) - F.length(F.replace(low, F.lit("."), F.lit(""))) == 1)
+    return (low == "") | low.isin(*EMPTY_TITLES) | numbered
+
+
+def answer(value: Column) -> Column:
+    """The trimmed value; blanks and words for missing are null."""
+    text = blank_to_null(value)
+    return F.when(~F.lower(text).isin(*EMPTY_ANSWERS), text)
 
 
 def humanized(key: Column) -> Column:
-    return F.initcap(F.trim(F.regexp_replace(key, "[_-]+", " ")))
+    """A key as words: underscores and hyphens as spaces, white space squeezed; null where there is no answer."""
+    return answer(F.regexp_replace(F.translate(answer(key), "_-", "  "), r"\s+", " "))
 
 
 def region_signature(*numbers: Column) -> Column:

@@ -21,3 +21,13 @@ def duplicate_totals(files: DataFrame, digest: str = "sha256") -> DataFrame:
     """One row: files, unique contents, duplicate files, groups of more than one."""
     groups = files.groupBy(digest).agg(F.count(F.lit(1)).alias("n"))
     return groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("files"), F.count(F.lit(1)).alias("unique_files"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"), F.count_if(F.col("n") > 1).alias("groups"))
+
+
+def report(**parts: DataFrame) -> DataFrame:
+    """Counters (section, key, count) of several tables as one table of (part, section, key, count), in order of parts, then
+    sections, then falling counts."""
+    out = None
+    for i, (name, df) in enumerate(parts.items()):
+        own = df.select(F.lit(i).alias("_i"), F.lit(name).alias("part"), "section", "key", F.col("count").cast("long").alias("count"))
+        out = own if out is None else out.unionByName(own)
+    return out.orderBy("_i", "section", F.desc("count"), "key").drop("_i")

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import centre, distance
 from ..functions.text import match_key
-from .windows import first_per
 
 
 def unique_match(labels: DataFrame, label: str, entities: DataFrame, name: str, key: str = "id") -> DataFrame:
@@ -20,18 +19,23 @@ def unique_match(labels: DataFrame, label: str, entities: DataFrame, name: str,
 
 def nearest_picture(labels: DataFrame, pictures: DataFrame) -> DataFrame:
     """Each label with the picture of its slide that holds its centre or is nearest to it; ties go to the larger, then to
-    the first. The slide is the join key, so no label meets another slide's pictures."""
-    p = pictures.select("slide", *[F.col(c).alias(f"p_{c}") for c in pictures.columns if c != "slide"])
+    the first. A slide's pictures, as many as one slide shows, go to its labels as one array, so no row is made for a label
+    and a picture; a label of a slide without pictures has nulls."""
+    names = [c for c in pictures.columns if c != "slide"]
+    shown = pictures.groupBy("slide").agg(F.collect_list(F.struct(*names)).alias("_pictures"))
     cx, cy = centre(F.col("x"), F.col("y"), F.col("cx"), F.col("cy"))
-    both = labels.join(p, "slide", "left").withColumn("_d", distance(cx, cy, F.col("p_x"), F.col("p_y"), F.col("p_cx"), F.col("p_cy")))
-    return first_per(both, ["slide", "label_id"], [F.asc_nulls_last("_d"), F.desc("p_area"), F.asc("p_idx")]).drop("_d")
+    far = F.lit(float("inf"))
+    rated = F.transform("_pictures", lambda p: F.struct(F.coalesce(distance(cx, cy, p["x"], p["y"], p["cx"], p["cy"]), far).alias("d"), F.coalesce(-p["area"], far).alias("area"), p["idx"].alias("idx"), p.alias("p")))
+    out = labels.join(shown, "slide", "left").withColumn("_best", F.array_min(rated)["p"])
+    return out.select(*labels.columns, *[F.col(f"_best.{c}").alias(f"p_{c}") for c in names])
 
 
 def fallback_match(df: DataFrame, keys: list[str], target: DataFrame, key: str, value: str) -> DataFrame:
-    """df with matched: the value of the first of several keys that the target has, and matched_by, which."""
+    """df with matched: the value of the first of several keys that the target has, and matched_by, which. Of several values
+    of one key the smallest counts."""
     found = []
     for i, k in enumerate(keys):
-        side = target.select(F.col(key).alias(f"_k{i}"), F.col(value).alias(f"_v{i}"))
+        side = target.groupBy(F.col(key).alias(f"_k{i}")).agg(F.min(value).alias(f"_v{i}"))
         df = df.join(side, F.col(k) == F.col(f"_k{i}"), "left").drop(f"_k{i}")
         found.append(f"_v{i}")
     by = F.coalesce(*[F.when(F.col(v).isNotNull(), F.lit(k)) for v, k in zip(found, keys)])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..functions import text as t
 from ..operators import counters, matching, merge, rules, windows
+from ..sources import slides, threads
 from . import catalog as q
 from . import jobs
 from .analog import Catalog, oracle
@@ -44,9 +45,9 @@ def via(sql: str, extra: tuple[str, ...] = ()) -> tuple:
 # catalog queries
 
 
-@query("q9_connections", *via("SELECT kit_id, brand, name, model_count, model_names FROM (SELECT via_kit AS kit_id, count(DISTINCT model_id) AS model_count, string_agg(DISTINCT m.name, ',' ORDER BY m.name) AS model_names FROM placement_kit JOIN models m ON m.id = model_id WHERE via_kit IS NOT NULL AND copy_count >= 50 GROUP BY via_kit HAVING count(DISTINCT model_id) >= 2) JOIN kits ON kits.id = kit_id"))
+@query("q9_connections", *via("SELECT kit_id, brand, name, model_count, model_names FROM (SELECT via_kit AS kit_id, count(DISTINCT model_id) AS model_count, string_agg(DISTINCT m.name, ',' ORDER BY m.name) AS model_names FROM placement_kit JOIN models m ON m.id = model_id WHERE via_kit IS NOT NULL GROUP BY via_kit HAVING count(DISTINCT model_id) >= 2) JOIN kits ON kits.id = kit_id"))
 def _(c):
-    return q.connections(c, placements=q.placement_kit(c).where("copy_count >= 50"))
+    return q.connections(c, placements=q.placement_kit(c))
 
 
 @query("q9_connections_all", *via("SELECT kit_id, brand, name, model_count, model_names FROM (SELECT via_kit AS kit_id, count(DISTINCT model_id) AS model_count, string_agg(DISTINCT m.name, ',' ORDER BY m.name) AS model_names FROM placement_kit JOIN models m ON m.id = model_id WHERE via_kit IS NOT NULL GROUP BY via_kit HAVING count(DISTINCT model_id) >= 2) JOIN kits ON kits.id = kit_id"))
@@ -226,7 +227,7 @@ INDEX = "idx AS (SELECT 'kit' AS type, id, brand || ' ' || name AS title, coales
 @query("q20_entity_search", f"SELECT * FROM (WITH {ASKED}, {INDEX}, hits AS (SELECT query_id, idx.*, row_number() OVER (PARTITION BY query_id, type ORDER BY title, id) AS r FROM idx JOIN asked ON length(trim(asked.text)) >= 2 AND (title ILIKE '%' || asked.text || '%' OR coalesce(subtitle, '') ILIKE '%' || asked.text || '%')) SELECT query_id, type, id, title, subtitle, CAST(row_number() OVER (PARTITION BY query_id ORDER BY type, title, id) AS INT) AS place FROM hits WHERE r <= 5 QUALIFY place <= 20)", "kits", "parts", "models", "images", "sources")
 def _(c):
     text = F.expr("CASE s_suppkey % 4 WHEN 0 THEN 'ring' WHEN 1 THEN 'NATION_1' WHEN 2 THEN 'e' ELSE 'brand#2' END")
-    return q.search(c, c.supplier.where("s_suppkey % 11 = 0").select(F.col("s_suppkey").alias("query_id"), text.alias("text")))
+    return q.search(c, c.supplier.where("s_suppkey % 11 = 0").select(F.col("s_suppkey").alias("query_id"), text.alias("text"))).drop("badges")
 
 
 # aggregates and windows
@@ -247,14 +248,52 @@ def _(c):
     return counters.counters(c.images, {"type": F.col("image_type"), "source": F.col("source_id")}, top=3)
 
 
-@query("a12_media_aggregates", "SELECT user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS kinds, count(*) FILTER (WHERE value > 50) AS large, bool_or(value > 300) AS any_huge, count(DISTINCT event_type) AS n_kinds FROM events GROUP BY user_id")
+#: A deck derived from lineitem: pictures are its first lines, labels the others; a hundred orders share a slide.
+DECK = """deck AS (SELECT CAST(floor(l_orderkey / 100) AS BIGINT) AS slide, l_orderkey * 10 + l_linenumber AS id, l_linenumber AS line, 'm' || CAST(min(l_partkey) % 7 AS STRING) AS media_name, min(l_tax) * 100 AS tx, min(l_discount) * 100 AS x, min(l_quantity) AS y, min(l_returnflag) AS flag FROM lineitem GROUP BY l_orderkey, l_linenumber)"""
+PICTURES = "pictures AS (SELECT slide, id AS idx, media_name, x, y, y / 10 AS cx, y / 10 AS cy, y * y AS area, flag = 'A' AS crop_any FROM deck WHERE line = 1)"
+SAID = "said AS (SELECT slide, id AS label_id, tx AS x, y, 2.0 AS cx, 2.0 AS cy, CASE flag WHEN 'A' THEN 'identified_in_this_image' WHEN 'N' THEN 'identified_elsewhere' ELSE 'other_or_unstyled' END AS label_status FROM deck WHERE line > 1)"
+NEAR = "near AS (SELECT * FROM (SELECT a.*, p.idx AS p_idx, p.media_name AS assigned_media, d, row_number() OVER (PARTITION BY label_id ORDER BY d, p_area DESC, p_i) AS r FROM said a LEFT JOIN LATERAL (SELECT p.idx, p.media_name, p.area AS p_area, p.idx AS p_i, sqrt(power(greatest(p.x - (a.x + 1), 0, a.x + 1 - (p.x + p.cx)), 2) + power(greatest(p.y - (a.y + 1), 0, a.y + 1 - (p.y + p.cy)), 2)) AS d FROM pictures p WHERE p.slide = a.slide) p ON true) WHERE r = 1)"
+BASES = "bases AS (SELECT slide, media_name FROM (SELECT *, row_number() OVER (PARTITION BY slide ORDER BY area DESC, idx) AS r FROM (SELECT *, row_number() OVER (PARTITION BY slide, media_name ORDER BY crop_any, area DESC, idx) AS k FROM pictures) WHERE k = 1) WHERE r = 1)"
+
+
+def deck(c) -> tuple[DataFrame, DataFrame]:
+    lines = c.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_tax").alias("tax"), F.min("l_discount").alias("disc"), F.min("l_quantity").alias("qty"), F.min("l_partkey").alias("part"), F.min("l_returnflag").alias("flag"))
+    own = ["CAST(floor(l_orderkey / 100) AS BIGINT) AS slide", "l_orderkey * 10 + l_linenumber AS id"]
+    pictures = lines.where("l_linenumber = 1").selectExpr(*own, "'m' || CAST(part % 7 AS STRING) AS media_name", "disc * 100 AS x", "qty AS y", "qty / 10 AS cx", "qty / 10 AS cy", "qty * qty AS area", "flag = 'A' AS crop_any").withColumnRenamed("id", "idx")
+    labels = lines.where("l_linenumber > 1").selectExpr(*own, "tax * 100 AS x", "qty AS y", "2D AS cx", "2D AS cy", "flag").withColumnRenamed("id", "label_id")
+    color = F.when(F.col("flag") == "A", "00ff00").when(F.col("flag") == "N", "FFFF00")
+    return labels.select("*", rules.status_of_color(color, "00FF00", "FFFF00").alias("label_status")).drop("flag"), pictures
+
+
+def assigned(c) -> tuple[DataFrame, DataFrame]:
+    """Labels with the picture they lie on; media m1 and m2 are known by content."""
+    labels, pictures = deck(c)
+    near = matching.nearest_picture(labels, pictures).withColumnRenamed("p_media_name", "assigned_media")
+    return near.withColumn("original_name", F.when(F.col("assigned_media").isin("m1", "m2"), F.col("assigned_media"))), pictures
+
+
+def of_deck(sql: str) -> str:
+    return f"SELECT * FROM (WITH {DECK}, {PICTURES}, {SAID}, {NEAR}, {BASES} {sql})"
+
+
+@query("a12_media_aggregates", of_deck("SELECT p.media_name, string_agg(DISTINCT CAST(p.slide AS STRING), ',' ORDER BY p.slide) AS slides, coalesce((SELECT count(*) FROM near n WHERE n.assigned_media = p.media_name), 0) AS label_total, (SELECT count(*) FROM pictures x JOIN bases b ON b.slide = x.slide AND b.media_name = x.media_name WHERE x.media_name = p.media_name) AS base_slide_count FROM pictures p GROUP BY p.media_name").replace("string_agg(DISTINCT CAST(p.slide AS STRING), ',' ORDER BY p.slide)", "array_to_string(list_sort(list_distinct(list(p.slide))), ',')"))
+def _(c):
+    return slides.media_table(*assigned(c))
+
+
+@query("a11_slide_aggregates", of_deck("SELECT p.slide, p.picture_count, p.unique_media_count, b.media_name AS base_media, coalesce(n.any_match, false) AS any_match, coalesce(n.here_labels, 0) AS here_labels, coalesce(n.elsewhere_labels, 0) AS elsewhere_labels, coalesce(n.other_labels, 0) AS other_labels, p.unique_media_count < p.picture_count AS same_media_reuse FROM (SELECT slide, count(*) AS picture_count, count(DISTINCT media_name) AS unique_media_count FROM pictures GROUP BY slide) p LEFT JOIN bases b USING (slide) LEFT JOIN (SELECT slide, bool_or(assigned_media IN ('m1', 'm2')) AS any_match, count(*) FILTER (WHERE label_status = 'identified_in_this_image') AS here_labels, count(*) FILTER (WHERE label_status = 'identified_elsewhere') AS elsewhere_labels, count(*) FILTER (WHERE label_status = 'other_or_unstyled') AS other_labels FROM near GROUP BY slide) n USING (slide)"))
+def _(c):
+    return slides.slide_table(*assigned(c))
+
+
+@query("w9_base_pictures", of_deck("SELECT slide, media_name FROM bases"))
 def _(c):
-    return c.events.groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("kinds"), F.count_if(F.col("value") > 50).alias("large"), F.bool_or(F.col("value") > 300).alias("any_huge"), F.countDistinct("event_type").alias("n_kinds"))
+    return windows.base_pictures(deck(c)[1]).select("slide", "media_name")
 
 
-@query("w4_family_primaries", "SELECT family_id, arg_min(image_id, (1 - is_primary, sort_order, id)) AS image_id FROM image_family_members WHERE is_hidden = 1 GROUP BY family_id", "image_family_members")
+@query("w4_family_primaries", "SELECT family_id, arg_min(image_id, (1 - is_primary, sort_order, id)) AS image_id FROM image_family_members GROUP BY family_id", "image_family_members")
 def _(c):
-    return windows.family_primaries(c.image_family_members.where("is_hidden = 1")).select("family_id", "image_id")
+    return windows.family_primaries(c.image_family_members).select("family_id", "image_id")
 
 
 @query("w5_canonical_files", "SELECT sha256, id FROM (SELECT *, row_number() OVER (PARTITION BY sha256 ORDER BY size_bytes DESC, width * height DESC, length(filename), filename, id) AS r FROM images) WHERE r = 1", "images")
@@ -281,11 +320,10 @@ def _(c):
 # merges and history
 
 
-@query("j7_absent_insert", "SELECT p_brand, p_type, min(p_partkey) AS first_part FROM part WHERE NOT EXISTS (SELECT 1 FROM part o WHERE o.p_size <= 25 AND o.p_brand = part.p_brand AND o.p_type = part.p_type AND o.p_name = part.p_name) GROUP BY p_brand, p_type")
+@query("j7_absent_insert", "SELECT DISTINCT p_brand AS brand, p_type AS kind, p_name AS name FROM part WHERE (p_brand, p_type, p_name) NOT IN (SELECT (p_brand, p_type, p_name) FROM part WHERE p_size <= 25)")
 def _(c):
-    held = c.part.where("p_size <= 25").select("p_brand", "p_type", "p_name")
-    fresh = c.part.join(held, ["p_brand", "p_type", "p_name"], "left_anti")
-    return fresh.groupBy("p_brand", "p_type").agg(F.min("p_partkey").alias("first_part"))
+    rows = c.part.selectExpr("p_brand AS brand", "p_type AS kind", "p_name AS name", "p_size")
+    return merge.insert_absent(rows.where("p_size <= 25").drop("p_size"), rows.drop("p_size"), ["brand", "kind", "name"])
 
 
 @query("m2_upsert", "SELECT coalesce(a.id, b.id) AS id, coalesce(b.name, a.name) AS name, coalesce(b.notes, a.notes) AS notes, CASE WHEN a.id IS NULL THEN 'inserted' WHEN b.id IS NOT NULL THEN 'updated' ELSE 'kept' END AS merge_status FROM (SELECT p_partkey AS id, p_name AS name, p_type AS notes FROM part WHERE p_partkey % 3 > 0) a FULL JOIN (SELECT p_partkey AS id, upper(p_name) AS name, CASE WHEN p_size > 25 THEN p_brand END AS notes FROM part WHERE p_partkey % 2 = 0) b ON a.id = b.id")
@@ -337,12 +375,12 @@ def _(c):
     return out.select("id", "change", F.get_json_object("prev_values", "$.n").alias("prev_name"), F.get_json_object("new_values", "$.n").alias("new_name"))
 
 
-@query("m9_changed_values", "SELECT event_id, value IS DISTINCT FROM lag(value) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS changed FROM events")
+@query("m9_changed_values", "SELECT coalesce(a.user_id, b.user_id) AS user_id, CASE WHEN a.user_id IS NULL THEN 'create' WHEN b.user_id IS NULL THEN 'delete' ELSE 'update' END AS change, a.n AS prev_n, a.top AS prev_top, b.n AS new_n, b.top AS new_top FROM (SELECT user_id, count(*) AS n, max(event_type) AS top FROM events WHERE event_id % 2 = 0 GROUP BY user_id) a FULL JOIN (SELECT user_id, count(*) AS n, max(event_type) AS top FROM events WHERE event_id % 2 = 1 GROUP BY user_id) b ON a.user_id = b.user_id WHERE a.n IS DISTINCT FROM b.n OR a.top IS DISTINCT FROM b.top")
 def _(c):
-    from pyspark.sql import Window
-
-    before = F.lag("value").over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id"))
-    return c.events.select("event_id", (~F.col("value").eqNullSafe(before)).alias("changed"))
+    half = lambda k: c.events.where(F.col("event_id") % 2 == k).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("event_type").alias("top"))
+    out = merge.changed_rows(half(0), half(1), ["n", "top"], key="user_id")
+    value = lambda side, f, kind: F.get_json_object(f"{side}_values", f"$.{f}").cast(kind).alias(f"{side}_{f}")
+    return out.select("user_id", "change", value("prev", "n", "long"), value("prev", "top", "string"), value("new", "n", "long"), value("new", "top", "string"))
 
 
 @query("m10_rejects", "SELECT id AS key, rule FROM (SELECT id, 'enum:status' AS rule FROM placement_positions WHERE status NOT IN ('active') UNION ALL SELECT id, 'required:x_norm' FROM placement_positions WHERE x_norm IS NULL OR x_norm = 0 UNION ALL SELECT id, 'unique:placement_id+created_at' FROM placement_positions WHERE (placement_id, created_at) IN (SELECT (placement_id, created_at) FROM placement_positions GROUP BY placement_id, created_at HAVING count(*) > 1) UNION ALL SELECT id, 'foreign:supersedes_id' FROM placement_positions WHERE supersedes_id IS NOT NULL AND supersedes_id NOT IN (SELECT id FROM placement_positions WHERE id % 2 = 0))", "placement_positions")
@@ -371,27 +409,36 @@ def _(c):
     return merge.replace_children(c.image_tags, "image_id", incoming)
 
 
-@query("m14_absorb", "SELECT id FROM images WHERE id NOT IN (SELECT image_id FROM image_family_members WHERE image_id <> family_id AND image_id NOT IN (SELECT image_id FROM image_regions))", "images", "image_family_members", "image_regions")
-def _(c):
+GONE = "gone AS (SELECT image_id AS id FROM image_family_members WHERE image_id <> family_id AND image_id NOT IN (SELECT image_id FROM image_regions))"
+
+
+def absorbed(c):
     images = c.images.withColumn("notes", F.concat(F.lit("file="), "filename"))
     duplicates = c.image_family_members.select(F.col("image_id").alias("id"), F.col("family_id").alias("survivor"))
-    return merge.absorb(images, duplicates, c.image_regions.select(F.col("image_id").alias("id")))[0].select("id")
+    return merge.absorb(images, duplicates, c.image_regions.select(F.col("image_id").alias("id")), c.image_tags)
+
+
+@query("m14_absorb", f"SELECT * FROM (WITH {GONE} SELECT id, title, array_to_string(list_distinct(list_concat(['file=' || filename], coalesce((SELECT list(line ORDER BY line) FROM (SELECT 'file=' || d.filename AS line FROM image_family_members m JOIN images d ON d.id = m.image_id WHERE m.family_id = i.id AND m.image_id <> m.family_id)), []))), chr(10)) AS notes FROM images i WHERE id NOT IN (SELECT id FROM gone))".replace("list_distinct(", "(").replace("SELECT list(line ORDER BY line)", "SELECT list(DISTINCT line ORDER BY line)").replace("WHERE m.family_id = i.id AND", "WHERE d.filename <> i.filename AND m.family_id = i.id AND"), "images", "image_family_members", "image_regions")
+def _(c):
+    return absorbed(c)[0].select("id", "title", "notes")
+
+
+@query("m14_absorbed_tags", f"SELECT * FROM (WITH {GONE} SELECT DISTINCT image_id, tag FROM (SELECT image_id, tag FROM image_tags UNION ALL SELECT m.family_id, t.tag FROM image_tags t JOIN image_family_members m ON m.image_id = t.image_id WHERE m.image_id <> m.family_id) WHERE image_id NOT IN (SELECT id FROM gone))", "image_tags", "image_family_members", "image_regions")
+def _(c):
+    return absorbed(c)[2]
 
 
 # matching, rules, extraction, geometry
 
 
-@query("j10_unique_match", "SELECT p.id, CASE WHEN n = 1 THEN 'linked' WHEN n > 1 THEN 'ambiguous_exact_match' ELSE 'no_exact_match' END AS match_status, CASE WHEN n = 1 THEN m END AS match_id FROM parts p LEFT JOIN (SELECT regexp_replace(lower(part_label), '[^a-z0-9]+', '', 'g') AS k, count(*) AS n, min(id) AS m FROM parts WHERE size <= 2 GROUP BY 1) x ON x.k = regexp_replace(lower(p.part_label), '[^a-z0-9]+', '', 'g')", "parts")
+@query("j10_unique_match", "SELECT p.id, CASE WHEN n = 1 THEN 'linked' WHEN n > 1 THEN 'ambiguous_exact_match' ELSE 'no_exact_match' END AS match_status, CASE WHEN n = 1 THEN m END AS match_id FROM parts p LEFT JOIN (SELECT regexp_replace(lower(part_label), '[^a-z0-9]+', '', 'g') AS k, count(*) AS n, min(id) AS m FROM parts GROUP BY 1) x ON x.k = regexp_replace(lower(p.part_label), '[^a-z0-9]+', '', 'g')", "parts")
 def _(c):
-    return matching.unique_match(c.parts, "part_label", c.parts.where("size <= 2"), "part_label").select("id", "match_status", "match_id")
+    return matching.unique_match(c.parts, "part_label", c.parts, "part_label").select("id", "match_status", "match_id")
 
 
-@query("j11_nearest_picture", "SELECT label_id, p_idx, round(d, 6) AS d FROM (SELECT *, row_number() OVER (PARTITION BY slide, label_id ORDER BY d, p_area DESC, p_idx) AS r FROM (SELECT a.l_orderkey % 500 AS slide, a.l_orderkey * 10 + a.l_linenumber AS label_id, p.l_orderkey * 10 + p.l_linenumber AS p_idx, p.l_quantity * p.l_quantity AS p_area, sqrt(power(greatest(p.l_discount * 100 - (a.l_tax * 100 + 1), 0, a.l_tax * 100 + 1 - (p.l_discount * 100 + p.l_quantity / 10)), 2) + power(greatest(p.l_quantity - (a.l_quantity + 1), 0, a.l_quantity + 1 - (p.l_quantity + p.l_quantity / 10)), 2)) AS d FROM (SELECT l_orderkey, l_linenumber, min(l_tax) AS l_tax, min(l_quantity) AS l_quantity FROM lineitem WHERE l_linenumber = 1 GROUP BY ALL) a JOIN (SELECT l_orderkey, l_linenumber, min(l_discount) AS l_discount, min(l_quantity) AS l_quantity FROM lineitem WHERE l_linenumber = 2 GROUP BY ALL) p ON a.l_orderkey % 500 = p.l_orderkey % 500)) WHERE r = 1")
+@query("j11_nearest_picture", of_deck("SELECT label_id, p_idx, round(d, 6) AS d FROM near"))
 def _(c):
-    lines = c.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_tax").alias("tax"), F.min("l_discount").alias("disc"), F.min("l_quantity").alias("qty"))
-    labels = lines.where("l_linenumber = 1").selectExpr("l_orderkey % 500 AS slide", "l_orderkey * 10 + l_linenumber AS label_id", "tax * 100 AS x", "qty AS y", "2D AS cx", "2D AS cy")
-    pictures = lines.where("l_linenumber = 2").selectExpr("l_orderkey % 500 AS slide", "l_orderkey * 10 + l_linenumber AS idx", "disc * 100 AS x", "qty AS y", "qty / 10 AS cx", "qty / 10 AS cy", "qty * qty AS area")
-    near = matching.nearest_picture(labels, pictures).where("p_idx is not null")
+    near = matching.nearest_picture(*deck(c))
     cx, cy = g.centre(F.col("x"), F.col("y"), F.col("cx"), F.col("cy"))
     return near.select("label_id", "p_idx", F.round(g.distance(cx, cy, F.col("p_x"), F.col("p_y"), F.col("p_cx"), F.col("p_cy")), 6).alias("d"))
 
@@ -431,21 +478,32 @@ def _(c):
 HIT = "regexp_matches(w, '(^|[^a-z0-9]){}([^a-z0-9]|$)')"
 
 
-@query("r6_title_scores", f"SELECT doc_id, CAST(2 * f + 3 * m + 2 * r + 2 * s AS INT) AS score, CASE WHEN m + r + s > 0 THEN 'strong' WHEN f > 0 THEN 'candidate' ELSE 'exclude' END AS tier FROM (SELECT *, CASE WHEN s0 = 1 AND f + m > 0 THEN 1 ELSE 0 END AS s FROM (SELECT doc_id, CAST(contains(text, 'lle') AS INT) AS f, CAST({HIT.format('the')} OR {HIT.format('de la')} AS INT) AS m, CAST({HIT.format('und')} AS INT) AS r, CAST({HIT.format('que')} AS INT) AS s0 FROM (SELECT doc_id, text, trim(regexp_replace(regexp_replace(lower(text), '[_-]+', ' ', 'g'), '\\s+', ' ', 'g')) AS w FROM documents)))")
+@query("r6_title_scores", f"SELECT doc_id, CAST(2 * f + 3 * m + 2 * r + 2 * s AS INT) AS score, CASE WHEN m + r + s > 0 THEN 'strong' WHEN f > 0 THEN 'candidate' ELSE 'exclude' END AS tier FROM (SELECT *, CASE WHEN s0 = 1 AND f + m > 0 THEN 1 ELSE 0 END AS s FROM (SELECT doc_id, CAST(contains(text, 'lle') AS INT) AS f, CAST({HIT.format('the')} OR {HIT.format('de la')} AS INT) AS m, CAST({HIT.format('und')} AS INT) AS r, CAST({HIT.format('que')} AS INT) AS s0 FROM (SELECT doc_id, text, trim(regexp_replace(regexp_replace(lower(text), '[_-]+', ' ', 'g'), '\\s+', ' ', 'g')) AS w FROM (SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7F]+', ' ', 'g') AS text FROM documents))))")
 def _(c):
-    scored = rules.score_titles(c.documents, ["the", "de-la"], ["und"], ["que"], F.col("text").contains("lle"), title="text")
+    """Without characters beyond ASCII, as SQL has no compatibility form."""
+    plain = c.documents.select("doc_id", F.regexp_replace("text", r"[^\x00-\x7F]+", " ").alias("text"))
+    scored = rules.score_titles(plain, ["the", "de-la"], ["und"], ["que"], F.col("text").contains("lle"), title="text")
     return scored.select("doc_id", "score", "tier")
 
 
-@query("c6_page_links", "SELECT page_id, len(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS links, regexp_extract(html, '<title>(.*?)</title>', 1) AS title FROM pages")
+@query("c6_page_links", "SELECT page_id, (SELECT count(DISTINCT u) FROM (SELECT unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS u) WHERE u LIKE 'http%' OR u LIKE '/%') AS links, trim(regexp_extract(html, '<title>(.*?)</title>', 1)) AS title FROM pages")
 def _(c):
-    links = F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))
-    return c.pages.select("page_id", F.size(links).cast("long").alias("links"), F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("title"))
+    """The links of a page as the pictures of one post: the extraction for threads, over pages whose links are made images."""
+    marked = F.regexp_replace("html", '<a href="([^"]*)"', '<img src="$1"')
+    post = F.concat(F.lit('<article data-content="p">'), F.regexp_replace(marked, "</?article[^>]*>", ""), F.lit("</article>"))
+    pages = c.pages.select(F.col("page_id").cast("string").alias("thread"), F.lit(0).alias("page_no"), F.regexp_replace(post, 'src="((?:http|/)[^"?#]*)[^"]*"', 'src="$1.png"').alias("html"))
+    found = threads.post_images(pages, "https://h").groupBy("thread").agg(F.count(F.lit(1)).alias("links"))
+    titles = c.pages.select("page_id", t.thread_title(F.lit(None), F.col("html"), F.lit("")).alias("title"))
+    return titles.join(found.select(F.col("thread").cast("long").alias("page_id"), "links"), "page_id", "left").select("page_id", F.coalesce("links", F.lit(0).cast("long")).alias("links"), F.coalesce("title", F.lit("")).alias("title"))
 
 
-@query("s8_thread_posts", "SELECT conv_id, count(*) AS posts, max(turn) AS last_turn, string_agg(DISTINCT author_handle, ',' ORDER BY author_handle) AS authors FROM source_extracts GROUP BY conv_id", "source_extracts")
+@query("s8_thread_posts", "SELECT CAST(conv_id AS STRING) AS thread, turn AS number, role AS author, length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS n FROM conversations")
 def _(c):
-    return c.source_extracts.groupBy("conv_id").agg(F.count(F.lit(1)).alias("posts"), F.max("turn").alias("last_turn"), F.array_join(F.array_sort(F.collect_set("author_handle")), ",").alias("authors"))
+    """Conversations written as exported threads and parsed again."""
+    post = F.concat(F.lit("Post #"), F.col("turn").cast("string"), F.lit("  (forum post #1)\nAuthor : "), F.coalesce("role", F.lit("")), F.lit("\nDate : Mar 5, 2010 at 7:42 PM\n"), F.coalesce("text", F.lit("")), F.lit("\n"))
+    files = c.conversations.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", post.alias("p")))), lambda x: x["p"]), "").alias("body"))
+    posts = threads.parse_posts(files.select(F.concat(F.lit("THREAD : "), F.col("conv_id").cast("string"), F.lit("\nURL : https://x/1\n"), F.col("body")).alias("value")))
+    return posts.select("thread", F.col("number").cast("long").alias("number"), "author", F.length(F.trim(F.regexp_replace("body", r"\s+", " "))).cast("long").alias("n"))
 
 
 @query("f35_json_field", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events")
@@ -481,10 +539,10 @@ def _(c):
     return out.select("event_id", *[F.round(k, 6).alias(k) for k in "xyz"])
 
 
-@query("x8_token_similarity", "SELECT left_id, right_id, CAST(count(*) AS DOUBLE) / (max(m) + max(n) - count(*)) AS similarity FROM (SELECT p_partkey AS left_id, unnest(list_distinct(string_split(lower(p_name), ' '))) AS w, len(list_distinct(string_split(lower(p_name), ' '))) AS m FROM part WHERE p_size = 1) JOIN (SELECT p_partkey AS right_id, unnest(list_distinct(string_split(lower(p_name), ' '))) AS w, len(list_distinct(string_split(lower(p_name), ' '))) AS n FROM part WHERE p_size = 2) USING (w) GROUP BY ALL HAVING CAST(count(*) AS DOUBLE) / (max(m) + max(n) - count(*)) >= 0.5")
+@query("x8_token_similarity", "SELECT left_id, right_id, CAST(count(*) AS DOUBLE) / (max(m) + max(n) - count(*)) AS similarity FROM (SELECT id AS left_id, unnest(list_distinct(string_split(lower(part_label), ' '))) AS w, len(list_distinct(string_split(lower(part_label), ' '))) AS m FROM parts) JOIN (SELECT id AS right_id, unnest(list_distinct(string_split(lower(name), ' '))) AS w, len(list_distinct(string_split(lower(name), ' '))) AS n FROM kits) USING (w) GROUP BY ALL HAVING CAST(count(*) AS DOUBLE) / (max(m) + max(n) - count(*)) >= 0.5", "parts", "kits")
 def _(c):
-    side = lambda n: c.part.where(F.col("p_size") == n).selectExpr("p_partkey AS id", "p_name AS name")
-    return matching.token_similarity(side(1), side(2))
+    """Part labels that may mean a kit."""
+    return matching.token_similarity(c.parts.select("id", F.col("part_label").alias("name")), c.kits.select("id", "name"))
 
 
 NAME_WORDS = "list_sort(list_distinct(string_split(lower(p_name), ' ')))"
@@ -530,16 +588,37 @@ def _(c):
     return jobs.chronology(c.orders.select("o_orderkey", raw.alias("d")), "d")
 
 
-@query("r8_retitle", "SELECT i.id, i.title AS old_title, coalesce(x.labels, 'Unreviewed image') AS new_title FROM images i LEFT JOIN (SELECT image_id, string_agg(label, ' / ' ORDER BY k) AS labels FROM (SELECT image_id, label, row_number() OVER (PARTITION BY image_id ORDER BY min(id)) AS k FROM image_regions WHERE trim(label) <> '' GROUP BY image_id, label) WHERE k <= 3 GROUP BY image_id) x ON x.image_id = i.id WHERE coalesce(trim(i.title), '') = ''", "images", "image_regions")
-def _(c):
-    return jobs.retitle(c.images.withColumn("notes", F.lit(None).cast("string")), c.image_regions)
+FIRST_LABELS = "firsts AS (SELECT image_id, string_agg(label, ' / ' ORDER BY k) AS labels FROM (SELECT image_id, label, row_number() OVER (PARTITION BY image_id ORDER BY min(id)) AS k FROM image_regions WHERE trim(label) <> '' GROUP BY image_id, label) WHERE k <= 3 GROUP BY image_id)"
+SHOWN = "shown AS (SELECT image_id, arg_min(json_extract_string(properties_json, '$.base_subject'), id) AS subject FROM image_regions WHERE properties_json IS NOT NULL GROUP BY image_id)"
+GENERIC = "(coalesce(trim(i.title), '') = '' OR lower(trim(i.title)) IN ('n/a', 'open') OR regexp_full_match(lower(trim(i.title)), 'image[0-9]+[.](jpg|jpeg|png|gif|webp)'))"
 
 
-@query("m19_link_regions", "SELECT r.id, CASE WHEN n = 1 THEN 'linked' WHEN n > 1 THEN 'ambiguous_exact_match' ELSE 'no_exact_match' END AS match_status, CASE WHEN n = 1 THEN m END AS match_id FROM image_regions r LEFT JOIN (SELECT regexp_replace(lower(name), '[^a-z0-9]+', '', 'g') AS k, count(*) AS n, min(id) AS m FROM (SELECT id, 'Label ' || CAST(id % 12 AS STRING) AS name FROM kits) GROUP BY 1) x ON x.k = regexp_replace(lower(r.label), '[^a-z0-9]+', '', 'g') WHERE trim(r.label) <> ''", "image_regions", "kits")
+@query("r8_retitle", f"SELECT * FROM (WITH {FIRST_LABELS}, {SHOWN}, x AS (SELECT i.id, i.title, i.caption, i.image_code, coalesce(CASE WHEN i.notes LIKE 'likely_model_or_scene=Scene%' THEN substr(split_part(i.notes, chr(10), 1), 23) END, s.subject, 'Overlay reference: ' || f.labels, replace(replace(split_part(i.notes, 'slide_key=', 2), '-', ' '), '_', ' ') || ' reference image') AS known FROM images i LEFT JOIN firsts f ON f.image_id = i.id LEFT JOIN shown s ON s.image_id = i.id WHERE {GENERIC}) SELECT id, title AS old_title, coalesce(known, CASE lower(trim(title)) WHEN 'n/a' THEN 'Malformed PPTX extract ' WHEN 'open' THEN 'Unreviewed PPTX extract ' ELSE 'PPTX extract ' END || image_code) AS new_title, coalesce(caption, CASE WHEN known IS NULL AND lower(trim(title)) = 'n/a' THEN 'file is malformed or not yet decodable' END) AS caption FROM x)", "images", "image_regions")
 def _(c):
+    return jobs.retitle(c.images, c.image_regions)
+
+
+LINKED = "x AS (SELECT regexp_replace(lower(name), '[^a-z0-9]+', '', 'g') AS k, count(*) AS n, min(id) AS m FROM (SELECT id, 'Label ' || CAST(id % 12 AS STRING) AS name FROM kits) GROUP BY 1), hits AS (SELECT r.*, n, m FROM image_regions r LEFT JOIN x ON x.k = regexp_replace(lower(r.label), '[^a-z0-9]+', '', 'g') WHERE trim(r.label) <> '' AND r.entity_id IS NULL)"
+
+
+def linked_regions(c):
     kits = c.kits.select("id", F.concat(F.lit("Label "), (F.col("id") % 12).cast("string")).alias("name"))
-    regions = c.image_regions.withColumns({"entity_type": F.lit(None).cast("string"), "entity_id": F.lit(None).cast("long")})
-    return jobs.link_regions(regions, kits)[2].select("id", "match_status", "match_id")
+    return jobs.link_regions(c.image_regions, kits)
+
+
+@query("m19_link_regions", f"SELECT * FROM (WITH {LINKED} SELECT id, label, CASE WHEN n = 1 THEN 'linked' WHEN n > 1 THEN 'ambiguous_exact_match' ELSE 'no_exact_match' END AS match_status, CASE WHEN n = 1 THEN m END AS match_id FROM hits)", "image_regions", "kits")
+def _(c):
+    return linked_regions(c)[2]
+
+
+@query("m19_linked_regions", f"SELECT * FROM (WITH {LINKED} SELECT r.id, r.label, CASE WHEN h.n = 1 THEN 'kit' ELSE r.entity_type END AS entity_type, CASE WHEN h.n = 1 THEN h.m ELSE r.entity_id END AS entity_id FROM image_regions r LEFT JOIN hits h ON h.id = r.id)", "image_regions", "kits")
+def _(c):
+    return linked_regions(c)[0].select("id", "label", "entity_type", "entity_id")
+
+
+@query("m19_link_history", f"SELECT * FROM (WITH {LINKED} SELECT id, 'update' AS change, label, CAST(m AS STRING) AS new_id FROM hits WHERE n = 1)", "image_regions", "kits")
+def _(c):
+    return linked_regions(c)[1].select("id", "change", F.get_json_object("new_values", "$.label").alias("label"), F.get_json_object("new_values", "$.entity_id").alias("new_id"))
 
 
 @query("x6_tag_posts", "SELECT id, keyword FROM source_extracts JOIN (SELECT unnest(['the', 'und', 'que']) AS keyword) ON regexp_matches(trim(regexp_replace(regexp_replace(lower(content), '[_-]+', ' ', 'g'), '\\s+', ' ', 'g')), '(^|[^a-z0-9])' || keyword || '([^a-z0-9]|$)')", "source_extracts")
@@ -547,8 +626,193 @@ def _(c):
     return jobs.tag_posts(c.source_extracts, "content", ["the", "und", "que"]).select("id", "keyword")
 
 
-@query("m16_corpus_tags", "SELECT DISTINCT sha256, tag FROM (SELECT sha256, 'src-' || CAST(source_id AS STRING) AS tag FROM images UNION ALL SELECT sha256, image_type FROM images UNION ALL SELECT sha256, 'forum' FROM images)", "images")
+def corpus(c):
+    manifest = c.images.select("sha256", "filename", F.lit("forum").alias("source_platform"), F.concat(F.lit("c "), F.col("source_id").cast("string")).alias("source_collection"), F.concat(F.lit("src "), F.col("source_id").cast("string")).alias("subject"), F.col("image_type").alias("content_kind"))
+    held = c.images.where("id < 0").selectExpr("sha256", "title", "image_code", "notes")
+    return jobs.corpus_images(manifest, c.sources, held)
+
+
+@query("m16_corpus_tags", "SELECT DISTINCT sha256, tag FROM (SELECT sha256, 'src-' || CAST(source_id AS STRING) AS tag FROM images UNION ALL SELECT sha256, image_type FROM images UNION ALL SELECT sha256, 'forum' FROM images UNION ALL SELECT sha256, 'c-' || CAST(source_id AS STRING) FROM images)", "images")
+def _(c):
+    return corpus(c)[2]
+
+
+@query("m16_corpus_sources", "SELECT DISTINCT source_code, parent_code FROM (SELECT 'FORUM' AS source_code, NULL AS parent_code FROM images UNION ALL SELECT 'FORUM-C-' || CAST(source_id AS STRING), 'FORUM' FROM images)", "images")
+def _(c):
+    return corpus(c)[0]
+
+
+@query("m16_corpus_images", "SELECT sha256, title, 'LOCREF-' || upper(left(sha256, 16)) AS image_code, notes, 'inserted' AS merge_status FROM (SELECT *, row_number() OVER (PARTITION BY sha256 ORDER BY title, notes) AS r FROM (SELECT sha256, 'src ' || CAST(source_id AS STRING) || ' - ' || replace(filename, '.png', '') AS title, 'subject=src ' || CAST(source_id AS STRING) || chr(10) || 'kind=' || image_type AS notes FROM images)) WHERE r = 1", "images")
+def _(c):
+    return corpus(c)[1]
+
+
+# profiles and listings
+
+
+def shown(array: str, *fields: str) -> Column:
+    """An array of structs as text, to be compared with SQL."""
+    return F.array_join(F.transform(array, lambda x: F.concat_ws(":", *[x[f].cast("string") for f in fields])), ",").alias(array)
+
+
+def agg(fields: str, order: str, rest: str) -> str:
+    return f"coalesce((SELECT string_agg(concat_ws(':', {fields}), ',' ORDER BY {order}) FROM {rest}), '')"
+
+
+def pictures_of(kind: str, own: str) -> str:
+    return agg("l.image_id, pic.filename", "l.image_id, pic.filename", f"image_links l JOIN images pic ON pic.id = l.image_id WHERE l.entity_type = '{kind}' AND l.entity_id = {own}")
+
+
+@query("q4_models", "SELECT id, name, slug, film FROM models", "models")
+def _(c):
+    return q.models(c).select("id", "name", "slug", "film")
+
+
+@query("q4_model_profiles", *via(f"SELECT m.id, m.name, {agg('x.name, x.id', 'x.name, x.id', 'maps x WHERE x.model_id = m.id')} AS maps, {agg('s.copies, s.kit_id, s.brand, s.parts', 's.copies DESC, s.kit_id', '(SELECT model_id, via_kit AS kit_id, k.brand, count(DISTINCT part_id) AS parts, CAST(sum(copy_count) AS BIGINT) AS copies FROM placement_kit JOIN kits k ON k.id = via_kit WHERE part_id IS NOT NULL GROUP BY ALL) s WHERE s.model_id = m.id')} AS kit_summary, {pictures_of('model', 'm.id')} AS images FROM models m", ("maps", "image_links", "images")))
+def _(c):
+    return q.model_profiles(c).select("id", "name", shown("maps", "name", "map_id"), shown("kit_summary", "copies", "kit_id", "brand", "parts"), shown("images", "image_id", "filename"))
+
+
+@query("q2_kit_histories", f"SELECT k.id, {agg('r.system, r.value', 'r.system, r.value', 'kit_references r WHERE r.kit_id = k.id')} AS refs, {agg('h.changed_at, h.change', 'h.changed_at DESC, h.change DESC', 'kit_history h WHERE h.kit_id = k.id')} AS history, {pictures_of('kit', 'k.id')} AS images FROM kits k", "kits", "kit_references", "kit_history", "image_links", "images")
+def _(c):
+    return q.kit_profiles(c).withColumnRenamed("references", "refs").select("id", shown("refs", "system", "value"), shown("history", "changed_at", "change"), shown("images", "image_id", "filename"))
+
+
+@query("q3_part_files", f"SELECT p.id, {agg('f.file_type, f.url, f.id', 'f.file_type, f.url, f.id', 'part_files f WHERE f.part_id = p.id')} AS files FROM parts p", "parts", "part_files")
+def _(c):
+    return q.part_profiles(c).select("id", shown("files", "file_type", "url", "file_id"))
+
+
+@query("q7_placement_profiles", f"SELECT p.id, m.name AS model, x.name AS map, {agg('u.handle, u.id', 'u.handle, u.id', 'placement_contributors pc JOIN contributors u ON u.id = pc.contributor_id WHERE pc.placement_id = p.id')} AS contributors, {agg('h.prev_part_id, u.handle', 'h.changed_at DESC, h.prev_part_id DESC, u.handle DESC', 'placement_history h LEFT JOIN contributors u ON u.id = h.changed_by WHERE h.placement_id = p.id')} AS history, {agg('s.is_current, s.id, s.status', 's.is_current DESC, s.created_at DESC, s.id DESC', 'placement_positions s WHERE s.placement_id = p.id')} AS positions, {pictures_of('placement', 'p.id')} AS images FROM placements p JOIN models m ON m.id = p.model_id LEFT JOIN maps x ON x.id = p.map_id", "placements", "models", "maps", "contributors", "placement_contributors", "placement_history", "placement_positions", "image_links", "images")
+def _(c):
+    return q.placement_profiles(c).select("id", "model", "map", shown("contributors", "handle", "contributor_id"), shown("history", "prev_part_id", "changed_by_handle"), shown("positions", "is_current", "position_id", "status"), shown("images", "image_id", "filename"))
+
+
+@query("q11_source_profiles", f"SELECT s.id, s.title, {agg('e.id, e.author_handle', 'e.id, e.author_handle', 'source_extracts e WHERE e.source_id = s.id')} AS extracts, {agg('i.id, i.filename', 'i.id, i.filename', 'images i WHERE i.source_id = s.id')} AS images FROM sources s", "sources", "source_extracts", "images")
+def _(c):
+    return q.source_profiles(c).select("id", "title", shown("extracts", "extract_id", "author_handle"), shown("images", "image_id", "filename"))
+
+
+MEMBERS = agg("m.id, m.is_hidden, i.title, i.filename, s.title", "m.is_primary DESC, m.sort_order, m.id", "image_family_members m JOIN images i ON i.id = m.image_id LEFT JOIN sources s ON s.id = i.source_id WHERE m.family_id = f.id")
+
+
+@query("q13_family_payloads", f"SELECT f.id, f.title, {MEMBERS} AS members FROM image_families f", "image_families", "image_family_members", "images", "sources")
+def _(c):
+    return q.family_payloads(c).select("id", "title", shown("members", "member_id", "is_hidden", "title", "filename", "source_title"))
+
+
+REGIONS = f"WITH {LABELS}, listed AS (SELECT r.id, r.image_id, r.label, CASE WHEN r.entity_type IS NOT NULL AND r.entity_id IS NOT NULL THEN coalesce(o.label, CAST(r.entity_id AS STRING)) END AS entity_label, (SELECT count(DISTINCT e.claim_id) FROM claim_evidence e WHERE e.evidence_type = 'image_region' AND e.evidence_id = r.id) AS claim_count FROM image_regions r LEFT JOIN labels_of o ON o.entity_type = r.entity_type AND o.entity_id = r.entity_id), claimed AS (SELECT k.*, s.label AS subject, o.label AS object FROM claims k LEFT JOIN labels_of s ON s.entity_type = k.subject_type AND s.entity_id = k.subject_id LEFT JOIN labels_of o ON o.entity_type = k.object_type AND o.entity_id = k.object_id)"
+
+
+@query("q16_regions", f"SELECT * FROM ({REGIONS} SELECT * FROM listed)", *LABEL_VIEWS, "image_regions", "claims", "claim_evidence")
+def _(c):
+    return q.regions(c).select("id", "image_id", "label", "entity_label", "claim_count")
+
+
+@query("q16_region_profiles", f"SELECT * FROM ({REGIONS} SELECT r.id, r.entity_label, {agg('h.changed_at, h.id, h.prev_label', 'h.changed_at DESC, h.id DESC', 'image_region_history h WHERE h.region_id = r.id')} AS history, {agg('k.id, k.text_value, k.subject, k.object', 'k.id DESC', 'claimed k WHERE k.id IN (SELECT e.claim_id FROM claim_evidence e WHERE e.evidence_type = %r AND e.evidence_id = r.id)' % 'image_region')} AS claims FROM listed r)", *LABEL_VIEWS, "image_regions", "claims", "claim_evidence", "image_region_history")
+def _(c):
+    return q.region_profiles(c).select("id", "entity_label", shown("history", "changed_at", "history_id", "prev_label"), shown("claims", "claim_id", "text_value", "subject", "object"))
+
+
+@query("q15_image_profiles", f"SELECT * FROM ({REGIONS} SELECT i.id, s.title AS source_title, (SELECT count(DISTINCT e.claim_id) FROM claim_evidence e JOIN image_regions r ON r.id = e.evidence_id WHERE e.evidence_type = 'image_region' AND r.image_id = i.id) AS claim_count, {agg('l.entity_type, l.entity_id, coalesce(o.label, l.entity_type || chr(32) || chr(35) || CAST(l.entity_id AS STRING))', 'l.entity_type, l.entity_id, o.label', 'image_links l LEFT JOIN labels_of o USING (entity_type, entity_id) WHERE l.image_id = i.id')} AS links, coalesce((SELECT string_agg(DISTINCT tag, ',' ORDER BY tag) FROM image_tags t WHERE t.image_id = i.id), '') AS tags, {agg('r.id, r.label, r.entity_label, r.claim_count', 'r.id', 'listed r WHERE r.image_id = i.id')} AS regions, m.family_id, coalesce((SELECT count(*) FROM image_family_members x WHERE x.family_id = m.family_id), 0) AS family_size FROM images i LEFT JOIN sources s ON s.id = i.source_id LEFT JOIN image_family_members m ON m.image_id = i.id)", *LABEL_VIEWS, "images", "sources", "image_links", "image_tags", "image_regions", "claims", "claim_evidence", "image_family_members")
+def _(c):
+    return q.image_profiles(c).select("id", "source_title", "claim_count", shown("links", "entity_type", "entity_id", "label"), F.array_join("tags", ",").alias("tags"), shown("regions", "region_id", "label", "entity_label", "claim_count"), "family_id", F.coalesce(F.size("family_members"), F.lit(0)).cast("long").alias("family_size"))
+
+
+@query("q18_claim_profiles", f"SELECT * FROM ({REGIONS} SELECT k.id, k.subject, k.object, {agg('e.evidence_type, e.evidence_id', 'e.evidence_type, e.evidence_id', 'claim_evidence e WHERE e.claim_id = k.id')} AS evidence FROM claimed k WHERE k.id IN (SELECT e.claim_id FROM claim_evidence e WHERE e.evidence_type = 'source_extract'))", *LABEL_VIEWS, "image_regions", "claims", "claim_evidence")
+def _(c):
+    resting = c.source_extracts.select(F.lit("source_extract").alias("evidence_type"), F.col("id").alias("evidence_id")).union(c.claim_evidence.where("evidence_type = 'source_extract'").select("evidence_type", "evidence_id")).distinct()
+    return q.claim_profiles(c, evidence=resting).select("id", "subject", "object", shown("evidence", "evidence_type", "evidence_id"))
+
+
+@query("q19_contributors", "SELECT id, handle FROM contributors", "contributors")
+def _(c):
+    return q.contributors(c)
+
+
+@query("q20_typed_search", f"SELECT * FROM (WITH {ASKED}, idx AS (SELECT 'model' AS type, id, name AS title, film AS subtitle, film AS badges FROM models UNION ALL SELECT 'map', x.id, x.name, m.name, '' FROM maps x JOIN models m ON m.id = x.model_id), hits AS (SELECT query_id, idx.*, row_number() OVER (PARTITION BY query_id, type ORDER BY title, id) AS r FROM idx JOIN asked ON length(trim(asked.text)) >= 2 AND (query_id % 2 = 0 OR type = 'map') AND (title ILIKE '%' || asked.text || '%' OR coalesce(subtitle, '') ILIKE '%' || asked.text || '%')) SELECT query_id, type, id, title, badges, CAST(row_number() OVER (PARTITION BY query_id ORDER BY type, title, id) AS INT) AS place FROM hits WHERE r <= 5 QUALIFY place <= least(greatest(query_id % 4, 1), 100))", "models", "maps")
+def _(c):
+    text = F.expr("CASE s_suppkey % 4 WHEN 0 THEN 'ring' WHEN 1 THEN 'NATION_1' WHEN 2 THEN 'e' ELSE 'brand#2' END")
+    types = F.when(F.col("s_suppkey") % 2 == 1, F.array(F.lit("map"), F.lit("nothing"))).otherwise(F.array().cast("array<string>"))
+    asked = c.supplier.where("s_suppkey % 11 = 0").select(F.col("s_suppkey").alias("query_id"), text.alias("text"), types.alias("types"), (F.col("s_suppkey") % 4).cast("int").alias("limit"))
+    return q.search(c, asked, types=("model", "map")).select("query_id", "type", "id", "title", F.array_join("badges", ",").alias("badges"), "place")
+
+
+@query("x1_kit_regions", "SELECT DISTINCT kit_id, region_id, image_id FROM (SELECT entity_id AS kit_id, id AS region_id, image_id FROM image_regions WHERE entity_type = 'kit' UNION ALL SELECT t.kit_id, r.id, r.image_id FROM image_regions r JOIN parts t ON t.id = r.entity_id WHERE r.entity_type = 'part')", "image_regions", "parts")
+def _(c):
+    return jobs.kit_regions(c)
+
+
+@query("x1_kit_maps", *via("SELECT via_kit AS kit_id, s.map_id, count(*) AS placements FROM placement_kit p JOIN (SELECT DISTINCT placement_id, map_id FROM placement_positions WHERE map_id IS NOT NULL) s ON s.placement_id = p.id WHERE via_kit IS NOT NULL GROUP BY ALL", ("placement_positions",)))
+def _(c):
+    return jobs.kit_maps(c)
+
+
+@query("x1_part_evidence", "SELECT DISTINCT part_id, evidence_type, evidence_id FROM (SELECT entity_id AS part_id, 'image' AS evidence_type, image_id AS evidence_id FROM image_links WHERE entity_type = 'part' UNION ALL SELECT entity_id, 'image_region', id FROM image_regions WHERE entity_type = 'part')", "image_links", "image_regions")
+def _(c):
+    return jobs.part_evidence(c)
+
+
+@query("x1_position_evidence", "SELECT s.placement_id, s.id AS position_id, l.image_id FROM placement_positions s JOIN (SELECT DISTINCT entity_id, image_id FROM image_links WHERE entity_type = 'placement') l ON l.entity_id = s.placement_id", "placement_positions", "image_links")
+def _(c):
+    return jobs.position_evidence(c)
+
+
+@query("x4_state_timeline", "SELECT o_custkey, state, date_start, date_end FROM (SELECT *, CAST(lead(date_start) OVER (PARTITION BY o_custkey ORDER BY date_start) - INTERVAL 1 DAY AS DATE) AS date_end FROM (SELECT *, lag(state) OVER (PARTITION BY o_custkey ORDER BY date_start) AS before FROM (SELECT o_custkey, CAST(o_orderdate AS DATE) AS date_start, max(o_orderstatus) AS state FROM orders GROUP BY ALL)) WHERE before IS DISTINCT FROM state)")
+def _(c):
+    return jobs.timeline(c.orders.select("o_custkey", F.col("o_orderstatus").alias("state"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("d")), ["o_custkey"], "state", "d")
+
+
+@query("c4_staging_buckets", "SELECT section, key, count FROM (SELECT 'bucket' AS section, bucket AS key, count(*) AS count FROM b GROUP BY 2 UNION ALL SELECT 'reason', bucket || ':' || reason, count(*) FROM b GROUP BY 2 UNION ALL SELECT section, key, count FROM (SELECT *, row_number() OVER (PARTITION BY section ORDER BY count DESC, key) AS r FROM (SELECT CASE bucket WHEN 'safe_to_stage' THEN 'safe_sources' ELSE 'review_sources' END AS section, key, count(*) AS count FROM b GROUP BY ALL)) WHERE r <= 20)".replace("FROM b", "FROM (SELECT *, CASE WHEN reason = 'attributed_and_nonhistorical' THEN 'safe_to_stage' ELSE 'needs_review' END AS bucket FROM (SELECT 'p' || CAST(source_id % 3 AS STRING) || ':c' || CAST(source_id AS STRING) AS key, CASE WHEN source_id % 5 = 0 THEN 'low_source_confidence' WHEN image_type = 'fr' THEN 'render_or_cg' ELSE 'attributed_and_nonhistorical' END AS reason FROM images))"), "images")
+def _(c):
+    manifest = c.images.select("filename", F.col("title").alias("subject"), F.concat(F.lit("p"), (F.col("source_id") % 3).cast("string")).alias("source_platform"), F.concat(F.lit("c"), F.col("source_id").cast("string")).alias("source_collection"), F.when(F.col("source_id") % 5 == 0, "low").otherwise("medium").alias("source_confidence"), F.when(F.col("image_type") == "fr", "render_or_cg").otherwise("photo").alias("content_kind"))
+    return jobs.staged(manifest)[2]
+
+
+TAXONOMY = "CASE WHEN lower(name) LIKE '%ring%' OR lower(name) LIKE '%bolt%' THEN 'metal' WHEN scale = '1/72' THEN 'aircraft' ELSE 'other' END"
+
+
+@query("s15_category_audit", f"SELECT id, brand, name, coalesce(scale, '') AS scale, {TAXONOMY} AS category_family FROM (SELECT id, part_number AS brand, part_label AS name, CASE WHEN id % 2 = 0 THEN '1/72' END AS scale FROM parts)", "parts")
+def _(c):
+    kits = c.parts.select("id", F.col("part_number").alias("brand"), F.col("part_label").alias("name"), F.when(F.col("id") % 2 == 0, "1/72").alias("scale"))
+    return jobs.reclassified(kits, [rules.Rule(("ring", "bolt"), ("metal", "part"))], {"1/72": ("aircraft", "military_aircraft")})[1].drop("category_subject")
+
+
+@query("a14_category_counts", f"SELECT {TAXONOMY} AS category_family, count(*) AS count FROM (SELECT part_label AS name, CASE WHEN id % 2 = 0 THEN '1/72' END AS scale FROM parts) GROUP BY 1", "parts")
+def _(c):
+    kits = c.parts.select("id", F.col("part_number").alias("brand"), F.col("part_label").alias("name"), F.when(F.col("id") % 2 == 0, "1/72").alias("scale"))
+    return jobs.reclassified(kits, [rules.Rule(("ring", "bolt"), ("metal", "part"))], {"1/72": ("aircraft", "military_aircraft")})[2].select("category_family", "count")
+
+
+@query("m7_supersede_depths", "SELECT * FROM (WITH RECURSIVE chain AS (SELECT id, CAST(0 AS BIGINT) AS depth, id AS first_id FROM placement_positions WHERE supersedes_id IS NULL OR supersedes_id NOT IN (SELECT id FROM placement_positions) UNION ALL SELECT p.id, depth + 1, first_id FROM placement_positions p JOIN chain c ON p.supersedes_id = c.id) SELECT * FROM chain)", "placement_positions")
+def _(c):
+    return merge.supersede_depths(c.placement_positions)
+
+
+@query("m8_detached_members", "SELECT image_id, family_id, CASE WHEN NOT any_primary THEN CAST(row_number() OVER (PARTITION BY family_id ORDER BY sort_order, id) = 1 AS INT) ELSE is_primary END AS is_primary FROM (SELECT *, bool_or(is_primary = 1) OVER (PARTITION BY family_id) AS any_primary FROM image_family_members WHERE image_id % 3 > 0)", "image_family_members")
+def _(c):
+    members = c.image_family_members.withColumn("relation_type", F.when(F.col("is_primary") == 1, "primary").otherwise("duplicate"))
+    return merge.detach_members(members, c.images.where("id % 3 = 0").select(F.col("id").alias("image_id"))).select("image_id", "family_id", "is_primary")
+
+
+@query("a16_reference_counts", "SELECT filename, count(*) AS \"references\" FROM images GROUP BY filename", "images")
+def _(c):
+    from ..sources.tables import reference_counts
+
+    return reference_counts(c.images, "filename")
+
+
+@query("a15_merge_counts", "SELECT (SELECT count(*) FROM part WHERE p_partkey % 2 = 0 AND p_partkey % 3 = 0) AS inserted, (SELECT count(*) FROM part WHERE p_partkey % 2 = 0 AND p_partkey % 3 > 0) AS updated, (SELECT count(*) FROM part WHERE p_partkey % 2 = 1 AND p_partkey % 3 > 0) AS kept, (SELECT count(*) FROM part WHERE p_partkey % 2 = 0) AS skipped")
+def _(c):
+    table = c.part.where("p_partkey % 3 > 0").selectExpr("p_partkey AS id", "p_name AS name")
+    incoming = c.part.where("p_partkey % 2 = 0").selectExpr("p_partkey AS id", "p_name AS name", "1 AS seq")
+    twice = incoming.union(incoming.withColumn("seq", F.lit(2)))
+    return merge.merge_counts(merge.upsert(table, twice, ["id"], sequence="seq"), twice, ["id"])
+
+
+@query("g5_region_records", "SELECT id, CASE WHEN id % 3 = 0 THEN 'box' WHEN id % 3 = 1 THEN 'point' ELSE 'polygon' END AS kind, CAST(round(x_norm * 640) AS BIGINT) AS x_px, CASE WHEN id % 3 = 0 THEN CAST(round(0.25 * 640) AS BIGINT) END AS w_px, CASE WHEN id % 3 = 2 THEN 2 END AS points FROM image_regions", "image_regions")
 def _(c):
-    manifest = c.images.select("sha256", "filename", F.lit("forum").alias("source_platform"), F.lit("c").alias("source_collection"), F.concat(F.lit("src "), F.col("source_id").cast("string")).alias("subject"), F.col("image_type").alias("content_kind"))
-    held = c.images.limit(0).selectExpr("sha256", "title", "'' AS image_code", "'' AS notes")
-    return jobs.corpus_images(manifest, c.sources, held)[2]
+    kind = F.when(F.col("id") % 3 == 0, "box").when(F.col("id") % 3 == 1, "point").otherwise("polygon")
+    points = F.array(F.struct(F.lit(0.25).alias("x"), F.lit(0.5).alias("y")), F.struct(F.lit(0.5).alias("x"), F.lit(0.75).alias("y")))
+    record = g.region(kind, F.col("x_norm"), F.lit(0.5), F.lit(0.25), F.lit(0.125), points, F.lit(640), F.lit(480))
+    return c.image_regions.select("id", record.alias("r")).select("id", "r.kind", "r.x_px", "r.w_px", F.when(F.size("r.points_px") >= 0, F.size("r.points_px")).cast("int").alias("points"))

@@ -8,14 +8,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import IMAGE_EXTENSIONS, file_score, first_filled, humanized, image_code, stem
+from ..functions.text import IMAGE_EXTENSIONS, file_score, first_filled, hash_like, humanized, image_code, joined, stem
 from ..operators.windows import canonical_files
 
 
 def scan_files(spark: SparkSession, root: str, extensions=IMAGE_EXTENSIONS, exclude: tuple[str, ...] = ()) -> DataFrame:
     """path, rel_path, filename, ext, size_bytes, modified, content of files under root with an allowed extension and
     outside the excluded folders."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    endings = ",".join("".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e) for e in extensions)
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{{{endings}}}").load(root)
     rel = F.regexp_replace(F.regexp_replace(F.col("path"), "^file:/+", "/"), "^" + root.removeprefix("file://").rstrip("/") + "/", "")
     name = F.element_at(F.split("path", "/"), -1)
     df = df.select("path", rel.alias("rel_path"), name.alias("filename"), F.lower(F.regexp_extract(name, r"(\.[^.]+)$", 1)).alias("ext"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"), "content")
@@ -88,17 +89,24 @@ def with_sizes(files: DataFrame) -> DataFrame:
     return easy.unionByName(read.select("rest.*", "content", "width", "height").select(*files.columns, "width", "height"))
 
 
-def inventory(files: DataFrame, hidden: Column | None = None) -> DataFrame:
-    """files with sha256, copies of each content, whether this is the canonical file, and that file's path."""
+def inventory(files: DataFrame, hidden: Column | None = None, terms: tuple[str, ...] = ()) -> DataFrame:
+    """files with sha256, copies of each content, whether this is the canonical file, and that file's path. terms: words
+    that make a file name better than another."""
     df = files.withColumns({"sha256": F.sha2("content", 256), "is_hidden": F.coalesce(hidden if hidden is not None else F.col("filename").startswith("."), F.lit(False))}).drop("content")
-    best = canonical_files(df, file_score(F.col("filename"))).select("sha256", F.col("rel_path").alias("canonical_rel_path"))
+    best = canonical_files(df, file_score(F.col("filename"), terms)).select("sha256", F.col("rel_path").alias("canonical_rel_path"))
     counts = df.groupBy("sha256").agg(F.count(F.lit(1)).alias("duplicate_count"))
     out = df.join(counts, "sha256").join(best, "sha256")
     return out.withColumn("is_canonical", F.col("rel_path") == F.col("canonical_rel_path"))
 
 
-def load_ready(inventoried: DataFrame, subject: Column) -> DataFrame:
-    """Canonical files with a code and a suggested title."""
+def suggested_title(subject: Column, *details: Column) -> Column:
+    """The subject, then a collection and a detail where there are any."""
+    return joined(" - ", subject, *details)
+
+
+def load_ready(inventoried: DataFrame, subject: Column, collection: Column | None = None) -> DataFrame:
+    """Canonical files with a code and a suggested title: subject, collection, and the file's name unless it is a hash."""
     canonical = inventoried.where("is_canonical")
-    title = F.concat_ws(" - ", subject, humanized(stem(F.col("filename"))))
+    detail = F.when(~hash_like(F.col("filename")), humanized(stem(F.col("filename"))))
+    title = suggested_title(subject, collection if collection is not None else F.lit(None), detail)
     return canonical.select("sha256", "rel_path", "filename", "size_bytes", "duplicate_count", image_code("REF-", F.col("sha256"), 16).alias("suggested_image_code"), first_filled(title, F.col("filename")).alias("suggested_title"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import centre, crop_fraction, relative, uncropped
 from ..functions.text import ordinal, without_date
 from ..operators.matching import nearest_picture
-from ..operators.rules import mapping_quality, status_of_color
+from ..operators.rules import STATUS, mapping_quality, status_of_color
 from ..operators.windows import base_pictures
 
 POINT = "struct<_x:long,_y:long>"
@@ -69,3 +69,27 @@ def overlay_labels(shapes: DataFrame, pictures: DataFrame, crosswalk: DataFrame,
         mapping_quality(F.col("p_media_name"), F.col("original_name"), F.col("base_media"), F.col("media")).alias("mapping_quality"), rx.alias("x_norm_in_assigned"), ry.alias("y_norm_in_assigned"),
         uncropped(rx, F.col("p_crop_l"), F.col("p_crop_r")).alias("projected_x"), uncropped(ry, F.col("p_crop_t"), F.col("p_crop_b")).alias("projected_y"), (mx / size[0]).alias("slide_x_norm"), (my / size[1]).alias("slide_y_norm"),
     )
+
+
+def slide_table(labels: DataFrame, pictures: DataFrame) -> DataFrame:
+    """One row for each slide with labels (slide, label_status, original_name) or pictures (slide, media_name): pictures,
+    unique media, whether one medium stands there twice, whether any is known by content, the base picture's medium, and
+    labels by status."""
+    shown = pictures.groupBy("slide").agg(F.count(F.lit(1)).alias("picture_count"), F.count_distinct("media_name").alias("unique_media_count"))
+    base = base_pictures(pictures).select("slide", F.col("media_name").alias("base_media"))
+    status = lambda s: F.count_if(F.col("label_status") == s)
+    said = labels.groupBy("slide").agg(F.bool_or(F.col("original_name").isNotNull()).alias("any_match"), status(STATUS["here"]).alias("here_labels"), status(STATUS["elsewhere"]).alias("elsewhere_labels"), status(STATUS["other"]).alias("other_labels"))
+    out = shown.join(base, "slide", "left").join(said, "slide", "full")
+    zero = {c: F.coalesce(c, F.lit(0).cast("long")) for c in ("picture_count", "unique_media_count", "here_labels", "elsewhere_labels", "other_labels")}
+    return out.withColumns(zero).withColumns({"any_match": F.coalesce("any_match", F.lit(False)), "same_media_reuse": F.col("unique_media_count") < F.col("picture_count")})
+
+
+def media_table(labels: DataFrame, pictures: DataFrame) -> DataFrame:
+    """One row for each medium: its slides in order, the labels that lie on it (labels: assigned_media), and on how many
+    slides it is the base picture."""
+    where = pictures.groupBy("media_name").agg(F.array_join(F.array_sort(F.collect_set("slide")), ",").alias("slides"))
+    total = labels.where("assigned_media is not null").groupBy(F.col("assigned_media").alias("media_name")).agg(F.count(F.lit(1)).alias("label_total"))
+    base = pictures.join(base_pictures(pictures).select("slide", "media_name"), ["slide", "media_name"], "left_semi")
+    base = base.groupBy("media_name").agg(F.count(F.lit(1)).alias("base_slide_count"))
+    out = where.join(total, "media_name", "left").join(base, "media_name", "left")
+    return out.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("label_total", "base_slide_count")})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,15 +41,31 @@ def read_manifest(spark: SparkSession, path: str, schema: T.StructType) -> DataF
     return spark.read.schema(schema).csv(path, header=True, multiLine=True, escape='"')
 
 
+BLOBS = "sha256 string, content binary, batch string, prefix string"
+
+
 def write_blobs(files: DataFrame, held: DataFrame | None, path: str) -> DataFrame:
     """Content-addressed store: files (sha256, content) whose digest is new are written once, parted by its first two
-    digits. Returns the digests written."""
+    digits. Returns the digests written, as they stand in the store."""
     fresh = files.select("sha256", "content").where("sha256 is not null")
     if held is not None:
         fresh = fresh.join(held.select("sha256"), "sha256", "left_anti")
-    fresh = fresh.dropDuplicates(["sha256"]).withColumn("prefix", F.left("sha256", F.lit(2)))
+    batch = uuid.uuid4().hex
+    fresh = fresh.dropDuplicates(["sha256"]).withColumns({"batch": F.lit(batch), "prefix": F.left("sha256", F.lit(2))})
     fresh.write.mode("append").partitionBy("prefix").parquet(path)
-    return fresh.select("sha256")
+    return files.sparkSession.read.schema(BLOBS).parquet(path).where(F.col("batch") == batch).select("sha256")
+
+
+def reference_counts(images: DataFrame, column: str = "sha256") -> DataFrame:
+    """How many images name each file."""
+    return images.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("references"))
+
+
+def released(images: DataFrame, deleted: DataFrame, column: str = "sha256") -> DataFrame:
+    """The files that no image names any more once the ids of deleted are gone."""
+    before = reference_counts(images, column)
+    gone = reference_counts(images.join(deleted.select("id").distinct(), "id", "left_semi"), column).withColumnRenamed("references", "gone")
+    return before.join(gone, column).where("references = gone").select(column)
 
 
 def orphans(blobs: DataFrame, images: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import image_url, thread_id
+from ..functions.text import image_url, nfkc, safe_filename, squeezed, thread_id
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -106,3 +106,20 @@ def link_manifest(images: DataFrame, blobs: DataFrame) -> DataFrame:
 
 def thread_manifest(links: DataFrame) -> DataFrame:
     return links.groupBy("thread").agg(F.countDistinct("page_no").alias("pages"), F.count_if(F.col("status") == "copied").alias("copied"), F.count_if(F.col("status") == "missing").alias("missing"), F.countDistinct("sha256").alias("unique_images"))
+
+
+def image_manifest(links: DataFrame) -> DataFrame:
+    """One row for each content that was copied: where it was first seen, by thread, page, post and place in it. links are
+    those of link_manifest, with position, the order of threads, if there is one."""
+    order = [c for c in ("position", "thread", "page_no", "place", "image_index") if c in links.columns]
+    first = links.where("status = 'copied'").groupBy("sha256").agg(F.min(F.struct(*order, "image_url")).alias("f"), F.count(F.lit(1)).alias("links"))
+    return first.select("sha256", F.col("f.thread").alias("first_thread"), F.col("f.page_no").alias("first_page"), F.col("f.image_url").alias("first_image_url"), "links")
+
+
+def text_exports(threads: DataFrame, exports: DataFrame) -> DataFrame:
+    """threads (title, ...) with path: of exports (name without ending, path) the one with the title's safe file name, else
+    the first with the same normalised name; null if there is none."""
+    named = exports.groupBy(F.col("name").alias("_file")).agg(F.min("path").alias("_exact"))
+    alike = exports.select(squeezed(nfkc(F.col("name"))).alias("_key"), "path").where("_key <> ''").groupBy("_key").agg(F.min("path").alias("_alike"))
+    rows = threads.withColumns({"_file": safe_filename(F.col("title")), "_key": squeezed(nfkc(F.col("title")))})
+    return rows.join(named, "_file", "left").join(alike, "_key", "left").withColumn("path", F.coalesce("_exact", "_alike")).drop("_file", "_key", "_exact", "_alike")

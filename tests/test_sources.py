@@ -91,6 +91,11 @@ def test_threads(spark, tmp_path):
     assert sorted((r["post_id"], r["image_index"], r["image_url"]) for r in found.collect()) == [("p1", 1, "https://h/a.jpg"), ("p1", 2, "https://h/b.png"), ("p2", 1, "https://h/c.gif")]
     links = threads.link_manifest(found, spark.createDataFrame([("https://h/a.jpg", "s1")], "image_url string, sha256 string"))
     assert tuple(threads.thread_manifest(links).first()) == ("t", 1, 1, 2, 1)
+    more = links.select("thread", "page_no", "place", "image_index", "image_url", "sha256", "status").union(spark.createDataFrame([("s", 9, 0, 1, "https://h/z.jpg", "s1", "copied"), ("u", 1, 0, 1, "https://h/y.jpg", "s2", "copied")], "thread string, page_no int, place int, image_index int, image_url string, sha256 string, status string"))
+    assert sorted(map(tuple, threads.image_manifest(more).collect())) == [("s1", "s", 9, "https://h/z.jpg", 2), ("s2", "u", 1, "https://h/y.jpg", 1)]
+    titles = spark.createDataFrame([("Side: guns?",), ("Top_Hull",), ("none",)], "title string")
+    exports = spark.createDataFrame([("Side_ guns_", "p1"), ("side guns", "p2"), ("top hull", "p3"), ("TOP-HULL", "p4")], "name string, path string")
+    assert sorted(map(tuple, threads.text_exports(titles, exports).select("title", "path").collect()), key=repr) == [("Side: guns?", "p1"), ("Top_Hull", "p3"), ("none", None)]
 
 
 SLIDE = """<p:sld xmlns:p="p" xmlns:a="a" xmlns:r="r"><p:cSld><p:spTree>
@@ -113,6 +118,9 @@ def test_slides(spark, tmp_path):
     gun, hull = got["Gun port"], got["Hull"]
     assert (gun["assigned_media"], gun["mapping_quality"], gun["label_status"], gun["slide_title"]) == ("m1.png", "high_exact_reused_image", "identified_in_this_image", "Deck")
     assert gun["projected_x"] == pytest.approx(0.1 + 0.5 * 0.8) and gun["projected_y"] == 0.5 and gun["slide_x_norm"] == 0.05
+    table = slides.overlay_labels(shapes, pictures, known, (1000, 500))
+    assert slides.slide_table(table, pictures).select("slide", "picture_count", "unique_media_count", "base_media", "any_match", "here_labels", "other_labels", "same_media_reuse").collect() == [(7, 2, 2, "m2.png", True, 1, 1, False)]
+    assert sorted(map(tuple, slides.media_table(table, pictures).collect())) == [("m1.png", "7", 1, 0), ("m2.png", "7", 1, 1)]
     assert (hull["assigned_media"], hull["mapping_quality"], hull["label_status"]) == ("m2.png", "medium_base_image_only", "other_or_unstyled")
 
 
@@ -129,4 +137,6 @@ def test_tables(spark, tmp_path):
     held = spark.read.parquet(str(tmp_path / "blobs"))
     tables.write_blobs(blobs, held, str(tmp_path / "blobs"))
     assert spark.read.parquet(str(tmp_path / "blobs")).count() == 2
+    images = spark.createDataFrame([(1, "aa1"), (2, "aa1"), (3, "bb2"), (4, None)], "id long, sha256 string")
+    assert [r[0] for r in tables.released(images, spark.createDataFrame([(1,), (3,)], "id long")).collect()] == ["bb2"]
     assert [r[0] for r in tables.orphans(held, spark.createDataFrame([("aa1",)], "sha256 string")).select("sha256").collect()] == ["bb2"]
