@@ -206,6 +206,13 @@ def rejects(table: DataFrame, required: list[str] = (), enums: dict[str, tuple[s
     return out
 
 
+def map_rejects(positions: DataFrame, placements: DataFrame, maps: DataFrame) -> DataFrame:
+    """(key, rule) of positions on a map of another model than their placement's."""
+    own = placements.select(F.col("id").alias("placement_id"), F.col("model_id").alias("_model"))
+    shown = maps.select(F.col("id").alias("map_id"), F.col("model_id").alias("_shown"))
+    return positions.join(own, "placement_id").join(shown, "map_id").where("_model <> _shown").select(F.col("id").alias("key"), F.lit("map_of_model").alias("rule"))
+
+
 def cascade(children: DataFrame, column: str, deleted: DataFrame, how: str = "cascade") -> DataFrame:
     """Children of deleted rows: gone (cascade), with the column null (set_null), or the rows that forbid it (blocked)."""
     ids = deleted.select(F.col("id").alias(column)).distinct()

@@ -394,6 +394,12 @@ def _(c):
     return merge.rejects(c.placements, one_of=["part_id", "kit_id"])
 
 
+@query("m10_map_match", "SELECT s.id AS key, 'map_of_model' AS rule FROM (SELECT id, id AS placement_id, (id % 25) * 10 AS map_id FROM placements) s JOIN placements p ON p.id = s.placement_id JOIN maps m ON m.id = s.map_id WHERE p.model_id <> m.model_id", "placements", "maps")
+def _(c):
+    positions = c.placements.select("id", F.col("id").alias("placement_id"), (F.col("id") % 25 * 10).alias("map_id"))
+    return merge.map_rejects(positions, c.placements, c.maps)
+
+
 @query("m11_cascade", "SELECT 'cascade' AS how, count(*) AS n FROM image_regions WHERE image_id % 2 = 1 UNION ALL SELECT 'set_null', count(*) FROM maps WHERE image_id IS NULL OR image_id % 2 = 1 UNION ALL SELECT 'blocked', count(*) FROM image_links WHERE image_id % 2 = 0", "image_regions", "maps", "image_links")
 def _(c):
     gone = c.images.where("id % 2 = 0").select("id")
@@ -621,9 +627,11 @@ def _(c):
     return linked_regions(c)[1].select("id", "change", F.get_json_object("new_values", "$.label").alias("label"), F.get_json_object("new_values", "$.entity_id").alias("new_id"))
 
 
-@query("x6_tag_posts", "SELECT id, keyword FROM source_extracts JOIN (SELECT unnest(['the', 'und', 'que']) AS keyword) ON regexp_matches(trim(regexp_replace(regexp_replace(lower(content), '[_-]+', ' ', 'g'), '\\s+', ' ', 'g')), '(^|[^a-z0-9])' || keyword || '([^a-z0-9]|$)')", "source_extracts")
+@query("x6_tag_posts", "SELECT id, keyword FROM source_extracts JOIN (SELECT unnest(['the', 'und', 'que']) AS keyword) ON regexp_matches(trim(regexp_replace(regexp_replace(lower(regexp_replace(content, '[^\\x00-\\x7F]+', ' ', 'g')), '[_-]+', ' ', 'g'), '\\s+', ' ', 'g')), '(^|[^a-z0-9])' || keyword || '([^a-z0-9]|$)')", "source_extracts")
 def _(c):
-    return jobs.tag_posts(c.source_extracts, "content", ["the", "und", "que"]).select("id", "keyword")
+    """Without characters beyond ASCII, as SQL has no compatibility form."""
+    posts = c.source_extracts.select("id", F.regexp_replace("content", r"[^\x00-\x7F]+", " ").alias("content"))
+    return jobs.tag_posts(posts, "content", ["the", "und", "que"]).select("id", "keyword")
 
 
 def corpus(c):
