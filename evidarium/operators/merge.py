@@ -224,10 +224,11 @@ def cascade(children: DataFrame, column: str, deleted: DataFrame, how: str = "ca
     return children.join(mark, column, "left").withColumn(column, F.when(F.col("_gone").isNull(), F.col(column))).select(*children.columns)
 
 
-def replace_children(children: DataFrame, parent: str, incoming: DataFrame) -> DataFrame:
-    """All children of the parents that incoming names are replaced by its rows."""
-    named = incoming.select(parent).distinct()
-    return children.join(named, parent, "left_anti").unionByName(incoming.dropDuplicates(), allowMissingColumns=True)
+def replace_children(children: DataFrame, parent: str, incoming: DataFrame, parents: DataFrame | None = None) -> DataFrame:
+    """All children of the parents that incoming names, or parents does, are replaced by the rows of incoming: a parent
+    without any there has no children afterwards."""
+    named = incoming.select(parent) if parents is None else incoming.select(parent).union(parents.select(parent))
+    return children.join(named.distinct(), parent, "left_anti").unionByName(incoming.dropDuplicates(), allowMissingColumns=True)
 
 
 def refresh(table: DataFrame, incoming: DataFrame, imported: Column, signature: list[str]) -> DataFrame:

@@ -73,7 +73,7 @@ def connections(c, min_models: int = 2, include_assemblies: bool = False, placem
         used = used.union(pl.join(inner, "cast_assembly_id").select("k", "model_id"))
     used = used.distinct().join(F.broadcast(c.models.select(F.col("id").alias("model_id"), F.col("name").alias("model"))), "model_id")
     many = used.groupBy("kit_id").agg(F.count(F.lit(1)).alias("model_count"), F.array_join(F.array_sort(F.collect_set("model")), ",").alias("model_names")).where(F.col("model_count") >= min_models)
-    return many.join(c.kits.select(F.col("id").alias("kit_id"), "brand", "name"), "kit_id").select("kit_id", "brand", "name", "model_count", "model_names")
+    return many.join(c.kits.select(F.col("id").alias("kit_id"), "brand", "name"), "kit_id").select("kit_id", "brand", "name", "model_count", "model_names").orderBy(F.desc("model_count"), "brand", "name", "kit_id")
 
 
 def model_kit_summary(c, part_level_only: bool = True) -> DataFrame:
@@ -105,6 +105,11 @@ def kit_profiles(c) -> DataFrame:
 
 
 def parts(c, text: str | None = None, kit_id: int | None = None) -> DataFrame:
+    """By kit and part number."""
+    return part_rows(c, text, kit_id).orderBy("brand", "kit_name", "part_number", "id")
+
+
+def part_rows(c, text: str | None = None, kit_id: int | None = None) -> DataFrame:
     df = filtered(c.parts, kit_id=kit_id).join(c.kits.select(F.col("id").alias("kit_id"), "brand", F.col("name").alias("kit_name")), "kit_id")
     return df if text is None else df.where(like_any(text, F.col("part_number"), F.col("part_label"), F.col("notes")))
 
@@ -113,7 +118,7 @@ def part_profiles(c) -> DataFrame:
     """Parts with their placements, images and files."""
     pl = nested(c.placements.where("part_id is not null").select("part_id", "id", "model_id", "copy_count"), "part_id", "placements", "id", "model_id", "copy_count")
     files = nested(c.part_files.withColumnRenamed("id", "file_id"), "part_id", "files", "file_type", "url", "file_id")
-    return with_children(parts(c), pl, linked_images(c, "part"), files)
+    return with_children(part_rows(c), pl, linked_images(c, "part"), files)
 
 
 def models(c, film: str | None = None) -> DataFrame:
@@ -134,8 +139,13 @@ def maps(c, model_id: int | None = None) -> DataFrame:
     return filtered(c.maps, model_id=model_id).join(base, "image_id", "left").orderBy("model_id", "name", "id")
 
 
-def placements(c, model_id: int | None = None, kit_id: int | None = None, confidence: str | None = None, film_version: str | None = None) -> DataFrame:
-    """Listing with names and the position in force."""
+def placements(c, **filters) -> DataFrame:
+    """placement_rows by model, kit and part number."""
+    return placement_rows(c, **filters).orderBy("model", "kit", "part_number", "id")
+
+
+def placement_rows(c, model_id: int | None = None, kit_id: int | None = None, confidence: str | None = None, film_version: str | None = None) -> DataFrame:
+    """Placements with names and the position in force."""
     df = filtered(placement_kit(c), model_id=model_id, via_kit=kit_id, confidence=confidence, film_version=film_version)
     df = df.join(F.broadcast(c.models.select(F.col("id").alias("model_id"), F.col("name").alias("model"))), "model_id")
     df = df.join(c.kits.select(F.col("id").alias("via_kit"), F.col("brand").alias("kit")), "via_kit", "left")
@@ -154,7 +164,7 @@ def placement_profiles(c) -> DataFrame:
     history = c.placement_history.join(people.select(F.col("contributor_id").alias("changed_by"), F.col("handle").alias("changed_by_handle")), "changed_by", "left")
     history = nested(history, "placement_id", "history", "changed_at", "prev_part_id", "changed_by_handle", newest=True)
     own = nested(c.placement_positions.select("placement_id", "is_current", "created_at", F.col("id").alias("position_id"), "map_id", "status", "x_norm"), "placement_id", "positions", "is_current", "created_at", "position_id", "map_id", "status", "x_norm", newest=True)
-    out = placements(c).withColumnRenamed("map_id", "position_map_id").join(c.placements.select("id", "map_id"), "id")
+    out = placement_rows(c).withColumnRenamed("map_id", "position_map_id").join(c.placements.select("id", "map_id"), "id")
     out = out.join(c.maps.select(F.col("id").alias("map_id"), F.col("name").alias("map")), "map_id", "left")
     return with_children(out, helpers, linked_images(c, "placement"), history, own)
 
@@ -181,6 +191,11 @@ def assembly_profiles(c) -> DataFrame:
 
 
 def sources(c, text: str | None = None) -> DataFrame:
+    """By title."""
+    return source_rows(c, text).orderBy("title", "id")
+
+
+def source_rows(c, text: str | None = None) -> DataFrame:
     df = with_counts(c.sources, counted(c.source_extracts, "source_id", "extract_count"), "source_id", "extract_count")
     parent = c.sources.select(F.col("id").alias("parent_source_id"), F.col("title").alias("parent_title"))
     df = df.join(parent, "parent_source_id", "left")
@@ -191,7 +206,7 @@ def source_profiles(c) -> DataFrame:
     """Sources with the number and title of their parent, their extracts and their images."""
     texts = nested(c.source_extracts.select("source_id", F.col("id").alias("extract_id"), "author_handle", excerpt(F.col("content")).alias("excerpt")), "source_id", "extracts", "extract_id", "author_handle", "excerpt")
     images = nested(c.images.where("source_id is not null").select("source_id", F.col("id").alias("image_id"), "filename"), "source_id", "images", "image_id", "filename")
-    return with_children(sources(c), texts, images)
+    return with_children(source_rows(c), texts, images)
 
 
 def source_paths(c) -> DataFrame:
@@ -208,14 +223,15 @@ def source_paths(c) -> DataFrame:
 
 def extracts(c, text: str | None = None, author: str | None = None) -> DataFrame:
     df = filtered(c.source_extracts, author_handle=author).join(c.sources.select(F.col("id").alias("source_id"), F.col("title").alias("source_title")), "source_id")
-    return df if text is None else df.where(like_any(text, F.col("content"), F.col("author_handle")))
+    df = df if text is None else df.where(like_any(text, F.col("content"), F.col("author_handle")))
+    return df.orderBy("id")
 
 
 def families(c) -> DataFrame:
     members = c.image_family_members
     out = members.groupBy("family_id").agg(F.count(F.lit(1)).alias("member_count"), F.sum("is_hidden").alias("hidden_count"))
     primary = first_per(members, ["family_id"], [F.desc("is_primary"), F.asc_nulls_first("sort_order"), F.asc("id")])
-    return out.join(primary.select("family_id", F.col("image_id").alias("primary_image_id")), "family_id")
+    return out.join(primary.select("family_id", F.col("image_id").alias("primary_image_id")), "family_id").orderBy(F.desc("family_id"))
 
 
 def family_payloads(c) -> DataFrame:
@@ -236,7 +252,7 @@ def image_library(c, text: str | None = None, tag: str | None = None, family_id:
     df = df.join(filtered(members, family_id=family_id), "id", "inner" if family_id is not None else "left")
     df = with_counts(df, counted(c.image_regions, "image_id", "region_count"), "image_id", "region_count")
     df = with_counts(df, image_claims(c).groupBy("image_id").agg(F.countDistinct("claim_id").alias("claim_count")), "image_id", "claim_count")
-    return df.where("family_id is null or is_primary = 1 or is_hidden = 0") if collapse else df
+    return (df.where("family_id is null or is_primary = 1 or is_hidden = 0") if collapse else df).orderBy(F.desc("id"))
 
 
 def image_claims(c) -> DataFrame:
@@ -320,6 +336,11 @@ def claim_labels(c, status: str | None = None, subject_type: str | None = None,
     return with_counts(df, counted(c.claim_evidence, "claim_id", "evidence_count"), "claim_id", "evidence_count")
 
 
+def claims(c, **filters) -> DataFrame:
+    """claim_labels, the newest first."""
+    return claim_labels(c, **filters).orderBy(F.desc("id"))
+
+
 def claim_profiles(c, **filters) -> DataFrame:
     """Claims as in claim_labels with their evidence: type, id and label of each link."""
     return with_children(claim_labels(c, **filters), nested(evidence_labels(c), "claim_id", "evidence", "evidence_type", "evidence_id", "label"))
@@ -382,7 +403,7 @@ def entity_index(c, types: tuple[str, ...] = ("kit", "part", "model", "image", "
     bits = lambda *b: F.array_compact(F.array(*[F.nullif(F.trim(x.cast("string")), F.lit("")) for x in b]))
     each = {
         "kit": lambda: c.kits.select(F.lit("kit").alias("type"), "id", joined(" ", F.col("brand"), F.col("name")).alias("title"), joined(" / ", F.col("scale"), F.col("availability")).alias("subtitle"), bits(F.col("scale"), F.col("availability")).alias("badges")),
-        "part": lambda: parts(c).select(F.lit("part").alias("type"), "id", joined(" ", F.col("part_number"), F.col("part_label")).alias("title"), F.col("brand").alias("subtitle"), bits(F.col("part_number")).alias("badges")),
+        "part": lambda: part_rows(c).select(F.lit("part").alias("type"), "id", joined(" ", F.col("part_number"), F.col("part_label")).alias("title"), F.col("brand").alias("subtitle"), bits(F.col("part_number")).alias("badges")),
         "placement": lambda: placement_kit(c).join(named, "model_id").select(F.lit("placement").alias("type"), "id", joined(" / ", F.col("model"), F.col("film_version")).alias("title"), F.col("confidence").alias("subtitle"), bits(F.col("confidence"), F.col("film_version")).alias("badges")),
         "model": lambda: c.models.select(F.lit("model").alias("type"), "id", F.col("name").alias("title"), F.col("film").alias("subtitle"), bits(F.col("film")).alias("badges")),
         "map": lambda: c.maps.join(named, "model_id").select(F.lit("map").alias("type"), "id", F.col("name").alias("title"), F.col("model").alias("subtitle"), none.alias("badges")),

@@ -196,7 +196,7 @@ def _(c):
 
 @query("q18_claims", f"SELECT * FROM (WITH {LABELS} SELECT k.id, predicate, text_value, label AS subject, (SELECT count(*) FROM claim_evidence e WHERE e.claim_id = k.id) AS evidence_count FROM claims k LEFT JOIN labels_of o ON o.entity_type = subject_type AND o.entity_id = subject_id WHERE status = 'active')", *LABEL_VIEWS, "claims", "claim_evidence")
 def _(c):
-    return q.claim_labels(c, status="active").select("id", "predicate", "text_value", "subject", "evidence_count")
+    return q.claims(c, status="active").select("id", "predicate", "text_value", "subject", "evidence_count")
 
 
 @query("j15_evidence_labels", "SELECT e.claim_id, e.evidence_type, e.evidence_id, CASE e.evidence_type WHEN 'image_region' THEN coalesce(nullif(trim(r.label), ''), CASE WHEN r.id IS NOT NULL THEN 'region' END) WHEN 'image' THEN coalesce(nullif(trim(i.title), ''), nullif(trim(i.filename), '')) ELSE CASE WHEN length(x.content) > 80 THEN left(x.content, 80) || '...' ELSE x.content END END AS label FROM claim_evidence e LEFT JOIN image_regions r ON e.evidence_type = 'image_region' AND r.id = e.evidence_id LEFT JOIN images i ON e.evidence_type = 'image' AND i.id = e.evidence_id LEFT JOIN source_extracts x ON e.evidence_type = 'source_extract' AND x.id = e.evidence_id", "claim_evidence", "image_regions", "images", "source_extracts")

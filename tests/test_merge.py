@@ -142,3 +142,16 @@ def test_absorbed_tags(spark):
     kept, gone, left = merge.absorb(images, pairs, spark.createDataFrame([(3,)], "id long"), tags)
     assert rows(kept, "id", "notes") == [(1, "a\nb\nc"), (3, "c")] and rows(gone, "id") == [(2,)]
     assert rows(left, "image_id", "tag") == [(1, "x"), (1, "y"), (1, "z"), (3, "x"), (3, "z")]
+
+
+def test_child_sets_may_be_emptied(spark):
+    tags = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (3, "d")], "image_id long, tag string")
+    new = spark.createDataFrame([(1, "z"), (1, "z")], "image_id long, tag string")
+    assert rows(merge.replace_children(tags, "image_id", new), "image_id", "tag") == [(1, "z"), (2, "c"), (3, "d")]
+    assert rows(merge.replace_children(tags, "image_id", new, spark.createDataFrame([(2,)], "image_id long")), "image_id", "tag") == [(1, "z"), (3, "d")]
+
+
+def test_positions_on_maps_of_other_models(spark):
+    positions = spark.createDataFrame([(1, 10, 5), (2, 10, 6), (3, 10, None)], "id long, placement_id long, map_id long")
+    placements, maps = spark.createDataFrame([(10, 1)], "id long, model_id long"), spark.createDataFrame([(5, 1), (6, 2)], "id long, model_id long")
+    assert rows(merge.map_rejects(positions, placements, maps), "key", "rule") == [(2, "map_of_model")]

@@ -86,3 +86,16 @@ def test_paths_of_a_deep_hierarchy(spark):
     deep = spark.createDataFrame([(i, i - 1 if i else None, f"s{i}") for i in range(40)], "id long, parent_source_id long, source_code string")
     got = source_paths(SimpleNamespace(spark=spark, sources=deep)).collect()
     assert {r["id"]: (r["depth"], r["path"]) for r in got} == {i: (i, "/".join(f"s{k}" for k in range(i + 1))) for i in range(40)}
+
+
+def test_listings_are_in_order(spark, sf):
+    from evidarium.plans import catalog as q
+    from evidarium.plans.analog import Catalog
+
+    c = Catalog(spark, sf)
+    for listing, key in (
+        (q.parts(c), lambda r: (r["brand"], r["kit_name"], r["part_number"], r["id"])), (q.connections(c), lambda r: (-r["model_count"], r["brand"], r["name"])), (q.models(c), lambda r: (r["film"], r["name"])),
+        (q.claims(c), lambda r: -r["id"]), (q.regions(c), lambda r: (r["image_id"], r["id"])), (q.image_library(c), lambda r: -r["id"]), (q.families(c), lambda r: -r["family_id"]), (q.contributors(c), lambda r: r["handle"]),
+    ):
+        rows = [key(r) for r in listing.collect()]
+        assert rows and rows == sorted(rows)
