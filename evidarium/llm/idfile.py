@@ -65,7 +65,8 @@ def write_ids(docs: DataFrame, vocabulary: str, end_id: int = 1, id_col: str = "
     """Encode every text, end it by end_id, and write all ids to files in ascending order of the documents' ids.
 
     Null counts as empty and gives end_id alone; documents without an id come first; rows that share an id follow one
-    another in no stated order. An empty table gives no file.
+    another by the crc32 of their texts, so that files can be parted among them too. Repeated rows are each written. A text
+    longer than a file is not cut. An empty table gives no file.
     """
     spark = docs.sparkSession
     size = max(vocabulary_size(vocabulary), end_id + 1)
@@ -80,13 +81,17 @@ def write_ids(docs: DataFrame, vocabulary: str, end_id: int = 1, id_col: str = "
             total += np.bincount(np.frombuffer(b"".join(blobs), width), minlength=size)
             small = [squeeze.compress(b) for b in blobs]
             n = [len(b) // np.dtype(width).itemsize for b in blobs]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(small, pa.binary()), pa.nulls(len(n), pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tie"), pa.array(n, pa.int64()), pa.array(small, pa.binary()), pa.nulls(len(n), pa.binary())], names=names)
         if total.any():  # a row for the task: how often it saw each id
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())], names=names)
-
-    names = ["id", "n_ids", "ids", "seen"]
-    rows = with_text(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), "text", ["id"]).select("record.id", "text")
-    schema = rows.select("id").schema.add("n_ids", "long").add("ids", "binary").add("seen", "binary")
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())], names=names)
+
+    names = ["id", "tie", "n_ids", "ids", "seen"]
+    text = F.col(f"`{text_col}`")
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("tie"), text.alias("text"))
+    rows = with_text(rows, "text", ["id", "tie"]).select("record.id", "record.tie", "text")
+    schema = rows.select("id", "tie").schema.add("n_ids", "long").add("ids", "binary").add("seen", "binary")
+    for field in schema:
+        field.nullable = True  # the rows of counts have neither
     whole = materialize(rows.mapInArrow(encode, schema), "ids-encoded", "none")
     stage = whole.where("seen is null").drop("seen")
 
@@ -133,7 +138,8 @@ def write_ids(docs: DataFrame, vocabulary: str, end_id: int = 1, id_col: str = "
             yield close()
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = stage.repartitionByRange(parts, "id").sortWithinPartitions("id")
+    order = ["id", "tie", "row"]
+    sorted_ = stage.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(parts, *order).sortWithinPartitions(*order)
     schema = stage.select(F.lit("").alias("file"), "id", F.lit(0).cast("long").alias("place"), "n_ids").schema
     return IdFiles(materialize(sorted_.mapInArrow(save, schema), "ids-documents"), f"{folder}/ranks.bin")
 

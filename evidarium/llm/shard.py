@@ -67,7 +67,8 @@ def numbered(rows: DataFrame, order: list[str], partitions: int | None = None) -
     get their partition's start plus their place in it: no step sees all rows. The starts are one row per partition."""
     spark = rows.sparkSession
     count = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(count, *order).sortWithinPartitions(*order)
+    tied = [*order, "tie"]  # rows alike in all of order can be parted too
+    dealt = rows.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(count, *tied).sortWithinPartitions(*tied).drop("tie")
     place = F.monotonically_increasing_id()
     dealt = materialize(dealt.withColumns({"part_no": F.shiftright(place, 33), "part_row": place.bitwiseAND(F.lit((1 << 33) - 1))}), "shard-numbers")
     sizes = dealt.groupBy("part_no").agg(F.count(F.lit(1)).alias("size"))

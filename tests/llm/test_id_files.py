@@ -40,6 +40,8 @@ def test_files_round_trip(spark, monkeypatch):
         assert np.frombuffer(r["ids"], "<u4").tolist() == ids and (r["start"], r["n_ids"]) == (at, len(ids))
         at += len(ids)
     assert write_ids(spark.createDataFrame([], SCHEMA), PATH).documents.count() == 0
+    always = spark.range(5).selectExpr("id AS doc_id", "'same' AS text")  # ids that cannot be null
+    assert sorted(r["id"] for r in write_ids(always, PATH).documents.collect()) == [0, 1, 2, 3, 4]
 
 
 def test_counts_of_flat_files(spark):
