@@ -43,7 +43,7 @@ def test_strings(spark):
     assert values(spark, t.generic_title(A), "Slide 3", "image04.PNG", "Hull", "", None, " N/A", "open", "photo", "image4.png.jpg", "image.png", "image3.svg") == [False, True, False, True, True, True, True, False, False, False, False]
     assert values(spark, t.humanized(A), "hull_plate-A  b", "unknown", " ", None, "None", "-_") == ["hull plate A b", None, None, None, None, None]
     assert values(spark, t.excerpt(A, 3), "abcd", "abc") == ["abc...", "abc"]
-    assert values(spark, t.file_score(A, ("rpf", "tube")), "0123456789abcdef0123.jpg", "rpf-a-long-file-name.jpg") == [1, 4]
+    assert values(spark, t.file_score(A, ("hull", "wing")), "0123456789abcdef0123.jpg", "hull-a-long-file-name.jpg") == [1, 4]
     assert values(spark, t.hash_like(A), "0123456789ABCDEF0123-x9.jpg", "0123456789abcdef012.jpg", "0123456789abcdef0123-.jpg", "0123456789abcdef0123-a-b") == [True, False, False, False]
     assert values(spark, t.storage_kind(A, B, C), (None, "d", None), ("", None, "u"), ("x", "d", "u"), (None, "", "")) == ["drive", "url", "x", "other"]
     assert values(spark, t.thread_title(A, B, C), (None, "<title> T </title>", "u"), ("", "", "https://x/threads/my-thread.1/"), ("S", "", "")) == ["T", "My Thread", "S"]
