@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, scratch, table, with_text
 from .files import read_at, write_whole
-from .tokens import default_vocabulary, library_words, texts_of, vocabulary_size
+from .tokens import default_vocabulary, library_words, vocabulary_size
 
 MAGIC = b"EVID0001"
 HEAD = 24
@@ -77,7 +77,7 @@ def write_ids(docs: DataFrame, vocabulary: str, end_id: int = 1, id_col: str = "
         end, total = np.array([end_id], width).tobytes(), np.zeros(size, np.int64)
         for batch in batches:
             kind = batch.column("id").type
-            blobs = [b + end for b in words.blobs(texts_of(batch.column("text")))]
+            blobs = [b + end for b in words.of_column(batch.column("text"))]
             total += np.bincount(np.frombuffer(b"".join(blobs), width), minlength=size)
             small = [squeeze.compress(b) for b in blobs]
             n = [len(b) // np.dtype(width).itemsize for b in blobs]

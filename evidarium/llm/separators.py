@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, scratch, table, with_text
 from .files import read_at, write_whole
-from .tokens import default_vocabulary, library_words, texts_of
+from .tokens import default_vocabulary, library_words
 
 BLOCK_IDS = 4 << 20
 #: Files written here are closed at this many ids.
@@ -43,7 +43,7 @@ def write_flat(docs: DataFrame, vocabulary: str, end_id: int, width: str = "<u2"
 
         for batch in batches:
             kind = batch.column("id").type
-            for i, blob in zip(batch.column("id").to_pylist(), words.blobs(texts_of(batch.column("text")))):
+            for i, blob in zip(batch.column("id").to_pylist(), words.of_column(batch.column("text"))):
                 held += [blob, end]
                 ids.append(i)
                 total += len(blob) + len(end)

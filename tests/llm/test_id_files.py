@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 import evidarium.llm.idfile as idfile
@@ -80,6 +81,9 @@ def test_words_of_every_kind_of_character_are_those_of_the_library():
     encode = LibraryEncoder(PATH, "<u4")
     own = list(Words(MergeTable(PATH).encode).blobs([t.encode() for t in texts]))
     assert own == list(Words(encode).blobs([t.encode() for t in texts]))
+    column = pa.array([*texts, None, "", " \t\n\x0b\x0c\r a  b\x1c\u2003c "])
+    blobs = Words(encode).of_column(column)
+    assert blobs == list(Words(encode).blobs([(t or "").encode() for t in column.to_pylist()])) == Words(encode).of_column(column.cast(pa.large_string()))
     got = Words(encode).blobs([t.encode() for t in texts])
     for t, blob in zip(texts, got):
         assert np.frombuffer(blob, "<u4").tolist() == TOKENIZER.encode(t, add_special_tokens=False).ids, repr(t)
