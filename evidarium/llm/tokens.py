@@ -31,6 +31,8 @@ MARKS = frozenset(",.;:!?)")
 CACHE_WORDS = 1_000_000
 #: Pieces of words that it keeps, likewise.
 CACHE_PIECES = 800_000
+#: Columns of more bytes get 64-bit offsets.
+LONG_BYTES = 1 << 28
 #: Bytes of text that are split at a time.
 GROUP_BYTES = 4 << 20
 
@@ -140,6 +142,8 @@ class Words:
         import pyarrow as pa
         import pyarrow.compute as pc
 
+        if texts.nbytes > LONG_BYTES:  # ids may take more bytes than their text, and 32-bit offsets end at 2 GB
+            texts = texts.cast(pa.large_string())
         kind = pa.binary() if texts.type == pa.string() else pa.large_binary()
         parts = pc.ascii_split_whitespace(pc.fill_null(texts, "")).cast(pa.list_(kind))
         words = parts.values.dictionary_encode()
