@@ -62,6 +62,8 @@ def file_sheet(sheet: DataFrame, references: DataFrame, parts: DataFrame, files:
 
 # decks
 
+# Tags, note keys and codes that users of an earlier load know are written below as they are.
+
 
 class Deck(NamedTuple):
     #: The new tables.
