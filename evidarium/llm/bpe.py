@@ -15,7 +15,6 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import table, texts_in, with_text
 from .tokens import Words, cache_of, default_vocabulary, is_known, pieces_of
