@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, idfile, jaccard, pii, quality, secret_scan, separators, shard
+from . import bpe, decontaminate, exact_dedup, hard_negatives, idfile, jaccard, pii, quality, secret_scan, separators, shard
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_jaccard_join": jaccard.op8_jaccard_join,
     "op9_personal_data": pii.op9_personal_data,
     "op10_secret_scan": secret_scan.op10_secret_scan,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
 }
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
     "op4_decontamination": decontaminate.ORACLE,
     "op8_jaccard_join": jaccard.ORACLE,
+    "op12_hard_negatives": hard_negatives.ORACLE,
 }
