@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, hard_negatives, idfile, jaccard, pii, quality, secret_scan, separators, shard
+from . import bpe, decontaminate, exact_dedup, hard_negatives, idfile, jaccard, periodic, pii, quality, secret_scan, separators, shard
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_personal_data": pii.op9_personal_data,
     "op10_secret_scan": secret_scan.op10_secret_scan,
     "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+    "op13_periodic_runs": periodic.op13_periodic_runs,
 }
 ORACLES = {
     "op1_exact_dedup": exact_dedup.ORACLE,
