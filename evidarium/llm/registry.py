@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, hard_negatives, idfile, jaccard, periodic, pii, quality, secret_scan, separators, shard
+from . import bpe, chat, decontaminate, exact_dedup, hard_negatives, idfile, jaccard, periodic, pii, quality, secret_scan, separators, shard
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_jaccard_join": jaccard.op8_jaccard_join,
     "op9_personal_data": pii.op9_personal_data,
     "op10_secret_scan": secret_scan.op10_secret_scan,
+    "op11_chat_windows": chat.op11_chat_windows,
     "op12_hard_negatives": hard_negatives.op12_hard_negatives,
     "op13_periodic_runs": periodic.op13_periodic_runs,
 }
