@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import excerpt, first_filled, joined, like_any
 from ..operators.windows import current_positions, first_per
+from ..sources.shared import checkpointed
 
 
 def filtered(df: DataFrame, **equal) -> DataFrame:
@@ -381,17 +382,6 @@ def reachable(c, start: DataFrame, hops: int) -> DataFrame:
     return seen
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df as a table in the folder that spark.checkpoint.dir names; as it is where none is set."""
-    context = df.sparkSession.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir")
-    if folder is None:
-        return df
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 #: Types that search offers, and those it takes where a query names none.
 SEARCH_TYPES = ("kit", "part", "placement", "model", "map", "image", "source")
 

@@ -11,7 +11,7 @@ from ..functions.text import clean, image_code, maybe_float, note_map, note_unio
 from ..operators.counters import counters
 from ..operators.matching import fallback_match
 from ..operators.merge import absorb, insert_absent, refresh, upsert, with_ids
-from .catalog import checkpointed
+from ..sources.shared import checkpointed
 
 # workbook
 

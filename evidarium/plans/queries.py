@@ -13,6 +13,7 @@ from ..operators import counters, matching, merge, rules, windows
 from ..sources import slides, threads
 from . import catalog as q
 from . import jobs
+from . import search as lookup
 from .analog import Catalog, oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -230,6 +231,17 @@ def _(c):
     return q.search(c, c.supplier.where("s_suppkey % 11 = 0").select(F.col("s_suppkey").alias("query_id"), text.alias("text"))).drop("badges")
 
 
+#: A query for every customer: names, numbers, brands, wildcards with and without three letters in a row, two letters, nothing.
+MANY = """CASE c_custkey % 8 WHEN 0 THEN 'picture ' || CAST(c_custkey AS STRING) WHEN 1 THEN CAST(c_custkey % 500 AS STRING) || ' ' WHEN 2 THEN 'Brand#' || CAST(c_custkey % 25 AS STRING) WHEN 3 THEN 'ATION_' || CAST(c_custkey % 30 AS STRING)
+    WHEN 4 THEN 'r%ng' WHEN 5 THEN 'wid_et' WHEN 6 THEN 'ne' ELSE 'none ' || CAST(c_custkey AS STRING) END"""
+
+
+@query("q20_posting_search", f"SELECT * FROM (WITH asked AS (SELECT c_custkey AS query_id, {MANY} AS text FROM customer), {INDEX}, texts AS (SELECT DISTINCT text FROM asked WHERE length(trim(text)) >= 2), hits AS (SELECT text, idx.*, row_number() OVER (PARTITION BY text, type ORDER BY title, id) AS r FROM idx JOIN texts ON title ILIKE '%' || text || '%' OR coalesce(subtitle, '') ILIKE '%' || text || '%') SELECT query_id, type, id, title, subtitle, CAST(row_number() OVER (PARTITION BY query_id ORDER BY type, title, id) AS INT) AS place FROM hits JOIN asked USING (text) WHERE r <= 5 QUALIFY place <= 20)", "kits", "parts", "models", "images", "sources")
+def _(c):
+    asked = c.customer.select(F.col("c_custkey").alias("query_id"), F.expr(MANY).alias("text"))
+    return lookup.search_index(lookup.catalog_index(c), asked).drop("badges")
+
+
 # aggregates and windows
 
 
