@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Sequence
 from functools import reduce
 
@@ -69,11 +70,16 @@ def squeezed(x: Column) -> Column:
 
 
 def nfkc(x: Column) -> Column:
-    """Unicode compatibility form; Spark has no function for it, Arrow has one for whole batches."""
-    import pyarrow.compute as pc
+    """Unicode compatibility form, in batches by Python's tables: Spark has no function for it, and Arrow's leaves characters
+    apart that the form puts together."""
     from pyspark.sql.pandas.functions import arrow_udf
 
-    return arrow_udf(lambda v: pc.utf8_normalize(v, "NFKC"), "string")(x)
+    def normalized(batch):
+        import pyarrow as pa
+
+        return pa.array([s if s is None or s.isascii() else unicodedata.normalize("NFKC", s) for s in batch.to_pylist()], pa.string())
+
+    return arrow_udf(normalized, "string")(x)
 
 
 def match_key(x: Column) -> Column:

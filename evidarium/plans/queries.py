@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import text as t
-from ..operators import counters, matching, merge, rules, windows
+from ..operators import counters, keywords, matching, merge, rules, windows
 from ..sources import slides, threads
 from . import catalog as q
 from . import jobs
@@ -836,3 +836,44 @@ def _(c):
     points = F.array(F.struct(F.lit(0.25).alias("x"), F.lit(0.5).alias("y")), F.struct(F.lit(0.5).alias("x"), F.lit(0.75).alias("y")))
     record = g.region(kind, F.col("x_norm"), F.lit(0.5), F.lit(0.25), F.lit(0.125), points, F.lit(640), F.lit(480))
     return c.image_regions.select("id", record.alias("r")).select("id", "r.kind", "r.x_px", "r.w_px", F.when(F.size("r.points_px") >= 0, F.size("r.points_px")).cast("int").alias("points"))
+
+
+# keyword tables
+
+#: Texts as some sites have them, with letters of full width; SQL sees the usual ones, which is what the compatibility form is.
+WIDE = ("abcdefghijklmnopqrstuvwxyz", "".join(chr(0xFF41 + i) for i in range(26)))
+#: The first two words of each text, its first word and the part names: thousands of keywords.
+BARE = "trim(regexp_replace(regexp_replace(lower({}), '[_-]+', ' ', 'g'), '\\s+', ' ', 'g'))"
+LISTED = "SELECT p_name AS keyword FROM part UNION SELECT regexp_extract({t}, '^[a-z0-9]+ [a-z0-9]+') FROM documents UNION SELECT regexp_extract({t}, '^[a-z0-9]+') FROM documents".replace("{t}", BARE.format("text"))
+#: Whether a keyword of letters, digits and single blanks stands in a text as whole words: other characters are made bars.
+STANDS = " OR ".join(f"contains(y, '{a}' || keyword || '{b}')" for a in " |" for b in " |")
+
+
+def listed(c) -> DataFrame:
+    from ..functions.text import squeezed
+
+    head = lambda p: c.documents.select(F.regexp_extract(squeezed(F.col("text")), p, 0).alias("keyword"))
+    return c.part.select(F.col("p_name").alias("keyword")).union(head("^[a-z0-9]+ [a-z0-9]+")).union(head("^[a-z0-9]+")).distinct()
+
+
+def typed(c) -> DataFrame:
+    text = F.when(F.col("doc_id") % 3 == 0, F.translate("text", *WIDE)).otherwise(F.col("text"))
+    return c.documents.select(F.col("doc_id").alias("id"), text.alias("text"))
+
+
+@query("j14_keyword_table", f"SELECT id, keyword FROM (SELECT doc_id AS id, ' ' || regexp_replace({BARE.format('text')}, '[^a-z0-9 ]', '|', 'g') || ' ' AS y FROM documents) JOIN ({LISTED}) ON keyword <> '' AND ({STANDS})")
+def _(c):
+    return keywords.keyword_matches(typed(c), listed(c), "text")
+
+
+@query("r6_scored_by_table", f"SELECT id, tier, CAST(2 * f + 3 * m + 2 * r + 2 * s AS INT) AS score, concat_ws(',', CASE WHEN f = 1 THEN 'filter' END, 'model:' || first_m, 'resource:' || first_r, CASE WHEN s = 1 THEN 'research:' || first_s END) AS reasons FROM (SELECT *, CASE WHEN m + r + s > 0 THEN 'strong' WHEN f > 0 THEN 'candidate' ELSE 'exclude' END AS tier FROM (SELECT *, CAST(first_m IS NOT NULL AS INT) AS m, CAST(first_r IS NOT NULL AS INT) AS r, CAST(first_s IS NOT NULL AND (f = 1 OR first_m IS NOT NULL) AS INT) AS s FROM (SELECT d.id, max(f) AS f, min(CASE WHEN kind = 0 THEN keyword END) AS first_m, min(CASE WHEN kind = 1 THEN keyword END) AS first_r, min(CASE WHEN kind = 2 THEN keyword END) AS first_s FROM (SELECT doc_id AS id, CAST(contains(text, 'lle') AS INT) AS f, ' ' || regexp_replace({BARE.format('text')}, '[^a-z0-9 ]', '|', 'g') || ' ' AS y FROM documents) d LEFT JOIN (SELECT keyword, length(keyword) % 3 AS kind FROM ({LISTED}) WHERE contains(keyword, ' ')) ON {STANDS} GROUP BY d.id)))")
+def _(c):
+    kind = F.element_at(F.array(*map(F.lit, keywords.POINTS)), F.length("keyword") % 3 + 1)
+    table = listed(c).where("contains(keyword, ' ')").withColumn("kind", kind)
+    titles = typed(c).join(c.documents.select(F.col("doc_id").alias("id"), F.contains("text", F.lit("lle")).alias("relevant")), "id")
+    return keywords.scored_titles(titles, table, F.col("relevant"), "text").select("id", "tier", "score", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("x6_tagged_by_table", f"SELECT id, source_id, keyword FROM (SELECT id, source_id, ' ' || regexp_replace({BARE.format('content')}, '[^a-z0-9 ]', '|', 'g') || ' ' AS y FROM source_extracts) JOIN ({LISTED}) ON keyword <> '' AND ({STANDS})", "source_extracts")
+def _(c):
+    return keywords.tagged_posts(c.source_extracts, "content", listed(c)).select("id", "source_id", "keyword")

@@ -77,3 +77,11 @@ def test_geometry(spark):
     before = [a + b for a, b in zip(quat(tuple(pose.first()[:4]), p), pose.first()[4:])]
     after = [a + b for a, b in zip(quat(tuple(moved[:4]), tuple(world)), moved[4:])]
     assert after == pytest.approx([s * x for x in before])
+
+
+def test_compatibility_form_puts_marks_and_letters_together(spark):
+    import unicodedata
+
+    odd = ["é", "é", "ﬁ①ａＢ", "한", "한", "plain", "", None, "Å x y"]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in odd], "v string").select(t.nfkc(F.col("v"))).collect()]
+    assert got == [None if v is None else unicodedata.normalize("NFKC", v) for v in odd]
