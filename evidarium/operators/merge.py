@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null, fill, note_union
+from .chains import chains, cycles
 from .windows import first_per
 
 
@@ -117,16 +118,14 @@ def supersede(positions: DataFrame) -> DataFrame:
 
 
 def supersede_depths(positions: DataFrame) -> DataFrame:
-    """(id, depth, first_id): how many positions each one supersedes in a row, and the first of its chain. A chain that
-    goes round has no first and gives no row. Deeper than spark.sql.cteRecursionLevelLimit it fails."""
-    return positions.sparkSession.sql(
-        """WITH RECURSIVE chain AS (
-             SELECT p.id, CAST(0 AS BIGINT) AS depth, p.id AS first_id FROM {positions} p LEFT ANTI JOIN {positions} o ON p.supersedes_id = o.id
-             UNION ALL
-             SELECT p.id, depth + 1, first_id FROM {positions} p JOIN chain c ON p.supersedes_id = c.id)
-           SELECT * FROM chain""",
-        positions=positions.select("id", "supersedes_id"),
-    )
+    """(id, depth, first_id): how many positions each one supersedes in a row, and the first of its chain; a position that
+    supersedes a missing one is a first. A chain that goes round has no first and gives no row: supersede_cycles has it."""
+    return chains(positions, "id", "supersedes_id").where("cycle is null").select("id", "depth", F.col("root").alias("first_id"))
+
+
+def supersede_cycles(positions: DataFrame) -> DataFrame:
+    """(cycle, rows, leading): positions that supersede each other in a circle, by the smallest id, and how many lead there."""
+    return cycles(chains(positions, "id", "supersedes_id"))
 
 
 def set_primary(members: DataFrame, chosen: DataFrame) -> DataFrame:

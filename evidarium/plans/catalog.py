@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import excerpt, first_filled, joined, like_any
+from ..operators.chains import chains
 from ..operators.windows import current_positions, first_per
 from ..sources.shared import checkpointed
 
@@ -211,15 +212,10 @@ def source_profiles(c) -> DataFrame:
 
 
 def source_paths(c) -> DataFrame:
-    """Depth and path from the root of every source. Deeper than spark.sql.cteRecursionLevelLimit it fails."""
-    return c.spark.sql(
-        """WITH RECURSIVE tree AS (
-             SELECT id, 0 AS depth, source_code AS path FROM {sources} WHERE parent_source_id IS NULL
-             UNION ALL
-             SELECT s.id, depth + 1, path || '/' || s.source_code FROM {sources} s JOIN tree t ON s.parent_source_id = t.id)
-           SELECT * FROM tree""",
-        sources=c.sources,
-    )
+    """Depth and path from the root of every source, however deep. Sources below a missing one, or on a cycle, have no path
+    from a root and are left out; chains(...) has them."""
+    found = chains(c.sources, "id", "parent_source_id", "source_code").where("cycle is null and not dangling")
+    return found.select("id", F.col("depth").cast("int").alias("depth"), "path")
 
 
 def extracts(c, text: str | None = None, author: str | None = None) -> DataFrame:

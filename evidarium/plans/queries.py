@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import text as t
-from ..operators import counters, keywords, matching, merge, rules, windows
+from ..operators import chains, counters, keywords, matching, merge, rules, windows
 from ..sources import slides, threads
 from . import catalog as q
 from . import jobs
@@ -877,3 +877,26 @@ def _(c):
 @query("x6_tagged_by_table", f"SELECT id, source_id, keyword FROM (SELECT id, source_id, ' ' || regexp_replace({BARE.format('content')}, '[^a-z0-9 ]', '|', 'g') || ' ' AS y FROM source_extracts) JOIN ({LISTED}) ON keyword <> '' AND ({STANDS})", "source_extracts")
 def _(c):
     return keywords.tagged_posts(c.source_extracts, "content", listed(c)).select("id", "source_id", "keyword")
+
+
+# chains
+
+def links(c) -> DataFrame:
+    """Each order names the third one before: three chains as long as a third of the table. The first of the last chain
+    names that chain's end, so it goes round."""
+    key = F.col("o_orderkey")
+    last = c.orders.where(key % 3 == 2).agg(F.max("o_orderkey").alias("last"))
+    before = F.when(key >= 3, key - 3).when(key == 2, F.col("last"))
+    return c.orders.join(F.broadcast(last)).select(key.alias("id"), before.alias("before"))
+
+
+@query("x3_deep_chains", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 < 2 THEN o_orderkey % 3 END AS root, CASE WHEN o_orderkey % 3 < 2 THEN o_orderkey // 3 END AS depth, CASE WHEN o_orderkey % 3 = 2 THEN CAST(2 AS BIGINT) END AS cycle, o_orderkey % 3 = 2 AS on_cycle, false AS dangling FROM orders")
+def _(c):
+    return chains.chains(links(c), "id", "before")
+
+
+@query("m7_supersede_cycles", "SELECT CAST(2 AS BIGINT) AS cycle, count(*) FILTER (WHERE o_orderkey % 3 = 2) AS rows, count(*) FILTER (WHERE o_orderkey % 3 = 1) AS leading FROM orders")
+def _(c):
+    """The second chain begins at the third, and so leads into its circle."""
+    before = F.when(F.col("id") == 1, 2).otherwise(F.col("before"))
+    return merge.supersede_cycles(links(c).select("id", before.alias("supersedes_id")))
