@@ -14,6 +14,7 @@ from ..sources import slides, threads
 from . import catalog as q
 from . import jobs
 from . import search as lookup
+from . import timelines
 from .analog import Catalog, oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -900,3 +901,29 @@ def _(c):
     """The second chain begins at the third, and so leads into its circle."""
     before = F.when(F.col("id") == 1, 2).otherwise(F.col("before"))
     return merge.supersede_cycles(links(c).select("id", before.alias("supersedes_id")))
+
+
+# uncertain dates
+
+#: Orders with the year, the month or the day alone.
+ROUGHLY = "CASE o_orderkey % 3 WHEN 0 THEN substr(CAST(CAST(o_orderdate AS DATE) AS STRING), 1, 4) WHEN 1 THEN substr(CAST(CAST(o_orderdate AS DATE) AS STRING), 1, 7) ELSE CAST(CAST(o_orderdate AS DATE) AS STRING) END"
+#: By definition, on each day on which something may change: a state is possible if no observation that surely follows one of
+#: its own has surely been made by then.
+SWEPT = f"""obs AS (SELECT DISTINCT o_custkey AS k, o_orderstatus AS s, CAST(CASE length(d) WHEN 4 THEN d || '-01-01' WHEN 7 THEN d || '-01' ELSE d END AS DATE) AS a, CASE length(d) WHEN 4 THEN CAST(d || '-12-31' AS DATE) WHEN 7 THEN last_day(CAST(d || '-01' AS DATE)) ELSE CAST(d AS DATE) END AS b FROM (SELECT *, {ROUGHLY} AS d FROM orders)),
+    days AS (SELECT k, d, lead(d) OVER (PARTITION BY k ORDER BY d) AS n FROM (SELECT k, a AS d FROM obs UNION SELECT k, b FROM obs)),
+    may AS (SELECT DISTINCT days.k, d, n, i.s FROM days JOIN obs i ON i.k = days.k AND i.a <= d WHERE NOT EXISTS (SELECT 1 FROM obs j WHERE j.k = i.k AND j.s <> i.s AND j.a > i.b AND j.b <= days.d)),
+    must AS (SELECT k, d, n, min(s) AS s FROM may JOIN (SELECT k, min(b) AS known FROM obs GROUP BY k) USING (k) WHERE d >= known GROUP BY k, d, n HAVING count(*) = 1),
+    marked AS (SELECT *, 'possible' AS kind FROM may UNION ALL SELECT k, d, n, s, 'certain' FROM must),
+    parted AS (SELECT *, sum(CAST(b IS DISTINCT FROM d AS INT)) OVER (PARTITION BY k, s, kind ORDER BY d) AS g FROM (SELECT *, lag(n) OVER (PARTITION BY k, s, kind ORDER BY d) AS b FROM marked))"""
+
+
+@query("x4_uncertain_timeline", f"SELECT * FROM (WITH {SWEPT} SELECT k AS o_custkey, s AS state, kind, min(d) AS date_start, CAST(nullif(arg_max(coalesce(n, DATE '9999-01-01'), d), DATE '9999-01-01') - INTERVAL 1 DAY AS DATE) AS date_end FROM parted GROUP BY k, s, kind, g)")
+def _(c):
+    seen = c.orders.select("o_custkey", F.col("o_orderstatus").alias("state"), F.expr(ROUGHLY).alias("d"))
+    return timelines.uncertain_timeline(seen, ["o_custkey"], "state", "d")
+
+
+@query("x4_contradictions", "SELECT grp, date, string_agg(s, ',' ORDER BY s) AS states FROM (SELECT DISTINCT o_custkey % 50 AS grp, CAST(o_orderdate AS DATE) AS date, o_orderstatus AS s FROM orders WHERE o_orderkey % 3 = 2) GROUP BY grp, date HAVING count(*) > 1")
+def _(c):
+    seen = c.orders.select((F.col("o_custkey") % 50).alias("grp"), "o_orderstatus", F.expr(ROUGHLY).alias("d"))
+    return timelines.contradictions(seen, ["grp"], "o_orderstatus", "d").withColumn("states", F.array_join("states", ","))
