@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import text as t
-from ..operators import chains, counters, keywords, matching, merge, rules, windows
+from ..operators import chains, counters, keywords, matching, merge, rules, spatial, windows
 from ..sources import slides, threads
 from . import catalog as q
 from . import jobs
@@ -927,3 +927,35 @@ def _(c):
 def _(c):
     seen = c.orders.select((F.col("o_custkey") % 50).alias("grp"), "o_orderstatus", F.expr(ROUGHLY).alias("d"))
     return timelines.contradictions(seen, ["grp"], "o_orderstatus", "d").withColumn("states", F.array_join("states", ","))
+
+
+# regions by place
+
+#: All on one image: pictures of a few sizes, some large, and labels on and between them, in whole numbers.
+TILES = "tiles AS (SELECT p_partkey AS idx, p_partkey * 7919 % 4001 AS x, p_partkey * 104729 % 3989 AS y, CASE WHEN p_partkey % 97 = 0 THEN 900 ELSE p_size END AS cx, p_size % 23 AS cy, CAST(p_size % 5 AS DOUBLE) AS area FROM part)"
+NOTES = "notes AS (SELECT l_orderkey * 10 + l_linenumber AS label_id, min(l_orderkey * 31 + l_linenumber * 577) % 4800 - 400 AS x, min(l_orderkey * 17 + l_linenumber * 911) % 4800 - 400 AS y FROM lineitem GROUP BY l_orderkey, l_linenumber)"
+
+
+@query("j11_nearest_on_one_image", f"SELECT * FROM (WITH {TILES}, {NOTES} SELECT n.label_id, arg_min(t.idx, struct_pack(d := power(greatest(t.x - (n.x + 1.0), 0, n.x + 1.0 - (t.x + t.cx)), 2) + power(greatest(t.y - (n.y + 1.0), 0, n.y + 1.0 - (t.y + t.cy)), 2), a := -t.area, i := t.idx)) AS p_idx FROM notes n CROSS JOIN tiles t GROUP BY n.label_id)")
+def _(c):
+    tiles = c.spark.sql(f"WITH {TILES} SELECT CAST(1 AS BIGINT) AS slide, * FROM tiles".replace("FROM part", "FROM {part}"), part=c.part)
+    notes = c.spark.sql(f"WITH {NOTES} SELECT CAST(1 AS BIGINT) AS slide, *, 2 AS cx, 2 AS cy FROM notes".replace("FROM lineitem", "FROM {lineitem}"), lineitem=c.lineitem)
+    return spatial.nearest_in_space(notes, tiles).select("label_id", "p_idx")
+
+
+#: Boxes and notched squares, some large, and points on a few images.
+SHAPES = "shapes AS (SELECT p_partkey AS id, p_partkey % 3 AS image_id, CAST(p_partkey * 7919 % 1009 AS DOUBLE) / 1024 AS x, CAST(p_partkey * 104729 % 1013 AS DOUBLE) / 1024 AS y, CAST(CASE WHEN p_partkey % 50 = 0 THEN 256 ELSE p_size + 1 END AS DOUBLE) / 512 AS w, p_size % 4 AS k FROM part)"
+PLACES = "places AS (SELECT c_custkey AS place, c_custkey % 3 AS image_id, CAST(c_custkey * 31 % 2027 AS DOUBLE) / 2048 AS x, CAST(c_custkey * 17 % 2039 AS DOUBLE) / 2048 AS y FROM customer)"
+
+
+@query("g5_regions_at", f"""SELECT * FROM (WITH {SHAPES}, {PLACES}, corners AS (SELECT id, image_id, k, x, y, w, CASE WHEN k = 0 THEN NULL ELSE [{{'x': x, 'y': y}}, {{'x': x + w, 'y': y}}, {{'x': x + w, 'y': y + w}}, {{'x': x + w / 2, 'y': y + w / 4}}, {{'x': x, 'y': y + w}}] END AS c FROM shapes),
+    edges AS (SELECT id, image_id, c[i].x AS ax, c[i].y AS ay, c[i % 5 + 1].x AS zx, c[i % 5 + 1].y AS zy FROM corners, range(1, 6) t(i) WHERE k > 0)
+    SELECT place, p.image_id, id AS region_id FROM places p JOIN edges e ON e.image_id = p.image_id AND (ay > p.y) <> (zy > p.y) AND p.x < ax + (zx - ax) * ((p.y - ay) / (zy - ay)) GROUP BY ALL HAVING count(*) % 2 = 1
+    UNION ALL SELECT place, p.image_id, id FROM places p JOIN shapes s ON s.image_id = p.image_id AND k = 0 AND p.x >= s.x AND p.x < s.x + w AND p.y >= s.y AND p.y < s.y + w)""")
+def _(c):
+    shapes = c.spark.sql(f"WITH {SHAPES} SELECT id, image_id, x, y, w, w AS h, k FROM shapes".replace("FROM part", "FROM {part}"), part=c.part)
+    corner = lambda dx, dy: F.struct((F.col("x") + dx * F.col("w")).alias("x"), (F.col("y") + dy * F.col("w")).alias("y"))
+    outline = F.array(*[corner(F.lit(dx), F.lit(dy)) for dx, dy in ((0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.5, 0.25), (0.0, 1.0))])
+    regions = shapes.select("id", "image_id", F.when(F.col("k") == 0, "box").otherwise("polygon").alias("kind"), "x", "y", "w", "h", F.when(F.col("k") > 0, outline).alias("points"))
+    places = c.spark.sql(f"WITH {PLACES} SELECT * FROM places".replace("FROM customer", "FROM {customer}"), customer=c.customer)
+    return spatial.regions_at(places, regions).select("place", "image_id", "region_id")
