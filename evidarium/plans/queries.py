@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import text as t
-from ..operators import chains, counters, keywords, matching, merge, rules, spatial, windows
+from ..operators import chains, counters, keywords, matching, merge, rules, spatial, spelling, windows
 from ..sources import slides, threads
 from . import catalog as q
 from . import jobs
@@ -959,3 +959,16 @@ def _(c):
     regions = shapes.select("id", "image_id", F.when(F.col("k") == 0, "box").otherwise("polygon").alias("kind"), "x", "y", "w", "h", F.when(F.col("k") > 0, outline).alias("points"))
     places = c.spark.sql(f"WITH {PLACES} SELECT * FROM places".replace("FROM customer", "FROM {customer}"), customer=c.customer)
     return spatial.regions_at(places, regions).select("place", "image_id", "region_id")
+
+
+# spelling
+
+#: Part names with a number, and those of customers' notes on them, some letters changed.
+CODED = "coded AS (SELECT DISTINCT p_name || ' ' || CAST(p_partkey % 150 AS STRING) AS name FROM part)"
+NOTED = "noted AS (SELECT DISTINCT CASE p_partkey % 4 WHEN 0 THEN replace(p_name, 'ring', 'rng') WHEN 1 THEN upper(p_name) || 's' WHEN 2 THEN ' ' || substr(p_name, 2) ELSE p_name END || ' ' || CAST(p_partkey % 170 AS STRING) AS name FROM part)"
+
+
+@query("x8_close_names", f"SELECT * FROM (WITH {CODED}, {NOTED}, l AS (SELECT DISTINCT lower(trim(name)) AS left_name FROM coded), r AS (SELECT DISTINCT lower(trim(name)) AS right_name FROM noted) SELECT left_name, right_name, CAST(levenshtein(left_name, right_name) AS INTEGER) AS distance FROM l JOIN r ON abs(length(left_name) - length(right_name)) <= 2 AND levenshtein(left_name, right_name) <= 2)")
+def _(c):
+    named = lambda sql, name: c.spark.sql(f"WITH {sql} SELECT * FROM {name}".replace("FROM part", "FROM {part}"), part=c.part)
+    return spelling.close_names(named(CODED, "coded"), named(NOTED, "noted"))
