@@ -11,6 +11,9 @@ from ..functions import geometry as g
 from ..functions import text as t
 from ..operators import chains, counters, keywords, matching, merge, rules, spatial, spelling, windows
 from ..sources import slides, threads
+from ..sources.shared import new_path
+from ..sources.snapshots import Snapshot
+from ..streaming import changes
 from . import catalog as q
 from . import jobs
 from . import search as lookup
@@ -972,3 +975,54 @@ NOTED = "noted AS (SELECT DISTINCT CASE p_partkey % 4 WHEN 0 THEN replace(p_name
 def _(c):
     named = lambda sql, name: c.spark.sql(f"WITH {sql} SELECT * FROM {name}".replace("FROM part", "FROM {part}"), part=c.part)
     return spelling.close_names(named(CODED, "coded"), named(NOTED, "noted"))
+
+
+# tables changed in place
+
+
+def changed_table(c) -> Snapshot:
+    """Positions as a snapshot, changed by two batches: new states and ids, then deletions; the first is run twice."""
+    rows = c.placement_positions.select("id", "placement_id", "status", "x_norm")
+    table = Snapshot.create(c.spark, new_path(c.spark, "positions"), rows.schema, ["id"], 32)
+    table.apply(rows, 0)
+    some = rows.where("id % 500 = 3").withColumns({"status": F.lit("moved"), "x_norm": F.lit(None).cast("double")})
+    fresh = rows.where("id % 500 = 4").withColumn("id", F.col("id") + 10_000_000)
+    table.apply(some.unionByName(fresh), 1)
+    table.apply(rows.withColumn("status", F.lit("again")), 1)
+    table.apply(rows.where("id % 250 = 7").withColumn("gone", F.col("id") % 500 == 7), 2, deleted="gone")
+    return table
+
+
+@query("w11_table_versions", "SELECT v AS version, id, placement_id, CASE WHEN v > 1 AND id % 500 = 3 AND id < 10000000 THEN 'moved' ELSE status END AS status, x_norm FROM (SELECT id, placement_id, status, x_norm FROM placement_positions UNION ALL SELECT id + 10000000, placement_id, status, x_norm FROM placement_positions WHERE id % 500 = 4) CROSS JOIN (SELECT unnest([1, 2, 3]) AS v) WHERE (v > 1 OR id < 10000000) AND (v < 3 OR id % 500 <> 7 OR id >= 10000000)", "placement_positions")
+def _(c):
+    table, out = changed_table(c), None
+    for v in table.versions():
+        own = table.read(v).withColumn("version", F.lit(v))
+        out = own if out is None else out.unionByName(own)
+    return out.select("version", "id", "placement_id", "status", "x_norm")
+
+
+def in_batches(c, results: DataFrame, schema: str, keys: list[str], batches: list[DataFrame]) -> DataFrame:
+    table = Snapshot.create(c.spark, new_path(c.spark, "late"), schema, keys, 16)
+    for number, batch in enumerate(batches):
+        table.apply(results(batch), number, changes.later(keys))
+    return table.read()
+
+
+@query("m6_late_choices", "SELECT p.id, CASE WHEN k.pick IS NULL THEN p.is_current WHEN k.pick = p.id THEN 1 ELSE 0 END AS is_current, CASE WHEN k.pick = p.id THEN 'active' ELSE p.status END AS status FROM placement_positions p LEFT JOIN (SELECT placement_id, map_id, arg_max(id, (epoch_us(created_at), id)) AS pick FROM placement_positions WHERE id % 4 = 1 GROUP BY ALL) k USING (placement_id, map_id)", "placement_positions")
+def _(c):
+    """The choices of m6_set_current in three batches, the later ones first."""
+    p = c.placement_positions
+    chosen = p.where("id % 4 = 1").select("id", "placement_id", "map_id", F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST(created_at AS TIMESTAMP_NTZ))").alias("change_seq"))
+    kept = in_batches(c, changes.last_choices, changes.CHOICES, ["placement_id", "map_id"], [chosen.where(F.col("id") % 3 == k) for k in (2, 0, 1)])
+    return changes.with_choices(p, kept).select("id", "is_current", "status")
+
+
+@query("m4_late_fields", "SELECT p.id, p.placement_id, CASE WHEN u.field = 'status' THEN u.value ELSE p.status END AS status, CASE WHEN u.field = 'map_id' THEN try_cast(u.value AS BIGINT) ELSE p.map_id END AS map_id FROM placement_positions p LEFT JOIN (SELECT event_id AS id, CASE WHEN event_id % 2 = 0 THEN 'status' ELSE 'map_id' END AS field, CASE WHEN event_id % 6 > 0 THEN CAST(event_id % 100 AS STRING) END AS value FROM events WHERE event_id % 5 < 2) u ON u.id = p.id", "placement_positions")
+def _(c):
+    """The changes of m4_partial_update, the last ones arriving first."""
+    name = F.when(F.col("event_id") % 2 == 0, "status").otherwise("map_id")
+    some, value = c.events.where("event_id % 5 < 2"), F.when(F.col("event_id") % 6 > 0, (F.col("event_id") % 100).cast("string"))
+    made = lambda seq, v: some.select(F.col("event_id").alias("id"), F.lit(seq).alias("change_seq"), F.create_map(name, v).alias("fields"))
+    kept = in_batches(c, changes.last_fields, changes.FIELDS, ["id", "field"], [made(2, value), made(1, F.lit("0"))])
+    return changes.with_fields(c.placement_positions, kept, ["status", "map_id"]).select("id", "placement_id", "status", "map_id")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.merge import upsert
+from ..sources.snapshots import Snapshot
 
 
 def new_contents(spark: SparkSession, path: str, schema: T.StructType, delay: str = "1 day") -> DataFrame:
@@ -14,16 +15,15 @@ def new_contents(spark: SparkSession, path: str, schema: T.StructType, delay: st
     return spark.readStream.schema(schema).json(path).where("sha256 is not null").withWatermark("seen_at", delay).dropDuplicatesWithinWatermark(["sha256"])
 
 
-def merge_stream(stream: DataFrame, root: str, checkpoint: str, schema: T.StructType) -> None:
-    """Merge each batch into the snapshot of the batch before (root/snapshot=N), filling what is blank. A batch that is run
-    again writes the same snapshot again."""
-    spark = stream.sparkSession
+def merge_stream(stream: DataFrame, root: str, checkpoint: str, schema: T.StructType, buckets: int = 256) -> None:
+    """Merge each batch into a snapshot (sources/snapshots.py) at root by sha256, filling what is blank. A batch rewrites the
+    buckets that it touches; one that is run again changes nothing."""
+    table = Snapshot.create(stream.sparkSession, root, schema, ["sha256"], buckets)
 
-    def save(batch: DataFrame, number: int) -> None:
-        old = spark.read.schema(schema).parquet(f"{root}/snapshot={number - 1}") if number else spark.createDataFrame([], schema)
-        merged = upsert(old, batch.select(*schema.names), ["sha256"], mode="fill", sequence="seen_at" if "seen_at" in schema.names else None).drop("merge_status")
-        merged.write.mode("overwrite").parquet(f"{root}/snapshot={number}")
+    def fill(old: DataFrame, new: DataFrame) -> DataFrame:
+        return upsert(old, new, ["sha256"], mode="fill", sequence="seen_at" if "seen_at" in schema.names else None).drop("merge_status")
 
+    save = lambda batch, number: table.apply(batch.select(*schema.names), number, fill) and None
     stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(save).trigger(availableNow=True).start().awaitTermination()
 
 

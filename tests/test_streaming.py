@@ -2,6 +2,7 @@ import json
 
 from pyspark.sql import types as T
 
+from evidarium.sources.snapshots import Snapshot
 from evidarium.streaming.intake import event_windows, merge_stream, new_contents
 
 SCHEMA = T.StructType([T.StructField(n, T.StringType()) for n in ("sha256", "title", "notes")])
@@ -22,8 +23,7 @@ def test_intake_merges_batch_by_batch(spark, tmp_path):
     run()
     arrive("b.json", ("h2", "two", "n2", "2026-01-01T02:00:00"), ("h1", "again", "n3", "2026-01-01T02:00:00"))
     run()
-    snapshots = sorted(p.name for p in root.iterdir())
-    last = spark.read.schema(SCHEMA).parquet(str(root / max(snapshots, key=lambda s: int(s.split("=")[1]))))
+    last = Snapshot.open(spark, str(root)).read()
     got = {r["sha256"]: r["notes"] for r in last.collect()}
     assert got == {"h1": "n1", "h2": "n2"}
 
