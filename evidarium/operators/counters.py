@@ -7,10 +7,16 @@ from pyspark.sql import functions as F
 
 
 def counters(df: DataFrame, sections: dict[str, Column], top: int | None = None) -> DataFrame:
-    """Counts by each section's expression; null is counted as ''. With top, the most common of each section. Every row
-    gives one small record per section, which is summed before the shuffle."""
-    each = F.array(*[F.struct(F.lit(n).alias("section"), F.coalesce(e.cast("string"), F.lit("")).alias("key")) for n, e in sections.items()])
-    out = df.select(F.explode(each).alias("s")).groupBy("s.section", "s.key").agg(F.count(F.lit(1)).alias("count"))
+    """Counts by each section's expression; null is counted as ''. With top, the most common of each section. One pass by
+    grouping sets: a row is expanded to its keys, one set for each section, and summed before the shuffle."""
+    keys = [f"_key{i}" for i in range(len(sections))]
+    keyed = df.select(*[F.coalesce(e.cast("string"), F.lit("")).alias(k) for k, e in zip(keys, sections.values())])
+    sets = keyed.groupingSets([[k] for k in keys], *keys).agg(F.count(F.lit(1)).alias("count"), F.grouping_id().alias("_set"))
+    # In the id of a set, the bit of its own key alone is 0; the first key has the highest bit.
+    whole = (1 << len(keys)) - 1
+    parts = [(F.col("_set") == whole - (1 << (len(keys) - 1 - i)), F.lit(n), F.col(k)) for i, (n, k) in enumerate(zip(sections, keys))]
+    pick = lambda j: F.coalesce(*[F.when(p[0], p[j]) for p in parts])
+    out = sets.select(pick(1).alias("section"), pick(2).alias("key"), "count")
     if top is None:
         return out
     place = F.row_number().over(Window.partitionBy("section").orderBy(F.desc("count"), F.asc("key")))

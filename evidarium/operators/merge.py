@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null, fill, note_union
@@ -73,6 +73,25 @@ def merge_counts(merged: DataFrame, incoming: DataFrame, keys: list[str]) -> Dat
     return done.join(came).select("inserted", "updated", "kept", (F.col("came") - F.col("once")).alias("skipped"))
 
 
+def observed(seen: Observation) -> dict[str, int]:
+    """What was observed; nothing where Spark has left the observation out, as there can be no rows."""
+    return seen.get if seen._jo.getRow().length() else {}
+
+
+def written_upsert(table: DataFrame, incoming: DataFrame, keys: list[str], path: str, mode: str = "replace", sequence: str | None = None) -> tuple[DataFrame, dict[str, int]]:
+    """upsert, written to a new path and read back, with the counts of merge_counts: they are observed while the rows are
+    written, so neither side is read for them. What a lost executor has counted and must do again may be counted twice; the
+    rows are not."""
+    came, done = Observation("came"), Observation("done")
+    counted = incoming.observe(came, F.count(F.lit(1)).alias("came"))
+    merged = upsert(table, counted, keys, mode, sequence)
+    merged.observe(done, *[F.count_if(F.col("merge_status") == s).alias(s) for s in ("inserted", "updated", "kept")]).write.parquet(path)
+    found = {s: observed(done).get(s, 0) for s in ("inserted", "updated", "kept")}
+    # Of the rows of one key, one is inserted or updates.
+    found["skipped"] = observed(came).get("came", 0) - found["inserted"] - found["updated"]
+    return table.sparkSession.read.schema(merged.schema).parquet(path), found
+
+
 def partial_update(table: DataFrame, changes: DataFrame, columns: list[str]) -> DataFrame:
     """changes: id, change_seq, fields (map of set fields as text; a key with null sets null). Of several changes to one
     field the last counts, of those with one change_seq the greatest value, null being the least; a field that no change

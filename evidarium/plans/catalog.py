@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import excerpt, first_filled, joined, like_any
 from ..operators.chains import chains
+from ..operators.pages import children_pages
 from ..operators.windows import current_positions, first_per
 from ..sources.shared import checkpointed
 
@@ -116,6 +117,11 @@ def part_rows(c, text: str | None = None, kit_id: int | None = None) -> DataFram
     return df if text is None else df.where(like_any(text, F.col("part_number"), F.col("part_label"), F.col("notes")))
 
 
+def kit_part_pages(c, size: int = 100) -> DataFrame:
+    """The parts of every kit in pages of bounded length, by number."""
+    return children_pages(c.parts.withColumnRenamed("id", "part_id"), "kit_id", "parts", "part_number", "part_id", "part_label", size=size)
+
+
 def part_profiles(c) -> DataFrame:
     """Parts with their placements, images and files."""
     pl = nested(c.placements.where("part_id is not null").select("part_id", "id", "model_id", "copy_count"), "part_id", "placements", "id", "model_id", "copy_count")
@@ -211,6 +217,14 @@ def source_profiles(c) -> DataFrame:
     return with_children(source_rows(c), texts, images)
 
 
+def source_pages(c, size: int = 100) -> tuple[DataFrame, DataFrame]:
+    """The extracts and the images of every source in pages of bounded length (operators/pages.py), for sources with more
+    of them than a row of source_profiles should hold."""
+    texts = c.source_extracts.select("source_id", F.col("id").alias("extract_id"), "author_handle", excerpt(F.col("content")).alias("excerpt"))
+    images = c.images.select("source_id", F.col("id").alias("image_id"), "filename")
+    return children_pages(texts, "source_id", "extracts", "extract_id", "author_handle", "excerpt", size=size), children_pages(images, "source_id", "images", "image_id", "filename", size=size)
+
+
 def source_paths(c) -> DataFrame:
     """Depth and path from the root of every source, however deep. Sources below a missing one, or on a cycle, have no path
     from a root and are left out; chains(...) has them."""

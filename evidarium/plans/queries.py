@@ -1026,3 +1026,20 @@ def _(c):
     made = lambda seq, v: some.select(F.col("event_id").alias("id"), F.lit(seq).alias("change_seq"), F.create_map(name, v).alias("fields"))
     kept = in_batches(c, changes.last_fields, changes.FIELDS, ["id", "field"], [made(2, value), made(1, F.lit("0"))])
     return changes.with_fields(c.placement_positions, kept, ["status", "map_id"]).select("id", "placement_id", "status", "map_id")
+
+
+# pages
+
+PAGED = "SELECT {key}, (r - 1) // 40 AS page, count(*) AS n, string_agg(CAST({id} AS STRING), ',' ORDER BY r) AS ids FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {order}) AS r FROM {table} WHERE {key} IS NOT NULL) GROUP BY 1, 2"
+
+
+@query("q11_source_pages", f"SELECT 'extract' AS kind, * FROM ({PAGED.format(key='source_id', id='id', order='id', table='source_extracts')}) UNION ALL SELECT 'image', * FROM ({PAGED.format(key='source_id', id='id', order='id', table='images')})", "source_extracts", "images")
+def _(c):
+    texts, images = q.source_pages(c, 40)
+    listed = lambda df, kind, array, key: df.select(F.lit(kind).alias("kind"), "source_id", "page", F.size(array).cast("long").alias("n"), text_of(array, key).alias("ids"))
+    return listed(texts, "extract", "extracts", "extract_id").unionByName(listed(images, "image", "images", "image_id"))
+
+
+@query("q2_kit_part_pages", PAGED.format(key="kit_id", id="id", order="part_number, id", table="parts"), "parts")
+def _(c):
+    return q.kit_part_pages(c, 40).select("kit_id", "page", F.size("parts").cast("long").alias("n"), text_of("parts", "part_id").alias("ids"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable
+from urllib.parse import quote
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,15 +17,18 @@ from ..operators.windows import canonical_files
 
 def scan_files(spark: SparkSession, root: str, extensions=IMAGE_EXTENSIONS, exclude: tuple[str, ...] = ()) -> DataFrame:
     """path, rel_path, filename, ext, size_bytes, modified, content of files under root with an allowed extension and
-    outside the excluded folders."""
+    outside the excluded folders. root is a folder's name in any file system, and no pattern; Spark lists no empty files."""
     endings = ",".join("".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e) for e in extensions)
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{{{endings}}}").load(root)
-    rel = F.regexp_replace(F.regexp_replace(F.col("path"), "^file:/+", "/"), "^" + root.removeprefix("file://").rstrip("/") + "/", "")
+    literal = re.sub(r"([\\{}\[\]*?])", r"\\\1", root)
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{{{endings}}}").load(literal)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    above = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(folder).toString().rstrip("/") + "/"
+    rel = F.when(F.startswith("path", F.lit(above)), F.substr("path", F.lit(len(above) + 1))).otherwise(F.col("path"))
     name = F.element_at(F.split("path", "/"), -1)
     df = df.select("path", rel.alias("rel_path"), name.alias("filename"), F.lower(F.regexp_extract(name, r"(\.[^.]+)$", 1)).alias("ext"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"), "content")
     df = df.where(F.col("ext").isin(*extensions))
-    for folder in exclude:
-        df = df.where(~F.col("rel_path").startswith(folder.rstrip("/") + "/"))
+    for skipped in exclude:
+        df = df.where(~F.startswith("rel_path", F.lit(skipped.rstrip("/") + "/")))
     return df
 
 
@@ -51,42 +57,94 @@ def fixed_size(content: Column) -> Column:
     )
 
 
-def marker_size(data: bytes) -> tuple[int, int] | None:
-    """Width and height of a JPEG or TIFF, whose places vary; None where the bytes end or make no sense."""
-    if data[:2] == b"\xff\xd8":
-        at = 2
-        while at + 9 <= len(data) and data[at] == 0xFF:
-            kind = data[at + 1]
-            if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
-                return int.from_bytes(data[at + 7 : at + 9], "big"), int.from_bytes(data[at + 5 : at + 7], "big")
-            at += 1 if kind == 0xFF else 2 if 0xD0 <= kind <= 0xD8 else 2 + int.from_bytes(data[at + 2 : at + 4], "big")
-    order = {b"II*\x00": "little", b"MM\x00*": "big"}.get(data[:4])
-    if order:
-        num = lambda a, n: int.from_bytes(data[a : a + n], order)
-        at, found = num(4, 4), {}
-        for i in range(num(at, 2) if at + 2 <= len(data) else 0):
-            entry = at + 2 + 12 * i
-            if entry + 12 <= len(data) and num(entry, 2) in (256, 257):
-                found[num(entry, 2)] = num(entry + 8, 2 if num(entry + 2, 2) == 3 else 4)
-        if len(found) == 2:
-            return found[256], found[257]
+Reader = Callable[[int, int], bytes]
+
+
+def jpeg_size(read: Reader) -> tuple[int, int] | None:
+    """Width and height from the frame header, which stands behind segments of any length."""
+    at = 2
+    while len(head := read(at, 9)) == 9 and head[0] == 0xFF:
+        kind = head[1]
+        if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
+            return int.from_bytes(head[7:9], "big"), int.from_bytes(head[5:7], "big")
+        at += 1 if kind == 0xFF else 2 if 0xD0 <= kind <= 0xD8 else 2 + int.from_bytes(head[2:4], "big")
     return None
 
 
+def tiff_size(read: Reader) -> tuple[int, int] | None:
+    """Width and height from the first directory, which may stand anywhere; also of files with 64-bit places."""
+    head = read(0, 16)
+    order = {b"II": "little", b"MM": "big"}[head[:2]]
+    num = lambda raw: int.from_bytes(raw, order)
+    wide = num(head[2:4]) == 43
+    place, count, entry = (8, 8, 20) if wide else (4, 2, 12)
+    at, found = num(head[place : 2 * place]), {}
+    for i in range(num(read(at, count))):
+        raw = read(at + count + entry * i, entry)
+        if len(raw) < entry:
+            break
+        if num(raw[:2]) in (256, 257):
+            size = {1: 1, 3: 2, 4: 4, 16: 8}.get(num(raw[2:4]), 4)
+            found[num(raw[:2])] = num(raw[entry - place : entry - place + size])
+    return (found[256], found[257]) if len(found) == 2 else None
+
+
+def marker_size(read: Reader) -> tuple[int, int] | None:
+    """Width and height of a JPEG or TIFF; None where the bytes end or make no sense."""
+    head = read(0, 4)
+    if head[:2] == b"\xff\xd8":
+        return jpeg_size(read)
+    return tiff_size(read) if head in (b"II*\x00", b"MM\x00*", b"II+\x00", b"MM\x00+") else None
+
+
+#: What is read at a time.
+BLOCK = 4096
+
+
+def reader(source, size: int) -> Reader:
+    """Bytes at a place of an open file, through the block that was read last."""
+    start, block = 0, b""
+
+    def read(at: int, n: int) -> bytes:
+        nonlocal start, block
+        if not start <= at or at + n > start + len(block):
+            if at >= size:
+                return b""
+            start, block = at, source.read_at(min(max(n, BLOCK), size - at), at)
+        return block[at - start : at - start + n]
+
+    return read
+
+
+def size_at(path: Column) -> Column:
+    """Struct width, height of the JPEG or TIFF at a path, read by a worker at the few places that tell; null for a null path
+    and for what is neither. Nothing of the file but these places is read, however long it is."""
+    from pyspark.sql.pandas.functions import arrow_udf
+
+    def look(paths: pa.Array) -> pa.Array:
+        found = []
+        for p in paths.to_pylist():
+            if p is None:
+                found.append(None)
+                continue
+            system, name = (fs.LocalFileSystem(), re.sub("^file:/*", "/", p)) if p.startswith(("file:", "/")) else fs.FileSystem.from_uri(quote(p, safe=":/"))
+            with system.open_input_file(name) as source:
+                found.append(marker_size(reader(source, source.size())))
+        limit = 2**31
+        kept = [g if g and max(g) < limit else None for g in found]
+        return pa.array([g and {"width": g[0], "height": g[1]} for g in kept], pa.struct([("width", pa.int32()), ("height", pa.int32())]))
+
+    return arrow_udf(look, "width int, height int")(path)
+
+
 def with_sizes(files: DataFrame) -> DataFrame:
-    """files with width and height; only JPEG and TIFF contents go through Python, whole, as their places vary."""
-    sized = files.withColumn("_size", fixed_size(F.col("content")))
-    plain = [c for c in files.columns if c != "content"]
-    easy = sized.where("_size is not null or not ext in ('.jpg', '.jpeg', '.tif', '.tiff')").select(*files.columns, "_size.width", "_size.height")
-    hard = sized.where("_size is null and ext in ('.jpg', '.jpeg', '.tif', '.tiff')").select(F.struct(*plain).alias("rest"), "content")
-
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [marker_size(c or b"") for c in b.column("content").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("rest"), b.column("content"), pa.array([g and g[0] for g in got], pa.int32()), pa.array([g and g[1] for g in got], pa.int32())], names=["rest", "content", "width", "height"])
-
-    read = hard.mapInArrow(look, hard.select("*").schema.add("width", "integer").add("height", "integer"))
-    return easy.unionByName(read.select("rest.*", "content", "width", "height").select(*files.columns, "width", "height"))
+    """files with width and height. Sizes with fixed places are read from the content here, if there is any; for JPEG and TIFF
+    a worker is sent the path, never the content, and looks for itself. files without content have all JPEG and TIFF sizes,
+    and no others; where a file is longer than Spark can hold in a row, drop content before."""
+    marked = F.col("ext").isin(".jpg", ".jpeg", ".tif", ".tiff")
+    easy = fixed_size(F.col("content")) if "content" in files.columns else F.lit(None).cast("struct<width: int, height: int>")
+    sized = files.withColumn("_easy", easy).withColumn("_far", size_at(F.when(F.col("_easy").isNull() & marked, F.col("path"))))
+    return sized.select(*files.columns, F.coalesce("_easy.width", "_far.width").alias("width"), F.coalesce("_easy.height", "_far.height").alias("height"))
 
 
 def inventory(files: DataFrame, hidden: Column | None = None, terms: tuple[str, ...] = ()) -> DataFrame:

@@ -155,3 +155,34 @@ def test_positions_on_maps_of_other_models(spark):
     positions = spark.createDataFrame([(1, 10, 5), (2, 10, 6), (3, 10, None)], "id long, placement_id long, map_id long")
     placements, maps = spark.createDataFrame([(10, 1)], "id long, model_id long"), spark.createDataFrame([(5, 1), (6, 2)], "id long, model_id long")
     assert rows(merge.map_rejects(positions, placements, maps), "key", "rule") == [(2, "map_of_model")]
+
+
+def test_counts_are_observed_while_rows_are_written(spark, tmp_path):
+    table = spark.createDataFrame([(1, "a"), (2, None), (3, "c")], "id long, name string")
+    incoming = spark.createDataFrame([(2, "b"), (2, "bb"), (4, "d"), (4, "d"), (None, "n")], "id long, name string")
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            reads.add(b.num_rows)
+            yield b
+
+    watched = incoming.coalesce(1).mapInArrow(seen, incoming.schema)
+    got, counts = merge.written_upsert(table, watched, ["id"], f"{tmp_path}/new")
+    assert reads.value == 5  # read once
+    want = merge.upsert(table, incoming, ["id"])
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert counts == merge.merge_counts(want, incoming, ["id"]).first().asDict() == {"inserted": 2, "updated": 1, "kept": 2, "skipped": 2}
+    again, counts = merge.written_upsert(table.limit(0), incoming.limit(0), ["id"], f"{tmp_path}/none")
+    assert again.count() == 0 and counts == {"inserted": 0, "updated": 0, "kept": 0, "skipped": 0}
+
+
+def test_counters_take_one_pass(spark):
+    from evidarium.operators.counters import counters
+
+    df = spark.createDataFrame([("a", 1, None), ("a", 2, ""), (None, 1, "x")], "k string, n int, e string")
+    out = counters(df, {"kind": F.col("k"), "number": F.col("n"), "again": F.col("k"), "all": F.lit(""), "e": F.col("e")})
+    assert rows(out, "section", "key", "count") == sorted([("kind", "a", 2), ("kind", "", 1), ("number", "1", 2), ("number", "2", 1), ("again", "a", 2), ("again", "", 1), ("all", "", 3), ("e", "", 2), ("e", "x", 1)])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Expand") == 1 and "Generate" not in plan
+    assert rows(counters(df, {"one": F.col("n")}, top=1), "section", "key", "count") == [("one", "1", 2)]

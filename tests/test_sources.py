@@ -140,3 +140,37 @@ def test_tables(spark, tmp_path):
     images = spark.createDataFrame([(1, "aa1"), (2, "aa1"), (3, "bb2"), (4, None)], "id long, sha256 string")
     assert [r[0] for r in tables.released(images, spark.createDataFrame([(1,), (3,)], "id long")).collect()] == ["bb2"]
     assert [r[0] for r in tables.orphans(held, spark.createDataFrame([("aa1",)], "sha256 string")).select("sha256").collect()] == ["bb2"]
+
+
+def test_roots_are_names_and_no_patterns(spark, tmp_path):
+    for name in ("c++ x", "a[1]{b}*?", "ü (1) $^."):
+        root = tmp_path / name
+        (root / "skip").mkdir(parents=True)
+        (root / "sub").mkdir()
+        for part in ("a.png", "skip/b.png", "sub/c d.PNG"):
+            (root / part).write_bytes(images()["a.png"][0])
+        for given in (str(root), f"file://{root}", f"file:{root}/"):
+            got = files.scan_files(spark, given, exclude=("skip",)).select("rel_path", "filename").collect()
+            assert sorted(map(tuple, got)) == [("a.png", "a.png"), ("sub/c d.PNG", "c d.PNG")]
+
+
+def test_sizes_are_read_by_place(spark, tmp_path):
+    def tiff(name, at, order, wide=False):
+        num = lambda v, n: v.to_bytes(n, order)
+        sign = {"little": b"II", "big": b"MM"}[order]
+        short = lambda tag, v: num(tag, 2) + num(3, 2) + num(1, 8 if wide else 4) + num(v, 2) + bytes(6 if wide else 2)
+        head = sign + (num(43, 2) + num(8, 2) + num(0, 2) + num(at, 8) if wide else num(42, 2) + num(at, 4))
+        with open(tmp_path / name, "wb") as out:
+            out.write(head)
+            out.seek(at)  # the file is sparse
+            out.write(num(2, 8 if wide else 2) + short(256, 640) + short(257, 480) + bytes(8))
+
+    tiff("far.tif", 3 << 30, "little")
+    tiff("big.tif", (5 << 30) + 6, "big", wide=True)
+    tiff("near.tiff", 8, "big")
+    (tmp_path / "cut.tif").write_bytes(b"II*\x00\xff\xff\xff\x7f")
+    (tmp_path / "empty.jpg").write_bytes(b"\xff")
+    (tmp_path / "x.jpg").write_bytes(b"\xff\xd8" + b"\xff\xe1\xff\xff" + bytes(65533) + b"\xff" * 9000 + b"\xc0\x00\x11\x08" + (30).to_bytes(2, "big") + (50).to_bytes(2, "big") + bytes(9))
+    listed = files.scan_files(spark, str(tmp_path)).drop("content")
+    got = {r["filename"]: (r["width"], r["height"]) for r in files.with_sizes(listed).collect()}
+    assert got == {"far.tif": (640, 480), "big.tif": (640, 480), "near.tiff": (640, 480), "cut.tif": (None, None), "empty.jpg": (None, None), "x.jpg": (50, 30)}
