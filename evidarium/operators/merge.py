@@ -7,11 +7,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null, fill, note_union
 from .chains import chains, cycles
+from .pages import numbered_within
 from .windows import first_per
 
 
@@ -26,13 +27,11 @@ def insert_absent(table: DataFrame, incoming: DataFrame, keys: list[str]) -> Dat
 
 
 def with_ids(table: DataFrame, fresh: DataFrame, order: list[str]) -> DataFrame:
-    """Fresh rows get the ids after the table's largest. Ranks are made per range of the order, so no task numbers all."""
-    top = table.agg(F.coalesce(F.max("id"), F.lit(0).cast("long")).alias("top"))
-    marked = fresh.drop("id").withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(64)))
-    sizes = marked.groupBy("_bucket").count()
-    starts = sizes.select("_bucket", (F.sum("count").over(Window.orderBy("_bucket")) - F.col("count")).alias("_start"))  # 64 rows
-    local = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
-    return marked.withColumn("_local", local).join(F.broadcast(starts), "_bucket").crossJoin(F.broadcast(top)).withColumn("id", (F.col("top") + F.col("_start") + F.col("_local")).cast("long")).drop("_bucket", "_start", "_local", "top")
+    """Fresh rows get the ids after the table's largest, in the given order, nulls first. Rows are numbered by ranges, so no
+    task numbers all."""
+    top = table.agg(F.coalesce(F.max("id"), F.lit(0).cast("long")).alias("_top"))  # one row
+    numbered = numbered_within(fresh.drop("id"), [], [F.asc(c) for c in order], "_number")
+    return numbered.crossJoin(F.broadcast(top)).withColumn("id", (F.col("_top") + F.col("_number")).cast("long")).drop("_top", "_number")
 
 
 def last_per(rows: DataFrame, keys: list[str], sequence: str | None = None) -> DataFrame:

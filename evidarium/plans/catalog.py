@@ -295,14 +295,15 @@ def region_profiles(c) -> DataFrame:
 
 def image_profiles(c) -> DataFrame:
     """Images with their links and what those name, tags, regions, source, the number of claims that rest on their regions,
-    and their family with its members."""
+    and the id, title and size of their family; its members stand once, in family_payloads."""
     links = nested(image_links(c), "image_id", "links", "entity_type", "entity_id", "label")
     tags = c.image_tags.groupBy("image_id").agg(F.array_sort(F.collect_set("tag")).alias("tags"))
     own = nested(regions(c).withColumnRenamed("id", "region_id"), "image_id", "regions", "region_id", "label", "entity_label", "claim_count")
     by_region = c.claim_evidence.where("evidence_type = 'image_region'").join(c.image_regions.select(F.col("id").alias("evidence_id"), "image_id"), "evidence_id")
     out = c.images.join(c.sources.select(F.col("id").alias("source_id"), F.col("title").alias("source_title")), "source_id", "left")
     out = with_counts(out, by_region.groupBy("image_id").agg(F.countDistinct("claim_id").alias("claim_count")), "image_id", "claim_count")
-    whole = family_payloads(c).select(F.col("id").alias("family_id"), F.col("title").alias("family_title"), F.col("members").alias("family_members"))
+    whole = with_counts(c.image_families, counted(c.image_family_members, "family_id", "family_size"), "family_id", "family_size")
+    whole = whole.select(F.col("id").alias("family_id"), F.col("title").alias("family_title"), "family_size")
     member = c.image_family_members.select(F.col("image_id").alias("id"), "family_id")
     return with_children(out.join(member, "id", "left").join(whole, "family_id", "left"), links, tags, own)
 

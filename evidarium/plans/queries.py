@@ -740,7 +740,7 @@ def _(c):
 
 @query("q15_image_profiles", f"SELECT * FROM ({REGIONS} SELECT i.id, s.title AS source_title, (SELECT count(DISTINCT e.claim_id) FROM claim_evidence e JOIN image_regions r ON r.id = e.evidence_id WHERE e.evidence_type = 'image_region' AND r.image_id = i.id) AS claim_count, {agg('l.entity_type, l.entity_id, coalesce(o.label, l.entity_type || chr(32) || chr(35) || CAST(l.entity_id AS STRING))', 'l.entity_type, l.entity_id, o.label', 'image_links l LEFT JOIN labels_of o USING (entity_type, entity_id) WHERE l.image_id = i.id')} AS links, coalesce((SELECT string_agg(DISTINCT tag, ',' ORDER BY tag) FROM image_tags t WHERE t.image_id = i.id), '') AS tags, {agg('r.id, r.label, r.entity_label, r.claim_count', 'r.id', 'listed r WHERE r.image_id = i.id')} AS regions, m.family_id, coalesce((SELECT count(*) FROM image_family_members x WHERE x.family_id = m.family_id), 0) AS family_size FROM images i LEFT JOIN sources s ON s.id = i.source_id LEFT JOIN image_family_members m ON m.image_id = i.id)", *LABEL_VIEWS, "images", "sources", "image_links", "image_tags", "image_regions", "claims", "claim_evidence", "image_family_members")
 def _(c):
-    return q.image_profiles(c).select("id", "source_title", "claim_count", shown("links", "entity_type", "entity_id", "label"), F.array_join("tags", ",").alias("tags"), shown("regions", "region_id", "label", "entity_label", "claim_count"), "family_id", F.coalesce(F.size("family_members"), F.lit(0)).cast("long").alias("family_size"))
+    return q.image_profiles(c).select("id", "source_title", "claim_count", shown("links", "entity_type", "entity_id", "label"), F.array_join("tags", ",").alias("tags"), shown("regions", "region_id", "label", "entity_label", "claim_count"), "family_id", F.coalesce("family_size", F.lit(0).cast("long")).alias("family_size"))
 
 
 @query("q18_claim_profiles", f"SELECT * FROM ({REGIONS} SELECT k.id, k.subject, k.object, {agg('e.evidence_type, e.evidence_id', 'e.evidence_type, e.evidence_id', 'claim_evidence e WHERE e.claim_id = k.id')} AS evidence FROM claimed k WHERE k.id IN (SELECT e.claim_id FROM claim_evidence e WHERE e.evidence_type = 'source_extract'))", *LABEL_VIEWS, "image_regions", "claims", "claim_evidence")
@@ -1043,3 +1043,42 @@ def _(c):
 @query("q2_kit_part_pages", PAGED.format(key="kit_id", id="id", order="part_number, id", table="parts"), "parts")
 def _(c):
     return q.kit_part_pages(c, 40).select("kit_id", "page", F.size("parts").cast("long").alias("n"), text_of("parts", "part_id").alias("ids"))
+
+
+# every branch of the links
+
+#: Kits of which some labels name one, some two and some none.
+SOME_KITS = "CASE WHEN id % 25 < 4 THEN 'Label ' || CAST(id % 25 AS STRING) WHEN id % 25 < 8 THEN 'LABEL-' || CAST(4 + id % 2 AS STRING) ELSE 'Kit ' || CAST(id AS STRING) END"
+SOME_LINKED = LINKED.replace("'Label ' || CAST(id % 12 AS STRING)", SOME_KITS)
+
+
+def some_linked(c):
+    return jobs.link_regions(c.image_regions, c.kits.select("id", F.expr(SOME_KITS).alias("name")))
+
+
+@query("c11_link_report", f"SELECT * FROM (WITH {SOME_LINKED} SELECT id, label, CASE WHEN n = 1 THEN 'linked' WHEN n > 1 THEN 'ambiguous_exact_match' ELSE 'no_exact_match' END AS match_status, CASE WHEN n = 1 THEN m END AS match_id FROM hits)", "image_regions", "kits")
+def _(c):
+    return some_linked(c)[2]
+
+
+@query("c11_linked_regions", f"SELECT * FROM (WITH {SOME_LINKED} SELECT r.id, r.label, CASE WHEN h.n = 1 THEN 'kit' ELSE r.entity_type END AS entity_type, CASE WHEN h.n = 1 THEN h.m ELSE r.entity_id END AS entity_id FROM image_regions r LEFT JOIN hits h ON h.id = r.id)", "image_regions", "kits")
+def _(c):
+    return some_linked(c)[0].select("id", "label", "entity_type", "entity_id")
+
+
+@query("c11_link_history", f"SELECT * FROM (WITH {SOME_LINKED} SELECT id, 'update' AS change, label, CAST(m AS STRING) AS new_id FROM hits WHERE n = 1)", "image_regions", "kits")
+def _(c):
+    return some_linked(c)[1].select("id", "change", F.get_json_object("new_values", "$.label").alias("label"), F.get_json_object("new_values", "$.entity_id").alias("new_id"))
+
+
+@query("j10_every_status", "SELECT p.id, CASE WHEN n = 1 THEN 'linked' WHEN n > 1 THEN 'ambiguous_exact_match' ELSE 'no_exact_match' END AS match_status, CASE WHEN n = 1 THEN m END AS match_id FROM parts p LEFT JOIN (SELECT part_label, CASE WHEN part_label < 'c' THEN 1 WHEN part_label < 'r' THEN 2 END AS n, min(id) AS m FROM parts GROUP BY part_label) x ON x.part_label = p.part_label", "parts")
+def _(c):
+    """The names before c are one entity each, those before r two, the others none."""
+    once = c.parts.where("part_label < 'r'").groupBy("part_label").agg(F.min("id").alias("id"))
+    again = once.where("part_label >= 'c'").select(F.upper("part_label").alias("part_label"), -F.col("id"))
+    return matching.unique_match(c.parts.select("id", "part_label"), "part_label", once.union(again), "part_label").select("id", "match_status", "match_id")
+
+
+@query("q14_collapsed_pictures", f"SELECT {LIBRARY} WHERE (coalesce(title, '') ILIKE '%picture%' OR filename ILIKE '%picture%') AND i.id IN (SELECT image_id FROM image_tags WHERE tag = 'long') AND (f.family_id IS NULL OR f.is_primary = 1 OR f.is_hidden = 0)", *LIBRARY_VIEWS)
+def _(c):
+    return q.image_library(c, text="picture", tag="long", collapse=True).select("id", "filename", "family_id", "region_count", "claim_count")

@@ -100,8 +100,9 @@ def post_images(pages: DataFrame, base: str) -> DataFrame:
 
 
 def link_manifest(images: DataFrame, blobs: DataFrame) -> DataFrame:
-    """Pictures with the hash of their copy (blobs: image_url, sha256) and status copied or missing."""
-    return images.join(blobs.select("image_url", "sha256"), "image_url", "left").withColumn("status", F.when(F.col("sha256").isNull(), "missing").otherwise("copied"))
+    """Pictures with the hash of their copy (blobs: image_url, sha256) and status copied or missing; of several copies of one
+    picture that with the smallest hash counts."""
+    return images.join(blobs.groupBy("image_url").agg(F.min("sha256").alias("sha256")), "image_url", "left").withColumn("status", F.when(F.col("sha256").isNull(), "missing").otherwise("copied"))
 
 
 def thread_manifest(links: DataFrame) -> DataFrame:

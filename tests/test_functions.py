@@ -85,3 +85,13 @@ def test_compatibility_form_puts_marks_and_letters_together(spark):
     odd = ["é", "é", "ﬁ①ａＢ", "한", "한", "plain", "", None, "Å x y"]
     got = [r[0] for r in spark.createDataFrame([(v,) for v in odd], "v string").select(t.nfkc(F.col("v"))).collect()]
     assert got == [None if v is None else unicodedata.normalize("NFKC", v) for v in odd]
+
+
+def test_names_of_social_exports(spark):
+    names = ["123456_234567_345678_n.jpg", "x_123456_234567_345678_O", "a123456_234567_345678_n.jpg", "12345_234567_345678_n.jpg", "x_12345678_23456789_34567890_n (1).png", "x_12345678_23456789_34567890_name.png", "hull.jpg", None]
+    assert values(spark, t.social_export(A), *names) == [True, True, False, False, True, False, False, None]
+    files = spark.createDataFrame([("in/123456_234567_345678_n.jpg",), ("in/hull.jpg",)], "rel_path string")
+    from evidarium.operators.rules import Source, infer_source
+
+    found = infer_source(files, {}, [(t.social_export(F.element_at(F.split("rel_path", "/"), -1)), Source("social", "", "", "medium"))])
+    assert sorted(r["source_platform"] for r in found.collect()) == ["social", "unknown"]
