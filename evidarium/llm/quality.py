@@ -32,13 +32,18 @@ BYTE_KINDS = np.zeros(256, np.uint8)
 for _kind, _bytes in enumerate((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", bytes(range(0x80, 0x100)), b".,;:!?'\"", b" \t\r\x0b\x0c", b"|", b"#$%&*@^~_=+<>\\/{}[]()-`")):
     BYTE_KINDS[list(_bytes)] = _kind + 1
 OWN = 16  # features of a line by itself
-
-
-def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features of every line with those of its neighbours, the line's length, and how many lines each text has."""
-    lines = [t.split(b"\n") for t in texts]
-    count = np.array([len(x) for x in lines], np.int64)
-    whole = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+#: Lines whose features are held at a time.
+RUN_LINES = 16_384
+#: Bytes of a text that are parted into lines at a time.
+WINDOW = 1 << 18
+#: Chains of more lines than this are parted into lanes.
+LONG_CHAIN = 4096
+
+
+def own_features(lines: list[bytes], texts: list[tuple[int, int]], seen: dict[int, set[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Features of lines by themselves, and their lengths. texts: of which text how many
+    lines in a row are, by its number; seen: what lines each text has had before, which goes on from run to run."""
+    whole = np.frombuffer(b"\n".join(lines) + b"\n", np.uint8)
     end = np.flatnonzero(whole == 10)
     start = np.append(0, end[:-1] + 1)
     size = (end - start).astype(float)
@@ -49,13 +54,14 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
         some[:, k] = np.searchsorted(places, end) - np.searchsorted(places, start)
     words, distinct, again, seen_before = (np.zeros(len(end)) for _ in range(4))
     i = 0
-    for own in lines:
-        seen: set[bytes] = set()
-        for line in own:
-            w = line.split()
-            words[i], distinct[i], again[i] = len(w), len(set(w)), sum(map(eq, w, islice(w, 1, None)))
-            seen_before[i] = bool(w) and line in seen
-            seen.add(line)
+    for number, count in texts:
+        had = seen.setdefault(number, set())
+        for line in lines[i : i + count]:
+            if line:
+                w = line.split()
+                words[i], distinct[i], again[i] = len(w), len(set(w)), sum(map(eq, w, islice(w, 1, None)))
+                seen_before[i] = bool(w) and line in had
+                had.add(line)
             i += 1
     chars, n = np.maximum(size, 1), np.maximum(words, 1)
     last = np.where(size > 0, whole[np.maximum(end - 1, 0)], 32)
@@ -64,13 +70,81 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
         np.log1p(size) / 5, np.log1p(words) / 4, np.minimum(size / n, 40) / 10, some[:, 1] / n, some[:, 2] / chars * 5, some[:, 3] / chars, some[:, 4] / n, some[:, 5] / n,
         np.minimum(some[:, 6] / n, 1), np.minimum(some[:, 7] / n, 4), again / n, distinct / n, np.isin(last, list(b".!?")), first == 1, seen_before, size == 0,
     ])
-    head = np.cumsum(count) - count
-    tail = head + count - 1
-    before, after = np.roll(x, 1, axis=0), np.roll(x, -1, axis=0)
-    before[head], after[tail] = 0, 0
-    edge = np.zeros((len(x), 3))
-    edge[head, 0] = edge[tail, 1] = edge[:, 2] = 1
-    return np.hstack([x, before, after, edge]).astype(np.float32), size, count
+    return x.astype(np.float32), size
+
+
+def lines_of(text: bytes, most: int) -> Iterator[list[bytes]]:
+    """The lines of a text, at most `most` at a time."""
+    at = 0
+    while at <= len(text):
+        stop = len(text) if len(text) - at <= WINDOW else text.rfind(b"\n", at, at + WINDOW)
+        if stop < 0:  # a line longer than the window
+            stop = text.find(b"\n", at + WINDOW)
+            stop = len(text) if stop < 0 else stop
+        part = text[at:stop].split(b"\n")
+        for i in range(0, len(part), most):
+            yield part[i : i + most]
+        at = stop + 1
+
+
+def runs_of_lines(texts: list[bytes], most: int) -> Iterator[tuple[list[bytes], list[tuple[int, int]]]]:
+    """All lines of the texts in runs of at most `most`, with (text, lines of it) for each run. A text's lines may be parted."""
+    lines, own = [], []
+    for number, text in enumerate(texts):
+        for part in lines_of(text, most):
+            if len(lines) + len(part) > most:
+                yield lines, own
+                lines, own = [], []
+            lines += part
+            own.append((number, len(part)))
+    if lines:
+        yield lines, own
+
+
+def features_by_run(texts: list[bytes], most: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]]:
+    """Features of every line with those of its neighbours in the text, its length, and (text, lines), run by run: what lies
+    behind a run's end is looked up in the next."""
+    seen: dict[int, set[bytes]] = {}
+    held, last = None, (-1, np.zeros(OWN, np.float32))
+
+    def joined(x: np.ndarray, own: list[tuple[int, int]], before: tuple[int, np.ndarray], after: tuple[int, np.ndarray]) -> np.ndarray:
+        number = np.repeat([k for k, _ in own], [n for _, n in own])
+        head = np.flatnonzero(np.append(True, number[1:] != number[:-1]))
+        tail = np.append(head[1:], len(number)) - 1
+        edge = np.zeros((len(x), 3), np.float32)
+        edge[head, 0] = edge[tail, 1] = edge[:, 2] = 1
+        ahead, behind = np.roll(x, 1, axis=0), np.roll(x, -1, axis=0)
+        ahead[head], behind[tail] = 0, 0
+        if before[0] == own[0][0]:
+            ahead[0], edge[0, 0] = before[1], 0
+        if after[0] == own[-1][0]:
+            behind[-1], edge[-1, 1] = after[1], 0
+        return np.hstack([x, ahead, behind, edge])
+
+    for lines, own in runs_of_lines(texts, most):
+        x, size = own_features(lines, own, seen)
+        for number in [k for k in seen if k < own[-1][0]]:
+            del seen[number]
+        if held:
+            yield joined(held[0], held[2], last, (own[0][0], x[0])), held[1], held[2]
+            last = (held[2][-1][0], held[0][-1])
+        held = x, size, own
+    if held:
+        yield joined(held[0], held[2], last, (-1, last[1])), held[1], held[2]
+
+
+def line_features(texts: list[bytes], most: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features of every line with those of its neighbours, the line's length, and how many lines each text has; with
+    `most`, of so many lines of the first text."""
+    xs, sizes, count = [], [], np.zeros(len(texts), np.int64)
+    for x, size, own in features_by_run(texts, RUN_LINES):
+        xs.append(x)
+        sizes.append(size)
+        for number, n in own:
+            count[number] += n
+        if most is not None and count.sum() >= most:
+            return np.concatenate(xs)[:most], np.concatenate(sizes)[:most], np.array([most])
+    return np.concatenate(xs), np.concatenate(sizes), count
 
 
 def laid_out(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,6 +177,62 @@ def forward_backward(good: np.ndarray, count: np.ndarray, ties: np.ndarray) -> t
     return 1 / (1 + np.exp(np.clip(both[:, 0] - both[:, 1], -700, 700))), pairs
 
 
+def forward_odds(good: np.ndarray, ties: np.ndarray) -> np.ndarray:
+    """Log odds of the forward messages of one long chain. The chain is parted into lanes; what a lane makes of any message
+    is a 2 x 2 matrix, found for all lanes at once, and these give each lane the message that it begins with."""
+    n = len(good)
+    width = int(n**0.5) + 1
+    lanes = -(-n // width)
+    e = np.zeros(lanes * width)
+    e[:n] = good
+    e = e.reshape(lanes, width)
+
+    def step(m: np.ndarray, t: int) -> np.ndarray:
+        """Messages (..., state) through place t of every lane."""
+        out = np.logaddexp(m[..., :1] + ties[0], m[..., 1:] + ties[1])
+        out[..., 1] += e[:, t].reshape(-1, *[1] * (m.ndim - 2))
+        return out
+
+    maps = np.tile(np.array([[0.0, -np.inf], [-np.inf, 0.0]]), (lanes, 1, 1))
+    for t in range(width):
+        maps = step(maps, t)
+    maps[0] = 0  # the first lane begins with no message; see below
+    odds = np.empty((lanes, width))
+    at = np.array([[0.0, good[0]]])  # its own messages, lane 0 alone
+    odds[0, 0] = good[0]
+    for t in range(1, width):
+        at = np.logaddexp(at[:, :1] + ties[0], at[:, 1:] + ties[1]) + [0.0, e[0, t]]
+        odds[0, t] = at[0, 1] - at[0, 0]
+    begins, message = np.zeros((lanes, 2)), at[0] - at[0].max()
+    for k in range(1, lanes):
+        begins[k] = message
+        message = np.logaddexp(message[0] + maps[k, 0], message[1] + maps[k, 1])
+        message -= message.max()
+    m = begins
+    for t in range(width):
+        m = step(m, t)
+        m -= m.max(axis=1, keepdims=True)
+        odds[1:, t] = (m[:, 1] - m[:, 0])[1:]
+    return odds.reshape(-1)[:n]
+
+
+def marginals(good: np.ndarray, count: np.ndarray, ties: np.ndarray) -> np.ndarray:
+    """Probability that each line is good, of chains of any length."""
+    long = count > LONG_CHAIN
+    if not long.any():
+        return forward_backward(good, count, ties)[0]
+    ends, out = np.cumsum(count), np.empty(len(good))
+    short = np.repeat(~long, count)
+    if short.any():
+        out[short] = forward_backward(good[short], count[~long], ties)[0]
+    for k in np.flatnonzero(long):
+        own = good[ends[k] - count[k] : ends[k]]
+        # The messages from behind are those of the chain turned round; each has the line's own evidence in it.
+        both = forward_odds(own, ties) + forward_odds(own[::-1], ties.T)[::-1] - own
+        out[ends[k] - count[k] : ends[k]] = 1 / (1 + np.exp(np.clip(-both, -700, 700)))
+    return out
+
+
 class Field(NamedTuple):
     mean: np.ndarray
     scale: np.ndarray
@@ -114,8 +244,20 @@ class Field(NamedTuple):
 
     def documents(self, x: np.ndarray, size: np.ndarray, count: np.ndarray) -> np.ndarray:
         """Score of each text from the features of its lines."""
-        good, _ = forward_backward(((x - self.mean) / self.scale) @ self.weights, count, self.ties)
-        return 1 / (1 + np.exp(-(self.slope * mean_odds(good, size, count) + self.offset)))
+        return self.scored(((x - self.mean) / self.scale) @ self.weights, size, count)
+
+    def scored(self, evidence: np.ndarray, size: np.ndarray, count: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-(self.slope * mean_odds(marginals(evidence, count, self.ties), size, count) + self.offset)))
+
+    def score(self, texts: list[bytes]) -> np.ndarray:
+        """Score of each text. Features are made and used run by run; only each line's evidence and length are held."""
+        good, sizes, count = [], [], np.zeros(len(texts), np.int64)
+        for x, size, own in features_by_run(texts, RUN_LINES):
+            good.append(((x - self.mean) / self.scale) @ self.weights)
+            sizes.append(size)
+            for number, n in own:
+                count[number] += n
+        return self.scored(np.concatenate(good), np.concatenate(sizes), count)
 
 
 def mean_odds(good: np.ndarray, size: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -182,19 +324,20 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, digest, text in zip(batch.column("id").to_pylist(), batch.column("digest").to_pylist(), texts_of(batch.column("text"))):
-                x, size, _ = line_features([text])
+                x, size, _ = line_features([text], SAMPLE_LINES)
                 yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([digest]), pa.array([x.tobytes()]), pa.array([size.tobytes()])], names=["id", "digest", "x", "size"])
 
     wanted = docs.sparkSession.createDataFrame(sorted({(r["id"], r["digest"]) for r in got}), "id string, digest string")
     texts = rows.join(F.broadcast(wanted), ["id", "digest"], "left_semi").groupBy("id", "digest").agg(F.first("text").alias("text"))
     features = {(r["id"], r["digest"]): (np.frombuffer(r["x"], np.float32).reshape(-1, width), np.frombuffer(r["size"])) for r in texts.mapInArrow(measure, "id string, digest string, x binary, size binary").collect()}
     x, size = (np.concatenate(part) for part in zip(*(features[r["id"], r["digest"]] for r in got)))
-    return fit(x, size, np.array([r["n"] for r in got], np.int64), np.array([r["y"] for r in got]))
+    return fit(x, size, np.array([min(r["n"], SAMPLE_LINES) for r in got], np.int64), np.array([r["y"] for r in got]))
 
 
 def fitting(rows: list) -> list:
     """Of rows (y, n) in order, those that SAMPLE_LINES has room for; one too long is passed over, not those behind it. A
-    label of which no row has room keeps its shortest, so that no field is fitted without a label that is there."""
+    label of which no row has room keeps its shortest, so that no field is fitted without a label that is there; of that one
+    the first SAMPLE_LINES lines are fitted on."""
     taken, held = set(), 0
     for i, r in enumerate(rows):
         if held + r["n"] <= SAMPLE_LINES:
@@ -220,7 +363,7 @@ def quality(docs: DataFrame, field: Field, text_col: str = "text", carry: list[s
                     texts.append(text)
                     held += len(text)
                 if texts and (held >= GROUP_BYTES or text is None):
-                    scores.append(shared.value.documents(*line_features(texts)))
+                    scores.append(shared.value.score(texts))
                     texts, held = [], 0
             yield pa.RecordBatch.from_arrays([batch.column("record"), pa.array(np.concatenate(scores) if scores else [], pa.float64())], names=["record", "score"])
 

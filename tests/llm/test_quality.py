@@ -115,3 +115,51 @@ def test_equal_rows_count_each(spark):
     known = spark.createDataFrame(labels, "doc_id long, quality int")
     once, twice = (train(spark.createDataFrame(r, SCHEMA), known) for r in (rows, rows + rows))
     assert np.allclose(once.weights, twice.weights, atol=1e-3)
+
+
+def test_runs_of_lines_change_nothing(monkeypatch):
+    import evidarium.llm.quality as op
+
+    rng = np.random.default_rng(4)
+    parts = [b"", b"one line.", b"a b a", b"#$%", b"Big 12|3", "é".encode()]
+    texts = [b"\n".join(parts[i] for i in rng.integers(0, 6, rng.integers(1, 40))) for _ in range(60)] + [b"", b"\n", b"\n\n"]
+    x, size, count = line_features(texts)
+    assert count.tolist() == [t.count(b"\n") + 1 for t in texts]
+    for most in (1, 2, 7, 40, 1000):
+        monkeypatch.setattr(op, "RUN_LINES", most)
+        assert all(np.array_equal(a, b) for a, b in zip(line_features(texts), (x, size, count)))
+    monkeypatch.setattr(op, "WINDOW", 16)
+    assert all(np.array_equal(a, b) for a, b in zip(line_features(texts), (x, size, count)))
+    monkeypatch.setattr(op, "RUN_LINES", 5)
+    field = op.Field(x.mean(axis=0), np.maximum(x.std(axis=0), 0.01), rng.normal(size=x.shape[1]), rng.normal(size=(2, 2)), 1.0, 0.0)
+    want = field.documents(x, size, count)
+    for long in (0, 1, 3, 10):
+        monkeypatch.setattr(op, "LONG_CHAIN", long)
+        assert np.allclose(field.score(texts), want, atol=1e-9)
+
+
+def test_long_chains_in_lanes():
+    from evidarium.llm.quality import LONG_CHAIN, marginals
+
+    rng = np.random.default_rng(5)
+    for strength in (0.1, 1, 6):
+        count = np.array([3, LONG_CHAIN + 1, 1, 3 * LONG_CHAIN + 77])
+        good, ties = rng.normal(size=count.sum()) * 3, rng.normal(size=(2, 2)) * strength
+        assert np.allclose(marginals(good, count, ties), forward_backward(good, count, ties)[0], atol=1e-8)
+
+
+def test_five_megabytes_of_line_feeds():
+    import time
+    import tracemalloc
+
+    import evidarium.llm.quality as op
+
+    rng = np.random.default_rng(6)
+    width = 3 * op.OWN + 3
+    field = op.Field(np.zeros(width, np.float32), np.ones(width, np.float32), rng.normal(size=width), rng.normal(size=(2, 2)), 1.0, 0.0)
+    begun = time.time()
+    tracemalloc.start()
+    score = field.score([b"\n" * (5 << 20), b"ok\n" * 500_000])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500e6 and time.time() - begun < 120 and ((score > 0) & (score < 1)).all()
