@@ -16,6 +16,8 @@ import numpy as np
 
 #: Texts are scanned side by side in so many lanes.
 LANES = 4096
+#: Bytes that are looked at together, at most, on the way back from a long match, and steps after which a match is long.
+BLOCK, STEPS = 1 << 16, 2048
 EVERY = frozenset(range(256))
 NAMED = {"n": {10}, "t": {9}, "r": {13}, "d": set(range(48, 58)), "s": {9, 10, 11, 12, 13, 32}, "w": {*range(48, 58), *range(65, 91), 95, *range(97, 123)}}
 
@@ -267,31 +269,93 @@ class Automaton:
         if not self.resets[10]:
             raise ValueError("a rule spans lines")
 
-    def cuts(self, text: np.ndarray, size: int) -> np.ndarray:
-        """Where lanes begin: about every size bytes, behind a reset byte."""
+    def cuts(self, text: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where lanes begin, about every size bytes, and whether that is behind a reset byte; where none is for long, a lane
+        begins anywhere."""
         stops = np.flatnonzero(self.resets[text]) + 1
         at = np.searchsorted(stops, np.arange(size, len(text), size))
-        return np.unique(np.append(0, stops[at[at < len(stops)]]))
+        clean = np.unique(np.append(0, stops[at[at < len(stops)]]))
+        clean = clean[clean < len(text)]
+        gaps = np.diff(np.append(clean, len(text)))
+        more = np.maximum(gaps // size - 1, 0)  # lanes within a gap of two sizes or more
+        within = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more) + 1
+        begins = np.sort(np.append(clean, np.repeat(clean, more) + within * size))
+        return begins, np.isin(begins, clean)
+
+    def again(self, kinds: np.ndarray, begins: np.ndarray, size: np.ndarray, state: np.ndarray, trace: np.ndarray, write: bool) -> np.ndarray:
+        """Run lanes from the given states until they are in the state that the trace has there, as they go on alike then. The
+        states in which those end that never are; -1 for the others. write: correct the trace."""
+        order = np.argsort(-size, kind="stable")
+        at, state, left, lane = begins[order], state[order].astype(np.int32), size[order], order
+        end = np.full(len(begins), -1, np.int32)
+        while len(at):
+            step = state + kinds[at]
+            apart = trace[at] != step
+            at, left, lane, step = at[apart], left[apart] - 1, lane[apart], step[apart]
+            if write:
+                trace[at] = step
+            state, at = self.table[step], at + 1
+            live = len(left) - np.searchsorted(left[::-1], 1)  # left falls
+            end[lane[live:]] = state[live:]
+            at, state, left, lane = at[:live], state[:live], left[:live], lane[:live]
+        return end
 
     def passed(self, text: np.ndarray) -> np.ndarray:
-        """The state before each byte and its class, as an index of the arrays, by one pass over the bytes."""
-        begins = self.cuts(text, max(64, len(text) // LANES))
+        """The state before each byte and its class, as an index of the arrays. All lanes run side by side from the first
+        state. A lane that begins within a line is corrected then: it runs again from the state in which the lane before it
+        has ended, until both ways meet. A state that comes up so is tried on all such lanes at once, and few do."""
+        begins, clean = self.cuts(text, max(64, len(text) // LANES))
         size = np.diff(np.append(begins, len(text)))
         order = np.argsort(-size, kind="stable")
-        begins, size = begins[order], size[order]
         kinds = self.classes[text]
         trace = np.zeros(len(text), np.int32)
         state = np.full(len(begins), self.begin, np.int32)
-        live = np.searchsorted(-size, -np.arange(size[0]), "left") if len(size) else ()  # lanes longer than t
-        at = begins.copy()
+        live = np.searchsorted(-size[order], -np.arange(size.max()), "left") if len(size) else ()  # lanes longer than t
+        at = begins[order]
         for k in live:
             place = at[:k]
             step = state[:k] + kinds[place]
             trace[place] = step
             state[:k] = self.table[step]
             place += 1
+        if clean.all():
+            return trace
+        ends = np.empty(len(begins), np.int32)
+        ends[order] = state
+        known, own = {self.begin: ends.tolist()}, np.flatnonzero(~clean)
+        start, now = np.full(len(begins), self.begin, np.int32), self.begin
+        for lane, fresh in enumerate(clean.tolist()):
+            now = self.begin if fresh else now
+            if now not in known:
+                found, whole = self.again(kinds, begins[own], size[own], np.full(len(own), now), trace, False), ends.copy()
+                whole[own] = np.where(found < 0, whole[own], found)
+                known[now] = whole.tolist()
+            start[lane] = now
+            now = known[now][lane]
+        wrong = np.flatnonzero(start != self.begin)
+        self.again(kinds, begins[wrong], size[wrong], start[wrong], trace, True)
         return trace
 
+    def steady(self, trace: np.ndarray, came: np.ndarray, at: int, thread: int) -> int:
+        """The first place from which on, up to `at`, the thread has been this one."""
+        block = 64
+        while at > 0:
+            low = max(0, at - block)
+            other = np.flatnonzero(came[trace[low:at], thread] != thread)
+            if len(other):
+                return low + int(other[-1]) + 1
+            at, block = low, min(2 * block, BLOCK)
+        return 0
+
+    def accepted(self, trace: np.ndarray, accepts: np.ndarray, low: int, at: int) -> tuple[int, int]:
+        """The first and the last place from low to at where a match could have ended; -1 if there is none."""
+        first = last = -1
+        for block in range(low, at + 1, BLOCK):
+            hits = np.flatnonzero(accepts[trace[block : min(block + BLOCK, at + 1)] // self.width])
+            if len(hits):
+                first, last = block + int(hits[0]) if first < 0 else first, block + int(hits[-1])
+        return first, last
+
     def matches(self, text: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """For each rule its number and, of all its matches, where they begin, where they could first have ended, and where
         they end. Matches of a rule are leftmost, as long as can be and do not overlap. text ends in a reset byte."""
@@ -303,8 +367,16 @@ class Automaton:
             thread = np.zeros(len(place), np.int64)
             begin, early, end = (np.full(len(place), -1) for _ in range(3))
             open_ = np.arange(len(place))
-            at = place.copy()
+            at, steps = place.copy(), 0
             while len(open_):  # one byte back for all that have not come to their beginning
+                steps += 1
+                for m in open_.tolist() if steps > STEPS else ():  # the few long ones jump to where their thread changes
+                    low = self.steady(trace, came, int(at[m]), int(thread[m]))
+                    if thread[m] == 0:
+                        first, last = self.accepted(trace, accepts, low, int(at[m]))
+                        early[m] = early[m] if first < 0 else first
+                        end[m] = last if end[m] < 0 else end[m]
+                    at[m] = low
                 here = (thread[open_] == 0) & accepts[trace[at[open_]] // self.width]
                 early[open_[here]] = at[open_[here]]
                 late = open_[here & (end[open_] < 0)]

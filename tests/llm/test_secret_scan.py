@@ -66,3 +66,34 @@ def test_spans_against_regexes(spark):
         assert [tuple(s) for s in r["spans"]] == brute(r["text"]), r["text"]
     assert any(s[2] not in BASE for r in out for s in r["spans"])
     assert secrets(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_lanes_that_begin_anywhere(monkeypatch):
+    import evidarium.llm.automaton as automaton
+    from evidarium.llm.secret_scan import Scanner
+
+    rng = random.Random(7)
+    parts = ["password", "token=", "secret: ", "api_key='", "AKIA", "deadbeef", "0123456789abcdef" * 4, "ABCDEFGH" * 9, "ghp_", "eyJab.eyJcd", "xoxb-", " ", "é", "z" * 90, "-----BEGIN ", "PRIVATE KEY-----", "."]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 60))) for _ in range(120)]  # lines without a feed
+    monkeypatch.setattr(automaton, "STEPS", 16)
+    monkeypatch.setattr(automaton, "BLOCK", 32)
+    scanner = Scanner(RULES)
+    for some in (texts, texts[:1], ["".join(texts)]):
+        found = scanner.scan([t.encode() for t in some])
+        assert [[(a, b, scanner.kinds[k]) for a, k, b in found.get(i, ())] for i in range(len(some))] == [brute(t) for t in some]
+
+
+def test_megabytes_without_a_break():
+    import base64
+    import time
+
+    from evidarium.llm.secret_scan import Scanner
+
+    scanner, rng = Scanner(RULES), random.Random(8)
+    raw = rng.randbytes(4 << 20)
+    whole = {"hex": raw[: 5 << 19].hex(), "base64": base64.b64encode(raw).decode(), "assigned": "x token=" + base64.b64encode(raw).decode(), "words": "word and " * (5 << 17)}
+    for name, text in whole.items():
+        begun = time.time()
+        found = scanner.scan([text.encode()])
+        assert time.time() - begun < 5, name
+        assert [(a, b, scanner.kinds[k]) for a, k, b in found.get(0, ())] == brute(text), name
