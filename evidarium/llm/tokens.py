@@ -36,6 +36,9 @@ LONG_BYTES = 1 << 28
 #: Bytes of text that are split at a time.
 GROUP_BYTES = 4 << 20
 
+#: Words by which a vocabulary is tried.
+PROBE = ("word", "Two.", "3rd", "it's", "é", "日本語", "(x)", "--", "a", "...", "#12")
+
 _caches: dict[str, dict] = {}
 
 
@@ -195,6 +198,8 @@ class LibraryEncoder:
         spec = json.load(open(path, encoding="utf-8"))
         suffix = spec["model"].get("end_of_word_suffix")
         self.known = is_known(spec) and bool(suffix)
+        if not self.known and not self.parts_words():
+            raise ValueError(f"{path} encodes the white space between words, so a text's ids are not those of its words")
         if self.known:
             from tokenizers import pre_tokenizers
 
@@ -206,6 +211,12 @@ class LibraryEncoder:
             self.last = np.zeros(max(vocab.values()) + 1, bool)
             self.last[[i for s, i in vocab.items() if s.endswith(suffix)]] = True
 
+    def parts_words(self) -> bool:
+        """Whether the ids of words in a text are those of the words alone, for words of all kinds and any white space."""
+        ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        alone = [i for w in PROBE for i in ids(w)]
+        return all(ids(blank.join(PROBE)) == alone for blank in (" ", "  ", "\n", "\r\n\n", "\t", " \x0b\x0c"))
+
     def alone(self, word: bytes) -> bytes:
         self.tokenizer.encode_special_tokens = self.literal
         ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from tokenizers import Tokenizer
 
 import evidarium.llm.idfile as idfile
@@ -106,3 +107,25 @@ def test_documents_across_blocks_and_files(spark, tmp_path):
     for block in (1, 7, 1000):
         got = count_flat(spark, f"file://{tmp_path}", 0, block_ids=block).select("number", "start", "n_tokens", "ended").collect()
         assert sorted(map(tuple, got)) == want
+
+
+def test_vocabularies_that_encode_blanks_are_refused():
+    import public_tokenizers
+
+    with pytest.raises(ValueError):
+        LibraryEncoder(public_tokenizers.path("byte_bpe_50k.json"), "<u2")
+
+
+def test_other_vocabularies_that_part_words(tmp_path):
+    """One that is split otherwise than the known one, and has no suffix."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    letters = {c: i for i, c in enumerate("abcdefghijklmnopqrstuvwxyz.?")} | {"<unk>": 28}
+    other = Tokenizer(models.BPE(letters | {"ab": 29, "abc": 30}, [("a", "b"), ("ab", "c")], unk_token="<unk>"))
+    other.pre_tokenizer = pre_tokenizers.Whitespace()
+    other.add_special_tokens(["<end>"])
+    other.save(f"{tmp_path}/other.json")
+    words = Words(LibraryEncoder(f"{tmp_path}/other.json", "<u2"))
+    for text in ("abc ab a.b", " x\nabc?  é", "", "zz\tabcabc"):
+        want = np.array(other.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+        assert list(words.blobs([text.encode()])) == [want]
