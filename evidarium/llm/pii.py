@@ -211,14 +211,38 @@ def personal_data(docs: DataFrame, text_col: str = "text", carry: list[str] | No
     found = materialize(candidates(docs, text_col, wanted), "pii-candidates")
     score = train(found)
     base = F.filter("spans", lambda s: s["base"])
+    kept = base if score is None else bound(base_by_kind(base), lambda own: F.concat(base, F.filter("spans", lambda s: ~s["base"] & ~touched(own, s) & (score(s) >= threshold))))
+    plain = F.transform(kept, lambda s: F.struct(s["kind"], s["start"], s["end"], s["base"]))
+    once = bound(F.array_sort(plain), lambda spans: F.filter(spans, lambda s, i: (i == 0) | (s != F.get(spans, i - 1))))
+    shown = F.transform(once, lambda s: F.struct(F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base")))
+    return found.select("record", shown.alias("spans"))
 
-    def added(s: Column) -> Column:
-        apart = ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        return ~s["base"] & apart & (score(s) >= threshold)
 
-    kept = base if score is None else F.concat(base, F.filter("spans", added))
-    shown = F.transform(F.array_sort(F.array_distinct(F.transform(kept, lambda s: F.struct(s["kind"], s["start"], s["end"], s["base"])))), lambda s: F.struct(F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base")))
-    return found.select("record", shown.alias("spans"))
+#: Base matches of a kind that are looked at one by one; among more, the place is found by halving.
+FEW = 8
+
+
+def base_by_kind(base: Column) -> Column:
+    """The base matches of each kind as an array of arrays. Those of a kind do not overlap and stand in order."""
+    return F.array(*[F.filter(base, lambda s: s["kind"] == KINDS.index(k)) for k in BASE])
+
+
+def touched(own: Column, s: Column) -> Column:
+    """Whether some base match overlaps a span: of each kind, only the last that begins before the span's end can."""
+
+    def by_halves(matches: Column) -> Column:
+        def half(acc: Column, _: Column) -> Column:
+            middle = F.floor((acc["low"] + acc["high"]) / 2).cast("int")
+            before = F.get(matches, middle)["start"] < s["end"]
+            ends = lambda low, high: F.struct(low.alias("low"), high.alias("high"))
+            return F.when(acc["low"] >= acc["high"], acc).when(before, ends(middle + 1, acc["high"])).otherwise(ends(acc["low"], middle))
+
+        steps = F.sequence(F.lit(0), F.floor(F.log2(F.size(matches).cast("double"))).cast("int"))
+        count = F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.size(matches).alias("high")), half, lambda acc: acc["low"])
+        return bound(count, lambda n: F.coalesce(F.get(matches, n - 1)["end"] > s["start"], F.lit(False)))
+
+    one_by_one = lambda matches: F.exists(matches, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    return F.exists(own, lambda matches: F.when(F.size(matches) <= FEW, one_by_one(matches)).otherwise(by_halves(matches)))
 
 
 def op9_personal_data(spark, sf_dir):

@@ -81,3 +81,25 @@ def test_ends_of_many_parts(spark):
         for part in r["p"]:
             want.append(want[-1] + len(part))
         assert r["e"] == want
+
+
+def test_many_matches_in_one_text(spark, monkeypatch):
+    import time
+
+    import evidarium.llm.pii as op
+
+    rng = random.Random(11)
+    parts = ["call +49 30 1234567 now", "tel 030 123 4567", "a{0}@b.org", "a{0} [at] b.org", "10.0.{0}.7", "4111 1111 1111 1111", "ssn 123-45-6789", "no data here", "+1 (212) 555 01{0}"]
+    texts = [" ".join(rng.choice(parts).format(rng.randrange(250)) for _ in range(n)) for n in (1, 9, 40, 300)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    shown = lambda: [[tuple(s) for s in r["spans"]] for r in op.personal_data(docs).orderBy("record.doc_id").collect()]
+    halves = shown()
+    monkeypatch.setattr(op, "FEW", 10_000)
+    assert shown() == halves and any(not s[3] for s in halves[-1])
+    monkeypatch.undo()
+    long = " ".join(rng.choice(parts).format(rng.randrange(250)) for _ in range(100_000))
+    begun = time.time()
+    found = op.personal_data(spark.createDataFrame([(1, long)], "doc_id long, text string")).select(F.size("spans")).first()[0]
+    assert found > 50_000
+    print("seconds", time.time() - begun)
+    assert time.time() - begun < 100
