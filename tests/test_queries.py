@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from evidarium.plans.queries import ORACLES, QUERIES
+from evidarium.plans.load_queries import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
