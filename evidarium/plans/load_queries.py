@@ -172,3 +172,145 @@ def _(c):
 def _(c):
     title = F.when(F.col("p_partkey") % 3 == 0, F.concat("p_name", F.lit(" - "), "p_type")).otherwise(F.concat("p_name", F.lit(" of "), F.lower("p_type")))
     return c.part.select(F.col("p_partkey").alias("id"), jobs.short_title(title, 16).alias("short_title"))
+
+
+# threads: links of pages as pictures in posts
+
+#: A turn of a conversation is a post; its words that begin with t or a, cut to four letters, are the pictures it shows.
+LINKS = r"""links AS (SELECT thread, page_no, place, url AS image_url, CAST(row_number() OVER (PARTITION BY thread, page_no, place ORDER BY i) AS INT) AS image_index FROM (
+        SELECT CAST(conv_id % 40 AS VARCHAR) AS thread, CAST(conv_id AS INT) AS page_no, CAST(turn AS INT) AS place, 'https://h/' || w || '.png' AS url, min(i) AS i
+        FROM (SELECT conv_id, turn, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM (SELECT conv_id, turn, regexp_extract_all(lower(coalesce(text, '')), '(?:^|[ \n])([at][a-z]{0,3})', 1) AS ws FROM conversations)) GROUP BY ALL))"""
+COPIES = "copies AS (SELECT image_url, min(sha256) AS sha256 FROM (SELECT 'https://h/' || left(regexp_replace(lower(text), '[^a-z]+', '', 'g'), 2) || '.png' AS image_url, sha256(text) AS sha256 FROM documents WHERE text IS NOT NULL) GROUP BY image_url)"
+LINKED = f"{LINKS}, {COPIES}, linked AS (SELECT l.*, sha256, CASE WHEN sha256 IS NULL THEN 'missing' ELSE 'copied' END AS status FROM links l LEFT JOIN copies USING (image_url))"
+
+
+def linked(c) -> DataFrame:
+    """Saved pages written from conversations and parsed, with copies named by the first two letters of documents; most
+    pictures have none, some several."""
+    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"(?:^|[ \n])([at][a-z]{0,3})"), F.lit(1))
+    shown = F.array_join(F.transform(words, lambda w: F.concat(F.lit('<img data-src="/'), w, F.lit('.png?size=1">'))), "")
+    post = F.concat(F.lit('<article data-content="p" data-author="'), F.coalesce("role", F.lit("")), F.lit('"><time datetime="d"></time>'), shown, F.lit("</article>"))
+    turns = c.conversations.select("conv_id", F.struct("turn", post.alias("post")).alias("p"))
+    pages = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("p")).alias("ps"))
+    html = F.array_join(F.transform("ps", lambda p: p["post"]), "\n")
+    found = threads.post_images(pages.select((F.col("conv_id") % 40).cast("string").alias("thread"), F.col("conv_id").cast("int").alias("page_no"), html.alias("html")), "https://h")
+    names = F.concat(F.lit("https://h/"), F.left(F.regexp_replace(F.lower("text"), "[^a-z]+", ""), F.lit(2)), F.lit(".png"))
+    return threads.link_manifest(found, c.documents.where("text is not null").select(names.alias("image_url"), F.sha2("text", 256).alias("sha256")))
+
+
+@query("c7_link_manifest", f"SELECT * FROM (WITH {LINKED} SELECT thread, page_no, place, image_index, image_url, sha256, status FROM linked)")
+def _(c):
+    return linked(c).select("thread", "page_no", "place", "image_index", "image_url", "sha256", "status")
+
+
+@query("a13_thread_manifest", f"SELECT * FROM (WITH {LINKED} SELECT thread, count(DISTINCT page_no) AS pages, count(*) FILTER (WHERE status = 'copied') AS copied, count(*) FILTER (WHERE status = 'missing') AS missing, count(DISTINCT sha256) AS unique_images FROM linked GROUP BY thread)")
+def _(c):
+    return threads.thread_manifest(linked(c))
+
+
+@query("c8_image_manifest", f"SELECT * FROM (WITH {LINKED} SELECT sha256, arg_min(thread, (thread, page_no, place, image_index)) AS first_thread, arg_min(page_no, (thread, page_no, place, image_index)) AS first_page, arg_min(image_url, (thread, page_no, place, image_index)) AS first_image_url, count(*) AS links FROM linked WHERE status = 'copied' GROUP BY sha256)")
+def _(c):
+    return threads.image_manifest(linked(c))
+
+
+@query("j13_text_exports", r"""SELECT * FROM (WITH t AS (SELECT p_partkey AS id, p_name || CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN ': ' || lower(p_type) WHEN 2 THEN '?' ELSE ' ' || p_brand END AS title FROM part),
+    e AS (SELECT CASE s_suppkey % 2 WHEN 0 THEN upper(n) ELSE replace(n, ' ', '_') END AS name, 'export/' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0') AS path FROM (SELECT s_suppkey, p_name || CASE s_suppkey % 3 WHEN 0 THEN '' WHEN 1 THEN '_ ' || lower(p_type) ELSE '_' END AS n FROM supplier JOIN part ON p_partkey = s_suppkey)
+          UNION ALL SELECT p_name || '_', 'export/own' FROM part WHERE p_partkey % 10 = 2)
+    SELECT t.id, coalesce(x.path, y.path) AS path FROM t
+    LEFT JOIN (SELECT name, min(path) AS path FROM e GROUP BY name) x ON x.name = regexp_replace(t.title, '[:?#]', '_', 'g').replace('Brand_', 'Brand#')
+    LEFT JOIN (SELECT trim(regexp_replace(regexp_replace(lower(name), '[_-]+', ' ', 'g'), '\s+', ' ', 'g')) AS k, min(path) AS path FROM e GROUP BY k) y ON y.k = trim(regexp_replace(regexp_replace(lower(t.title), '[_-]+', ' ', 'g'), '\s+', ' ', 'g')))""")
+def _(c):
+    """Titles of which some are the exported name but for characters that files cannot have, some but for case and
+    underscores, and some nobody exported."""
+    titles = c.part.selectExpr("p_partkey AS id", "p_name || CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN ': ' || lower(p_type) WHEN 2 THEN '?' ELSE ' ' || p_brand END AS title")
+    named = c.supplier.join(c.part, F.col("p_partkey") == F.col("s_suppkey")).selectExpr("s_suppkey", "p_name || CASE s_suppkey % 3 WHEN 0 THEN '' WHEN 1 THEN '_ ' || lower(p_type) ELSE '_' END AS n")
+    exports = named.selectExpr("CASE s_suppkey % 2 WHEN 0 THEN upper(n) ELSE replace(n, ' ', '_') END AS name", "'export/' || lpad(s_suppkey, 9, '0') AS path")
+    exports = exports.union(c.part.where("p_partkey % 10 = 2").selectExpr("p_name || '_'", "'export/own'"))
+    return threads.text_exports(titles, exports).select("id", "path")
+
+
+@query("j17_keyword_variants", "SELECT DISTINCT keyword FROM (SELECT unnest([b, replace(b, '-', ' '), replace(b, ' ', '-')]) AS keyword FROM (SELECT trim(regexp_replace(lower(name), '\\s*\\([^)]*\\)', '', 'g')) AS b FROM (SELECT p_name || ' (' || p_type || ')' AS name FROM part UNION ALL SELECT p_brand || '-' || p_type FROM part UNION ALL SELECT '(' || p_name || ')' FROM part))) WHERE keyword <> ''")
+def _(c):
+    names = c.part.selectExpr("explode(array(p_name || ' (' || p_type || ')', p_brand || '-' || p_type, '(' || p_name || ')')) AS name")
+    return matching.keyword_variants(names)
+
+
+HITS = "(SELECT *, regexp_matches(title, '\\b(cold|dark)\\b') AS m, regexp_matches(title, '\\b(widget|bolt)\\b') AS r, regexp_matches(title, '\\b(brass|steel)\\b') AS s, id % 7 = 0 AS f FROM (SELECT p_partkey AS id, replace(lower(p_name), '_', ' ') AS title FROM part))"
+
+
+@query("t5_selected_threads", f"SELECT id AS thread_id, title, CAST(2 * f::INT + 3 * m::INT + 2 * r::INT + 2 * (s AND (f OR m))::INT AS INT) AS score FROM {HITS} WHERE m OR r OR (s AND (f OR m))")
+def _(c):
+    manifest = c.part.select(F.col("p_partkey").alias("thread_id"), F.lower("p_name").alias("title"), F.col("p_partkey").alias("position"))
+    return jobs.select_threads(manifest, ["cold", "dark"], ["widget", "bolt"], ["brass", "steel"], F.col("position") % 7 == 0).select("thread_id", "title", "score")
+
+
+# file rules
+
+PATHS = r"""SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'Ana_' || upper(lang) || '/' WHEN 1 THEN 'x/Forum pics/' WHEN 2 THEN 'AUCTION-' || source || '/' WHEN 3 THEN 'x\clips/' WHEN 4 THEN 'Ｆｏｒｕｍ/' ELSE source || '/' END
+       || CASE doc_id % 5 WHEN 0 THEN 'wing_map/' WHEN 1 THEN 'Port-Side/' WHEN 2 THEN 'ｗｉｎｇ/' ELSE '' END AS dir,
+       CASE doc_id % 6 WHEN 0 THEN lpad(CAST(doc_id AS STRING), 24, 'a') || '-1' WHEN 1 THEN lpad(CAST(doc_id AS STRING), 9, '1') || '_123456789_123456789_n' ELSE 'photo ' || CAST(doc_id AS STRING) END || '.jpg' AS filename FROM {documents}"""
+WORDS = r"lower(translate(replace(replace(dir || filename, 'Ｆｏｒｕｍ', 'Forum'), 'ｗｉｎｇ', 'wing'), '_-', '  '))"
+PLATFORM = f"CASE WHEN doc_id % 7 = 0 AND dir LIKE 'Ana_EN/%' THEN 'personal_archive' WHEN {WORDS} LIKE '%forum%' THEN 'forum' WHEN {WORDS} LIKE '%auction%' THEN 'auction' WHEN {WORDS} LIKE '%clips%' THEN 'video' WHEN doc_id % 6 = 1 THEN 'social' ELSE 'unknown' END"
+
+
+def filed(c) -> DataFrame:
+    """Paths with full-width letters, other separators, and names as networks and hashes give them."""
+    paths = c.spark.sql(PATHS.replace("\\", "\\\\"), documents=c.documents).withColumn("rel_path", F.concat("dir", "filename"))
+    social = t.social_export(F.col("filename"))
+    known = [(("forum",), rules.Source("forum", "Forum", "", "high")), (("auction",), rules.Source("auction", "Auctions", "", "medium")), (("clips",), rules.Source("video", "Clips", "", "low")), (social, rules.Source("social", "Feed", "", "low"))]
+    return rules.infer_source(paths, {"anaen": "Ana En"}, known)
+
+
+@query("r2_inferred_sources", f"SELECT doc_id, p AS source_platform, CASE p WHEN 'personal_archive' THEN 'anaen' WHEN 'forum' THEN 'Forum' WHEN 'auction' THEN 'Auctions' WHEN 'video' THEN 'Clips' WHEN 'social' THEN 'Feed' ELSE '' END AS source_collection, CASE p WHEN 'personal_archive' THEN 'Ana En' ELSE '' END AS source_creator, CASE WHEN p IN ('personal_archive', 'forum') THEN 'high' WHEN p = 'auction' THEN 'medium' ELSE 'low' END AS source_confidence FROM (SELECT doc_id, {PLATFORM} AS p FROM ({PATHS.format(documents='documents')}))")
+def _(c):
+    return filed(c).select("doc_id", "source_platform", "source_collection", "source_creator", "source_confidence")
+
+
+@query("r3_r4_subjects_and_kinds", f"SELECT doc_id, CASE WHEN w LIKE '%wing%' THEN 'Wing' WHEN w LIKE '%port side%' THEN 'Port' ELSE 'Whole' END AS subject, CASE WHEN w LIKE '%map%' THEN 'map_or_markup' WHEN p = 'auction' THEN 'auction_photo' WHEN p = 'forum' THEN 'forum_capture' WHEN p = 'video' THEN 'video_screencap' WHEN p = 'social' THEN 'social_media_image' WHEN w LIKE '%wing%' THEN 'detail' ELSE 'reference_image' END AS content_kind FROM (SELECT doc_id, {WORDS} AS w, {PLATFORM} AS p FROM ({PATHS.format(documents='documents')}))")
+def _(c):
+    path = F.col("rel_path")
+    return filed(c).select("doc_id", rules.infer_subject(path, [("wing", "Wing"), ("port side", "Port")], F.lit("Whole")).alias("subject"), rules.content_kind(F.col("source_platform"), path, [("wing", "detail")]).alias("content_kind"))
+
+
+@query("f17_file_names", f"SELECT doc_id, doc_id % 6 = 0 AS hash, doc_id % 6 = 1 AS social, CASE WHEN doc_id % 6 = 0 THEN 0 ELSE 2 END + CASE WHEN doc_id % 6 > 1 THEN 1 ELSE 0 END + CASE WHEN length(filename) > 16 THEN 1 ELSE 0 END AS score, CASE WHEN doc_id % 6 = 0 THEN 'Set - album' ELSE 'Set - album - ' || replace(replace(filename, '.jpg', ''), '_', ' ') END AS suggested_title FROM ({PATHS.format(documents='documents')})")
+def _(c):
+    name = F.col("filename")
+    detail = F.when(~t.hash_like(name), t.humanized(t.stem(name)))
+    return filed(c).select("doc_id", t.hash_like(name).alias("hash"), t.social_export(name).alias("social"), t.file_score(name, ("Photo",)).alias("score"), files.suggested_title(F.lit("Set"), F.lit("album"), detail).alias("suggested_title"))
+
+
+# geometry and decks
+
+OVERLAID = f"""{DECK}, pics AS (SELECT slide, id AS idx, media_name, x, y, y / 10 AS cx, y / 10 AS cy, y * y AS area, flag = 'A' AS crop_any, CASE WHEN flag = 'A' THEN 0.1 ELSE 0 END AS crop_l, CASE WHEN flag = 'A' THEN 0.05 ELSE 0 END AS crop_t FROM deck WHERE line = 1 AND slide % 4 > 0),
+    shapes AS (SELECT slide, id AS label_id, CASE WHEN id % 100 = 2 THEN 'Plate ' || CAST(slide AS VARCHAR) ELSE 'part ' || media_name END AS label_text, id % 100 = 2 AS noted, tx AS x, y, 2.0 AS cx, 2.0 AS cy, flag FROM deck WHERE line > 1),
+    lay AS (SELECT * FROM (SELECT a.*, p.media_name AS assigned_media, p.x AS px, p.y AS py, p.cx AS pcx, p.cy AS pcy, p.crop_l, p.crop_t, row_number() OVER (PARTITION BY a.label_id ORDER BY sqrt(power(greatest(p.x - (a.x + 1), 0, a.x + 1 - (p.x + p.cx)), 2) + power(greatest(p.y - (a.y + 1), 0, a.y + 1 - (p.y + p.cy)), 2)), p.area DESC, p.idx) AS r FROM shapes a LEFT JOIN pics p ON p.slide = a.slide WHERE NOT noted) WHERE r = 1),
+    base AS (SELECT slide, media_name AS base_media FROM (SELECT *, row_number() OVER (PARTITION BY slide ORDER BY area DESC, idx) AS r FROM (SELECT *, row_number() OVER (PARTITION BY slide, media_name ORDER BY crop_any, area DESC, idx) AS k FROM pics) WHERE k = 1) WHERE r = 1),
+    many AS (SELECT slide, count(DISTINCT media_name) AS n FROM pics GROUP BY slide), called AS (SELECT slide, arg_min(label_text, label_id) AS slide_title FROM shapes WHERE noted GROUP BY slide)"""
+
+
+@query("c10_overlay_labels", f"""SELECT * FROM (WITH {OVERLAID} SELECT l.slide, l.label_id, slide_title, label_text, CASE flag WHEN 'A' THEN 'identified_in_this_image' WHEN 'N' THEN 'identified_elsewhere' ELSE 'other_or_unstyled' END AS label_status, assigned_media,
+    CASE WHEN assigned_media IN ('m1', 'm2') THEN 'file ' || assigned_media END AS original_name,
+    CASE WHEN assigned_media IS NULL THEN 'unmapped' WHEN assigned_media IN ('m1', 'm2') THEN 'high_exact_reused_image' WHEN assigned_media = base_media THEN 'medium_base_image_only' WHEN n = 1 THEN 'medium_same_slide_reuse_only' ELSE 'low_multi_media_slide' END AS mapping_quality,
+    round((x + 1 - px) / pcx, 6) + 0 AS in_x, round((y + 1 - py) / pcy, 6) + 0 AS in_y, round(crop_l + (x + 1 - px) / pcx * (1 - crop_l), 6) + 0 AS at_x, round(crop_t + (y + 1 - py) / pcy * (1 - crop_t), 6) + 0 AS at_y, round((x + 1) / 100, 6) AS slide_x
+    FROM lay l LEFT JOIN base USING (slide) LEFT JOIN many USING (slide) LEFT JOIN called USING (slide))""")
+def _(c):
+    """Slides with notes of date and source, which are no labels, and slides without pictures."""
+    lines = c.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_tax").alias("tax"), F.min("l_discount").alias("disc"), F.min("l_quantity").alias("y"), F.min("l_partkey").alias("part"), F.min("l_returnflag").alias("flag"))
+    rows = lines.selectExpr("*", "CAST(floor(l_orderkey / 100) AS BIGINT) AS slide", "l_orderkey * 10 + l_linenumber AS idx", "'m' || (part % 7) AS media_name")
+    crop = {f"crop_{s}": g.crop_fraction(F.when(F.col("flag") == "A", v)) for s, v in (("l", "10000"), ("t", "5000"), ("r", "x"), ("b", "0"))}
+    pictures = rows.where("l_linenumber = 1 AND slide % 4 > 0").selectExpr("slide", "idx", "media_name", "disc * 100 AS x", "y", "y / 10 AS cx", "y / 10 AS cy", "y * y AS area", "flag = 'A' AS crop_any", "flag").withColumns(crop).drop("flag")
+    text = F.when(F.col("idx") % 100 == 2, F.concat(F.lit("Plate "), F.col("slide").cast("string"), F.lit(" Date: 1976\nSource: archive"))).otherwise(F.concat(F.lit("part "), "media_name"))
+    color = F.when(F.col("flag") == "A", "00ff00").when(F.col("flag") == "N", "FFFF00")
+    shapes = rows.where("l_linenumber > 1").select("slide", "idx", text.alias("text"), color.alias("color"), (F.col("tax") * 100).alias("x"), "y", F.lit(2.0).alias("cx"), F.lit(2.0).alias("cy"))
+    known = pictures.select("media_name", F.concat(F.lit("file "), "media_name").alias("original_name")).where("media_name in ('m1', 'm2')").distinct()
+    out = slides.overlay_labels(shapes, pictures, known, (100, 100))
+    places = {"in_x": "x_norm_in_assigned", "in_y": "y_norm_in_assigned", "at_x": "projected_x", "at_y": "projected_y", "slide_x": "slide_x_norm"}
+    return out.select("slide", "label_id", "slide_title", "label_text", "label_status", "assigned_media", "original_name", "mapping_quality", *[F.round(v, 6).alias(k) for k, v in places.items()])
+
+
+@query("g7_camera_poses", "SELECT event_id, round((w + x + y + z) / 2, 6) AS qw, round((x - w - y * 1 + z * 1) / 2, 6) AS qx, round((y - w - z + x) / 2, 6) AS qy, round((z - w - x + y) / 2, 6) AS qz, round(3 * value - ((1 - 2 * (y * y + z * z)) * a + 2 * (x * y - w * z) * b + 2 * (x * z + w * y) * c), 6) AS tx FROM (SELECT event_id, value, cos(value / 50) AS w, sin(value / 50) * 0.6 AS x, sin(value / 50) * 0.0 AS y, sin(value / 50) * 0.8 AS z, 2.0 AS a, 3.0 AS b, 1.0 AS c FROM events)")
+def _(c):
+    """The world is turned by (x, y, z) -> (z, x, y), scaled by 3 and moved by (1, 2, 3)."""
+    angle = F.col("value") / 50
+    poses = c.events.select("event_id", F.cos(angle).alias("qw"), (F.sin(angle) * 0.6).alias("qx"), (F.sin(angle) * 0.0).alias("qy"), (F.sin(angle) * 0.8).alias("qz"), F.col("value").alias("tx"), F.lit(0.0).alias("ty"), F.lit(0.0).alias("tz"))
+    return g.camera_update(poses, 3.0, (0.5, 0.5, 0.5, 0.5), (1.0, 2.0, 3.0)).select("event_id", *[F.round(k, 6).alias(k) for k in ("qw", "qx", "qy", "qz", "tx")])
