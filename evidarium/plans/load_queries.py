@@ -314,3 +314,96 @@ def _(c):
     angle = F.col("value") / 50
     poses = c.events.select("event_id", F.cos(angle).alias("qw"), (F.sin(angle) * 0.6).alias("qx"), (F.sin(angle) * 0.0).alias("qy"), (F.sin(angle) * 0.8).alias("qz"), F.col("value").alias("tx"), F.lit(0.0).alias("ty"), F.lit(0.0).alias("tz"))
     return g.camera_update(poses, 3.0, (0.5, 0.5, 0.5, 0.5), (1.0, 2.0, 3.0)).select("event_id", *[F.round(k, 6).alias(k) for k in ("qw", "qx", "qy", "qz", "tx")])
+
+
+# a deck load: documents are the timeline's files, parts the kit deck's media, labelled documents what the catalog holds
+
+DECK_TABLES = {
+    "images": "SELECT doc_id AS id, {sha} AS sha256, CASE doc_id % 3 WHEN 0 THEN lang || ' ' || CAST(doc_id AS STRING) WHEN 1 THEN ' ' END AS title, CAST(NULL AS STRING) AS caption, 'I' || CAST(doc_id AS STRING) AS image_code, 'x=' || CAST(doc_id % 5 AS STRING) || CASE WHEN doc_id % 5 < 2 THEN chr(10) || 'original_media_path=k/' || CAST(doc_id % 40 AS STRING) ELSE '' END AS notes, CAST(NULL AS BIGINT) AS source_id FROM {documents} JOIN (SELECT DISTINCT doc_id AS label_of FROM {labels}) l ON doc_id = label_of",
+    "tags": "SELECT d.doc_id AS image_id, d.lang AS tag FROM {documents} d JOIN (SELECT DISTINCT doc_id FROM {labels}) l ON d.doc_id = l.doc_id",
+    "regions": "SELECT doc_id * 10 + 1 AS id, doc_id AS image_id, 'point' AS region_type, CAST(0.15 AS DOUBLE) AS x_norm, CAST(0.75 AS DOUBLE) AS y_norm, 'part ' || CAST(doc_id % 4 AS STRING) AS label, CAST(NULL AS STRING) AS notes, CASE doc_id % 6 WHEN 0 THEN chr(123) || '\"import_source\":\"deck\"' || chr(125) WHEN 1 THEN chr(123) || '\"label_status\":\"other\"' || chr(125) ELSE chr(123) || '\"label_status\":\"s' || CAST(doc_id % 4 AS STRING) || '\"' || chr(125) END AS properties_json FROM {labels} WHERE quality = 1",
+    "links": "SELECT doc_id AS image_id FROM {documents} WHERE lang = 'de'",
+    "timeline": "SELECT 't' || CAST(doc_id AS STRING) AS file, {sha} AS sha256 FROM {documents} WHERE lang <> 'en' OR n_chars > 1000",
+    "manifest": "SELECT 't' || CAST(doc_id AS STRING) AS file, 's' || CAST(doc_id % 9 AS STRING) AS nearest_slide_anchor, source AS likely_program, CASE doc_id % 3 WHEN 1 THEN 'Scene ' || lang WHEN 2 THEN 'nan' END AS likely_model_or_scene, CASE WHEN doc_id % 2 = 0 THEN ' Subject ' || source END AS visible_subject, CAST(1970 + doc_id % 9 AS STRING) AS likely_date_window, CASE doc_id % 4 WHEN 0 THEN 'high' ELSE '-' END AS confidence, CASE doc_id % 10 WHEN 7 THEN 'Malformed file' WHEN 3 THEN 'a note' END AS notes FROM {documents}",
+    "media": "SELECT 'm' || CAST(p_partkey AS STRING) AS kit_media, coalesce(h, {part_sha}) AS sha256, 'k/' || CAST(p_partkey % 40 AS STRING) AS path FROM {part} LEFT JOIN (SELECT doc_id, {sha} AS h FROM {documents} WHERE doc_id % 7 = 0) d ON doc_id = p_partkey",
+    "crosswalk": "SELECT CASE WHEN p_size > 1 THEN 'm' || CAST(p_partkey AS STRING) END AS kit_media, CASE WHEN p_partkey % 3 = 0 THEN 't' || CAST(p_partkey AS STRING) END AS timeline_media, CASE WHEN p_size % 2 = 0 THEN p_type END AS timeline_subject, CASE p_size % 5 WHEN 0 THEN 'Deck ' || p_brand WHEN 1 THEN 'none' END AS timeline_scene, CAST(p_size % 4 AS STRING) AS base_slide_count, CAST(p_size % 7 AS STRING) AS label_total FROM {part}",
+    "overlays": "SELECT ' part ' || CAST(l_partkey % 4 AS STRING) AS label_text, 's' || CAST(l_partkey % 4 AS STRING) AS label_status, CASE l_linenumber WHEN 1 THEN 't' || CAST(l_partkey AS STRING) WHEN 2 THEN 'nan' END AS assigned_timeline_media, CASE WHEN l_linenumber IN (2, 5) THEN 't' || CAST(l_partkey AS STRING) END AS base_timeline_media, CASE WHEN l_linenumber IN (1, 3, 5) THEN 'm' || CAST(l_partkey AS STRING) END AS assigned_media, CASE WHEN l_linenumber = 4 THEN 'm' || CAST(l_partkey AS STRING) END AS base_media, CASE WHEN l_suppkey % 4 = 0 THEN 'n/a' ELSE '0.' || CAST(l_suppkey % 10 AS STRING) || '25' END AS projected_x, '0.5' AS projected_y, CASE WHEN l_suppkey % 6 = 5 THEN 'N/A' ELSE '0.' || CAST(l_suppkey % 10 AS STRING) || '5' END AS x_norm_in_assigned, '0.75' AS y_norm_in_assigned FROM {lineitem}",
+}
+
+
+def deck_sql(sql: str) -> str:
+    """The load said once more, table by table; the lines of a note are lists there."""
+    names = {"documents": "documents", "labels": "labels", "part": "part", "lineitem": "lineitem", "sha": "sha256(text)", "part_sha": "sha256(p_name)"}
+    given = ", ".join(f"g_{k} AS ({v.format(**names)})" for k, v in DECK_TABLES.items())
+    slug = "replace(lower(trim({0})), ' ', '-')".format
+    fill = "CASE WHEN trim({0}) <> '' THEN trim({0}) ELSE {1} END".format
+    firsts = "arg_min(title, file) FILTER (title IS NOT NULL) AS title, arg_min(caption, file) FILTER (caption IS NOT NULL) AS caption, flatten(list(lines)) AS lines, flatten(list(tags)) AS tags"
+    merged = """SELECT i.id, i.sha256, {title} AS title, {caption} AS caption, i.image_code, i.lines || coalesce(c.lines, []) AS lines, CASE WHEN c.{key} IS NULL THEN i.source_id ELSE coalesce(i.source_id, {source}) END AS source_id
+        FROM {before} i LEFT JOIN {found} c ON c.{key} = i.{key}{first}""".format
+    added = """SELECT (SELECT max(id) FROM {before}) + row_number() OVER (ORDER BY sha256) AS id, sha256, title, caption, 'PPTXIMG-' || upper(left(sha256, 8)) AS image_code, lines, {source} AS source_id FROM {found} WHERE sha256 NOT IN (SELECT sha256 FROM {before})""".format
+    texts = {"title": fill("i.title", "c.title"), "caption": fill("i.caption", "c.caption")}
+    only_first = " AND i.id = (SELECT min(x.id) FROM {0} x WHERE x.sha256 = i.sha256)".format
+    return f"""SELECT * FROM (WITH {given},
+    i0 AS (SELECT id, sha256, title, caption, image_code, string_split(notes, chr(10)) AS lines, source_id FROM g_images),
+    m AS (SELECT t.file, t.sha256, coalesce(nullif(likely_model_or_scene, 'nan'), trim(visible_subject), t.file) AS title, trim(visible_subject) AS caption,
+        list_filter(['nearest_slide_anchor=' || nearest_slide_anchor, 'likely_program=' || likely_program, 'likely_model_or_scene=' || nullif(likely_model_or_scene, 'nan'), 'likely_date_window=' || likely_date_window, 'confidence=' || nullif(confidence, '-'), notes], lambda x: x IS NOT NULL) AS lines,
+        list_filter(['pptx-extract', 'timeline-deck', {slug("likely_program")}, {slug("nullif(likely_model_or_scene, 'nan')")}, nullif(confidence, '-')], lambda x: x IS NOT NULL) AS tags
+        FROM g_timeline t JOIN g_manifest USING (file) WHERE coalesce(notes, '') <> 'Malformed file'),
+    c1 AS (SELECT sha256, {firsts} FROM m GROUP BY sha256),
+    i1 AS ({merged(key="sha256", before="i0", found="c1", source=100, first=only_first("i0"), **texts)} UNION ALL {added(before="i0", found="c1", source=100)}),
+    f1 AS (SELECT sha256, min(id) AS image_id FROM i1 GROUP BY sha256), by_file AS (SELECT file, image_id FROM m JOIN f1 USING (sha256)),
+    k AS (SELECT w.kit_media, g.path, g.sha256, b.image_id AS linked, w.kit_media AS file, coalesce(nullif(timeline_scene, 'none'), timeline_subject, w.kit_media) AS title, timeline_subject AS caption,
+        list_filter(['crosswalk_timeline_media=' || coalesce(timeline_media, 'none'), 'base_slide_count=' || base_slide_count, 'label_total=' || label_total, timeline_subject, nullif(timeline_scene, 'none'), CASE WHEN b.image_id IS NOT NULL THEN 'original_media_path=' || g.path END], lambda x: x IS NOT NULL) AS lines,
+        list_filter(['pptx-extract', 'kit-deck', {slug("nullif(timeline_scene, 'none')")}, {slug("timeline_subject")}], lambda x: x IS NOT NULL) AS tags
+        FROM g_crosswalk w JOIN g_media g USING (kit_media) LEFT JOIN by_file b ON b.file = w.timeline_media),
+    c2 AS (SELECT linked AS id, {firsts} FROM k WHERE linked IS NOT NULL GROUP BY linked),
+    i2 AS ({merged(key="id", before="i1", found="c2", source=100, first="", **texts)}),
+    c3 AS (SELECT sha256, {firsts} FROM k WHERE linked IS NULL GROUP BY sha256),
+    i3 AS ({merged(key="sha256", before="i2", found="c3", source=101, first=only_first("i2"), **texts)} UNION ALL {added(before="i2", found="c3", source=101)}),
+    doubles AS (SELECT DISTINCT e.id, k.linked AS survivor FROM k JOIN (SELECT id, list_filter(lines, lambda x: x LIKE 'original_media_path=%')[-1] AS line FROM i1) e ON e.line = 'original_media_path=' || k.path WHERE k.linked <> e.id),
+    gone AS (SELECT DISTINCT id FROM doubles WHERE id NOT IN (SELECT image_id FROM g_regions) AND id NOT IN (SELECT image_id FROM g_links) AND id NOT IN (SELECT image_id FROM by_file)),
+    i4 AS (SELECT i.* REPLACE (i.lines || coalesce(x.more, []) AS lines) FROM i3 i LEFT JOIN (SELECT survivor, flatten(list(lines)) AS more FROM doubles JOIN i3 USING (id) GROUP BY survivor) x ON x.survivor = i.id WHERE i.id NOT IN (SELECT id FROM gone)),
+    said AS (SELECT image_id, tag FROM g_tags UNION SELECT f.image_id, unnest(c.tags) FROM c1 c JOIN f1 f USING (sha256) UNION SELECT id, unnest(tags) FROM c2 UNION SELECT (SELECT min(i.id) FROM i3 i WHERE i.sha256 = c.sha256), unnest(c.tags) FROM c3 c),
+    tagged AS (SELECT image_id, tag FROM said UNION SELECT survivor, tag FROM said JOIN doubles ON id = image_id),
+    files AS (SELECT 't:' || file AS medium, image_id FROM by_file UNION SELECT 'k:' || kit_media, coalesce(linked, own) FROM k LEFT JOIN (SELECT sha256, min(id) AS own FROM i4 GROUP BY sha256) USING (sha256)),
+    medium AS (SELECT medium, min(image_id) AS image_id FROM files WHERE image_id IS NOT NULL GROUP BY medium),
+    laid AS (SELECT coalesce(a.image_id, b.image_id) AS image_id, trim(label_text) AS label, label_status AS status, coalesce(CASE WHEN a.image_id IS NOT NULL THEN TRY_CAST(projected_x AS DOUBLE) END, TRY_CAST(x_norm_in_assigned AS DOUBLE)) AS x, CASE WHEN a.image_id IS NOT NULL THEN 0.5 ELSE 0.75 END AS y
+        FROM g_overlays LEFT JOIN medium a ON a.medium = 't:' || coalesce(nullif(assigned_timeline_media, 'nan'), base_timeline_media) LEFT JOIN medium b ON b.medium = 'k:' || coalesce(assigned_media, base_media)),
+    stay AS (SELECT id, image_id, label, coalesce(json_extract_string(properties_json, '$.label_status'), '') AS status, x_norm AS x, y_norm AS y FROM g_regions WHERE coalesce(json_extract_string(properties_json, '$.import_source'), '') <> 'deck'),
+    fresh AS (SELECT image_id, label, status, x, y FROM laid WHERE image_id IS NOT NULL AND x IS NOT NULL EXCEPT SELECT image_id, label, status, x, y FROM stay)
+    {sql})"""
+
+
+def deck_tables(c):
+    names = {"sha": "sha2(text, 256)", "part_sha": "sha2(p_name, 256)"} | {k: "{" + k + "}" for k in ("documents", "labels", "part", "lineitem")}
+    base = {k: getattr(c, k) for k in ("documents", "labels", "part", "lineitem")}
+    made = {}
+    for name, sql in DECK_TABLES.items():
+        text = sql.format(**names)
+        made[name] = c.spark.sql(text, **{k: v for k, v in base.items() if "{" + k + "}" in text})
+    return made
+
+
+def deck_loaded(c) -> loads.Deck:
+    return loads.deck_load(**deck_tables(c), sources=(100, 101), import_source="deck")
+
+
+@query("m17_deck_images", deck_sql("SELECT id, sha256, trim(title) AS title, caption, image_code, source_id, array_to_string(list_sort(list_distinct(lines)), '|') AS note_lines FROM i4"))
+def _(c):
+    lines = F.array_join(F.array_sort(F.array_distinct(F.split("notes", "\n"))), "|")
+    return deck_loaded(c).images.select("id", "sha256", F.trim("title").alias("title"), "caption", "image_code", "source_id", lines.alias("note_lines"))
+
+
+@query("m17_deck_tags", deck_sql("SELECT image_id, tag FROM tagged WHERE image_id NOT IN (SELECT id FROM gone)"))
+def _(c):
+    return deck_loaded(c).tags
+
+
+@query("m17_deck_regions", deck_sql("SELECT id, image_id, label, x, y FROM stay UNION ALL SELECT (SELECT max(id) FROM g_regions) + row_number() OVER (ORDER BY image_id, label, x, y), image_id, label, x, y FROM fresh"))
+def _(c):
+    return deck_loaded(c).regions.select("id", "image_id", "label", F.col("x_norm").alias("x"), F.col("y_norm").alias("y"))
+
+
+@query("m17_deck_counts", deck_sql("SELECT 'added' AS key, count(*) AS count FROM fresh UNION ALL SELECT 'repeated', (SELECT count(*) FROM laid WHERE image_id IS NOT NULL AND x IS NOT NULL) - count(*) FROM fresh UNION ALL SELECT 'unmapped', count(*) FROM laid WHERE image_id IS NULL OR x IS NULL"))
+def _(c):
+    return deck_loaded(c).counts

@@ -124,8 +124,8 @@ def deck_load(images: DataFrame, tags: DataFrame, regions: DataFrame, links: Dat
     timeline (file, sha256) with manifest (file, nearest_slide_anchor, likely_program, likely_model_or_scene,
     visible_subject, likely_date_window, confidence, notes): each content an image, malformed files left out. media
     (kit_media, sha256, path) with crosswalk (kit_media, timeline_media, timeline_subject, timeline_scene, base_slide_count,
-    label_total): what is known from the timeline enriches that image and takes up earlier images of the same path; the rest
-    are images of their own. overlays (label_text, label_status, the media that a label lies on, places): points on the
+    label_total): what is known from the timeline enriches that image and takes up earlier images of the same path, but for those that a timeline file has;
+    the rest are images of their own. overlays (label_text, label_status, the media that a label lies on, places): points on the
     timeline's image where there is one, else on the kit deck's; points of an earlier load (import_source in their
     properties) are replaced, and what another point repeats is left out. Each step starts from the tables that the step
     before has left in reliable storage.
@@ -154,7 +154,7 @@ def deck_load(images: DataFrame, tags: DataFrame, regions: DataFrame, links: Dat
     images = upsert(images, linked.select("id", "title", "caption", "notes", F.lit(sources[0]).cast("long").alias("source_id")), ["id"], mode="fill").drop("merge_status")
     images, tags = map(checkpointed, merge_images(checkpointed(images), checkpointed(tags), by_content(k.where("linked is null"))))
     doubles = k.where("linked is not null").join(earlier, "path").where("id <> linked").select("id", F.col("linked").alias("survivor")).distinct()
-    used = regions.select(F.col("image_id").alias("id")).union(links.select("image_id"))
+    used = regions.select(F.col("image_id").alias("id")).union(links.select("image_id")).union(by_file.select("image_id"))
     images, _, tags = absorb(images, doubles, used, tags)
     images, tags = checkpointed(images), checkpointed(tags)
 
