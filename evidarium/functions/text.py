@@ -217,7 +217,7 @@ def mark_confidence(mark: Column) -> Column:
 
 
 def thread_title(stored: Column, page: Column, url: Column) -> Column:
-    from_page = F.trim(F.regexp_extract(page, r"(?is)<title>(.*?)</title>", 1))
+    from_page = F.regexp_extract(page, r"(?is)<title>\s*(.*?)\s*</title>", 1)
     from_url = F.initcap(F.replace(F.regexp_extract(url, r"/threads/([^/.]+)", 1), F.lit("-"), F.lit(" ")))
     return first_filled(stored, from_page, from_url)
 

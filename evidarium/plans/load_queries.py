@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import geometry as g
 from ..functions import text as t
 from ..operators import matching, merge, rules
-from ..sources import files, slides, threads
+from ..sources import files, slides, tables, threads
+from ..sources.shared import new_path
 from . import jobs, loads
 from .queries import DECK, ORACLES, QUERIES, query, some_linked
 
@@ -407,3 +409,133 @@ def _(c):
 @query("m17_deck_counts", deck_sql("SELECT 'added' AS key, count(*) AS count FROM fresh UNION ALL SELECT 'repeated', (SELECT count(*) FROM laid WHERE image_id IS NOT NULL AND x IS NOT NULL) - count(*) FROM fresh UNION ALL SELECT 'unmapped', count(*) FROM laid WHERE image_id IS NULL OR x IS NULL"))
 def _(c):
     return deck_loaded(c).counts
+
+
+# small functions on values of every shape
+
+RAW = "SELECT l_orderkey * 10 + l_linenumber AS line, CAST(l_quantity AS INT) AS q, CASE l_partkey % 10 WHEN 0 THEN ' ' || CAST(l_suppkey AS STRING) || ' ' WHEN 1 THEN CAST(l_suppkey AS STRING) || '.75' WHEN 2 THEN '-' || CAST(l_suppkey + 1 AS STRING) || '.5' WHEN 3 THEN 'N/A' WHEN 4 THEN '  ' WHEN 5 THEN 'None' WHEN 6 THEN '99999999999' WHEN 7 THEN 'Yes' WHEN 8 THEN 'off ' END AS v FROM {lineitem}"
+NUMBER = "TRY_CAST(CASE WHEN lower(trim(v)) IN ('n/a', 'yes', 'off', 'none', '') THEN NULL ELSE trim(v) END AS DOUBLE)"
+
+
+def raw(c) -> DataFrame:
+    return c.spark.sql(RAW, lineitem=c.lineitem)
+
+
+@query("f_sheet_values", f"SELECT line, q, CASE WHEN regexp_full_match(trim(v), '[+-]?[0-9]+') THEN TRY_CAST(trim(v) AS INT) END AS whole, {NUMBER} AS real, TRY_CAST(trunc({NUMBER}) AS INT) AS cut, CASE WHEN trim(v) NOT ILIKE 'n/a' THEN {NUMBER} END AS maybe, CASE trim(lower(v)) WHEN 'yes' THEN 1 WHEN 'off' THEN 0 WHEN '1' THEN 1 WHEN '0' THEN 0 END AS flag, CASE WHEN trim(v) = '0' THEN 0 ELSE 1 END AS loose, CASE WHEN lower(trim(v)) NOT IN ('none', '') THEN trim(v) END AS cleaned, coalesce(CASE WHEN trim(v) <> '' THEN trim(v) END, CASE WHEN q % 2 = 0 THEN 'drive' WHEN q % 3 = 0 THEN 'url' ELSE 'other' END) AS kind, CASE WHEN q % 5 = 0 THEN 'confirmed' ELSE 'probable' END AS confidence FROM ({RAW.format(lineitem='lineitem')})")
+def _(c):
+    v, q = F.col("v"), F.col("q")
+    kind = t.storage_kind(v, F.when(q % 2 == 0, "d"), F.when(q % 3 == 0, "u"))
+    mark = t.mark_confidence(F.when(q % 5 == 0, " X").when(q % 5 == 1, "see"))
+    return raw(c).select("line", "q", t.to_int(v).alias("whole"), t.to_float(v).alias("real"), t.safe_int(v).alias("cut"), t.maybe_float(v).alias("maybe"), t.flag(v).alias("flag"), t.loose_flag(F.trim(v)).alias("loose"), t.clean(v).alias("cleaned"), kind.alias("kind"), mark.alias("confidence"))
+
+
+MORE = "chr(10) || 'slide_key=plate_1' || chr(10) || ' added=' || CAST(id % 3 AS STRING) || ' ' || chr(10) || chr(10) || 'slide_key=last-' || CAST(id % 4 AS STRING)"
+UNITED = "list_filter(list_transform(string_split(coalesce(notes, ''), chr(10)) || string_split(" + MORE + ", chr(10)), lambda x: trim(x)), lambda x: x <> '')"
+
+
+@query("f_notes", f"SELECT id, array_to_string(list_filter(ls, lambda x, i: list_position(ls, x) = i), chr(10)) AS united, 'last-' || CAST(id % 4 AS VARCHAR) AS slide_key, 'last ' || CAST(id % 4 AS VARCHAR) AS words, coalesce(scene, 'file ' || CAST(id AS VARCHAR)) AS title FROM (SELECT id, {UNITED} AS ls, CASE WHEN notes LIKE '%Scene%' THEN 'Scene ' || CAST(id % 5 AS VARCHAR) END AS scene FROM images)", "images")
+def _(c):
+    """Notes united with lines of which some are there already; the last line of a key counts."""
+    more = c.images.select("id", "notes", F.expr(MORE).alias("more"))
+    rows = more.select("id", t.note_union(F.col("notes"), F.col("more")).alias("united"), t.answer(t.note_value(F.col("notes"), "likely_model_or_scene")).alias("scene"))
+    key = t.note_value(F.col("united"), "slide_key")
+    return rows.select("id", "united", key.alias("slide_key"), t.humanized(key).alias("words"), loads.choose_title(F.col("scene"), F.lit("none"), F.concat(F.lit("file "), F.col("id").cast("string"))).alias("title"))
+
+
+@query("j18_images_at_paths", "SELECT p.p_partkey AS part_id, i.id FROM part p JOIN images i ON 'media/' || CASE i.id % 3 WHEN 0 THEN 'late' ELSE i.filename END = 'media/' || CASE p.p_size % 10 WHEN 0 THEN 'late' ELSE 'f' || CAST(p.p_size AS VARCHAR) || '.png' END WHERE i.id % 4 < 3", "images")
+def _(c):
+    """Notes of which some name a path twice, the last counting, and some none."""
+    first, late = F.concat(F.lit("\noriginal_media_path = media/"), "filename"), F.when(F.col("id") % 3 == 0, "\noriginal_media_path=media/late").otherwise("")
+    noted = c.images.select("id", F.when(F.col("id") % 4 < 3, F.concat(F.coalesce("notes", F.lit("")), first, late)).otherwise(F.col("notes")).alias("notes"))
+    wanted = c.part.selectExpr("p_partkey AS part_id", "'media/' || CASE p_size % 10 WHEN 0 THEN 'late' ELSE 'f' || p_size || '.png' END AS path")
+    return wanted.join(loads.at_path(noted), "path").select("part_id", "id")
+
+
+@query("f_urls_and_names", r"""SELECT id, CASE id % 3 WHEN 0 THEN CAST(id AS VARCHAR) END AS thread_id, CASE id % 5 WHEN 0 THEN 'https://h/a/' || id || '.PNG' WHEN 1 THEN 'https://x/' || id || '.jpg' WHEN 2 THEN 'https://h/' || id || '.webp' END AS image_url,
+    CASE id % 4 WHEN 0 THEN 'Stored' WHEN 1 THEN n ELSE array_to_string(list_transform(string_split(n, ' '), lambda w: upper(left(w, 1)) || substr(w, 2)), ' ') END AS title, n || '_ v' || (id % 7) || '_' AS file, CASE WHEN id % 3 < 2 THEN id END AS slide, n AS bare, 'alpha|' || n AS tags
+    FROM (SELECT p_partkey AS id, lower(p_name) AS n FROM part)""")
+def _(c):
+    n, k = F.lower("p_name"), F.col("p_partkey")
+    text = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in xs])
+    url = F.when(k % 3 == 0, text("https://b/forums/threads/", F.replace(n, F.lit(" "), F.lit("-")), ".", k, "/")).otherwise(text("https://b/forums/threads/", F.replace(n, F.lit(" "), F.lit("-"))))
+    src = F.when(k % 5 == 0, text("/a/", k, ".PNG?size=2")).when(k % 5 == 1, text("//x/", k, ".jpg#top")).when(k % 5 == 2, text(k, ".webp")).when(k % 5 == 3, "data:image/png;base64,.png").otherwise(text("/a/", k, ".svg"))
+    title = t.thread_title(F.when(k % 4 == 0, "Stored").otherwise(" "), F.when(k % 4 == 1, text("<html><TITLE>\n", n, " </title>")).otherwise(""), url)
+    slide = t.ordinal(F.when(k % 3 == 0, text("slide", k, ".xml")).when(k % 3 == 1, text("p-", k, "-2.9.xml")).otherwise("slide.xml9"))
+    return c.part.select(k.alias("id"), t.thread_id(url).alias("thread_id"), t.image_url(src, "https://h").alias("image_url"), title.alias("title"), t.safe_filename(text("  ", n, ":   v", k % 7, "?")).alias("file"), slide.cast("long").alias("slide"), t.without_date(text(" ", n, "\nDate: 1976\nSource: s")).alias("bare"), F.array_join(t.tag_list(text(" alpha,, ", n, " ,")), "|").alias("tags"))
+
+
+# files, blobs and manifests
+
+#: Documents as picture files: hidden ones, names that are hashes, and equal contents under several names.
+FILES = """SELECT doc_id, text, CASE doc_id % 3 WHEN 0 THEN 'a/' WHEN 1 THEN 'b/long/' ELSE '' END || name AS rel_path, name AS filename, n_chars AS size_bytes FROM (
+        SELECT *, CASE doc_id % 5 WHEN 0 THEN '.hidden ' WHEN 1 THEN 'wing_' WHEN 2 THEN repeat('c', 20) ELSE '' END || CAST(doc_id AS STRING) || '.png' AS name FROM {documents})"""
+FILES_SQL = f"""files AS (SELECT *, sha256(text) AS sha256, CASE WHEN doc_id % 5 = 2 THEN 0 ELSE 2 END + CASE WHEN doc_id % 5 = 1 THEN 1 ELSE 0 END + CASE WHEN length(filename) > 16 THEN 1 ELSE 0 END AS score FROM ({FILES.format(documents="documents")})),
+    best AS (SELECT sha256, rel_path AS canonical_rel_path FROM (SELECT *, row_number() OVER (PARTITION BY sha256 ORDER BY doc_id % 5 = 0, score DESC, length(rel_path), rel_path) AS r FROM files) WHERE r = 1)"""
+
+
+def pictures(c) -> DataFrame:
+    """Files with a PNG's or a GIF's header before the text, or none."""
+    rows = c.spark.sql(FILES, documents=c.documents)
+    big = lambda x: F.unhex(F.lpad(F.hex(x), 8, "0"))
+    small = lambda x: F.concat(F.unhex(F.lpad(F.hex(x % 256), 2, "0")), F.unhex(F.lpad(F.hex(F.floor(x / 256) % 256), 2, "0")))
+    width, height = F.col("size_bytes") % 60000, F.col("doc_id") % 1000
+    png = F.concat(F.unhex(F.lit("89504E470D0A1A0A0000000D49484452")), big(width), big(height))
+    gif = F.concat(F.unhex(F.lit("474946383961")), small(width), small(height))
+    head = F.when(F.col("doc_id") % 3 == 0, png).when(F.col("doc_id") % 3 == 1, gif).otherwise(F.unhex(F.lit("89504E47")))
+    return rows.select("doc_id", F.col("rel_path").alias("path"), "rel_path", "filename", F.lit(".png").alias("ext"), "size_bytes", F.concat(head, F.encode("text", "utf-8")).alias("content"))
+
+
+def inventoried(c) -> DataFrame:
+    rows = c.spark.sql(FILES, documents=c.documents)
+    found = rows.select("doc_id", "rel_path", "filename", "size_bytes", F.lit(None).cast("int").alias("width"), F.lit(None).cast("int").alias("height"), F.encode("text", "utf-8").alias("content"))
+    return files.inventory(found, terms=("Wing",))
+
+
+@query("c2_picture_sizes", "SELECT doc_id, CASE WHEN doc_id % 3 < 2 THEN CAST(n_chars % 60000 AS INT) END AS width, CASE WHEN doc_id % 3 < 2 THEN CAST(doc_id % 1000 AS INT) END AS height FROM documents")
+def _(c):
+    return files.with_sizes(pictures(c)).select("doc_id", "width", "height")
+
+
+@query("c3_file_inventory", f"SELECT * FROM (WITH {FILES_SQL} SELECT doc_id, sha256, doc_id % 5 = 0 AS is_hidden, count(*) OVER (PARTITION BY sha256) AS duplicate_count, canonical_rel_path, rel_path = canonical_rel_path AS is_canonical FROM files JOIN best USING (sha256))")
+def _(c):
+    return inventoried(c).select("doc_id", "sha256", "is_hidden", "duplicate_count", "canonical_rel_path", "is_canonical")
+
+
+@query("c3_load_ready_files", f"SELECT * FROM (WITH {FILES_SQL} SELECT sha256, rel_path, (SELECT count(*) FROM files x WHERE x.sha256 = f.sha256) AS duplicate_count, 'REF-' || upper(left(sha256, 16)) AS suggested_image_code, 'Corpus - web' || CASE WHEN doc_id % 5 = 2 THEN '' ELSE ' - ' || replace(replace(filename, '.png', ''), '_', ' ') END AS suggested_title FROM files f JOIN best b USING (sha256) WHERE rel_path = canonical_rel_path)")
+def _(c):
+    return files.load_ready(inventoried(c), F.lit("Corpus"), F.lit("web")).select("sha256", "rel_path", "duplicate_count", "suggested_image_code", "suggested_title")
+
+
+@query("s10_manifest_round_trip", "SELECT doc_id, sha256(coalesce(text, 'none')) AS sha256, lang, CASE doc_id % 3 WHEN 0 THEN ' \"a\\b\", ' || source || chr(10) || '\"' WHEN 1 THEN '\\' ELSE chr(13) || 'x' || chr(13) || chr(10) END AS note FROM documents")
+def _(c):
+    """Whole texts, quotes, backslashes, line ends and blanks at the ends, written as CSV and read back."""
+    note = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(' "a\\b", '), "source", F.lit('\n"'))).when(F.col("doc_id") % 3 == 1, "\\").otherwise("\rx\r\n")
+    rows = c.documents.select("doc_id", "text", "lang", note.alias("note"))
+    path = new_path(c.spark, "manifest")
+    tables.write_manifest(rows, path, ["doc_id"])
+    return tables.read_manifest(c.spark, path, rows.schema).select("doc_id", F.sha2(F.coalesce("text", F.lit("none")), 256).alias("sha256"), "lang", "note")
+
+
+@query("s11_written_blobs", "SELECT DISTINCT sha256(text) AS sha256 FROM documents WHERE text IS NOT NULL AND sha256(text) NOT IN (SELECT sha256(text) FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND text IS NOT NULL)")
+def _(c):
+    """The contents of good documents are in the store already."""
+    content = c.documents.where("text is not null").select("doc_id", F.sha2("text", 256).alias("sha256"), F.encode("text", "utf-8").alias("content"))
+    held = content.join(c.labels.where("quality = 1"), "doc_id", "left_semi").select("sha256")
+    return tables.write_blobs(content, held, new_path(c.spark, "blobs"))
+
+
+@query("s12_orphaned_blobs", "SELECT DISTINCT sha256(text) AS sha256 FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents JOIN labels USING (doc_id))")
+def _(c):
+    named = c.images.join(c.labels, F.col("id") == F.col("doc_id"), "left_semi")
+    return tables.orphans(c.images.select("sha256").distinct(), named)
+
+
+@query("s12_released_files", "SELECT sha256 FROM images GROUP BY sha256 HAVING bool_and(id IN (SELECT doc_id FROM labels))", "images")
+def _(c):
+    """The images of labelled documents go, some named twice; a file stays while an image of equal content does."""
+    return tables.released(c.images, c.labels.select(F.col("doc_id").alias("id")).union(c.labels.select("doc_id")))
+
+
+@query("h2_conformed_rows", "SELECT id, CAST(size AS BIGINT) AS size, part_label, CAST(NULL AS DOUBLE) AS weight, CAST(part_number AS INT) AS part_number FROM parts", "parts")
+def _(c):
+    return tables.conform(c.parts, T.StructType([T.StructField("id", T.LongType()), T.StructField("size", T.LongType()), T.StructField("part_label", T.StringType()), T.StructField("weight", T.DoubleType()), T.StructField("part_number", T.IntegerType())]))

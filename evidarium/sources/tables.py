@@ -34,7 +34,9 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def write_manifest(df: DataFrame, path: str, order: list[Column | str], form: str = "csv") -> None:
-    df.orderBy(*order).write.mode("errorifexists").option("header", True).format(form).save(path)
+    """df in order, as CSV that read_manifest gives back as it was: quotes are doubled, and blanks at the ends stay."""
+    kept = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False} if form == "csv" else {}
+    df.orderBy(*order).write.mode("errorifexists").options(**kept).format(form).save(path)
 
 
 def read_manifest(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

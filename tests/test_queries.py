@@ -26,6 +26,10 @@ def test_all_have_sql():
     assert set(ORACLES) == set(QUERIES)
 
 
+#: Rows that show nothing by themselves; others of the same operator show every branch.
+EMPTY = {"q14_image_library_collapsed", "m19_link_history"}
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_same_rows(spark, sf, duck, name):
     df = QUERIES[name](spark, sf)
@@ -35,6 +39,7 @@ def test_same_rows(spark, sf, duck, name):
     got = sorted(repr(tuple(plain(r[c]) for c in sorted(columns))) for r in df.collect())
     want = sorted(repr(tuple(plain(r[columns.index(c)]) for c in sorted(columns))) for r in cur.fetchall())
     assert got == want
+    assert got or name in EMPTY
 
 
 def test_tables_exist(sf):
