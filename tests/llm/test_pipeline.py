@@ -1,4 +1,6 @@
+import hashlib
 import random
+import re
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -51,14 +53,56 @@ def test_each_filter_keeps_one_of_repeated_rows(spark, sf):
     assert rows_of(once) == sorted([rows[0], rows[3], rows[5], rows[8], rows[9]], key=repr)
 
 
+LOW = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
+
+
+def shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text.translate(LOW))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def windows(text, whole):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(LOW))
+    found = {n: {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} for n in range(1, 11)}
+    return ({tuple(words)} if 0 < len(words) < 10 else found[10]) if whole else set().union(*found.values())
+
+
+def expected(texts, benchmark):
+    """What the stages after the classifier keep, by looking at all pairs."""
+    once, seen = {}, set()
+    for i in sorted(texts):
+        text = re.sub(r"[\x20\x09-\x0D]+", " ", texts[i])
+        if text not in seen:
+            seen.add(text)
+            once[i] = texts[i]
+    sets, root = {i: shingles(t) for i, t in once.items()}, {i: i for i in once}
+
+    def top(i):
+        return i if root[i] == i else top(root[i])
+
+    for i in sets:
+        for j in sets:
+            if i < j and sets[i] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    held = set().union(*[windows(b, True) for b in benchmark])
+    return {i for i in once if top(i) == i and not held & windows(once[i], False)}
+
+
 def test_run_keeps_clean_documents_and_encodes_them(spark, sf):
-    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = {r["doc_id"]: r["text"] for r in table.collect()}
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     out = pipeline.run(spark, sf).collect()
     assert 0 < len(out) < len(docs)
+    good = {r["doc_id"]: r["text"] or "" for r in pipeline.good_quality(spark, table, sf).collect()}
+    benchmark = [r["text"] or "" for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    assert len(out) == len({r["doc_id"] for r in out}) and {r["doc_id"] for r in out} == expected(good, benchmark)
     t = Tokenizer.from_file(default_vocabulary())
-    for r in out[:40]:
-        assert np.frombuffer(r["ids"], "<u4").tolist() == t.encode(docs[r["doc_id"]], add_special_tokens=False).ids
+    for r in out:
+        ids = t.encode(docs[r["doc_id"]] or "", add_special_tokens=False).ids
+        assert np.frombuffer(r["ids"], "<u4").tolist() == ids and r["n_tokens"] == len(ids)
+        assert r["decoded_sha256"] == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
     assert np.mean([labels.get(r["doc_id"], 1) for r in out]) > 0.97
     assert rows_of(pipeline.run(spark, sf)) == sorted(map(tuple, out), key=repr)
 
