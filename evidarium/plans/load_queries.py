@@ -442,12 +442,13 @@ def _(c):
     return rows.select("id", "united", key.alias("slide_key"), t.humanized(key).alias("words"), loads.choose_title(F.col("scene"), F.lit("none"), F.concat(F.lit("file "), F.col("id").cast("string"))).alias("title"))
 
 
-@query("j18_images_at_paths", "SELECT p.p_partkey AS part_id, i.id FROM part p JOIN images i ON 'media/' || CASE i.id % 3 WHEN 0 THEN 'late' ELSE i.filename END = 'media/' || CASE p.p_size % 10 WHEN 0 THEN 'late' ELSE 'f' || CAST(p.p_size AS VARCHAR) || '.png' END WHERE i.id % 4 < 3", "images")
+@query("j18_images_at_paths", "SELECT p.p_partkey AS part_id, i.id FROM part p JOIN images i ON i.id = p.p_partkey AND (i.id % 3 = 0) = (p.p_size % 10 < 4) WHERE i.id % 4 < 3", "images")
 def _(c):
     """Notes of which some name a path twice, the last counting, and some none."""
-    first, late = F.concat(F.lit("\noriginal_media_path = media/"), "filename"), F.when(F.col("id") % 3 == 0, "\noriginal_media_path=media/late").otherwise("")
+    number = F.col("id").cast("string")
+    first, late = F.concat(F.lit("\noriginal_media_path = media/"), number), F.when(F.col("id") % 3 == 0, F.concat(F.lit("\noriginal_media_path=late/"), number)).otherwise("")
     noted = c.images.select("id", F.when(F.col("id") % 4 < 3, F.concat(F.coalesce("notes", F.lit("")), first, late)).otherwise(F.col("notes")).alias("notes"))
-    wanted = c.part.selectExpr("p_partkey AS part_id", "'media/' || CASE p_size % 10 WHEN 0 THEN 'late' ELSE 'f' || p_size || '.png' END AS path")
+    wanted = c.part.selectExpr("p_partkey AS part_id", "CASE WHEN p_size % 10 < 4 THEN 'late/' ELSE 'media/' END || p_partkey AS path")
     return wanted.join(loads.at_path(noted), "path").select("part_id", "id")
 
 
