@@ -32,11 +32,12 @@ def nearest_picture(labels: DataFrame, pictures: DataFrame) -> DataFrame:
 
 def fallback_match(df: DataFrame, keys: list[str], target: DataFrame, key: str, value: str) -> DataFrame:
     """df with matched: the value of the first of several keys that the target has, and matched_by, which. Of several values
-    of one key the smallest counts."""
-    found = []
+    of one key the smallest counts. Rows without a key are dealt by their other values, not all to one task."""
+    found, kinds = [], dict(df.dtypes)
     for i, k in enumerate(keys):
         side = target.groupBy(F.col(key).alias(f"_k{i}")).agg(F.min(value).alias(f"_v{i}"))
-        df = df.join(side, F.col(k) == F.col(f"_k{i}"), "left").drop(f"_k{i}")
+        dealt = F.coalesce(k, F.pmod(F.xxhash64(*df.columns), F.lit(100_000)).cast(kinds[k]))
+        df = df.join(side, (dealt == F.col(f"_k{i}")) & F.col(k).isNotNull(), "left").drop(f"_k{i}")
         found.append(f"_v{i}")
     by = F.coalesce(*[F.when(F.col(v).isNotNull(), F.lit(k)) for v, k in zip(found, keys)])
     return df.withColumns({"matched": F.coalesce(*found), "matched_by": by}).drop(*found)

@@ -266,3 +266,31 @@ def absorb(images: DataFrame, duplicates: DataFrame, used: DataFrame, tags: Data
         return kept, gone
     handed = tags.join(pairs.withColumnRenamed("id", "image_id"), "image_id").select(F.col("survivor").alias("image_id"), "tag")
     return kept, gone, tags.select("image_id", "tag").union(handed).distinct().join(gone.withColumnRenamed("id", "image_id"), "image_id", "left_anti")
+
+
+# What absorb does where a key says which duplicates go to which survivors, so that there is no row for each two of them.
+
+
+def absorbed_ids(duplicates: DataFrame, survivors: DataFrame, key: str, used: DataFrame) -> DataFrame:
+    """duplicates and survivors: key, id. The ids of duplicates that another image of their key takes up, but for used ones."""
+    ends = survivors.groupBy(key).agg(F.min("id").alias("_low"), F.max("id").alias("_high"))
+    return duplicates.join(ends, key).where("id <> _low or id <> _high").select("id").distinct().join(used.select("id"), "id", "left_anti")
+
+
+def absorbed_notes(images: DataFrame, duplicates: DataFrame, survivors: DataFrame, key: str) -> DataFrame:
+    """images, where survivors also have the lines of their duplicates' notes, in the order of absorb. The lines of a key are
+    put together once, and those of several keys once for all survivors that have the same ones."""
+    lines = images.join(duplicates, "id").select(key, "notes", F.posexplode(F.split("notes", "\n")).alias("_at", "_line")).withColumn("_line", F.trim("_line")).where("_line <> ''")
+    first = lines.groupBy(key, "_line").agg(F.min(F.struct("notes", "_at")).alias("_f"))
+    placed = numbered_within(first.select(key, "_line", "_f.*"), [], [F.asc("notes"), F.asc("_at")], "_no")
+    each = survivors.groupBy("id").agg(F.array_sort(F.collect_set(key)).alias("_keys"))
+    sets = each.select("_keys").distinct().withColumn(key, F.explode("_keys")).join(placed.select(key, "_no", "_line"), key)
+    once = sets.groupBy("_keys", "_line").agg(F.min("_no").alias("_no")).groupBy("_keys").agg(F.array_sort(F.collect_list(F.struct("_no", "_line"))).alias("_l"))
+    more = each.join(once.select("_keys", F.array_join(F.transform("_l", lambda x: x["_line"]), "\n").alias("_more")), "_keys").select("id", "_more")
+    return images.join(more, "id", "left").withColumn("notes", note_union(F.col("notes"), F.col("_more"))).select(*images.columns)
+
+
+def absorbed_tags(tags: DataFrame, duplicates: DataFrame, survivors: DataFrame, key: str) -> DataFrame:
+    """tags (image_id, tag), where survivors also have those of their duplicates."""
+    own = tags.join(duplicates.withColumnRenamed("id", "image_id"), "image_id").select(key, "tag").distinct()
+    return tags.select("image_id", "tag").union(survivors.join(own, key).select(F.col("id").alias("image_id"), "tag")).distinct()

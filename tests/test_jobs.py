@@ -135,6 +135,19 @@ def test_deck_load(spark):
     assert rows(again.images, *deck.images.columns) == rows(deck.images, *deck.images.columns) and rows(again.regions, "image_id", "label", "x_norm") == rows(deck.regions, "image_id", "label", "x_norm")
 
 
+def test_a_deck_table_is_worked_out_when_asked_for(spark):
+    frame = spark.createDataFrame
+    images = frame([(1, "aaaa", None, None, "I1", "original_media_path=k/m", None), (2, "bbbb", None, None, "I2", "original_media_path=k/m", None)], "id long, sha256 string, title string, caption string, image_code string, notes string, source_id long")
+    regions = frame([], "id long, image_id long, region_type string, x_norm double, y_norm double, label string, notes string, properties_json string")
+    timeline = frame([("t1", "aaaa")], "file string, sha256 string")
+    manifest = frame([], "file string, nearest_slide_anchor string, likely_program string, likely_model_or_scene string, visible_subject string, likely_date_window string, confidence string, notes string")
+    crosswalk = frame([("m", "t1", None, None, None, None)], "kit_media string, timeline_media string, timeline_subject string, timeline_scene string, base_slide_count string, label_total string")
+    fields = "label_text string, label_status string, assigned_timeline_media string, base_timeline_media string, assigned_media string, base_media string, projected_x string, projected_y string, x_norm_in_assigned string, y_norm_in_assigned string"
+    broken = frame([("a",) * 10], fields).withColumn("label_text", F.raise_error(F.lit("overlays were read")))
+    deck = loads.deck_load(images, frame([(2, "tag")], "image_id long, tag string"), regions, frame([], "image_id long"), timeline, manifest, frame([("m", "mmmm", "k/m")], "kit_media string, sha256 string, path string"), crosswalk, broken, (100, 101), "deck")
+    assert rows(deck.tags.where("tag = 'tag'"), "image_id") == [(1,)]
+
+
 def test_state_timeline(spark):
     states = spark.createDataFrame([(1, "a", "1976"), (1, "a", "1976-03"), (1, "b", "1976-05-02"), (1, "a", "1977"), (1, "x", "spring"), (2, "c", "1975")], "id long, state string, d string")
     assert [(r[0], r[1], str(r[2]), str(r[3])) for r in jobs.timeline(states, ["id"], "state", "d").orderBy("id", "date_start").collect()] == [(1, "a", "1976-01-01", "1976-05-01"), (1, "b", "1976-05-02", "1976-12-31"), (1, "a", "1977-01-01", "None"), (2, "c", "1975-01-01", "None")]

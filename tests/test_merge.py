@@ -186,3 +186,19 @@ def test_counters_take_one_pass(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Expand") == 1 and "Generate" not in plan
     assert rows(counters(df, {"one": F.col("n")}, top=1), "section", "key", "count") == [("one", "1", 2)]
+
+
+def test_absorbed_by_key_is_absorbed_by_pairs(spark):
+    notes = {1: "own\np=a", 2: "z\nown\np=a", 3: " b \n\nz\np=a", 4: None, 5: "c\np=b", 6: "a\np=b", 7: "alone", 8: "c"}
+    images = spark.createDataFrame(list(notes.items()), "id long, notes string")
+    duplicates = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a"), (4, "a"), (5, "b"), (6, "b"), (8, "c")], "id long, path string")
+    survivors = spark.createDataFrame([(1, "a"), (7, "a"), (7, "b"), (5, "b"), (8, "c"), (7, "none")], "id long, path string")
+    tags = spark.createDataFrame([(2, "two"), (3, "two"), (6, "six"), (8, "eight"), (7, "own")], "image_id long, tag string")
+    used = spark.createDataFrame([(3,), (1,), (5,), (7,)], "id long")
+    pairs = duplicates.join(survivors.withColumnRenamed("id", "survivor"), "path").select("id", "survivor")
+    kept, gone, left = merge.absorb(images, pairs, used, tags)
+    got = merge.absorbed_ids(duplicates, survivors, "path", used)
+    assert sorted(got.collect()) == sorted(gone.collect()) == [(2,), (4,), (6,)]
+    assert sorted(merge.absorbed_notes(images, duplicates, survivors, "path").join(got, "id", "left_anti").collect()) == sorted(kept.collect())
+    all_tags = merge.absorbed_tags(tags, duplicates, survivors, "path")
+    assert sorted(all_tags.join(got.withColumnRenamed("id", "image_id"), "image_id", "left_anti").collect()) == sorted(left.collect())
