@@ -417,27 +417,32 @@ def entity_index(c, types: tuple[str, ...] = ("kit", "part", "model", "image", "
     return out
 
 
-#: Queries that are broadcast at a time; more go in blocks.
+#: Texts that are broadcast at a time; more go in blocks.
 BLOCK_QUERIES = 1000
 
 
 def search(c, queries: DataFrame, per_type: int = 5, limit: int = 20, types: tuple[str, ...] = ("kit", "part", "model", "image", "source")) -> DataFrame:
     """queries: query_id, text, and if there are such columns types (array; empty and unknown ones mean all) and limit (1 to
     100; else the given). Hits per query: the first of each type, then the first of all; texts under two characters find
-    nothing. A hit's place is by type, title, id."""
+    nothing. A hit's place is by type, title, id. A text that many queries ask for is compared once; where very many
+    different texts are asked for, search.search_index gives the same through an index."""
     known = F.array(*map(F.lit, types))
     own = F.array_intersect(F.col("types"), known) if "types" in queries.columns else known
     most = F.least(F.greatest(F.coalesce(F.col("limit"), F.lit(limit)), F.lit(1)), F.lit(100)) if "limit" in queries.columns else F.lit(limit)
     asked = queries.where("length(trim(text)) >= 2").select("query_id", "text", F.when(F.size(F.coalesce(own, known)) > 0, own).otherwise(known).alias("_types"), most.alias("_limit"))
     asked = asked.withColumn("_types", F.coalesce("_types", known))
-    blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
+    asked = checkpointed(asked)
+    texts = asked.select("text").distinct()
+    blocks = max(1, -(-texts.count() // BLOCK_QUERIES))
     index, found = entity_index(c, types), None
     if blocks > 1:
         index = checkpointed(index)
+    per_type, limit = min(max(per_type, 1), 100), min(max(limit, 1), 100)
     for b in range(blocks):
-        mine = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id", "text"), F.lit(blocks)) == b)
-        hits = index.join(F.broadcast(mine), like_any(F.col("text"), F.col("title"), F.col("subtitle")) & F.array_contains("_types", F.col("type")))
+        mine = texts if blocks == 1 else texts.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b)
+        hits = index.join(F.broadcast(mine), like_any(F.col("text"), F.col("title"), F.col("subtitle")))
         found = hits if found is None else found.unionByName(hits)
-    per_type, limit = min(max(per_type, 1), 100), min(max(limit, 1), 100)
-    top = first_per(found, ["query_id", "type"], [F.asc("title"), F.asc("id")], per_type)
-    return first_per(top, ["query_id"], [F.asc("type"), F.asc("title"), F.asc("id")], 100, rank="place").where("place <= _limit").drop("text", "_types", "_limit")
+    once = first_per(found, ["text", "type"], [F.asc("title"), F.asc("id")], per_type)
+    hits = asked.join(once, "text").where(F.array_contains("_types", F.col("type")))
+    top = first_per(hits, ["query_id", "type"], [F.asc("title"), F.asc("id")], per_type)
+    return first_per(top, ["query_id"], [F.asc("type"), F.asc("title"), F.asc("id")], 100, rank="place").where("place <= _limit").select(*index.columns, "query_id", "place")

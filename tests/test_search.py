@@ -45,3 +45,13 @@ def test_entities_that_share_a_text(spark):
     assert [(r[0], r[1], r[2], r[6]) for r in got] == [(1, "kit", 2, 1), (1, "part", 0, 2), (1, "part", 1, 3), (1, "part", 2, 4), (2, "map", 3, 1), (3, "part", 409, 1), (3, "part", 419, 2), (3, "part", 429, 3)]
     empty = search.build_index(spark.createDataFrame([], "type string, id long, title string, subtitle string, badges array<string>"))
     assert search.search_index(empty, asked).count() == 0
+
+
+def test_a_text_that_many_ask_for_is_compared_once(spark, sf):
+    c = Catalog(spark, sf)
+    asked = spark.range(3000).select(F.col("id").alias("query_id"), F.when(F.col("id") % 2 == 0, "ring").otherwise("e ").alias("text"))
+    found = catalog.search(c, asked)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("like") <= 2  # title and subtitle
+    assert plain(found) == plain(search.search_index(search.catalog_index(c), asked))
+    twice = spark.createDataFrame([(1, "ring"), (1, "ring"), (1, "e ")], "query_id long, text string")
+    assert [r["place"] for r in catalog.search(c, twice, 2).orderBy("place").collect()] == list(range(1, catalog.search(c, twice, 2).count() + 1))
