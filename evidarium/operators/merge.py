@@ -9,6 +9,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ..functions.text import blank_to_null, fill, note_union
 from .chains import chains, cycles
@@ -209,7 +210,9 @@ def family_conflicts(members: DataFrame, attached: DataFrame) -> DataFrame:
 def rejects(table: DataFrame, required: list[str] = (), enums: dict[str, tuple[str, ...]] | None = None, one_of: list[str] = (), unique: list[str] = (), foreign: dict[str, DataFrame] | None = None, key: str = "id") -> DataFrame:
     """(key, rule) for each broken rule: required fields (blank and 0 count as missing), value lists, exactly one of
     several keys, uniqueness, and ids that must exist in another table."""
-    rules: list[Column] = [F.when(F.coalesce(F.nullif(blank_to_null(F.col(c)), F.lit("0")).isNull(), F.lit(True)), F.lit(f"required:{c}")) for c in required]
+    numbers = {f.name for f in table.schema if isinstance(f.dataType, NumericType)}
+    zero = lambda c: F.col(c) == F.lit(0) if c in numbers else blank_to_null(F.col(c)) == "0"  # noqa: E731  0.0 is 0 too
+    rules: list[Column] = [F.when(F.coalesce(blank_to_null(F.col(c)).isNull() | zero(c), F.lit(True)), F.lit(f"required:{c}")) for c in required]
     rules += [F.when(F.col(c).isNotNull() & ~F.col(c).isin(*values), F.lit(f"enum:{c}")) for c, values in (enums or {}).items()]
     if one_of:
         rules.append(F.when(reduce(lambda a, b: a + b, [F.col(c).isNotNull().cast("int") for c in one_of]) != 1, F.lit("one_of:" + "+".join(one_of))))

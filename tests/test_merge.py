@@ -202,3 +202,9 @@ def test_absorbed_by_key_is_absorbed_by_pairs(spark):
     assert sorted(merge.absorbed_notes(images, duplicates, survivors, "path").join(got, "id", "left_anti").collect()) == sorted(kept.collect())
     all_tags = merge.absorbed_tags(tags, duplicates, survivors, "path")
     assert sorted(all_tags.join(got.withColumnRenamed("id", "image_id"), "image_id", "left_anti").collect()) == sorted(left.collect())
+
+
+def test_zero_of_every_kind_is_missing(spark):
+    df = spark.sql("SELECT * FROM VALUES (1, 0.0D, 0, ' 0 ', 0.00BD), (2, -0.0D, 1, 'x', 1.00BD), (3, 0.5D, NULL, '', NULL), (4, double('NaN'), 2, '00', 2.5BD) AS t (id, a, b, c, d)")
+    got = rows(merge.rejects(df, required=["a", "b", "c", "d"]), "key", "rule")
+    assert got == sorted([(1, "required:a"), (1, "required:b"), (1, "required:c"), (1, "required:d"), (2, "required:a"), (3, "required:b"), (3, "required:c"), (3, "required:d")])
