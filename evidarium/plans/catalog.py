@@ -14,7 +14,7 @@ from ..functions.text import excerpt, first_filled, joined, like_any
 from ..operators.chains import chains
 from ..operators.pages import children_pages
 from ..operators.windows import current_positions, first_per
-from ..sources.shared import checkpointed
+from ..sources.shared import checkpointed, kept
 
 
 def filtered(df: DataFrame, **equal) -> DataFrame:
@@ -373,21 +373,23 @@ def contested(c) -> DataFrame:
 
 
 def edges(c) -> DataFrame:
-    """The catalog as typed links."""
+    """The catalog as typed links; placements are gone through once for all that they name."""
     e = lambda df, a, x, b, y: df.where(f"{x} is not null and {y} is not null").select(F.lit(a).alias("src_type") if a else F.col("entity_type").alias("src_type"), F.col(x).alias("src_id"), F.lit(b).alias("dst_type"), F.col(y).alias("dst_id"))
-    out = e(c.placements, "placement", "id", "model", "model_id").union(e(c.placements, "placement", "id", "part", "part_id")).union(e(c.placements, "placement", "id", "kit", "kit_id"))
+    named = F.array(*[F.struct(F.lit(t).alias("dst_type"), F.col(f"{t}_id").alias("dst_id")) for t in ("model", "part", "kit")])
+    out = c.placements.where("id is not null").select(F.lit("placement").alias("src_type"), F.col("id").alias("src_id"), F.inline(named)).where("dst_id is not null")
     out = out.union(e(c.parts, "part", "id", "kit", "kit_id")).union(e(c.image_links, None, "entity_id", "image", "image_id")).union(e(c.image_regions, "image_region", "id", "image", "image_id"))
     return out.union(c.claim_evidence.select(F.lit("claim"), "claim_id", "evidence_type", "evidence_id"))
 
 
 def reachable(c, start: DataFrame, hops: int) -> DataFrame:
     """(type, id, hop): what start's (type, id) reach in up to hops steps along links in either direction. Links are worked
-    out once, and each step starts from what the step before has left in reliable storage (checkpoint)."""
-    e = edges(c)
-    kept = checkpointed(e.select(F.col("src_type").alias("type"), F.col("src_id").alias("id"), F.col("dst_type").alias("t"), F.col("dst_id").alias("i")).union(e.select("dst_type", "dst_id", "src_type", "src_id")).distinct())
+    out once, and each step starts from what the step before has left in reliable storage (checkpoint). Links are left as
+    they are, repeated ones too: what a step meets is made distinct."""
+    e = kept(edges(c), "links")
+    both = e.select(F.col("src_type").alias("type"), F.col("src_id").alias("id"), F.col("dst_type").alias("t"), F.col("dst_id").alias("i")).union(e.select("dst_type", "dst_id", "src_type", "src_id"))
     seen = near = start.select("type", "id").distinct().withColumn("hop", F.lit(0))
     for hop in range(1, hops + 1):
-        new = near.join(kept, ["type", "id"]).select(F.col("t").alias("type"), F.col("i").alias("id")).distinct()
+        new = near.join(both, ["type", "id"]).select(F.col("t").alias("type"), F.col("i").alias("id")).distinct()
         near = checkpointed(new.join(seen, ["type", "id"], "left_anti").withColumn("hop", F.lit(hop)))
         seen = seen.unionByName(near)
     return seen
