@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import nfkc, squeezed
+from ..sources.shared import kept
 
 #: Kinds of keywords and their points; the last counts only beside relevance or the first.
 POINTS = {"model": 3, "resource": 2, "research": 2}
@@ -18,9 +19,8 @@ LEAD = "[a-z0-9]+( [a-z0-9]+)?"
 
 def leads(norm: Column) -> Column:
     """What a keyword may begin with at some place of a normalised text: each word, and each two with one blank between."""
-    words = lambda part: F.filter(F.split(part, " "), lambda w: w != "")
-    pairs = lambda own: F.transform(F.slice(own, 2, F.greatest(F.size(own) - 1, F.lit(0))), lambda w, i: F.concat_ws(" ", F.get(own, i), w))
-    return F.array_distinct(F.flatten(F.transform(F.split(norm, "[^a-z0-9 ]+"), lambda part: F.element_at(F.transform(F.array(words(part)), lambda own: F.concat(own, pairs(own))), 1))))
+    words, pairs = F.regexp_extract_all(norm, F.lit("[a-z0-9]+"), F.lit(0)), F.regexp_extract_all(norm, F.lit("(?<![a-z0-9])(?=([a-z0-9]+ [a-z0-9]+))"), F.lit(1))
+    return F.array_distinct(F.concat(words, pairs))
 
 
 def keyword_table(keywords: DataFrame, *kinds: str) -> DataFrame:
@@ -35,12 +35,15 @@ def keyword_matches(texts: DataFrame, keywords: DataFrame, text: str, kinds: tup
     of texts. Both sides are compared in compatibility form, lower case, with hyphens, underscores and white space as one
     blank; before and after a keyword stands no letter or digit of a-z, 0-9. Null and empty texts have none.
 
-    A text gives a row for each of its words and pairs of words; those that some keyword begins with stay, by a join whose
-    side Spark broadcasts only if it is small. Keywords of more than a lead are then compared with the text as a whole; no text
-    meets one whose lead it lacks."""
-    table = keyword_table(keywords, *kinds)
+    The keywords are written down first, so Spark knows their size and broadcasts them if they are few. A text gives a row for
+    each of its words and pairs of words, once; those that some keyword begins with stay, by a join. Keywords of more than a
+    lead, if there are any, are then compared with the text as a whole; no text meets one whose lead it lacks."""
+    table = kept(keyword_table(keywords, *kinds), "keywords")
     named = texts.select("id", squeezed(nfkc(F.col(text))).alias("_text"))
     found = named.select("id", F.explode(leads(F.col("_text"))).alias("lead")).join(table, "lead")
+    if table.where("norm <> lead").isEmpty():
+        return found.select("id", *kinds, "keyword")
+    found = kept(found, "keywords-found")
     done = found.where("norm = lead").select("id", *kinds, "keyword")
     longer = found.where("norm <> lead").select("id", *kinds, "keyword", "norm").join(named, "id")
     # A keyword in lower case has no \E that could end the quotation.

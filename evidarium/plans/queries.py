@@ -856,13 +856,14 @@ STANDS = " OR ".join(f"contains(y, '{a}' || keyword || '{b}')" for a in " |" for
 def listed(c) -> DataFrame:
     from ..functions.text import squeezed
 
-    head = lambda p: c.documents.select(F.regexp_extract(squeezed(F.col("text")), p, 0).alias("keyword"))
-    return c.part.select(F.col("p_name").alias("keyword")).union(head("^[a-z0-9]+ [a-z0-9]+")).union(head("^[a-z0-9]+")).distinct()
+    first = c.documents.select(F.regexp_extract(squeezed(F.col("text")), "^[a-z0-9]+( [a-z0-9]+)?", 0).alias("two"))
+    own = F.array(F.when(F.contains("two", F.lit(" ")), F.col("two")).otherwise(""), F.substring_index("two", " ", 1))
+    return c.part.select(F.col("p_name").alias("keyword")).union(first.distinct().select(F.explode(own).alias("keyword"))).distinct()
 
 
 def typed(c) -> DataFrame:
     text = F.when(F.col("doc_id") % 3 == 0, F.translate("text", *WIDE)).otherwise(F.col("text"))
-    return c.documents.select(F.col("doc_id").alias("id"), text.alias("text"))
+    return c.documents.select(F.col("doc_id").alias("id"), text.alias("text"), F.contains("text", F.lit("lle")).alias("relevant"))
 
 
 @query("j14_keyword_table", f"SELECT id, keyword FROM (SELECT doc_id AS id, ' ' || regexp_replace({BARE.format('text')}, '[^a-z0-9 ]', '|', 'g') || ' ' AS y FROM documents) JOIN ({LISTED}) ON keyword <> '' AND ({STANDS})")
@@ -874,8 +875,7 @@ def _(c):
 def _(c):
     kind = F.element_at(F.array(*map(F.lit, keywords.POINTS)), F.length("keyword") % 3 + 1)
     table = listed(c).where("contains(keyword, ' ')").withColumn("kind", kind)
-    titles = typed(c).join(c.documents.select(F.col("doc_id").alias("id"), F.contains("text", F.lit("lle")).alias("relevant")), "id")
-    return keywords.scored_titles(titles, table, F.col("relevant"), "text").select("id", "tier", "score", F.array_join("reasons", ",").alias("reasons"))
+    return keywords.scored_titles(typed(c), table, F.col("relevant"), "text").select("id", "tier", "score", F.array_join("reasons", ",").alias("reasons"))
 
 
 @query("x6_tagged_by_table", f"SELECT id, source_id, keyword FROM (SELECT id, source_id, ' ' || regexp_replace({BARE.format('content')}, '[^a-z0-9 ]', '|', 'g') || ' ' AS y FROM source_extracts) JOIN ({LISTED}) ON keyword <> '' AND ({STANDS})", "source_extracts")
