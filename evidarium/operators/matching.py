@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.geometry import centre, distance
+from ..functions.geometry import centre
 from ..functions.text import match_key
 
 
@@ -17,17 +23,65 @@ def unique_match(labels: DataFrame, label: str, entities: DataFrame, name: str,
     return out.withColumns({"match_status": status, "match_id": F.when(F.col("_n") == 1, F.col("match_id"))}).drop("_k", "_n")
 
 
+#: Distances that are worked out in one go.
+DISTANCES = 1_000_000
+
+
+def first_nearest(px: np.ndarray, py: np.ndarray, boxes: np.ndarray) -> np.ndarray:
+    """For each point the first of the nearest boxes (left, low, right, high); a missing side, nan, is no distance."""
+    left, low, right, high = boxes
+    step, best = max(1, DISTANCES // len(left)), []
+    for s in range(0, len(px), step):
+        x, y = px[s : s + step, None], py[s : s + step, None]
+        best.append(np.hypot(np.fmax(np.fmax(left - x, 0), x - right), np.fmax(np.fmax(low - y, 0), y - high)).argmin(axis=1))
+    return np.concatenate(best)
+
+
+def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Labels with their pictures, from rows in order of slides, the pictures of each before its labels."""
+    slide, shown, boxes = None, [], []
+    for batch in batches:
+        runs, own, found = pc.run_end_encode(batch["slide"]), batch["own"].to_numpy(zero_copy_only=False), []
+        sides = np.stack([batch[c].to_numpy(zero_copy_only=False) for c in ("left", "low", "right", "high")])
+        start = 0
+        for value, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist()):
+            if value is None or value != slide:
+                slide, shown, boxes = value, [], []
+            said = start + int(np.count_nonzero(~own[start:end]))
+            if said > start:
+                shown.append(batch["p"].slice(start, said - start))
+                boxes.append(sides[:, start:said])
+            if end > said and shown:
+                shown, boxes = [pa.concat_arrays(shown)], [np.concatenate(boxes, axis=1)]
+                found.append(shown[0].take(pa.array(first_nearest(sides[0, said:end], sides[1, said:end], boxes[0]))))
+            elif end > said:
+                found.append(pa.nulls(end - said, batch["p"].type))
+            start = end
+        if found:
+            yield pa.RecordBatch.from_arrays([batch["l"].filter(pa.array(own)), pa.concat_arrays(found)], ["l", "p"])
+
+
 def nearest_picture(labels: DataFrame, pictures: DataFrame) -> DataFrame:
     """Each label with the picture of its slide that holds its centre or is nearest to it; ties go to the larger, then to
-    the first. A slide's pictures, as many as one slide shows, go to its labels as one array, so no row is made for a label
-    and a picture; a label of a slide without pictures has nulls."""
+    the first. Labels come after the pictures of their slide, as many as one slide shows, in one task, so no row is made for
+    a label and a picture; a label of a slide without pictures has nulls."""
     names = [c for c in pictures.columns if c != "slide"]
-    shown = pictures.groupBy("slide").agg(F.collect_list(F.struct(*names)).alias("_pictures"))
     cx, cy = centre(F.col("x"), F.col("y"), F.col("cx"), F.col("cy"))
-    far = F.lit(float("inf"))
-    rated = F.transform("_pictures", lambda p: F.struct(F.coalesce(distance(cx, cy, p["x"], p["y"], p["cx"], p["cy"]), far).alias("d"), F.coalesce(-p["area"], far).alias("area"), p["idx"].alias("idx"), p.alias("p")))
-    out = labels.join(shown, "slide", "left").withColumn("_best", F.array_min(rated)["p"])
-    return out.select(*labels.columns, *[F.col(f"_best.{c}").alias(f"p_{c}") for c in names])
+    sides = lambda *v: [F.lit(None).cast("double").alias(k) if c is None else c.cast("double").alias(k) for k, c in zip(("left", "low", "right", "high"), v)]
+    l_type, p_type = T.StructType(labels.schema.fields), T.StructType([pictures.schema[c] for c in names])
+    l, p = F.struct(*labels.columns).alias("l"), F.struct(*names).alias("p")
+    # Labels without a slide are dealt by their values, not all to one task.
+    deal = F.when(F.col("slide").isNull(), F.pmod(F.xxhash64(*labels.columns), F.lit(100_000))).otherwise(F.lit(0).cast("long")).alias("deal")
+    none = lambda kind: F.lit(None).cast(kind)
+    said = labels.select("slide", deal, F.lit(True).alias("own"), *sides(cx, cy, None, None), none("double").alias("small"), none(pictures.schema["idx"].dataType).alias("i"), l, none(p_type).alias("p"))
+    shown = pictures.where("slide is not null").select(
+        "slide", F.lit(0).cast("long").alias("deal"), F.lit(False).alias("own"), *sides(F.col("x"), F.col("y"), F.col("x") + F.col("cx"), F.col("y") + F.col("cy")),
+        F.coalesce(-F.col("area"), F.lit(float("inf"))).cast("double").alias("small"), F.col("idx").alias("i"), none(l_type).alias("l"), p,
+    )
+    rows = shown.unionByName(said).repartition("slide", "deal").sortWithinPartitions("slide", "deal", "own", "small", "i", "p")
+    rows = rows.select("slide", "own", "left", "low", "right", "high", "l", "p")
+    out = rows.mapInArrow(met, T.StructType([T.StructField("l", l_type), T.StructField("p", p_type)]))
+    return out.select(*[F.col("l")[c].alias(c) for c in labels.columns], *[F.col("p")[c].alias(f"p_{c}") for c in names])
 
 
 def fallback_match(df: DataFrame, keys: list[str], target: DataFrame, key: str, value: str) -> DataFrame:
